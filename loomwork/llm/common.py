@@ -53,3 +53,15 @@ def drop_stored(df: DataFrame) -> None:
 
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a suffix where df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm import linededup
+from loomwork.llm.linededup import op10_line_dedup
+from loomwork.llm.secretscan import op6_secret_scan
 from loomwork.llm.simhash import op1_simhash_neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op6_secret_scan": op6_secret_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": linededup.SQL}
