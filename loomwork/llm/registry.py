@@ -10,10 +10,12 @@ from loomwork.llm import linededup
 from loomwork.llm.linededup import op10_line_dedup
 from loomwork.llm.secretscan import op6_secret_scan
 from loomwork.llm.simhash import op1_simhash_neardup
+from loomwork.llm.tokenstore import op8_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op6_secret_scan": op6_secret_scan,
+    "op8_token_store": op8_token_store,
     "op10_line_dedup": op10_line_dedup,
 }
 
