@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import linededup
+from loomwork.llm.langid import op7_language_id
 from loomwork.llm.linededup import op10_line_dedup
+from loomwork.llm.packing import op5_packing
 from loomwork.llm.secretscan import op6_secret_scan
 from loomwork.llm.simhash import op1_simhash_neardup
 from loomwork.llm.tokenstore import op8_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op10_line_dedup": op10_line_dedup,
 }
