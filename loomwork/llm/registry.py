@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import linededup
+from loomwork.llm.decontaminate import op9_decontamination
 from loomwork.llm.langid import op7_language_id
 from loomwork.llm.linededup import op10_line_dedup
 from loomwork.llm.packing import op5_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
