@@ -4,12 +4,14 @@ Encoding a whole text costs the library far more than the text's different words
 repeat.  ``TokenIds`` cuts texts only where the tokenizer cannot see across, gives each different
 piece to the library once, and joins the results, which are the ids of the whole texts:
 
-* ``spaces="dropped"``: for tokenizers that drop white space and look at nothing beyond it.  Cuts
-  are at every ASCII space.
+* ``spaces="dropped"``: for tokenizers that lower-case, drop white space, take a run of letters and
+  a run of punctuation apart and look at nothing beyond.  Cuts are at every space and line feed,
+  and between a letter and a last full stop or comma.  A-Z is lower-cased at once where the text
+  has no combining mark, with which it might compose otherwise, and no special token's string.
 * ``spaces="leading"``: for byte-level tokenizers whose words take one space in front.  Cuts are
-  before a space that stands between two characters that aren't white space.
-
-Both hold for special tokens' strings in a text too, as these have no spaces.
+  before a space that stands between two characters that aren't white space, around a line feed
+  between such, and between a letter and a last full stop or comma.  Texts with other runs of
+  white space are cut at the first of these only.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space, to any of the libraries in use.
-_SPACE = r"[\t\n\v\f\r \x1c-\x1f\x{85}\p{Z}]"
-_IRREGULAR = rf" {_SPACE}|{_SPACE} |\A{_SPACE}|{_SPACE}\z"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = r"\t\n\v\f\r \x1c-\x1f\x{85}\p{Z}"
+_IRREGULAR = rf" [{_SPACE}]|[{_SPACE}] |\A[{_SPACE}]|[{_SPACE}]\z|\x00"
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_LAST_MARK = r"(\pL)([.,])([ \n]|\z)"
+_LINE_FEED = rf"([^{_SPACE}])\n([^{_SPACE}])"
 #: A piece that ends a sentence or holds a line break.
 _SENTENCE_END = r"[.!?…。！？]['\")\]»”’]*\z|\n"
 
@@ -42,12 +46,18 @@ class Encoded:
     ends: np.ndarray
 
 
+def _trim(piece: str) -> bool:
+    """Whether the piece has no white space around, but for one space in front."""
+    core = piece[1:] if piece[:1] == " " else piece
+    return core != "" and core.strip() == core
+
+
 class _Pieces(dict):
     """piece -> its ids as bytes.  Beyond ``most`` pieces, only those just used stay; that costs time only."""
 
-    def __init__(self, tokenizer, prefix: str, mark: str, dtype: str, most: int):
+    def __init__(self, tokenizer, mark: str, dtype: str, most: int):
         super().__init__()
-        self.tokenizer, self.prefix, self.mark, self.dtype, self.most = tokenizer, prefix, mark, dtype, most
+        self.tokenizer, self.mark, self.dtype, self.most = tokenizer, mark, dtype, most
         self.mark_id = self._encode(mark)
 
     def _encode(self, text: str) -> list[int]:
@@ -63,8 +73,8 @@ class _Pieces(dict):
         if not new:
             return got
         found: dict[str, bytes] = {}
-        mark, between = self.mark.strip(" "), self.mark + self.prefix
-        plain = [p for p in new if len(p) <= 64 and mark not in p and "<|" not in p and p.strip() == p]
+        bare, between = self.mark.strip(" "), self.mark
+        plain = [p for p in new if len(p) <= 64 and bare not in p and "<|" not in p and _trim(p)]
         width = np.dtype(self.dtype).itemsize
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
@@ -76,7 +86,7 @@ class _Pieces(dict):
                 found.update(zip(part, [data[a:b] for a, b in zip(((ends + 1) * width).tolist(), stops, strict=True)], strict=True))
         for p in new:
             if p not in found:
-                found[p] = np.array(self._encode(self.prefix + p), self.dtype).tobytes()
+                found[p] = np.array(self._encode(p), self.dtype).tobytes()
         got = [found[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
         if len(self) + len(found) > self.most:
             self.clear()
@@ -96,43 +106,48 @@ class TokenIds:
             raise ValueError("spaces is 'dropped' or 'leading'")
         tokenizer = Tokenizer.from_file(path)
         self.leading, self.dtype = spaces == "leading", dtype
-        mark = "\t" if self.leading else " | "
-        self.first = _Pieces(tokenizer, "", mark, dtype, most // 10)
-        self.later = _Pieces(tokenizer, " " if self.leading else "", mark, dtype, most)
+        self.known = _Pieces(tokenizer, "\t" if self.leading else " | ", dtype, most)
 
-    def encode(self, texts: pa.Array) -> Encoded:
-        """texts: strings, null for empty; bounded by the caller, see ``slices``."""
-        texts = pc.fill_null(texts, "")
-        n = len(texts)
-        order = np.arange(n)
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The order in which texts are taken, all their pieces, and the pieces of each."""
         if self.leading:
             odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
-            order = np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]
-            even = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+            even = texts.filter(pa.array(~odd))
+            even = pc.replace_substring_regex(even, _LAST_MARK, "\\1\x00\\2\\3")
+            even = pc.replace_substring_regex(even, _LINE_FEED, "\\1\x00\n\x00\\2")
+            lists = pc.split_pattern(pc.replace_substring(even, " ", "\x00 "), "\x00")
             rest = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-            flat = pa.concat_arrays([even.flatten().cast(pa.string()), pa.array([p for x in rest for p in x], pa.string())])
-            sizes = np.r_[pc.list_value_length(even).to_numpy(zero_copy_only=False), [len(x) for x in rest]].astype(np.int64)
         else:
-            even = pc.split_pattern(texts, " ")
-            flat, sizes = even.flatten(), pc.list_value_length(even).to_numpy(zero_copy_only=False).astype(np.int64)
+            odd = pc.match_substring_regex(texts, r"\pM|<\|").to_numpy(zero_copy_only=False)
+            even = pc.replace_substring(pc.ascii_lower(texts.filter(pa.array(~odd))), "\n", " ")
+            lists = pc.split_pattern(pc.replace_substring_regex(even, _LAST_MARK, r"\1 \2\3"), " ")
+            rest = [t.split(" ") for t in texts.filter(pa.array(odd)).to_pylist()]
+        flat = pa.concat_arrays([lists.flatten(), pa.array([p for x in rest for p in x], pa.string())])
+        sizes = np.r_[pc.list_value_length(lists).to_numpy(zero_copy_only=False), [len(x) for x in rest]].astype(np.int64)
+        return np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)], flat, sizes
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        """texts: strings, null for empty; bounded by the caller, see ``slices``.
+
+        Sentence ends are told from the pieces; line breaks don't count where spaces are dropped.
+        """
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        order, flat, sizes = self._cut(texts)
         at = np.r_[0, np.cumsum(sizes)]
         coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        values = self.later.of(pieces)
+        codes = coded.indices.to_numpy()
+        values = self.known.of(coded.dictionary.to_pylist())
         is_end = pc.match_substring_regex(coded.dictionary, _SENTENCE_END).to_numpy(zero_copy_only=False)
-        if self.leading and n:
-            heads = flat.take(pa.array(at[:-1])).dictionary_encode()
-            values = values + self.first.of(heads.dictionary.to_pylist())
-            is_end = np.r_[is_end, pc.match_substring_regex(heads.dictionary, _SENTENCE_END).to_numpy(zero_copy_only=False)]
-            codes[at[:-1]] = len(pieces) + heads.indices.to_numpy()
         table = np.frombuffer(b"".join(values), self.dtype)
         stops = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.dtype).itemsize)
-        lengths = np.diff(stops, prepend=0)
+        lengths = np.diff(stops, prepend=0).astype(np.int32)
         size = lengths[codes]
-        stop = np.cumsum(size)
+        stop = np.cumsum(size, dtype=np.int64)
         total = int(stop[-1]) if len(stop) else 0
-        source = np.repeat((stops - lengths)[codes] - (stop - size), size) + np.arange(total)
+        kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+        source = np.repeat(((stops - lengths)[codes] - (stop - size)).astype(kind), size)
+        source += np.arange(total, dtype=kind)
         bound = np.r_[0, stop][at]
         lo, hi = np.empty(n, np.int64), np.empty(n, np.int64)
         lo[order], hi[order] = bound[:-1], bound[1:]
@@ -140,9 +155,9 @@ class TokenIds:
 
 
 @lru_cache(maxsize=4)
-def token_ids(path: str, spaces: str, dtype: str = "<u4") -> TokenIds:
-    """One encoder a Python worker; what it remembers lasts over tasks."""
-    return TokenIds(path, spaces, dtype)
+def token_ids(path: str, spaces: str, dtype: str = "<u4", most: int = 1_000_000) -> TokenIds:
+    """One encoder a Python worker; what it remembers lasts over tasks until ``token_ids.cache_clear``."""
+    return TokenIds(path, spaces, dtype, most)
 
 
 def slices(texts: pa.Array, most_bytes: int = 12 << 20) -> Iterable[tuple[int, int]]:

@@ -7,7 +7,7 @@ The format, a folder with two tables that Spark writes (any Hadoop file system,
   earlier blocks), n_ids, docs (ids of documents), sizes (their numbers of ids), checkpoints (bit
   offsets of every 256th id) and bits.  Parts follow each other, blocks too; within, documents ascend.
 
-Blocks hold whole documents, about a million ids, so a reader can decode any block alone.  Counts
+Blocks hold whole documents, about half a million ids, so a reader can decode any block alone.  Counts
 of ids are over all documents; at most one row an id goes to the driver.
 """
 
@@ -26,7 +26,9 @@ from loomwork.llm.common import drop_stored, partition_count, shared_path, store
 from loomwork.llm.huffman import Codec, code_lengths
 from loomwork.llm.tokens import slices, token_ids
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
+#: Pieces of text that a worker remembers while it tokenizes; later stages in the worker forget them.
+REMEMBERED = 600_000
 
 
 def tokenize(
@@ -40,10 +42,10 @@ def tokenize(
     tail = b"" if end_id is None else np.uint16(end_id).astype("<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_ids(tokenizer, spaces, "<u4")
+        encoder = token_ids(tokenizer, spaces, "<u4", REMEMBERED)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 6 << 20):
                 got = encoder.encode(texts.slice(a, b - a))
                 if len(got.ids) and got.ids.max() > 0xFFFF:
                     raise ValueError("an id doesn't fit in 16 bits")
@@ -58,6 +60,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_ids.cache_clear()
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             data = b"".join(batch.column(0).to_pylist())
@@ -80,6 +83,7 @@ def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> No
     packed = lengths.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_ids.cache_clear()
         codec = Codec(np.frombuffer(packed, np.uint8))
         part, block, before = TaskContext.get().partitionId(), 0, 0
         docs: list[int] = []
@@ -138,6 +142,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         total += r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_ids.cache_clear()
         codec = Codec(np.frombuffer(packed, np.uint8))
         for batch in batches:
             for k in range(batch.num_rows):
