@@ -188,26 +188,29 @@ def fit(
     return fit_rows(sorted(rows, key=lambda r: (r.lang, r.whole, r.place.tobytes(), r.count.tobytes())))
 
 
+def _judge(m: Model, texts: pa.Array) -> list[tuple[str, float, bool]]:
+    """(language, score, acceptance) of each text."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, _HAS_LETTER), False).to_pylist()
+    out = [("und", 0.0, False)] * len(letters)
+    for a, b in slices(texts):
+        for k, t in enumerate(lower(texts.slice(a, b - a)), a):
+            if letters[k]:
+                lang, score, ok = m.predict(t.as_buffer().to_pybytes())
+                out[k] = (lang or "und", score, ok)
+    return out
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, accepted), a row a document.
 
     A null text, and one without a letter, is ``und`` with score 0, not accepted.  So is every text
-    where the model knows no language.
+    where the model knows no language.  Ids may be null or repeat.  An empty table gives no rows.
     """
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = kept.value
         for batch in batches:
-            texts = batch.column(1)
-            letters = pc.fill_null(pc.match_substring_regex(texts, _HAS_LETTER), False).to_pylist()
-            out = [("und", 0.0, False)] * len(letters)
-            for a, b in slices(texts):
-                for k, t in enumerate(lower(texts.slice(a, b - a)), a):
-                    if letters[k]:
-                        lang, score, ok = m.predict(t.as_buffer().to_pybytes())
-                        out[k] = (lang or "und", score, ok)
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            cols = list(zip(*_judge(kept.value, batch.column(1)), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())],
                 names=[id_col, "lang_pred", "score", "accepted"],
@@ -217,6 +220,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
+def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language the model accepts; one pass without a shuffle."""
+    kept = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([ok for *_, ok in _judge(kept.value, batch.column(place))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: Column, divisor: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % divisor
 

@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import linededup
 from loomwork.llm.decontaminate import op9_decontamination
+from loomwork.llm.htmltext import op3_html_text
+from loomwork.llm.innerproduct import op4_nearest_neighbours
 from loomwork.llm.langid import op7_language_id
 from loomwork.llm.linededup import op10_line_dedup
 from loomwork.llm.packing import op5_packing
 from loomwork.llm.secretscan import op6_secret_scan
 from loomwork.llm.simhash import op1_simhash_neardup
 from loomwork.llm.tokenstore import op8_token_store
+from loomwork.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut, partition_count
+from loomwork.llm.common import cut, fresh_names, partition_count
 from loomwork.llm.components import connected_components, spanning_forest
 
 SEED = 42
@@ -163,6 +163,13 @@ def _close_pairs(frame: pd.DataFrame, distance: int) -> tuple[np.ndarray, np.nda
     return pairs[0], pairs[1]
 
 
+def _rooted(fps: DataFrame, distance: int) -> DataFrame:
+    """fps with fp and id -> one row (fp, least, root) a fingerprint: its least id and the component's name."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(near_links(nodes, distance)).withColumnRenamed("node", "fp")
+    return cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3
 ) -> DataFrame:
@@ -173,15 +180,43 @@ def near_duplicates(
     name and get the smallest non-null id in reach.  An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_links(nodes, distance)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named)
+    named = _rooted(fps, distance)
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(of_root, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3
+) -> DataFrame:
+    """The rows of docs, all columns, of which each component keeps one: that with the least id.
+
+    Null ids come last.  Among rows of one id the text with the least hash stays; of rows equal in
+    id and text one stays.
+    """
+    id_, sum_ = fresh_names(docs, "kept_id", "kept_sum")
+    marked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum64"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["id", "sum64", "fp"])
+
+    kind = dict(docs.dtypes)[id_col]
+    marked = marked.withColumn("text", F.col("text").cast("binary"))
+    fps = cut(marked.mapInArrow(run, f"id {kind}, sum64 long, fp long"))
+    named = _rooted(fps, distance).select("fp", "root")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "sum64")
+    first = fps.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    first = cut(first.select(F.col("first.id").alias(id_), F.col("first.sum64").alias(sum_)))
+    on = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(sum_))
+    kept = docs.join(first.hint("shuffle_hash"), on, "left_semi")
+    again = fps.groupBy("id", "sum64").count().where("count > 1")
+    if again.join(first, F.col("id").eqNullSafe(F.col(id_)) & (F.col("sum64") == F.col(sum_)), "left_semi").isEmpty():
+        return kept
+    return kept.withColumn(sum_, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, sum_]).drop(sum_)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

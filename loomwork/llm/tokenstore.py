@@ -28,7 +28,7 @@ from loomwork.llm.tokens import slices, token_ids
 
 BLOCK_IDS = 1 << 19
 #: Pieces of text that a worker remembers while it tokenizes; later stages in the worker forget them.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 
 def tokenize(
