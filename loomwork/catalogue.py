@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from loomwork.functions import rules
 from loomwork.functions.types import STR, parse_type
 from loomwork.operators import drift, eventlog, folds
+from loomwork.plans import load
+from loomwork.plans.compile import Plan, compile_flow
+from loomwork.plans.execute import transform
+from loomwork.plans.model import Registry
+from loomwork.sources.backends import Fake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,3 +406,181 @@ def drift_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     current = p.select("trainable", F.lit("now").alias("bundle_hash"), F.lit("current").alias("pipeline_hash")).distinct()
     return drift.ladder(p.select("artifact", "trainable"), manifests, current, p.where("p_partkey % 7 = 0").select("artifact", "trainable"), True)
+
+
+# flows -----------------------------------------------------------------------------------------
+
+
+def order_flow() -> tuple[Plan, Registry]:
+    """Two steps over orders: text is made, then tags and a total are folded from both and a seed."""
+    registry = Registry()
+    declared = {
+        "shop.label": (
+            {"status": "str", "priority": "str"}, {"label": {"type": "str", "maxLength": 40}, "tags": {"type": "list[str]"}}, {"sep": {"type": "str", "default": "/"}},
+        ),
+        "shop.price": ({"label": "str", "price": "float"}, {"tags": {"type": "list[str]"}, "band": {"type": "str", "enum": ["low", "high"]}}, {}),
+    }
+    for name, (reads, outputs, bindings) in declared.items():
+        registry.add(load.step({"transform": {}, "reads": {k: {"type": v} for k, v in reads.items()}, "output_schema": outputs, "bindings": bindings}, name))
+
+    @registry.columns("shop.label")
+    def label(status: Column, priority: Column, sep: str) -> dict[str, Column]:
+        return {"label": F.concat(priority, F.lit(sep), status), "tags": F.array(status)}
+
+    @registry.columns("shop.price")
+    def price(label: Column, price: Column) -> dict[str, Column]:
+        band = F.when(price < 0, "none").when(price < 150000, "low").otherwise("high")
+        return {"tags": F.array(F.substring(label, 1, 1)), "band": band}
+
+    text = """
+[meta]
+name = "shop.orders"
+[[nodes]]
+kind = "handler"
+name = "shop.label"
+reads_map = { priority = "urgency" }
+[[nodes]]
+kind = "handler"
+name = "shop.price"
+[merge]
+tags = "append_list"
+[inputs]
+status = { type = "str", enum = ["O", "F"] }
+urgency = { type = "str" }
+price = { type = "float", maximum = 400000 }
+tags = { type = "list[str]" }
+[outputs]
+label = { type = "str" }
+tags = { type = "list[str]" }
+"""
+    return compile_flow(load.loads(text, "pipeline"), registry), registry
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("urgency"),
+        F.col("o_totalprice").alias("price"), F.array(F.lit("seed")).alias("tags"), "o_custkey",
+    )
+
+
+_FINE = "o_orderstatus in ('O', 'F') and o_totalprice <= 400000"
+
+
+@query(
+    "pipeline_state",
+    f"""select o_orderkey as run_id, case when o_totalprice < 150000 then 'low' else 'high' end as band, o_orderpriority || '/' || o_orderstatus as label,
+  'seed,' || o_orderstatus || ',' || substr(o_orderpriority, 1, 1) as tags from orders where {_FINE}""",
+)
+def pipeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, registry = order_flow()
+    state = transform(plan, _orders(spark, sf_dir), registry).state()
+    return state.select("run_id", "band", "label", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "pipeline_outputs",
+    f"select o_orderkey as run_id, o_orderpriority || '/' || o_orderstatus as label, 'seed,' || o_orderstatus || ',' || substr(o_orderpriority, 1, 1) as tags from orders where {_FINE}",
+)
+def pipeline_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, registry = order_flow()
+    return transform(plan, _orders(spark, sf_dir), registry).outputs().select("run_id", "label", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "pipeline_errors",
+    """select o_orderkey as run_id, 'SchemaValidationError' as error_class, case when o_orderstatus not in ('O', 'F') then 0 else 1 end as position,
+  case when o_orderstatus not in ('O', 'F') then 'status enum' else 'price maximum' end as message
+from orders where o_orderstatus not in ('O', 'F') or o_totalprice > 400000""",
+)
+def pipeline_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds are validated where they are first used, so the price fails at the second step."""
+    plan, registry = order_flow()
+    return transform(plan, _orders(spark, sf_dir), registry).errors().select("run_id", "error_class", "position", "message")
+
+
+@query(
+    "pipeline_events",
+    f"""select event_type, handler_position, count(*) as n from (
+  select unnest(['pipeline_start', 'handler_enter', 'handler_exit', 'handler_enter', 'handler_exit', 'pipeline_complete']) as event_type,
+    unnest([null, 0, 0, 1, 1, null]) as handler_position from orders where {_FINE}
+  union all select unnest(['pipeline_start', 'pipeline_error']), null from orders where o_orderstatus not in ('O', 'F')
+  union all select unnest(['pipeline_start', 'handler_enter', 'handler_exit', 'pipeline_error']), unnest([null, 0, 0, null])
+    from orders where o_orderstatus in ('O', 'F') and o_totalprice > 400000) group by all""",
+)
+def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, registry = order_flow()
+    events = transform(plan, _orders(spark, sf_dir), registry).events()
+    return events.groupBy("event_type", "handler_position").agg(F.count("*").alias("n"))
+
+
+@query(
+    "pipeline_nested",
+    "select c_custkey as run_id, upper(c_mktsegment) || '!' as loud, c_mktsegment || '>' || upper(c_mktsegment) || '!' as trail from customer",
+)
+def pipeline_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow in a flow, in the same rows; its run has an id and events of its own."""
+    registry = Registry()
+    text = {"type": "str"}
+    registry.add(
+        load.step({"transform": {}, "reads": {"segment": text}, "output_schema": {"upper": text}}, "say.upper"),
+        load.step({"transform": {}, "reads": {"upper": text}, "output_schema": {"loud": text}}, "say.loud"),
+        load.step({"transform": {}, "reads": {"segment": text, "loud": text}, "output_schema": {"trail": text}}, "say.trail"),
+    )
+    registry.columns("say.upper")(lambda segment: {"upper": F.upper(segment)})
+    registry.columns("say.loud")(lambda upper: {"loud": F.concat(upper, F.lit("!"))})
+    registry.columns("say.trail")(lambda segment, loud: {"trail": F.concat(segment, F.lit(">"), loud)})
+    steps = [{"kind": "handler", "name": n} for n in ("say.upper", "say.loud")]
+    inner = load.composition({"meta": {"kind": "pipeline", "name": "inner"}, "nodes": steps, "inputs": {"segment": text}, "outputs": {"loud": text}})
+    outer = {"meta": {"name": "outer"}, "nodes": [{"kind": "composition", "name": "inner"}, {"kind": "handler", "name": "say.trail"}], "inputs": {"segment": text}, "outputs": {"trail": text}}
+    plan = compile_flow(load.flow(outer), registry.add(inner))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("segment"))
+    return transform(plan, runs, registry).state()
+
+
+@query("pipeline_rows", "select p_partkey as run_id, reverse(p_name) as back, cast(length(p_name) as bigint) as size from part where p_size <> 7")
+def pipeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A body in Python, which raises for some rows; only these fail."""
+    registry = Registry()
+    registry.add(load.step({"transform": {}, "reads": {"name": {"type": "str"}, "size_in": {"type": "int"}}, "output_schema": {"back": {"type": "str"}, "size": {"type": "int"}}}, "py.turn"))
+
+    @registry.rows("py.turn")
+    def turn(name: str, size_in: int) -> dict:
+        if size_in == 7:
+            raise ValueError("seven")
+        return {"back": name[::-1], "size": len(name)}
+
+    inputs = {"name": {"type": "str"}, "size_in": {"type": "int"}}
+    plan = compile_flow(load.flow({"meta": {"name": "rows"}, "nodes": [{"kind": "handler", "name": "py.turn"}], "inputs": inputs}), registry)
+    runs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size_in"))
+    return transform(plan, runs, registry).state()
+
+
+def trainable_flow(form: str = "json_schema") -> tuple[Plan, Registry]:
+    """A composition with a preparing step and a model call, answered offline."""
+    registry = Registry()
+    registry.add(
+        load.service_type({"name": "fake.chat", "identity_schema": {"model": {"type": "str"}}, "transport_schema": {"endpoint": {"type": "str"}}, "config_schema": {"temperature": {"type": "float", "default": 1.0}}}),
+        load.step({"transform": {}, "reads": {"said": {"type": "str"}}, "output_schema": {"prompt": {"type": "str"}}, "bindings": {"config": {"head": {"type": "str"}}}}, "chat.prompt"),
+    )
+    registry.columns("chat.prompt")(lambda said, config: {"prompt": F.concat(F.lit(config["head"]), said)})
+    registry.backends["fake.chat"] = Fake(form)
+    composition = {
+        "meta": {"kind": "trainable", "name": "answer"}, "inputs": {"said": {"type": "str"}}, "outputs": {"mood": {"type": "str", "enum": ["calm", "loud"]}},
+        "preprocessors": [{"kind": "handler", "name": "chat.prompt", "id": "make", "writes_map": {"prompt": "full"}, "bindings": {"config": {"head": "Q: "}}}],
+        "service_bindings": {"llm": {"type": "fake.chat", "model": "m"}},
+        "trainable": {"config": {}, "service_bindings": {"llm": {"type": "fake.chat"}}, "reads": {"full": {"type": "str"}}, "output_schema": {"mood": {"type": "str", "enum": ["calm", "loud"]}}},
+    }
+    flow = {"meta": {"name": "chat"}, "nodes": [{"kind": "composition", "name": "answer"}], "inputs": {"said": {"type": "str"}}, "outputs": {"mood": {"type": "str", "enum": ["calm", "loud"]}}}
+    registry.add(load.composition(composition))
+    return compile_flow(load.flow(flow), registry), registry
+
+
+@query("pipeline_trainable")
+def pipeline_trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training pairs from the log of a flow with a model call."""
+    plan, registry = trainable_flow()
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    runs = turns.select(F.concat_ws(":", "conv_id", "turn").alias("run_id"), F.col("text").alias("said"))
+    pairs = eventlog.pairs(transform(plan, runs, registry).events())
+    return pairs.select("pipeline_run_id", "handler_position", "reads_snapshot", "writes_snapshot")

@@ -293,6 +293,10 @@ def _deep(path: str, value: Column, t: Type, rules: Sequence[tuple[str, Any]]) -
     if bare.kind == "literal":
         rules = [("enum", list(bare.values)), *rules]
     out = [first_failure(path, value, kind, rules, nullable)]
+    if bare.kind in ("list", "dict") and bare.parts[0].kind != "optional":
+        items = value if bare.kind == "list" else F.map_values(value)
+        entry = F.struct(F.lit(path).alias("path"), F.lit("nullable").alias("rule"), F.lit("false").alias("parameter"))
+        out[0] = F.coalesce(F.when(F.exists(items, lambda x: x.isNull()), entry), out[0])
     if bare.kind == "nested":
         for name, f in bare.fields:
             inner = _deep(f"{path}.{name}", value[name], f.type, f.rules)

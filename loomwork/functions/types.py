@@ -204,6 +204,17 @@ def parse_type(text: str) -> Type:
     return found
 
 
+def loose(kind: T.DataType) -> T.DataType:
+    """The Spark type with nulls admitted everywhere, to which values of any origin can be cast."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(loose(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, loose(kind.valueType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, loose(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def column_safe(t: Type) -> bool:
     """Whether the type may be a wire's: no declaration-only type at any depth."""
     return t.kind not in ("table", "secret_ref") and all(map(column_safe, t.parts)) and all(column_safe(f.type) for _, f in t.fields)
