@@ -501,12 +501,12 @@ def pipeline_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pipeline_events",
-    f"""select event_type, handler_position, count(*) as n from (
+    f"""select event_type, cast(handler_position as integer) as handler_position, count(*) as n from (
   select unnest(['pipeline_start', 'handler_enter', 'handler_exit', 'handler_enter', 'handler_exit', 'pipeline_complete']) as event_type,
     unnest([null, 0, 0, 1, 1, null]) as handler_position from orders where {_FINE}
   union all select unnest(['pipeline_start', 'pipeline_error']), null from orders where o_orderstatus not in ('O', 'F')
   union all select unnest(['pipeline_start', 'handler_enter', 'handler_exit', 'pipeline_error']), unnest([null, 0, 0, null])
-    from orders where o_orderstatus in ('O', 'F') and o_totalprice > 400000) group by all""",
+    from orders where o_orderstatus in ('O', 'F') and o_totalprice > 400000) group by 1, 2""",
 )
 def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, registry = order_flow()

@@ -44,19 +44,24 @@ class Result:
     events_array: Column
     wires: dict[str, Column]
 
+    def _where(self, failed: bool) -> DataFrame:
+        # a condition that isn't deterministic stays above the steps: pushed down, it would hold a
+        # copy of all their expressions
+        halted = F.col("__halt").isNotNull()
+        return self.rows.where((halted if failed else ~halted) & (F.rand(0) >= 0))
+
     def state(self) -> DataFrame:
         """(run, public wires by name) of the runs that didn't fail."""
-        done = self.rows.where(F.col("__halt").isNull())
+        done = self._where(False)
         return done.select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.public))
 
     def outputs(self) -> DataFrame:
         """(run, declared outputs) of the runs that didn't fail."""
-        done = self.rows.where(F.col("__halt").isNull())
-        return done.select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.outputs))
+        return self._where(False).select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.outputs))
 
     def errors(self) -> DataFrame:
         """(run, error_class, category, cause, message, position, name, fields) of the runs that failed."""
-        return self.rows.where(F.col("__halt").isNotNull()).select(self.run_col, "__halt.*")
+        return self._where(True).select(self.run_col, "__halt.*")
 
     def events(self) -> DataFrame:
         """The event log of all runs, nested ones included."""
@@ -105,7 +110,7 @@ class _Runner:
         return F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values))), {"ignoreNullFields": "false"})
 
     def halted(self, rows: DataFrame, failing: Column, entry: Column) -> DataFrame:
-        return rows.withColumn("__halt", F.when(F.col("__halt").isNull() & failing, entry.cast(HALT)).otherwise(F.col("__halt")))
+        return rows.withColumn("__halt", F.coalesce("__halt", F.when(failing, entry.cast(HALT))))  # the first failure stays
 
     def entry(self, kind: str, category: str | None, cause: Column | None, message: Column, c: Call, fields: Column | None = None) -> Column:
         none = F.lit(None)
@@ -122,15 +127,16 @@ class _Runner:
         rows = self.halted(rows, broke, self.entry(FAILURE, "engine", F.lit("rule"), F.lit(f"a rule of {what} failed itself"), c))
         found = value_rules.failures({k: (v, f.type, f.rules) for k, (v, f) in values.items()})
         name = f"__f{self.prefix}{c.position}{what[0]}"
-        rows = rows.withColumn(name, F.when(F.col("__halt").isNull(), found))
+        rows = rows.withColumn(name, found)
         said = F.concat_ws(", ", F.transform(F.col(name), lambda x: F.concat_ws(" ", x.path, x.rule)))
         return self.halted(rows, F.coalesce(F.size(name) > 0, F.lit(False)), self.entry(VALUE, None, None, said, c, F.col(name))).drop(name)
 
     def go(self, rows: DataFrame, seeds: Mapping[str, Column]) -> DataFrame:
         for w in self.plan.inputs:
             self.made[w, SEED, None] = seeds[w]
-        self.event(F.lit(True) if self.parent is None else self.alive_at, "pipeline_start", pipeline_hash=F.lit(self.hash), inputs_snapshot=self.snapshot(dict(seeds)), **({} if self.parent is None else {"parent_run_id": self.parent.cast("string")}))
         begun = F.lit(True) if self.parent is None else self.alive_at
+        up = {} if self.parent is None else {"parent_run_id": self.parent.cast("string")}
+        self.event(begun, "pipeline_start", pipeline_hash=F.lit(self.hash), inputs_snapshot=self.snapshot(dict(seeds)), **up)
         for c in self.plan.calls:
             rows = self.call(rows, c)
         ok = F.col("__halt").isNull() & begun
@@ -166,7 +172,7 @@ class _Runner:
             out = body.call(**reads, **c.bindings)
             if set(out) != set(c.step.outputs):
                 raise ValueError(f"{c.name} gives {sorted(out)}, not {sorted(c.step.outputs)}")
-            made = {p: F.when(F.col(alive), out[p]).cast(loose(f.type.to_spark())) for p, f in c.step.outputs.items()}
+            made = {p: out[p].cast(loose(f.type.to_spark())) for p, f in c.step.outputs.items()}
             rows = rows.withColumns({f"__o{tag}_{k}": v for k, v in enumerate(made.values())})
         else:
             rows = self.python(rows, c, reads, alive, tag, body.call if body else None)
@@ -297,8 +303,6 @@ def transform(
     deadline = None if timeout_ms is None else time.time() + timeout_ms / 1000
     runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline)
     rows = runner.go(rows, {w: F.col(n) for w, n in named.items()})
-    if deadline is not None and not plan.calls:
-        deadline = None
     end = len(plan.calls)
     result = Result(rows, plan, run_col, F.array(*runner.events), {w: runner.value(w, end) for w in plan.contributors})
     result.hooks = runner.hooks
