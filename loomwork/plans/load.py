@@ -225,7 +225,10 @@ def parse(data: Mapping[str, Any], kind: str, name: str = "") -> Any:
     """A declaration of one of the kinds handler, service_type, composition, pipeline and deployment."""
     if kind not in _KINDS:
         raise PlanError("unknown-kind", f"no declaration is a {kind!r}")
-    return _KINDS[kind](data, name) if kind == "handler" else _KINDS[kind](data)
+    try:
+        return _KINDS[kind](data, name) if kind == "handler" else _KINDS[kind](data)
+    except (AttributeError, TypeError, KeyError) as e:  # a value where a table is needed, or the reverse
+        raise PlanError("bad-value", f"a part has the wrong form: {e}", name) from e
 
 
 def loads(text: str, kind: str, name: str = "") -> Any:
