@@ -135,20 +135,21 @@ class _Stretch:
 
 def pack(
     docs: DataFrame, tokenizer: str, spaces: str = "leading", end_id: int = 0, size: int = SIZE,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", remembered: int = 1_000_000,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document is its text's ids and the end id, so null and empty texts have one token.  Each
     token is in exactly one piece, and a piece's offset is where the sequence's earlier pieces end.
     Ids may be null or repeat: every row of docs is a document of its own.  An empty table gives no
-    rows.  Other columns are not read.
+    rows.  Other columns are not read.  remembered bounds the pieces of text whose ids a worker
+    keeps; it changes time and memory only.
     """
     if size < GRID or size & (size - 1):
         raise ValueError(f"size must be a power of two, {GRID} or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_ids(tokenizer, spaces, "<u4")
+        encoder = token_ids(tokenizer, spaces, "<u4", remembered)
         sequence = TaskContext.get().partitionId() << 40
         stretch = _Stretch()
 
@@ -161,7 +162,7 @@ def pack(
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 12 << 20 if remembered > 500_000 else 6 << 20):
                 got = encoder.encode(texts.slice(a, b - a))
                 first, last = np.searchsorted(got.ends, got.lo, side="right"), np.searchsorted(got.ends, got.hi)
                 lo, hi = got.lo.tolist(), got.hi.tolist()
