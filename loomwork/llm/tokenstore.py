@@ -28,15 +28,17 @@ from loomwork.llm.tokens import slices, token_ids
 
 BLOCK_IDS = 1 << 19
 #: Pieces of text that a worker remembers while it tokenizes; later stages in the worker forget them.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 
 
 def tokenize(
     docs: DataFrame, tokenizer: str, spaces: str = "dropped", end_id: int | None = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 16-bit ids of the whole text, then the end id.
+    """(doc_id, ids, counts): little-endian unsigned 16-bit ids of the whole text, then the end id.
 
+    counts is null but in one row of each of the stretches that are encoded together, where it
+    tells how often each id is in the stretch, so that a count of all ids need not read them again.
     Null texts count as empty.  Ids over 65,535 are an error.
     """
     tail = b"" if end_id is None else np.uint16(end_id).astype("<u2").tobytes()
@@ -45,30 +47,39 @@ def tokenize(
         encoder = token_ids(tokenizer, spaces, "<u4", REMEMBERED)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 6 << 20):
+            for a, b in slices(texts, 8 << 20):
                 got = encoder.encode(texts.slice(a, b - a))
                 if len(got.ids) and got.ids.max() > 0xFFFF:
                     raise ValueError("an id doesn't fit in 16 bits")
                 ids = got.ids.astype("<u2")
                 rows = [ids[i:j].tobytes() + tail for i, j in zip(got.lo.tolist(), got.hi.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+                counts = np.bincount(ids, minlength=1 << 16)
+                if end_id is not None:
+                    counts[end_id] += len(rows)
+                used = np.flatnonzero(counts)
+                sparse = used.astype("<u2").tobytes() + counts[used].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(rows, pa.binary()), pa.array([sparse, *[None] * (b - a - 1)], pa.binary())],
+                    names=["doc_id", "ids", "counts"],
+                )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs, over all rows."""
+    """How often each id occurs, over all rows of ``tokenize``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_ids.cache_clear()
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            data = b"".join(batch.column(0).to_pylist())
-            counts += np.bincount(np.frombuffer(data, "<u2"), minlength=1 << 16)
+            for sparse in batch.column(0).drop_null().to_pylist():
+                n = len(sparse) // 6
+                counts[np.frombuffer(sparse, "<u2", n)] += np.frombuffer(sparse, "<u4", n, 2 * n)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("counts").where("counts is not null").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -76,7 +87,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> None:
-    """Writes rows (doc_id, ids) as a token file.  Rows with null ids are left out; equal doc_ids stay together."""
+    """Writes the rows of ``tokenize`` as a token file; equal doc_ids stay together."""
     spark = tokens.sparkSession
     lengths = code_lengths(id_counts(tokens))
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -105,8 +116,6 @@ def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> No
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ids is None:
-                    continue
                 docs.append(doc)
                 held.append(ids)
                 size += len(ids) // 2
@@ -116,7 +125,7 @@ def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> No
             yield flush()
 
     n = partition_count(spark)
-    ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     blocks = ordered.mapInArrow(run, _BLOCKS_SQL)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
