@@ -20,7 +20,7 @@ regular expressions.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,15 +49,28 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
 _GROUP = 128
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside a lambda an expression would be computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def starts(lengths: Column) -> Column:
     """Sums of all before: [a, b, c] -> [0, a, a+b].
 
     In groups of 128, so that the cost grows by far less than the square of the count.
     """
-    groups = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size(lengths) / _GROUP).cast("int") - 1),
+    return let(lengths, lambda x: let(_groups(x), _starts))
+
+
+def _groups(lengths: Column) -> Column:
+    """The array in groups of 128; one empty group for an empty array."""
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / _GROUP).cast("int") - 1, F.lit(0))),
         lambda k: F.slice(lengths, k * _GROUP + 1, F.lit(_GROUP)),
     )
+
+
+def _starts(groups: Column) -> Column:
     none = F.array().cast("array<int>")
     running = F.aggregate(
         groups,
@@ -70,20 +83,23 @@ def starts(lengths: Column) -> Column:
     within = F.zip_with(
         groups, running, lambda g, b: F.transform(g, lambda _, i: b + F.aggregate(F.slice(g, F.lit(1), i), F.lit(0), lambda a, x: a + x))
     )
-    return F.when(F.size(lengths) == 0, none).otherwise(F.flatten(within))
+    return F.flatten(within)
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as an array of (start, end, hit, part); part is the group."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda p, h: F.length(p) + F.length(h))
-    at = F.zip_with(starts(steps), F.slice(between, F.lit(1), F.size(hits)), lambda s, p: s + F.length(p))
-    found = F.transform(
-        F.arrays_zip(at.alias("start"), hits.alias("hit"), parts.alias("part")),
-        lambda x: F.struct(x.start.alias("start"), (x.start + F.length(x.hit)).alias("end"), x.hit.alias("hit"), x.part.alias("part")),
-    )
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.transform(hits, lambda _: F.lit(None).cast("string"))
+
+    def placed(x: Column) -> Column:
+        before = F.transform(F.slice(x.gaps, F.lit(1), F.size(x.hits)), F.length)
+        at = F.zip_with(starts(F.zip_with(before, x.hits, lambda b, h: b + F.length(h))), before, lambda s, b: s + b)
+        return F.transform(
+            F.arrays_zip(at.alias("start"), x.hits.alias("hit"), x.parts.alias("part")),
+            lambda m: F.struct(m.start.alias("start"), (m.start + F.length(m.hit)).alias("end"), m.hit.alias("hit"), m.part.alias("part")),
+        )
+
+    found = let(F.struct(hits.alias("hits"), parts.alias("parts"), F.split(text, pattern, -1).alias("gaps")), placed)
     empty = F.array().cast("array<struct<start:int,end:int,hit:string,part:string>>")
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
@@ -98,7 +114,10 @@ def hot_range(candidate: Column, least: Column) -> Column:
     """(first, last): the range over the windows of ``WINDOW`` characters with enough entropy; first -1 if none."""
     # an empty last piece of the split would be no character
     codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return let(codes, lambda x: _hot_range(x, least))
+
 
+def _hot_range(codes: Column, least: Column) -> Column:
     def step(acc: Column, i: Column) -> Column:
         come = F.get(codes, i)
         go = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
