@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.tokens import slices
 
 RATE = 0.2
-RECALL = 0.95
-SAMPLES = 2
+RECALL = 0.99
+SAMPLES = 3
 GRAM = 4
 BLOCK_WORDS = 1 << 20
 _MAX_WALKS = 256
@@ -98,7 +98,7 @@ def _walk(w: np.ndarray, walk: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.
         if j in take:
             key = (key ^ (now + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        go = ((now.astype(np.uint64) * mult[j] + add[j]) >> np.uint64(63)).astype(np.int64)
+        go = (((now + 2).astype(np.uint64) * mult[j] + add[j]) >> np.uint64(63)).astype(np.int64)
         at = np.minimum(at + np.where(now == _PAD, 0, go), last)
     return key
 
@@ -173,7 +173,7 @@ class Matcher:
             # steps near each other: two walks that agree at one mostly agree at the next
             near = min(2 * found.length, SAMPLES * 2)
             steps = rng.integers(2 * found.length - near + 1) + np.sort(rng.choice(near, min(SAMPLES, near), replace=False))
-            return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64), steps
+            return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 64, n, dtype=np.uint64), steps
 
         def rows(texts: list[np.ndarray]) -> np.ndarray:
             flat, sizes = np.concatenate(texts), np.array([len(x) for x in texts])
