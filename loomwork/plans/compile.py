@@ -15,6 +15,7 @@ from loomwork.functions.types import Field
 from loomwork.operators.folds import accepts
 from loomwork.plans.errors import Findings, PlanError
 from loomwork.plans.model import Bundle, Deployment, Flow, Node, Registry, Step, Trainable
+from loomwork.plans.values import misfits, signature_misfit
 
 SEED = -1
 _SECRET = re.compile(r"\[[a-z]+\].+", re.S)
@@ -115,6 +116,12 @@ def _bound(node: Node, step: Step, found: Findings, where: str) -> dict[str, Any
             if isinstance(value, Mapping) and not decl.single:
                 for k in set(value) ^ set(decl.fields):
                     found.add("binding-value", f"{name}.{k} is " + ("not declared" if k in value else "missing"), where)
+            if not decl.compiler:
+                wanted = {"": value} if decl.single else value
+                for k, f in decl.fields.items():
+                    if isinstance(wanted, Mapping) and k in wanted:
+                        for said in misfits(wanted[k], f, f"{name}.{k}".rstrip(".")):
+                            found.add("binding-value", said, where)
             out[name] = _compiled(decl.compiler, value, found, where)
         elif decl.has_default:
             out[name] = _compiled(decl.compiler, decl.default, found, where)
@@ -166,6 +173,10 @@ def _service(refs: Mapping[str, str], supplies: Mapping, own_config: Mapping[str
             config[k] = f.default
         else:
             found.add("config-missing", f"{binding} needs {k}", where)
+    for values, fields, code in ((supply.identity, service.identity, "binding-value"), (config, service.config, "binding-value")):
+        for k, f in fields.items():
+            for said in misfits(values[k], f, f"{binding}.{k}") if k in values else ():
+                found.add(code, said, where)
     return binding, dict(supply.identity), config
 
 
@@ -210,6 +221,11 @@ def _add_step(calls: list[Call], node: Node, supplies: Mapping, registry: Regist
         return
     reads, writes = _wired(node, step, found, where)
     binding, identity, config = _service(step.services, supplies, None, registry, found, where)
+    body = registry.bodies.get(step.name)
+    if body is not None:
+        misfit = signature_misfit(body.call, [*step.reads, *step.bindings, *step.services, *step.transport])
+        if misfit:
+            found.add("step-signature", f"its body {misfit}", where)
     calls.append(Call(len(calls), step.name, step.kind, step, reads, writes, _bound(node, step, found, where), binding, identity, config))
 
 
