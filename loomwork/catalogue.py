@@ -501,7 +501,7 @@ def pipeline_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pipeline_events",
-    f"""select event_type, cast(handler_position as integer) as handler_position, count(*) as n from (
+    f"""select event_type, cast(coalesce(handler_position, -1) as integer) as handler_position, count(*) as n from (
   select unnest(['pipeline_start', 'handler_enter', 'handler_exit', 'handler_enter', 'handler_exit', 'pipeline_complete']) as event_type,
     unnest([null, 0, 0, 1, 1, null]) as handler_position from orders where {_FINE}
   union all select unnest(['pipeline_start', 'pipeline_error']), null from orders where o_orderstatus not in ('O', 'F')
@@ -511,7 +511,7 @@ def pipeline_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, registry = order_flow()
     events = transform(plan, _orders(spark, sf_dir), registry).events()
-    return events.groupBy("event_type", "handler_position").agg(F.count("*").alias("n"))
+    return events.groupBy("event_type", F.coalesce("handler_position", F.lit(-1)).alias("handler_position")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Every query with SQL gives what DuckDB gives on the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -11,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(frame: pd.DataFrame) -> list:
     def one(v):
-        return None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
     return sorted((tuple(map(one, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
