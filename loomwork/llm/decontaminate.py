@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.tokens import slices
+from loomwork.llm.tokens import slices, trimmed
 
 RATE = 0.2
 RECALL = 0.99
@@ -323,7 +323,7 @@ def find_items(
                         names=[id_col, "item_id", "first_word", "end_word", "edits", "similarity"],
                     )
 
-        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -346,7 +346,7 @@ def drop_contaminated(
                     keep[[a + d for d, *_ in m.find(texts.slice(a, b - a))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs
 
 

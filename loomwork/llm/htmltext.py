@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.tokens import trimmed
+
 WINDOW = 3
 THRESHOLD = 80
 
@@ -185,7 +187,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ch
 
     source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html_col).alias("__html"))
     schema = source.drop("__html").schema.add(text_col, "string").add(chars_col, "long")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.tokens import slices, token_ids
+from loomwork.llm.tokens import slices, token_ids, trimmed
 
 SIZE = 1024
 SENTENCE_CUT = 2
@@ -176,7 +176,7 @@ def pack(
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), schema).withColumnRenamed("doc_id", id_col)
 
 
 def op5_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

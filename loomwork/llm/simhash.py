@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import cut, fresh_names, partition_count
 from loomwork.llm.components import connected_components, spanning_forest
+from loomwork.llm.tokens import trimmed
 
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(trimmed(run), f"id {kind}, fp long")
 
 
 def _index(fp: Column) -> Column:
@@ -124,7 +125,7 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
             kept = np.array(spanning_forest(zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
 
-    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -204,7 +205,7 @@ def keep_one(
 
     kind = dict(docs.dtypes)[id_col]
     marked = marked.withColumn("text", F.col("text").cast("binary"))
-    fps = cut(marked.mapInArrow(run, f"id {kind}, sum64 long, fp long"))
+    fps = cut(marked.mapInArrow(trimmed(run), f"id {kind}, sum64 long, fp long"))
     named = _rooted(fps, distance).select("fp", "root")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "sum64")
     first = fps.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))

@@ -16,9 +16,11 @@ piece to the library once, and joins the results, which are the ids of the whole
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -160,6 +162,18 @@ def token_ids(path: str, spaces: str, dtype: str = "<u4", most: int = 1_000_000)
     return TokenIds(path, spaces, dtype, most)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, which then gives memory back to the system: Python workers wait between tasks and stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def slices(texts: pa.Array, most_bytes: int = 12 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of texts that together have about so many bytes, at least one text each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

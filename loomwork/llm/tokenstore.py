@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import drop_stored, partition_count, shared_path, stored
 from loomwork.llm.huffman import Codec, code_lengths
-from loomwork.llm.tokens import slices, token_ids
+from loomwork.llm.tokens import slices, token_ids, trimmed
 
 BLOCK_IDS = 1 << 19
 #: Pieces of text that a worker remembers while it tokenizes; later stages in the worker forget them.
@@ -63,7 +63,7 @@ def tokenize(
                     names=["doc_id", "ids", "counts"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(trimmed(run), "doc_id long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -79,7 +79,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], names=["id", "n"])
 
-    rows = tokens.select("counts").where("counts is not null").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("counts").where("counts is not null").mapInArrow(trimmed(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -126,7 +126,7 @@ def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> No
 
     n = partition_count(spark)
     ordered = tokens.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    blocks = ordered.mapInArrow(run, _BLOCKS_SQL)
+    blocks = ordered.mapInArrow(trimmed(run), _BLOCKS_SQL)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -166,7 +166,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs.values, starts, pc.cast(rows, pa.binary())], names=["doc_id", "start", "ids"])
 
     needed = blocks.select("part", "before", "n_ids", "docs", "sizes", "checkpoints", "bits")
-    return needed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return needed.mapInArrow(trimmed(run), "doc_id long, start long, ids binary")
 
 
 def store_and_read(

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import cut
 from loomwork.llm.decontaminate import words
 from loomwork.llm.langid import remainder
-from loomwork.llm.tokens import slices
+from loomwork.llm.tokens import slices, trimmed
 
 SAMPLE = 20_000
 FOLDS = 4
@@ -201,7 +201,7 @@ def fit(
                     names=["token", "cell", "n"],
                 )
 
-    counted = rows.mapInArrow(count, "token string, cell int, n long").where("token <> ''")
+    counted = rows.mapInArrow(trimmed(count), "token string, cell int, n long").where("token <> ''")
     sums = np.zeros(2 * FOLDS)
     cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
     wide = cut(counted.groupBy("token").agg(*cells))
@@ -236,7 +236,7 @@ def fit(
                         names=["scores", "n", "toxic", "fold"],
                     )
 
-    seen = rows.mapInArrow(weigh, "scores array<double>, n long, toxic int, fold int").collect()
+    seen = rows.mapInArrow(trimmed(weigh), "scores array<double>, n long, toxic int, fold int").collect()
     # how many segments the other texts have tells K, for each lexicon on texts that it wasn't made from
     for f, lex in enumerate(model.lexicons[1:]):
         other = [r for r in seen if r.fold == f and r.toxic <= 0]
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(probability), pa.array(spans, kind)], names=[id_col, "score", "passages"])
 
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, passages array<struct<first:int,last:int,score:double,p:double>>"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
