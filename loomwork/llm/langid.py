@@ -25,14 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.tokens import slices
+from loomwork.llm.tokens import slices, trimmed
 
 DIMS = 1 << 12
 SAMPLE = 400
 MOST_LANGS = 300
 CENTROIDS = 4
 #: Accepted cosines go down to this share of the least cosine seen in fitting.
-REJECT_SHARE = 0.6
+REJECT_SHARE = 0.5
+#: So many fitted texts of a size tell what it takes.
+OFTEN = 50
 _HAS_LETTER = r"\p{L}"
 _PART = 1 << 20
 
@@ -141,13 +143,20 @@ def fit_rows(rows: list[Row], k: int = CENTROIDS) -> Model:
         centroids.append(found)
         owner += [j] * len(found)
     model = Model(langs, idf, np.vstack(centroids).astype(np.float32), np.array(owner, np.int64), np.zeros(32))
-    seen = np.ones(32)
+    seen, often = np.ones(32), np.zeros(32, np.int64)
     for r in rows:
         own = model.centroids[model.owner == langs.index(r.lang)]
         at = size_class(int(r.count.sum()))
         seen[at] = min(seen[at], float((own @ vector(r.dense(), idf)).max()))
-    # a longer text must be as near as a shorter one
-    model.least = np.where(seen < 1, np.minimum.accumulate(seen[::-1])[::-1], seen.min()) * REJECT_SHARE
+        often[at] += 1
+    # a longer text must be as near as a shorter one; a size seen rarely tells nothing of its own
+    known = np.flatnonzero(often >= OFTEN)
+    least = np.full(32, seen.min())
+    for c in range(32):
+        below = known[known <= c]
+        if len(below):
+            least[c] = seen[known[known >= below[-1]]].min()
+    model.least = least * REJECT_SHARE
     return model
 
 
@@ -183,7 +192,7 @@ def fit(
                 names=["lang", "whole", "place", "count"],
             )
 
-    got = top.mapInArrow(run, "lang string, whole boolean, place binary, count binary").toArrow().to_pylist()
+    got = top.mapInArrow(trimmed(run), "lang string, whole boolean, place binary, count binary").toArrow().to_pylist()
     rows = [Row(r["lang"], r["whole"], np.frombuffer(r["place"], "<u2").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(np.int64)) for r in got]
     return fit_rows(sorted(rows, key=lambda r: (r.lang, r.whole, r.place.tobytes(), r.count.tobytes())))
 
@@ -217,7 +226,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -229,7 +238,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array([ok for *_, ok in _judge(kept.value, batch.column(place))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def remainder(id_col: Column, divisor: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import linededup
+from loomwork.llm import linededup, secretscan
 from loomwork.llm.decontaminate import op9_decontamination
 from loomwork.llm.htmltext import op3_html_text
 from loomwork.llm.innerproduct import op4_nearest_neighbours
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secretscan.SQL, "op10_line_dedup": linededup.SQL}

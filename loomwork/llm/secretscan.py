@@ -217,3 +217,42 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in range(3)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_KNOWN = " union all ".join(
+    f"select doc_id, {kind} as k, regexp_extract_all(t, {_quoted(p)}) as hits, regexp_extract_all(t, {_quoted(p)}, {group}) as parts, "
+    f"string_split_regex(t, {_quoted(p)}) as gaps from d where regexp_matches(t, {_quoted(p)})"
+    for kind, p, group in ((0, ASSIGN, 2), (1, ACCESS, 0), (2, HEX, 0), (9, CANDIDATE, 0))
+)
+SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+known as ({_KNOWN}),
+placed as (
+  select doc_id, k, unnest(hits) as hit, unnest(parts) as part, unnest(list_transform(range(1, len(hits) + 1), lambda i:
+    coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))) as s
+  from known
+), base as (
+  select doc_id, k, cast(s as bigint) as s, cast(s + length(hit) as bigint) as e from placed where k < 9 and (k > 0 or length(part) >= 8)
+), candidate as (
+  select doc_id, s, hit, regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') as is_hex from placed
+  where k = 9 and regexp_matches(hit, '[0-9]') and not ({" or ".join(f"regexp_matches(hit, {_quoted(p)})" for p in ALLOW)})
+), seen as (
+  select doc_id, s, is_hex, hit, unnest(range(1, length(hit) - {WINDOW - 2})) as i from candidate
+), hot as (
+  select doc_id, s, is_hex, min(i) as lo, max(i) as hi from seen
+  where list_aggregate(string_split(hit[i:i + {WINDOW - 1}], ''), 'entropy') >= case when is_hex then {THRESHOLDS["hex"]} else {THRESHOLDS["mixed"]} end
+  group by doc_id, s, is_hex
+), spans as (
+  select * from base union all
+  select doc_id, case when is_hex then 3 else 4 end, cast(s + lo - 1 as bigint), cast(s + hi - 1 + {WINDOW} as bigint) from hot
+), said as (
+  select doc_id, k, s, e, ([{", ".join(map(_quoted, KINDS))}])[k + 1] || ':' || s || ':' || e as x from spans
+)
+select d.doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
+  sha256(coalesce(string_agg(x, ',' order by s, k, e) filter (where k < 3), '')) as base_sha256, coalesce(string_agg(x, ',' order by s, k, e), '') as spans
+from d left join said on said.doc_id = d.doc_id group by d.doc_id
+"""

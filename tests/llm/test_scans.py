@@ -97,3 +97,16 @@ def test_extract_keeps_other_columns(spark, small):
     assert htmltext.extract(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
     out = htmltext.op3_html_text(spark, small)
     assert out.count() == spark.read.parquet(f"{small}/pages.parquet").count() and out.where("text = ''").count() == 0
+
+
+def test_secret_query_equals_its_sql(spark, small, tmp_path):
+    import duckdb
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(path)
+    for folder, files in ((str(tmp_path), f"{path}/*.parquet"), (small, f"{small}/documents.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from read_parquet('{files}')")
+        columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+        theirs = sorted(map(tuple, con.execute(secretscan.SQL).fetchdf()[columns].itertuples(index=False)))
+        assert sorted(map(tuple, secretscan.op6_secret_scan(spark, folder).select(*columns).collect())) == theirs
