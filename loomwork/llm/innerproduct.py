@@ -32,8 +32,8 @@ from loomwork.llm.common import cut
 
 SAMPLE = 20_000
 THRESHOLD = 0.2
-SHARE = 32
-LEAST = 128
+SHARE = 16
+LEAST = 256
 BLOCK = 4096
 QUERY_BLOCK = 2048
 _LANES = 64
@@ -180,11 +180,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     if first is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     dims = first.n
-    drawn = rows.select("vec").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().column(0).combine_chunks()
+    apart = cut(different(rows, k + 1))  # copies would draw the centres to themselves
+    drawn = apart.select("vec").orderBy(F.xxhash64("vec"), F.col("ids")[0]).limit(sample).toArrow().column(0).combine_chunks()
     quantizer = Quantizer(dims).fit(drawn.values.to_numpy(zero_copy_only=False).reshape(-1, dims))
     kept = rows.sparkSession.sparkContext.broadcast(quantizer)
 
-    have, n_have = _dealt(different(rows, k + 1), BLOCK, "block")
+    have, n_have = _dealt(apart, BLOCK, "block")
     asked, n_asked = _dealt(rows.where(is_query).groupBy("vec").agg(F.min("id").alias("query")), QUERY_BLOCK, "part")
     left = have.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("part"), "vec", "ids")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_have - 1))).alias("block"), "part", "vec", "query")
