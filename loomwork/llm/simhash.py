@@ -106,7 +106,9 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard each reach 3 differing bits at most")
-    index = nodes.select("fp", F.explode(_index(F.col("fp"))).alias("x")).select("fp", "x.key", "x.side")
+    n = partition_count(nodes.sparkSession)
+    # a fingerprint makes 66 rows: few tasks would hold large tables of keys
+    index = nodes.repartition(n, "fp").select("fp", F.explode(_index(F.col("fp"))).alias("x")).select("fp", "x.key", "x.side")
     seen = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     shared = seen.where("n > 1 and (lo = 2 or lo <> hi)").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
     member = index.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
@@ -116,7 +118,6 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
         lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")),
     )
     dealt = member.select("key", "side", "block", "fp", F.explode(pair).alias("p")).select("key", "p.i", "p.j", "block", "side", "fp")
-    n = partition_count(nodes.sparkSession)
     order = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
