@@ -121,7 +121,7 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     order = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches):
+        for group in whole_groups(batches):
             a, b = _close_pairs(group, distance)
             kept = np.array(spanning_forest(zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
@@ -129,7 +129,7 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole groups (key, i, j); a group has two blocks of rows at most."""
     rest = None
     for batch in batches:
@@ -196,7 +196,6 @@ def keep_one(
     Null ids come last.  Among rows of one id the text with the least hash stays; of rows equal in
     id and text one stays.
     """
-    id_, sum_ = fresh_names(docs, "kept_id", "kept_sum")
     marked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum64"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +206,12 @@ def keep_one(
     kind = dict(docs.dtypes)[id_col]
     marked = marked.withColumn("text", F.col("text").cast("binary"))
     fps = cut(marked.mapInArrow(trimmed(run), f"id {kind}, sum64 long, fp long"))
-    named = _rooted(fps, distance).select("fp", "root")
+    return first_of_each(docs, fps, _rooted(fps, distance).select("fp", "root"), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, fps: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the first of their root, by fps (id, sum64, fp) and named (fp, root)."""
+    id_, sum_ = fresh_names(docs, "kept_id", "kept_sum")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "sum64")
     first = fps.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
     first = cut(first.select(F.col("first.id").alias(id_), F.col("first.sum64").alias(sum_)))

@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwork.llm import linededup, simhash
+import corpus_pipeline
+from loomwork.llm import jaccard, linededup, simhash
 from loomwork.llm.components import connected_components, spanning_forest
 
 LONG = " ".join(f"word{k % 997}" for k in range(60_000))
@@ -154,3 +155,54 @@ def test_line_dedup_equals_its_sql(spark, small):
 def test_line_dedup_plan_is_native(spark, small):
     plan = linededup.op10_line_dedup(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F
+
+
+# near copies by Jaccard similarity -------------------------------------------------------------
+
+
+def word_sets(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_dedup_stage_reaches_jaccard_08(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for k in range(0, 400, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 120, 400]))]
+        other = list(words)
+        for at in range(7, len(words) - 7, rng.choice([30, 45, 50, 60, 80])):
+            other[at] = "edited"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other).title())]
+        pairs.append((k, k + 1))
+    core = [f"c{k}" for k in range(120)]
+    rows += [(1000 + k, " ".join(core[:60] + [f"own{k}"] + core[60:])) for k in range(30)] + [(2000, None), (2001, " "), (2002, "two words"), (2003, "Two  words")]
+    sets = {i: word_sets(t) for i, t in rows}
+    near = [p for p in pairs if similar(sets[p[0]], sets[p[1]])]
+    assert 60 < len(near) < 180
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows if i < 1000} - {b for _, b in near} | {1000, 2000, 2002}
+
+
+def test_near_dedup_recall_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, word_sets(r.text)) for r in docs.collect())
+    holders = {}
+    for i, (_, s) in enumerate(rows):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    near = {(a, b) for at in holders.values() for a in at for b in at if a < b and similar(rows[a][1], rows[b][1])}
+    empty = [i for i, (_, s) in enumerate(rows) if not s]
+    root = list(range(len(rows)))
+    for a, b in sorted(near | set(zip(empty, empty[1:]))):
+        least, most = sorted((root[a], root[b]))
+        root = [least if x == most else x for x in root]
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert near and sorted(got) == [rows[k][0] for k in range(len(rows)) if root[k] == k]
