@@ -79,10 +79,10 @@ def _fold_query(strategy: str) -> Query:
     return run
 
 
-def _so_far_query(strategy: str) -> Query:
+def _so_far_query(strategy: str, read_at: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, kind = _contributions(spark, sf_dir, strategy)
-        readers = rows.where("position % 5 = 0").select("run", "position")
+        readers = rows.where(read_at).select("run", "position")
         out = folds.fold_so_far(rows, readers, ["run"], "position", "port", "value", strategy)
         return out.select("run", "position", F.coalesce(shown(F.col("value"), kind), F.lit("(none)")).alias("value"))
 
@@ -125,7 +125,32 @@ for _strategy in folds.STRATEGIES:
             f"select run, here as position, coalesce({_MERGED}, '(none)') as value from f group by run, here"
         )
     query(f"fold_{_strategy}", _all)(_fold_query(_strategy))
-    query(f"fold_so_far_{_strategy}", _far)(_so_far_query(_strategy))
+    query(f"fold_so_far_{_strategy}", _far)(_so_far_query(_strategy, "position % 5 = 0"))
+
+# the folds so far, read at every position
+_BEFORE = "order by position range between unbounded preceding and 1 preceding"
+_SEEN_SQL = {
+    "last_wins": "last_value(v) over w",
+    "first_wins": "first_value(v) over w",
+    "last_present_wins": "coalesce(last_value(case when v <> '' then v end ignore nulls) over w, last_value(v) over w)",
+    "append_list": "string_agg(v, ',') over w",
+    "concat_str": "string_agg(v, '') over w",
+    "union_set": "string_agg(case when nth = 1 then v end, ',') over w",
+}
+for _strategy in folds.STRATEGIES:
+    _rows = _BASE.get(_strategy, _EVENTS)
+    if _strategy in _SEEN_SQL:
+        _every = (
+            f"with c as ({_rows}), n as (select *, row_number() over (partition by run, v order by position) as nth from c) "
+            f"select run, position, coalesce({_SEEN_SQL[_strategy]}, '(none)') as value from n window w as (partition by run {_BEFORE})"
+        )
+    else:
+        _every = (
+            f"with c as ({_rows}), d as (select distinct run, v from c), f as (select c.run, c.position, d.v, "
+            f"last_value(case when c.v = d.v then c.k end ignore nulls) over (partition by c.run, d.v {_BEFORE.replace('position', 'c.position')}) as k "
+            f"from c join d on c.run = d.run) select run, position, coalesce({_MERGED}, '(none)') as value from f group by run, position"
+        )
+    query(f"fold_every_position_{_strategy}", _every)(_so_far_query(_strategy, "true"))
 
 
 @query(

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from loomwork import catalogue
+from loomwork.operators import folds
 
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 
@@ -34,6 +35,15 @@ def test_query_equals_sql(spark, small, duck, name):
     assert plain(ours) == plain(theirs)
 
 
+@pytest.mark.parametrize("strategy", sorted(folds.STRATEGIES))
+def test_folds_are_read_at_every_position(spark, small, strategy):
+    source = "conversations" if strategy in ("last_present_wins", "concat_str") else "events"
+    at = ["conv_id", "turn"] if source == "conversations" else ["user_id", "event_id"]
+    want = spark.read.parquet(f"{small}/{source}.parquet").select(*at).collect()
+    got = catalogue.QUERIES[f"fold_every_position_{strategy}"](spark, small).collect()
+    assert sorted((r.run, r.position) for r in got) == sorted(map(tuple, want))
+
+
 def test_training_pairs_of_a_flow(spark, small):
     pairs = catalogue.QUERIES["pipeline_trainable"](spark, small).collect()
     assert pairs and all(p.reads_snapshot.startswith('{"full":"Q: ') and p.writes_snapshot in ('{"mood":"calm"}', '{"mood":"loud"}') for p in pairs)
