@@ -169,7 +169,10 @@ def fit(
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(_HAS_LETTER))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    # different texts and not rows, since copies are drawn together and count once
+    texts = known.groupBy("lang", F.xxhash64("text").alias("sum64")).agg(F.count("*").alias("n"))
+    sizes = texts.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("n"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
     if not sizes:
         return fit_rows([])
     shares = F.create_map(*(F.lit(v) for r in sizes for v in (r.lang, int((1 << 30) * min(1.0, sample / r.n)))))

@@ -33,6 +33,16 @@ def test_language_edge_cases(spark):
     assert langid.predict(none, langid.fit(none)).count() == 0 and langid.predict(docs, langid.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_a_language_of_copies_is_learnt(spark):
+    few = [(f"les chats et les chiens numero {chr(97 + k)}", "fr") for k in range(3)]
+    many = [(f"the cats and the dogs number {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(60)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(few * 3000 + many)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=20)
+    assert model.langs == ["en", "fr"]
+    got = langid.predict(docs, model).join(docs, "doc_id")
+    assert got.where("lang <> lang_pred").count() == 0
+
+
 def test_counts_do_not_depend_on_parts(monkeypatch):
     text = bytes(np.random.default_rng(0).integers(97, 123, 5000, dtype=np.uint8))
     whole = langid.counts(text)
