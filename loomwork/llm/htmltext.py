@@ -1,12 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block element.  What a page declares to be no article (menus,
-page headers and footers, asides, forms, scripts, styles, adverts, notices, comments) becomes a
-run of empty lines.  A line weighs as many characters as it has outside links; inside an article
-element it weighs at least the threshold, and where a page has such elements, lines outside weigh
-nothing.  The weights are summed over windows of ``WINDOW`` lines.  Text begins where the sums surge
-past the threshold, goes on while they don't vanish, and ends where they dive to zero; the lines
-between all such points are the text.
+Markup is stripped to lines, one a block element.  A line weighs as many characters as it has
+outside links; a line that is a link for the greater part weighs nothing.  The weights are summed
+over windows of ``WINDOW`` lines.  Text begins where the sums surge past the threshold, goes on
+while they don't vanish, and ends where they dive to zero; the lines between such points are the
+text.  That decides on every page.  Declarations only shape the lines:
+
+* What an element's name, or a whole token of its class, id or role, declares to be no article
+  (menus, page headers and footers, asides, forms, adverts, notices, comments, what is hidden) is
+  blanked.  Between lines of one section the blanked element leaves no gap, so an advert doesn't
+  end the text around it; elsewhere it leaves a window of empty lines.  An element that holds more
+  than half of the page's text is no such thing: it is kept if it has an article element or a main
+  heading in it, or if nothing would surge without it.  Menus, footers and headers by
+  an element's name, and what is hidden, never are.
+* An article element begins and ends at such a gap too.  Runs in article elements are preferred:
+  others stay out, unless they weigh ``TEASER`` times as much and more than ``TEASER`` thresholds.
+
+Scripts, styles and markup never become lines.
 """
 
 from __future__ import annotations
@@ -14,16 +24,19 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import fresh_names
 from loomwork.llm.tokens import trimmed
 
 WINDOW = 3
 THRESHOLD = 80
+TEASER = 4
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
@@ -33,69 +46,136 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: Parts of class, id and role values that say that an element is no part of the article.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebar\w*|side|aside|rail|widgets?|footer\w*|foot|masthead|site-header|page-header|header"
-    r"|comments?|commentlist|respond|repl(?:y|ies)|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription"
-    r"|signup|login|search|searchbox|pagination|pager|toolbar|copyright|legal|disclaimer|skip-link|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Parts of a class, id or role token that say that an element is no article.
+_NOISE_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion cookie cookies consent gdpr "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus "
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup pagination pager toolbar "
+    "banner popup modal notice notices alert alerts".split()
+)
+#: Tokens that say so only as a whole, or after one of the words of ``_OF_PAGE``.
+_NOISE_TOKENS = frozenset(
+    "header foot side aside rail widget widgets search searchbox login legal copyright disclaimer overlay respond reply replies "
+    "skip contentinfo complementary".split()
+)
+_OF_PAGE = frozenset("site page global top main left right".split())
+#: First parts that deny what follows, and last parts that tell of a state or a layout.
+_DENYING = frozenset("no not non without has have with is hide show".split())
+_STATES = frozenset("open closed enabled disabled on off active layout single wrapper page".split())
+_TOKEN_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_DROPPED = frozenset("nav footer aside form menu dialog fieldset".split())
+_NEVER = frozenset("nav footer menu dialog".split())
+_DROPPED = frozenset("aside form fieldset".split())
 _ARTICLES = frozenset(("article", "main"))
 #: Elements that another block's start ends, so that their own end tag may be absent.
 _SELF_ENDING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th"))
+#: Elements whose lines make up one section.
+_SECTIONS = frozenset("article body center dialog div footer form header main section td".split())
 
 
-def _is_noise(name: str, rest: str, in_article: bool) -> bool:
-    if name in _DROPPED or (name == "header" and not in_article):
-        return True
-    if "=" not in rest and "hidden" not in rest:
+def noise_token(token: str) -> bool:
+    """Whether one token of a class, id or role value says that an element is no article."""
+    parts = [p.lower() for p in _TOKEN_PART.findall(token)]
+    if not parts or parts[-1] in _STATES or any(p in _DENYING for p in parts[:-1]):
         return False
+    whole = parts[1:] if len(parts) > 1 and parts[0] in _OF_PAGE else parts
+    return any(p in _NOISE_PARTS for p in parts) or (len(whole) == 1 and whole[0] in _NOISE_TOKENS)
+
+
+def _declared(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is declared to be no article, and whether that is so whatever it holds."""
+    if name in _NEVER or (name == "header" and not in_article):
+        return True, True
+    noise = name in _DROPPED
+    if name in ("html", "body") or ("=" not in rest and "hidden" not in rest):
+        return noise, False
     for key, *values in _ATTRIBUTE.findall(rest):
         value, key = "".join(values), key.lower()
         if key in ("class", "id", "role"):
-            if name not in ("html", "body", "article", "main") and _NOISE.search(value):
-                return True
-        elif key == "style":
-            if _HIDDEN.search(value):
-                return True
-        elif key == "hidden" or value.lower() == "true":
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article element) of each block; dropped parts are empty lines."""
-    out: list[tuple[str, int, bool]] = []
+            noise = noise or any(map(noise_token, value.split()))
+        elif _HIDDEN.search(value) if key == "style" else key == "hidden" or value.lower() == "true":
+            return True, True
+    return noise, False
+
+
+@dataclass
+class Line:
+    text: str
+    weight: int
+    article: int  # the outermost article element around, 0 for none
+    section: int  # the nearest section element around
+    noise: int  # the nearest element around that is declared to be no article, 0 for none
+
+
+@dataclass
+class Noise:
+    """An element that is declared to be no article; outer is the one around it."""
+
+    outer: int
+    never: bool = False  # what it holds is no article, however much it is
+    weight: int = 0
+    main: bool = False  # an article element or a main heading in it
+
+
+@dataclass
+class Page:
+    lines: list[Line] = field(default_factory=list)
+    noise: list[Noise] = field(default_factory=lambda: [Noise(0)])
+
+
+def parse(page: str) -> Page:
+    """All lines with text, and the elements that are declared to be no article; linear in the page."""
+    out = Page()
     parts: list[str] = []
-    linked = 0
-    articles = links = 0
-    skip, depth = "", 0  # the dropped element that is open, and how many of its name
+    linked = links = heading = 0
+    article, articles, sections = 0, 0, 0  # the open article element, how deep, and how many sections there were
+    open_sections: list[tuple[str, int]] = [("", 0)]
+    open_noise: list[list] = []  # name, how many of its name are open, its number
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), articles > 0))
+                free = max(0, len(text) - linked)
+                weight = len(text) if heading else free if 2 * free >= len(text) else 0
+                noise = open_noise[-1][2] if open_noise else 0
+                out.lines.append(Line(text, weight, article, open_sections[-1][1], noise))
+                while noise:
+                    out.noise[noise].weight += weight
+                    noise = out.noise[noise].outer
             parts.clear()
             linked = 0
 
     def text_to(stop: int) -> None:
         nonlocal linked
-        if stop > at and not skip:
+        if stop > at:
             piece = page[at:stop]
             parts.append(piece)
             if links:
                 linked += len(piece)
 
+    def close_noise(name: str, closing: bool, empty: bool) -> None:
+        if name in _ARTICLES and not closing and page.find(f"</{open_noise[-1][0]}", at) < 0:
+            open_noise.clear()  # what was dropped never ends, and here begins an article
+        while open_noise and (top := open_noise[-1][0]) in _SELF_ENDING and (name in _BLOCKS and name != top or name == top and not closing):
+            open_noise.pop()
+        if closing:
+            for k in range(len(open_noise) - 1, -1, -1):
+                if open_noise[k][0] == name:
+                    del open_noise[k + 1 :]
+                    open_noise[k][1] -= 1
+                    if not open_noise[k][1]:
+                        del open_noise[k]
+                    break
+        elif open_noise and open_noise[-1][0] == name and not empty:
+            open_noise[-1][1] += 1
+
     at = 0
     for m in _TOKEN.finditer(page):
         text_to(m.start())
@@ -105,34 +185,52 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         closing = bool(m["close"])
         empty = name in _VOID or m["rest"].endswith("/")
-        if skip:
-            if name in _ARTICLES and not closing and page.find(f"</{skip}", at) < 0:
-                skip = ""  # what was dropped never ends, and here begins an article
-            elif skip in _SELF_ENDING and (name in _BLOCKS and name != skip or name == skip and not closing):
-                skip = ""
-            else:
-                if name == skip and not empty:
-                    depth += -1 if closing else 1
-                    if depth == 0:
-                        skip = ""
-                continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
             links = max(0, links - 1) if closing else 1
-        if name in _BLOCKS or name in _ARTICLES:
+        if name in _BLOCKS:
             end_line()
-        if not closing and not empty and _is_noise(name, m["rest"], articles > 0):
+        if open_noise:
+            close_noise(name, closing, empty)
+        if name == "h1":
+            heading = not closing
+        if name in _SECTIONS and not empty:
+            if not closing:
+                sections += 1
+                open_sections.append((name, sections))
+            else:
+                for k in range(len(open_sections) - 1, 0, -1):
+                    if open_sections[k][0] == name:
+                        del open_sections[k:]
+                        break
+        noise, never = (False, False) if closing or empty else _declared(name, m["rest"], articles > 0)
+        if noise:
             end_line()
-            out.extend([("", 0, False)] * WINDOW)
-            skip, depth = name, 1
+            out.noise.append(Noise(open_noise[-1][2] if open_noise else 0, never))
+            open_noise.append([name, 1, len(out.noise) - 1])
         elif name in _ARTICLES:
             articles = max(0, articles + (-1 if closing else 1))
+            article = 0 if not articles else article or sections
+        if not closing and (name == "h1" or (name in _ARTICLES and open_noise and open_noise[-1][0] != name)):
+            k = open_noise[-1][2] if open_noise else 0
+            while k:
+                out.noise[k].main = True
+                k = out.noise[k].outer
     text_to(len(page))
     end_line()
     return out
 
 
+def surges(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> bool:
+    return bool(weights) and int(_sums(weights, window).max()) >= threshold
+
+
+def _sums(weights: list[int], window: int) -> np.ndarray:
+    """The weight of each line and the ``window - 1`` after it."""
+    return np.convolve(np.array(weights, np.int64), np.ones(window, np.int64))[window - 1 :]
+
+
 def text_ranges(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """The runs of lines between a surge and the dive that follows.
 
@@ -141,9 +239,9 @@ def text_ranges(weights: list[int], window: int = WINDOW, threshold: int = THRES
     empty.
     """
     n = len(weights)
-    sums = np.convolve(np.array(weights, np.int64), np.ones(window, np.int64))[window - 1 :] if n else np.zeros(0, np.int64)
-    if not n or sums.max() == 0:
+    if not n or max(weights) == 0:
         return []
+    sums = _sums(weights, window)
     least = min(threshold, int(sums.max()))
     out, k = [], 0
     while k < n:
@@ -163,19 +261,58 @@ def text_ranges(weights: list[int], window: int = WINDOW, threshold: int = THRES
     return out
 
 
-def main_text(page: str | None) -> str:
+def _blanked(page: Page) -> set[int]:
+    """The declared elements that are blanked."""
+    everything = sum(x.weight for x in page.lines)
+    rest = [0 if x.noise else x.weight for x in page.lines]
+    bare = not surges(rest)
+    gone: set[int] = set()
+    for k, e in enumerate(page.noise[1:], 1):  # outer elements come first
+        wrapper = 2 * e.weight > everything and (e.main or bare) and not e.never
+        if e.outer in gone or not wrapper:
+            gone.add(k)
+    return gone
+
+
+def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The main text of one page; empty for null and for pages without text."""
-    found = lines(page or "")
-    inside = any(a for *_, a in found)
-    weights = [(max(w, THRESHOLD) if t else 0) if a else (0 if inside else w) for t, w, a in found]
-    return "\n".join(found[k][0] for a, b in text_ranges(weights) for k in range(a, b) if found[k][0] and (found[k][2] or not inside))
+    found = parse(page or "")
+    gone = _blanked(found)
+    kept: list[Line | None] = []  # None is an empty line
+    last: Line | None = None
+    cut = False
+    for x in found.lines:
+        n = x.noise
+        while n and n not in gone:
+            n = found.noise[n].outer
+        if n:
+            cut = True
+            continue
+        if last is not None and (x.article != last.article or (cut and x.section != last.section)):
+            kept += [None] * window
+        kept.append(x)
+        last, cut = x, False
+
+    runs = text_ranges([x.weight if x else 0 for x in kept], window, threshold)
+    inside = [any(x and x.article for x in kept[a:b]) for a, b in runs]
+    mass = [sum(x.weight for x in kept[a:b] if x) for a, b in runs]
+    own = sum(m for m, i in zip(mass, inside, strict=True) if i)
+    if not any(inside):
+        # a short article beside longer lines: its own windows tell where it is
+        alone = text_ranges([x.weight if x and x.article else 0 for x in kept], window, threshold)
+        own = sum(x.weight for a, b in alone for x in kept[a:b] if x)
+        runs, inside, mass = runs + alone, inside + [True] * len(alone), mass + [0] * len(alone)
+    beside = sum(m for m, i in zip(mass, inside, strict=True) if not i)
+    alone = any(inside) and not (beside > TEASER * own and beside > TEASER * threshold)
+    chosen = sorted(r for r, i in zip(runs, inside, strict=True) if i or not alone)
+    return "\n".join(x.text for a, b in chosen for x in kept[a:b] if x)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """All other columns of pages, and the main text of each page with its number of code points.
 
-    Null and empty pages have an empty text.  A column of a result's name is replaced.  One pass
-    without a shuffle; an empty table gives no rows.
+    Null and empty pages have an empty text.  A column of a result's name is replaced.  Repeated
+    rows and ids are pages of their own.  One pass without a shuffle; an empty table gives no rows.
     """
     kept = [c for c in pages.columns if c not in (html_col, text_col, chars_col)]
 
@@ -185,8 +322,9 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ch
             cols = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*kept, text_col, chars_col])
 
-    source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html_col).alias("__html"))
-    schema = source.drop("__html").schema.add(text_col, "string").add(chars_col, "long")
+    whole = pages.select(*(F.col(f"`{c}`") for c in kept))
+    source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html_col).alias(fresh_names(whole, "page_html")[0]))
+    schema = whole.schema.add(text_col, "string").add(chars_col, "long")
     return source.mapInArrow(trimmed(run), schema)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -84,10 +85,103 @@ def test_main_text(name):
     assert want is None or got == "\n".join(want)
 
 
+MENU = "<ul>" + "<li><a href=/x>A link of the menu</a></li>" * 5 + "</ul>"
+#: Pages without an article element whose lines alone tell where the text is.
+BY_LINES = {
+    "menu between": (f"<div><p>A short slogan</p></div>{MENU}<div><p>{LINE * 2}</p><p>Short.</p><p>{LINE}</p></div>{MENU}<p>Tail</p>", [(LINE * 2).strip(), "Short.", LINE.strip()]),
+    "two surges": (f"<p>{LINE * 2}</p>{MENU}<p>Not enough</p>{MENU}<p>{LINE * 3}</p>", [(LINE * 2).strip(), (LINE * 3).strip()]),
+    "nothing surges": (f"<p>Few words</p>{MENU}<p>Some more words</p>", ["Some more words"]),
+}
+#: Declarations that look like something else.
+DECLARED = {
+    "class with no-": (f'<div class="content no-sidebar"><p>{LINE * 2}</p></div>', [(LINE * 2).strip()]),
+    "class with -open": (f'<div class="entry-content comments-open"><p>{LINE * 2}</p></div>', [(LINE * 2).strip()]),
+    "class with has-": (f'<div class="layout has-ads"><p>{LINE * 2}</p></div>', [(LINE * 2).strip()]),
+    "header of an article": (f'<article><div class="article-header"><h1>Title</h1></div><p>{LINE}</p></article>', ["Title", LINE.strip()]),
+    "teaser beside": (f"<article><p>A short teaser.</p></article><div><p>{LINE * 4}</p><p>{LINE * 4}</p></div>", ["A short teaser.", (LINE * 4).strip(), (LINE * 4).strip()]),
+    "advert inside": (f'<div><p>{LINE * 2}</p><p>{LINE * 2}</p><div class="ad">Buy</div><p>A short end.</p></div>', [(LINE * 2).strip()] * 2 + ["A short end."]),
+    "form around all": (f"<form><div><h1>Title</h1><p>{LINE * 2}</p></div><div class=footer>Some words</div></form>", ["Title", (LINE * 2).strip()]),
+    "sidebar around all": (f"<div class=sidebar><p>{LINE * 2}</p></div>{MENU}<p>x</p>", [(LINE * 2).strip()]),
+    "long comments": (f"<article><h1>Title</h1><p>{LINE}</p></article><div class=comments>" + f"<article class=comment><p>{LINE * 3}</p></article>" * 4 + "</div>", ["Title", LINE.strip()]),
+    "short article": (f"<div><p>{LINE * 2}</p></div><article><h1>Title</h1><p>Short.</p></article>", ["Title", "Short."]),
+    "hidden": (f"<div style='display:none'><p>{LINE * 2}</p></div><div hidden><p>{LINE}</p></div><p>{LINE}</p>", [LINE.strip()]),
+}
+
+
+@pytest.mark.parametrize("name", [*BY_LINES, *DECLARED])
+def test_runs_of_lines_decide(name):
+    page, want = (BY_LINES | DECLARED)[name]
+    assert htmltext.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("name", BY_LINES)
+def test_without_windows_the_text_is_another(name, monkeypatch):
+    monkeypatch.setattr(htmltext, "text_ranges", lambda weights, *_: [(0, len(weights))])
+    page, want = BY_LINES[name]
+    assert htmltext.main_text(page) != "\n".join(want)
+
+
+def test_tokens_of_declarations():
+    for token in ("ad", "ad-slot", "ads-box", "site-header", "siteFooter", "cookie-banner", "post_comments", "top-menu", "widget", "left-rail"):
+        assert htmltext.noise_token(token), token
+    for token in ("", "-", "no-ads", "with-sidebar", "comments-open", "article-header", "header-image-text", "adventure", "reader", "shared", "elementor-widget-text", "has-nav-bar"):
+        assert not htmltext.noise_token(token), token
+
+
+def brute_runs(weights, window, threshold):
+    """Line by line, from the definition: windows that reach the threshold, and all lines with no empty window between."""
+    n = len(weights)
+    total = [sum(weights[k : k + window]) for k in range(n)]
+    if not any(weights):
+        return set()
+    least = min(threshold, max(total))
+    kept = set()
+    for k in range(n):
+        if total[k] < least:
+            continue
+        first = next(i for i in range(k, n) if weights[i])
+        stop = k
+        while stop < n and total[stop]:
+            stop += 1
+        kept |= set(range(first, stop))
+        back = first
+        while back and weights[back - 1]:
+            back -= 1
+        kept |= set(range(back, first))
+    return {k for k in kept if weights[k]}
+
+
 def test_runs_of_lines():
     assert htmltext.text_ranges([]) == [] and htmltext.text_ranges([0, 0, 0]) == []
     assert htmltext.text_ranges([5, 0, 0, 0, 90, 0, 40, 0, 0, 0, 100]) == [(4, 7), (10, 11)]
     assert htmltext.text_ranges([3, 2]) == [(0, 2)]
+    rng = random.Random(4)
+    for _ in range(400):
+        window, threshold = rng.choice([1, 2, 3, 5]), rng.choice([1, 20, 80])
+        weights = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(40))]
+        runs = htmltext.text_ranges(weights, window, threshold)
+        assert all(a < b for a, b in runs) and all(x[1] <= y[0] for x, y in zip(runs, runs[1:], strict=False))
+        assert {k for a, b in runs for k in range(a, b) if weights[k]} == brute_runs(weights, window, threshold)
+
+
+def test_pages_made_of_known_parts():
+    """Pages put together from paragraphs and declared or linked parts, in all orders, give their paragraphs."""
+    rng = random.Random(8)
+    for _ in range(300):
+        blocks, want = [], []
+        for _ in range(rng.randrange(1, 9)):
+            kind = rng.randrange(4)
+            if kind < 2:
+                text = " ".join(f"word{rng.randrange(99)}" for _ in range(rng.choice([2, 25, 60])))
+                blocks.append(f"<p>{text}" + rng.choice(["", "</p>"]))
+                want.append(text)
+            elif kind == 2:
+                name = rng.choice(["nav", "aside", "div"])
+                blocks.append(f"<{name} class=promo>Some words that are no text of the article</{name}>")
+            else:
+                blocks.append(f"<script>var p = '<p>{LINE}</p>';</script><!-- <p>{LINE}</p> -->")
+        page = f"<html><body>{MENU}<article>{''.join(blocks)}</article><footer>{LINE}</footer></body></html>"
+        assert htmltext.main_text(page) == "\n".join(want), page
 
 
 def test_extract_keeps_other_columns(spark, small):
