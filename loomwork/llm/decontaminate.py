@@ -3,17 +3,22 @@
 A document holds an item if one of its runs of words is within ``floor(rate * m)`` word edits of the
 item's m words.  Words are runs of letters, marks and digits, lower-cased.
 
-1.  Windows.  A run within k edits of an item shares a q-gram of words with it if q * (k + 1) <= m
-    (q-gram lemma), so only places that share one can start an item-sized window.  No run within
-    reach is lost here.
-2.  CGK embedding.  Windows and items, cut to the shortest length of their class, walk at random
+0.  Parts.  Items of more than ``PART`` words are looked for by parts of about that size, as walks
+    drift apart with their length.  If an item is within its edits of a run, then one of its parts
+    at least is within ``floor(rate * its words)`` edits of a part of the run.
+1.  Windows.  A run within k edits of a part of m words shares a q-gram of words with it if
+    q * (k + 1) <= m (q-gram lemma), so only places that share one can start a window of the
+    part's size.  No run within reach is lost here.
+2.  CGK embedding.  Windows and parts, cut to the shortest length of their class, walk at random
     over their words: at each of up to 3L steps the current word is put out and a random bit of
     (step, word) tells whether to go on to the next.  With common random bits, strings at a small
     edit distance have outputs at a small Hamming distance.
-3.  LSH by sampling the output at ``SAMPLES`` random steps of a short random stretch.  Walks are repeated, as often as edited
-    copies of the items at the greatest allowed distance need to collide with the target recall.
-4.  Every candidate is verified: Myers' bit-parallel alignment gives the exact edit distance to the
-    best run.
+3.  LSH by sampling the output at ``SAMPLES`` random steps of a short random stretch.  Walks are
+    repeated, as often as edited copies of the parts at the greatest allowed distance need to
+    collide with the target recall.  Where ``MOST_WALKS`` of them don't reach it, there are none:
+    every window of the class is a candidate then, which is exact.
+4.  Every candidate is verified: Myers' bit-parallel alignment gives the exact edit distance of the
+    whole item to the best run around.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; only one block's tables are sent
 to the executors at a time, and each block is one pass over the documents without a shuffle.
@@ -38,7 +43,10 @@ RECALL = 0.99
 SAMPLES = 3
 GRAM = 4
 BLOCK_WORDS = 1 << 20
-_MAX_WALKS = 256
+PART = 128
+MOST_WALKS = 256
+#: Places that are looked up at once.
+_LOOKUPS = 1 << 20
 _PAD = -1
 
 
@@ -79,10 +87,11 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class _Class:
-    """Items whose lengths are alike; walks: a row (step multipliers, addends, sampled steps) each."""
+    """Parts whose lengths are alike; walks: a row (step multipliers, addends, sampled steps) each, none if exact."""
 
     length: int
-    items: np.ndarray
+    parts: np.ndarray
+    exact: bool = False
     walks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
@@ -130,17 +139,23 @@ class Matcher:
         self.vocabulary = sorted({w for _, ws in items for w in ws})
         number = {w: k + 1 for k, w in enumerate(self.vocabulary)}
         self.items = [np.array([number[w] for w in ws], np.int64) for _, ws in items]
-        self.edits = [math.floor(rate * len(ws)) for _, ws in items]
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.edits = np.array([math.floor(rate * len(x)) for x in self.items], np.int64)
         rng = np.random.default_rng(seed)
         self.salt = rng.integers(1, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
-        self.grams = self._grams()
+        cut = [np.array_split(np.arange(len(x)), -(-len(x) // PART)) for x in self.items]
+        self.item_of = np.array([k for k, c in enumerate(cut) for _ in c], np.int64)
+        self.offset = np.array([p[0] for c in cut for p in c], np.int64)
+        self.parts = [self.items[k][p] for k, c in enumerate(cut) for p in c]
+        self.part_edits = [math.floor(rate * len(x)) for x in self.parts]
         by_class: dict[int, list[int]] = {}
-        for k, x in enumerate(self.items):
+        for k, x in enumerate(self.parts):
             by_class.setdefault(int(2 * math.log2(len(x))), []).append(k)
         self.classes = [self._class(np.array(v), recall, rng) for _, v in sorted(by_class.items())]
-        self.class_of = np.zeros(len(self.items), np.int64)
+        self.class_of = np.zeros(len(self.parts), np.int64)
         for c, found in enumerate(self.classes):
-            self.class_of[found.items] = c
+            self.class_of[found.parts] = c
+        self.grams = self._grams()
 
     def _hash(self, flat: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
         h = np.zeros(len(at), np.uint64)
@@ -151,22 +166,26 @@ class Matcher:
         return h
 
     def _grams(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """q -> sorted gram hashes, with the item and the place in the item of each."""
-        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for k, x in enumerate(self.items):
-            q = min(GRAM, len(x) // (self.edits[k] + 1))
-            rows.setdefault(q, []).append((self._hash(x, np.arange(len(x) - q + 1), q), k))
+        """q -> sorted gram hashes, with a target and a place in it of each, without repeats.
+
+        The target is a class, whatever parts of it have the gram, or -1 - part where the class is
+        exact.
+        """
+        rows: dict[int, list[np.ndarray]] = {}
+        for k, x in enumerate(self.parts):
+            q = min(GRAM, len(x) // (self.part_edits[k] + 1))
+            h = self._hash(x, np.arange(len(x) - q + 1), q)
+            target = -1 - k if self.classes[self.class_of[k]].exact else int(self.class_of[k])
+            rows.setdefault(q, []).append(np.stack([h.view(np.int64), np.full(len(h), target), np.arange(len(h))]))
         out = {}
         for q, found in rows.items():
-            h = np.concatenate([x for x, _ in found])
-            item = np.concatenate([np.full(len(x), k) for x, k in found])
-            place = np.concatenate([np.arange(len(x)) for x, _ in found])
-            by = np.argsort(h, kind="stable")
-            out[q] = h[by], item[by], place[by]
+            h, target, place = np.unique(np.concatenate(found, axis=1), axis=1)
+            by = np.argsort(h.view(np.uint64), kind="stable")
+            out[q] = h.view(np.uint64)[by], target[by], place[by]
         return out
 
-    def _class(self, items: np.ndarray, recall: float, rng: np.random.Generator) -> _Class:
-        found = _Class(min(len(self.items[k]) for k in items), items)
+    def _class(self, parts: np.ndarray, recall: float, rng: np.random.Generator) -> _Class:
+        found = _Class(min(len(self.parts[k]) for k in parts), parts)
 
         def draw() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n = 3 * found.length
@@ -180,22 +199,25 @@ class Matcher:
             stops = np.cumsum(sizes)
             return _windows(flat, stops - sizes, stops, found.length)
 
-        # how often do items at the greatest allowed distance collide in one walk?
-        tried = [int(k) for k in items[:: max(1, len(items) // 64)]]
-        own = rows([self.items[k] for k in tried for _ in range(8)])
-        far = rows([_edited(self.items[k], self.edits[k], rng) for k in tried for _ in range(8)])
+        # how often do parts at the greatest allowed distance collide in one walk?
+        tried = [int(k) for k in parts[:: max(1, len(parts) // 64)]]
+        own = rows([self.parts[k] for k in tried for _ in range(8)])
+        far = rows([_edited(self.parts[k], self.part_edits[k], rng) for k in tried for _ in range(8)])
         hits = np.mean([_walk(own, w) == _walk(far, w) for w in (draw() for _ in range(48))], axis=0)
         # recall is a mean over pairs, and far pairs collide less often than the mean pair
         n = 1
-        while n < _MAX_WALKS and np.mean(1 - (1 - hits) ** n) < recall:
+        while n <= MOST_WALKS and np.mean(1 - (1 - hits) ** n) < recall:
             n += 1
-        full = rows([self.items[k] for k in items])
+        if n > MOST_WALKS:
+            found.exact = True
+            return found
+        full = rows([self.parts[k] for k in parts])
         for _ in range(n):
             walk = draw()
             key = _walk(full, walk)
             by = np.argsort(key, kind="stable")
             found.walks.append(walk)
-            found.keys.append((key[by], items[by]))
+            found.keys.append((key[by], parts[by]))
         return found
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
@@ -203,24 +225,39 @@ class Matcher:
         flat_words, at = words(texts)
         known = pc.index_in(flat_words, value_set=pa.array(self.vocabulary, pa.string()))
         flat = (pc.fill_null(known, -1).to_numpy().astype(np.int64)) + 1
-        doc, cls, start = self._seeds(flat, at)
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        doc, target, start = self._seeds(flat, at)
+        # (text, item, first and past the last word of the words to align), of all candidates
+        regions = [self._regions(at, doc[target < 0], -1 - target[target < 0], start[target < 0])]
         for c, found in enumerate(self.classes):
-            mine = cls == c
+            mine = target == c
             docs, begins = doc[mine], start[mine]
             for lo in range(0, len(docs), 1 << 14):
                 d, s = docs[lo : lo + (1 << 14)], begins[lo : lo + (1 << 14)]
                 w = _windows(flat, s, at[d + 1], found.length)
                 pairs = [_matches(_walk(w, walk), *keys) for walk, keys in zip(found.walks, found.keys, strict=True)]
-                both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-                for row, item in zip(*both.tolist(), strict=True):
-                    self._verify(flat, at, int(d[row]), int(s[row]), item, out)
+                row, part = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+                regions.append(self._regions(at, d[row], part, s[row]))
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, item, lo, hi in _joined(np.concatenate(regions, axis=1)).T.tolist():
+            self._verify(flat, int(at[d]), d, lo, hi, item, out)
         return [(d, k, *run) for (d, k), run in sorted(out.items())]
 
+    def _regions(self, at: np.ndarray, doc: np.ndarray, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Where a part's item must lie if the part begins at start, with its edits to either side."""
+        item = self.item_of[part] if len(part) else part
+        first = start - (self.offset[part] if len(part) else 0)
+        lo = np.maximum(at[doc], first - 2 * self.edits[item])
+        return np.stack([doc, item, lo, np.minimum(at[doc + 1], first + self.sizes[item] + 2 * self.edits[item])])
+
     def _seeds(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The different (text, class, start) of windows that share a q-gram with an item."""
-        text_of, starts, classes = [], [], []
-        for q, (hashes, item, place) in self.grams.items():
+        """The different (text, target, start) of windows that share a q-gram with a part.
+
+        Looked up in chunks, so a gram that is frequent on both sides takes time but no memory:
+        there are no more different rows than words times targets.
+        """
+        parts: list[np.ndarray] = []
+        size = 0
+        for q, (hashes, target, place) in self.grams.items():
             if len(flat) < q or q == 0:
                 continue
             ok = flat[: len(flat) - q + 1] > 0
@@ -232,40 +269,59 @@ class Matcher:
             p, d = p[inside], d[inside]
             h = self._hash(flat, p, q)
             first, last = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
-            n = last - first
-            hit = np.flatnonzero(n)
-            n, first = n[hit], first[hit]
-            entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            which = np.repeat(hit, n)
-            text_of.append(d[which])
-            starts.append(np.maximum(p[which] - place[entry], at[d[which]]))
-            classes.append(self.class_of[item[entry]])
-        if not text_of:
+            hit = np.flatnonzero(last > first)
+            n, first = (last - first)[hit], first[hit]
+            total = np.cumsum(n)
+            lo = 0
+            while lo < len(hit):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _LOOKUPS, side="right")))
+                m = n[lo:hi]
+                entry = np.repeat(first[lo:hi] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                which = np.repeat(hit[lo:hi], m)
+                start = np.maximum(p[which] - place[entry], at[d[which]])
+                parts.append(np.unique(np.stack([d[which], target[entry], start]), axis=1))
+                size += parts[-1].shape[1]
+                if size > 4 * _LOOKUPS and len(parts) > 1:
+                    parts = [np.unique(np.concatenate(parts, axis=1), axis=1)]
+                    size = 0  # what is left is no repeat
+                lo = hi
+        if not parts:
             none = np.zeros(0, np.int64)
             return none, none, none
-        rows = np.unique(np.stack([np.concatenate(text_of), np.concatenate(classes), np.concatenate(starts)]), axis=1)
+        rows = np.unique(np.concatenate(parts, axis=1), axis=1)
         return rows[0], rows[1], rows[2]
 
-    def _verify(self, flat, at, d: int, s: int, item: int, out: dict) -> None:
-        x, k = self.items[item], self.edits[item]
-        begin, end, m = int(at[d]), int(at[d + 1]), len(self.items[item])
+    def _verify(self, flat: np.ndarray, begin: int, d: int, lo: int, hi: int, item: int, out: dict) -> None:
+        """Aligns the item with the words from lo to hi of text d, which begins at begin; keeps the best run."""
+        x, k = self.items[item], int(self.edits[item])
         known = out.get((d, item))
         if known and known[2] == 0:
             return
-        if np.array_equal(flat[s : min(s + m, end)], x):
-            run = (s - begin, s - begin + m, 0)
-        else:
-            lo, hi = max(begin, s - 2 * k), min(end, s + m + 2 * k)
-            edits, stop = distance(x, flat[lo:hi])
-            if edits > k:
-                return
-            # aligned backwards from its end, the run's start comes out
-            _, size = distance(x[::-1], flat[lo : lo + stop][::-1])
-            run = (lo + stop - size - begin, lo + stop - begin, edits)
+        edits, stop = distance(x, flat[lo:hi])
+        if edits > k:
+            return
+        # aligned backwards from its end, the run's start comes out
+        _, size = distance(x[::-1], flat[lo : lo + stop][::-1])
+        run = (lo + stop - size - begin, lo + stop - begin, edits)
         if known is None or (run[2], run[0]) < (known[2], known[0]):
             out[d, item] = run
 
 
+def _joined(regions: np.ndarray) -> np.ndarray:
+    """The regions (text, item, lo, hi), those of one text and item that overlap as one."""
+    regions = regions[:, np.lexsort((regions[2], regions[1], regions[0]))]
+    if not regions.shape[1]:
+        return regions
+    new = np.r_[True, (regions[:2, 1:] != regions[:2, :-1]).any(axis=0)]
+    # the largest end so far within a text and item: groups are lifted over each other
+    lift = np.cumsum(new) * (int(regions[3].max()) + 1)
+    reach = np.maximum.accumulate(regions[3] + lift) - lift
+    first = new | np.r_[True, regions[2, 1:] >= reach[:-1]]
+    heads = np.flatnonzero(first)
+    tails = np.r_[heads[1:], regions.shape[1]] - 1
+    return np.stack([regions[0, heads], regions[1, heads], regions[2, heads], reach[tails]])
+
+
 def _matches(keys: np.ndarray, have: np.ndarray, item: np.ndarray) -> np.ndarray:
     """(row, item) for all entries of the sorted have that equal a row's key."""
     first, last = np.searchsorted(have, keys), np.searchsorted(have, keys, side="right")
@@ -314,7 +370,7 @@ def find_items(
                     found = m.find(texts.slice(a, b - a))
                     col = [np.array(c, np.int64) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
                     ids = np.array(m.ids, np.int64)[col[1]]
-                    sizes = np.array([len(m.items[k]) for k in col[1]], np.float64)
+                    sizes = m.sizes[col[1]].astype(np.float64)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(col[0] + a)), pa.array(ids), pa.array(col[2]), pa.array(col[3]),

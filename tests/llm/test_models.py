@@ -162,6 +162,65 @@ def test_edit_distance_to_the_best_run():
         assert decontaminate.distance(x, t)[0] == min(row)
 
 
+def brute_items(items, texts, rate):
+    """All (text, item) of which a run is within the item's edits, by plain dynamic programming."""
+    out = {}
+    for d, t in enumerate(texts):
+        for i, x in items:
+            row = [0] * (len(t) + 1)
+            for k, a in enumerate(x, 1):
+                new = [k]
+                for j, b in enumerate(t, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+                row = new
+            if min(row) <= math.floor(rate * len(x)):
+                out[d, i] = min(row)
+    return out
+
+
+@pytest.mark.parametrize("part", [128, 16])
+@pytest.mark.parametrize("walks", [256, 0])
+def test_items_against_brute_force(walks, part, monkeypatch):
+    """With walks nearly all pairs within reach are found, without them all; never any other."""
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", walks)
+    monkeypatch.setattr(decontaminate, "PART", part)
+    monkeypatch.setattr(decontaminate, "_LOOKUPS", 97)
+    rng = np.random.default_rng(21)
+    common = [f"w{k}" for k in range(12)]  # few words, so that grams are frequent
+
+    def text(n):
+        return [str(x) for x in rng.choice(common, n)]
+
+    items = [(k, text(int(rng.integers(1, 70)))) for k in range(24)]
+    texts = [text(int(rng.integers(0, 90))) for _ in range(30)]
+    for k, x in items:  # edited copies, some beyond reach
+        y = list(x)
+        for _ in range(int(rng.integers(0, 1 + len(x) // 3))):
+            y[int(rng.integers(len(y)))] = "other"
+        texts.append(text(5) + y + text(7))
+    m = decontaminate.Matcher(items)
+    assert all(c.exact == (not walks) for c in m.classes)
+    got = {(d, m.ids[k]): edits for d, k, _, _, edits in m.find(pa.array([" ".join(t) for t in texts]))}
+    want = brute_items(items, texts, decontaminate.RATE)
+    assert got.keys() <= want.keys() and all(got[x] >= want[x] for x in got)
+    if walks:
+        assert len(got) >= 0.95 * len(want)
+    else:
+        assert got == want
+
+
+def test_long_items_and_frequent_words(spark):
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 4000, 3000))
+    edited = long.split()
+    for k in rng.choice(3000, 400, replace=False):
+        edited[k] = "edited"
+    items = spark.createDataFrame([(1, long), (2, "the")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "before " + " ".join(edited) + " after"), (11, "the " * 300_000), (12, " ".join(long.split()[:1500]))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_items(docs, items).collect()}
+    assert got.keys() == {(10, 1), (11, 2)} and 300 < got[10, 1] <= 400
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(8)
