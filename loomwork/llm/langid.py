@@ -9,9 +9,11 @@ Rejection is by distance: short texts have small cosines with any centroid, so t
 that is accepted depends on the number of n-grams.  It is a share of what texts of that size or
 more, whole fitted texts and their heads, reach with their own language.
 
-The classifier (idf, centroids, least cosines) is fitted on at most ``sample`` labelled rows of each
-language, chosen by a hash of the text, and on the largest ``most_langs`` languages.  That bounds
-what the driver holds.  Prediction is one pass without a shuffle.
+The classifier (idf, centroids, least cosines) is fitted on at most ``sample`` different labelled
+texts of each language, those with the least hashes; copies count once, whatever their number, and
+every labelled language is learnt.  Executors turn the drawn texts into counts and fit a language's
+centroids, a task a language; the driver holds the centroids.  Prediction is one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import cut
 from loomwork.llm.tokens import slices, trimmed
 
 DIMS = 1 << 12
 SAMPLE = 400
-MOST_LANGS = 300
 CENTROIDS = 4
 #: Accepted cosines go down to this share of the least cosine seen in fitting.
 REJECT_SHARE = 0.5
@@ -130,74 +132,128 @@ def rows_of(lang: str, text: bytes) -> Iterator[Row]:
     yield Row(lang, True, np.flatnonzero(tf), tf[tf > 0])
 
 
-def fit_rows(rows: list[Row], k: int = CENTROIDS) -> Model:
-    whole = [r for r in rows if r.whole]
-    langs = sorted({r.lang for r in whole})
-    df = np.zeros(DIMS)
-    for r in whole:
-        df[r.place] += 1
-    idf = (np.log((1 + len(whole)) / (1 + df)) + 1).astype(np.float32)
-    centroids, owner = [np.zeros((0, DIMS), np.float32)], []
-    for j, lang in enumerate(langs):
-        found = _clusters(np.stack([vector(r.dense(), idf) for r in whole if r.lang == lang]), k)
-        centroids.append(found)
-        owner += [j] * len(found)
-    model = Model(langs, idf, np.vstack(centroids).astype(np.float32), np.array(owner, np.int64), np.zeros(32))
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+
+def fit_language(rows: list[Row], idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One language's centroids, and for each size class the least cosine of its rows and their number."""
+    found = _clusters(np.stack([vector(r.dense(), idf) for r in rows if r.whole]), k).astype(np.float32)
     seen, often = np.ones(32), np.zeros(32, np.int64)
     for r in rows:
-        own = model.centroids[model.owner == langs.index(r.lang)]
         at = size_class(int(r.count.sum()))
-        seen[at] = min(seen[at], float((own @ vector(r.dense(), idf)).max()))
+        seen[at] = min(seen[at], float((found @ vector(r.dense(), idf)).max()))
         often[at] += 1
-    # a longer text must be as near as a shorter one; a size seen rarely tells nothing of its own
+    return found, seen, often
+
+
+def accepted_least(seen: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The least accepted cosine of each size class, from what all languages' rows have.
+
+    A longer text must be as near as a shorter one; a size seen rarely tells nothing of its own.
+    """
     known = np.flatnonzero(often >= OFTEN)
     least = np.full(32, seen.min())
     for c in range(32):
         below = known[known <= c]
         if len(below):
             least[c] = seen[known[known >= below[-1]]].min()
-    model.least = least * REJECT_SHARE
-    return model
+    return least * REJECT_SHARE
 
 
-def fit(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, most_langs: int = MOST_LANGS,
-) -> Model:
-    """Fits on a bounded sample of the rows with a language and a text that has a letter.
+def fit_rows(rows: list[Row], k: int = CENTROIDS) -> Model:
+    """The model of rows that are at hand; ``fit`` does the same on executors."""
+    whole = [r for r in rows if r.whole]
+    df = np.zeros(DIMS)
+    for r in whole:
+        df[r.place] += 1
+    idf = idf_of(df, len(whole))
+    langs = sorted({r.lang for r in whole})
+    return _model(langs, idf, [fit_language([r for r in rows if r.lang == lang], idf, k) for lang in langs])
+
+
+def _model(langs: list[str], idf: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    owner = [j for j, (c, *_) in enumerate(found) for _ in range(len(c))]
+    seen = np.min([s for _, s, _ in found], axis=0) if found else np.ones(32)
+    often = np.sum([o for *_, o in found], axis=0) if found else np.zeros(32, np.int64)
+    centroids = np.vstack([np.zeros((0, DIMS), np.float32), *(c for c, *_ in found)]).astype(np.float32)
+    return Model(langs, idf, centroids, np.array(owner, np.int64), accepted_least(seen, often))
+
 
-    The executors turn whole sampled texts into n-gram counts; the driver gets no more than those.
+def drawn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(lang, text): of each language the ``sample`` different texts with the least hashes, or all it has.
+
+    Rows with a null language, and texts that are null or without a letter, are left out.  Copies
+    of a text fall together before anything is ranked.  Where texts tie in their hash there may be
+    more.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(_HAS_LETTER))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    # different texts and not rows, since copies are drawn together and count once
-    texts = known.groupBy("lang", F.xxhash64("text").alias("sum64")).agg(F.count("*").alias("n"))
-    sizes = texts.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("n"))
-    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
-    if not sizes:
-        return fit_rows([])
-    shares = F.create_map(*(F.lit(v) for r in sizes for v in (r.lang, int((1 << 30) * min(1.0, sample / r.n)))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    # copies are drawn alike and could be many: one of equal texts is enough
-    chosen = known.where(draw < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))).distinct()
-    top = chosen.orderBy(F.xxhash64("text", F.lit(1)), "lang").limit(2 * sample * len(sizes))
+    hashes = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    # the limit of the window works before the exchange too: a task hands on ``sample`` hashes a language at most
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = hashes.withColumn("place", place).where(F.col("place") <= sample)
+    # a row a language, where the model, which is sent out too, has several centroids
+    most = F.broadcast(few.groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("most")))
+    return known.join(most, F.col("lang") == F.col("of")).where(F.xxhash64("text") <= F.col("most")).select("lang", "text").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_buffer().to_pybytes() for t in lower(batch.column(1))]
-            found = [r for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True) for r in rows_of(lang, t)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r.lang for r in found], pa.string()),
-                    pa.array([r.whole for r in found], pa.bool_()),
-                    pa.array([r.place.astype("<u2").tobytes() for r in found], pa.binary()),
-                    pa.array([r.count.astype("<u4").tobytes() for r in found], pa.binary()),
-                ],
-                names=["lang", "whole", "place", "count"],
-            )
 
-    got = top.mapInArrow(trimmed(run), "lang string, whole boolean, place binary, count binary").toArrow().to_pylist()
-    rows = [Row(r["lang"], r["whole"], np.frombuffer(r["place"], "<u2").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(np.int64)) for r in got]
-    return fit_rows(sorted(rows, key=lambda r: (r.lang, r.whole, r.place.tobytes(), r.count.tobytes())))
+_ROWS = "lang string, whole boolean, place binary, count binary"
+
+
+def _rows(lang, whole, place, count) -> list[Row]:
+    """Rows in a fixed order, so that a fit doesn't depend on how they came."""
+    fields = zip(lang, whole, place, count, strict=True)
+    rows = [Row(x, w, np.frombuffer(p, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)) for x, w, p, c in fields]
+    return sorted(rows, key=lambda r: (r.lang, r.whole, r.place.tobytes(), r.count.tobytes()))
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
+    """Fits on ``drawn`` texts.  An empty table, and one without a labelled text, gives a model of no language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), lower(batch.column(1)), strict=True):
+                found = list(rows_of(lang, text.as_buffer().to_pybytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r.lang for r in found], pa.string()),
+                        pa.array([r.whole for r in found], pa.bool_()),
+                        pa.array([r.place.astype("<u2").tobytes() for r in found], pa.binary()),
+                        pa.array([r.count.astype("<u4").tobytes() for r in found], pa.binary()),
+                    ],
+                    names=["lang", "whole", "place", "count"],
+                )
+
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(DIMS + 1, np.int64), 0  # the last is the number of texts
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                df[np.frombuffer(place, "<u2")] += 1
+                n += 1
+        df[DIMS] = n
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used])], names=["place", "n"])
+
+    rows = cut(drawn(docs, lang_col, text_col, sample).mapInArrow(trimmed(count), _ROWS))
+    df = np.zeros(DIMS + 1, np.int64)
+    parts = rows.where("whole").select("place").mapInArrow(trimmed(frequency), "place int, n long")
+    for r in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows at most
+        df[r.place] = r.n
+    idf = idf_of(df[:DIMS], int(df[DIMS]))
+
+    def language(table: pa.Table) -> pa.Table:
+        found, seen, often = fit_language(_rows(*(table.column(c).to_pylist() for c in ("lang", "whole", "place", "count"))), idf, k)
+        row = {"lang": table.column("lang")[0].as_py(), "centroids": found.astype("<f4").tobytes(), "seen": seen.tolist(), "often": often.tolist()}
+        return pa.Table.from_pylist([row], schema=_FITTED)
+
+    got = rows.groupBy("lang").applyInArrow(language, "lang string, centroids binary, seen array<double>, often array<long>")
+    got = sorted(got.toArrow().to_pylist(), key=lambda r: r["lang"])
+    fitted = [(np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMS), np.array(r["seen"]), np.array(r["often"])) for r in got]
+    return _model([r["lang"] for r in got], idf, fitted)
+
+
+_FITTED = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("seen", pa.list_(pa.float64())), ("often", pa.list_(pa.int64()))])
 
 
 def _judge(m: Model, texts: pa.Array) -> list[tuple[str, float, bool]]:

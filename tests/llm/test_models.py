@@ -1,6 +1,8 @@
 """Classifiers by held-out accuracy, search by recall, decontamination by planted items."""
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,85 @@ def test_language_edge_cases(spark):
 
 
 def test_a_language_of_copies_is_learnt(spark):
-    few = [(f"les chats et les chiens numero {chr(97 + k)}", "fr") for k in range(3)]
-    many = [(f"the cats and the dogs number {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(60)]
-    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(few * 3000 + many)], "doc_id long, text string, lang string")
-    model = langid.fit(docs, sample=20)
+    few = [(f"les chats et les chiens numero {chr(97 + k)}", "fr") for k in range(5)]
+    many = [(f"the cats and the dogs number {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", "en") for k in range(3000)]
+    docs = spark.createDataFrame(few, "text string, lang string").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8000)))).drop("k")
+    docs = docs.union(spark.createDataFrame(many, "text string, lang string")).withColumn("doc_id", F.monotonically_increasing_id())
+    drawn = {(r.lang, r.n) for r in langid.drawn(docs, sample=400).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert drawn == {("en", 400), ("fr", 5)}
+    model = langid.fit(docs, sample=400)
     assert model.langs == ["en", "fr"]
-    got = langid.predict(docs, model).join(docs, "doc_id")
+    got = langid.predict(docs.select("doc_id", "text"), model).join(docs, "doc_id")
     assert got.where("lang <> lang_pred").count() == 0
 
 
+def test_every_labelled_language_is_learnt(spark):
+    rows = [(f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k + j)} " * 5, f"l{k:03}") for k in range(330) for j in range(3)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
+    model = langid.fit(docs)
+    assert len(model.langs) == 330
+    assert langid.predict(docs.select("doc_id", "text"), model).join(docs, "doc_id").where("lang <> lang_pred").count() <= 10
+
+
+def brute_predict(fitted, texts, k):
+    """tf-idf, centroids and cosines with dictionaries of n-grams in place of hashed buckets and blocks."""
+    def grams(t):
+        t = re.sub(r"[\x00-@\[-`{-\x7f]+", " ", t.lower()).encode()
+        return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+
+    df = Counter(g for t, _ in fitted for g in grams(t))
+
+    def unit(t):
+        v = {g: (1 + math.log(c)) * (math.log((1 + len(fitted)) / (1 + df[g])) + 1) for g, c in grams(t).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {g: x / size for g, x in v.items()}
+
+    def cosine(u, v):
+        return sum(x * v.get(g, 0) for g, x in u.items())
+
+    def mean(vs):
+        total = Counter()
+        for v in vs:
+            total.update(v)
+        size = math.sqrt(sum(x * x for x in total.values())) or 1
+        return {g: x / size for g, x in total.items()}
+
+    centres = []
+    for lang in sorted({x for _, x in fitted}):
+        own = [unit(t) for t, x in fitted if x == lang]
+        found = [mean(own)]
+        while len(found) < min(k, len(own)):
+            found.append(min(own, key=lambda v: max(cosine(c, v) for c in found)))
+        for _ in range(12):
+            near = [max(range(len(found)), key=lambda c: cosine(found[c], v)) for v in own]
+            found = [mean([v for v, n in zip(own, near, strict=True) if n == c]) for c in range(len(found)) if c in near]
+        centres += [(lang, c) for c in found]
+    return [max(((cosine(c, unit(t)), lang) for lang, c in centres), key=lambda x: x[0]) for t in texts]
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DIMS", 1 << 16)  # hardly any two n-grams share a bucket
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500 and lang is not null and text rlike '[a-z]'").orderBy("doc_id")
+    rows = [(r.text, r.lang) for r in docs.select("text", "lang").distinct().collect()]
+    fitted, asked = sorted(rows)[::3][:60], [t for t, _ in rows[:60]]
+    found = [r for t, lang in fitted for r in langid.rows_of(lang, langid.lower(pa.array([t]))[0].as_buffer().to_pybytes())]
+    model = langid.fit_rows(found)
+    want = brute_predict(fitted, asked, langid.CENTROIDS)
+    got = [model.predict(t.as_buffer().to_pybytes()) for t in langid.lower(pa.array(asked))]
+    assert [x for x, *_ in got] == [x for _, x in want]
+    assert np.abs(np.array([c for _, c, _ in got]) - np.array([c for c, _ in want])).max() < 0.03
+
+
+def test_fit_on_executors_is_the_fit_of_the_same_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    drawn = langid.drawn(docs, sample=30).collect()
+    rows = [r for d in drawn for r in langid.rows_of(d.lang, langid.lower(pa.array([d.text]))[0].as_buffer().to_pybytes())]
+    columns = zip(*((r.lang, r.whole, r.place.astype("<u2").tobytes(), r.count.astype("<u4").tobytes()) for r in rows), strict=True)
+    one, other = langid.fit_rows(langid._rows(*columns)), langid.fit(docs, sample=30)
+    assert one.langs == other.langs and (one.owner == other.owner).all()
+    assert np.allclose(one.idf, other.idf) and np.allclose(one.centroids, other.centroids) and np.allclose(one.least, other.least)
+
+
 def test_counts_do_not_depend_on_parts(monkeypatch):
     text = bytes(np.random.default_rng(0).integers(97, 123, 5000, dtype=np.uint8))
     whole = langid.counts(text)
