@@ -16,10 +16,13 @@ Links by deletion-variant signatures
 
 Skew
     Copies collapse first (the index holds distinct fingerprints).  Under one key there can still
-    be many distinct fingerprints.  A key's members are dealt into numbered blocks of bounded
+    be many distinct fingerprints.  Up to ``HOT`` members are dealt into numbered blocks of bounded
     size; each pair of blocks is compared in one bounded task, which hands on a spanning forest of
-    the links that it verified, at most one row a member.  No group is held as a whole and no link
-    between components is lost.
+    the links that it verified, at most one row a member.  The members of a key with more agree in
+    its segment but for one bit, so what tells them apart is the other segment: that is cut into
+    two and indexed in the same way under the key, and its rest once more where that is hot too.
+    A fingerprint makes a bounded number of rows at each level, so the work is linear in the
+    members of a key.  No group is held as a whole and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -84,18 +87,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _index(fp: Column) -> Column:
-    """The index rows of a fingerprint: an array of (key, side).  Side 2 is the exact value."""
+    """The index rows of a fingerprint: an array of (key, side, at).
+
+    Side 2 is the exact value of a segment, 0 and 1 are the bit under a wildcard; at is the first
+    bit of the other segment.
+    """
     segments = [fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)]
     rows = []
     for s, seg in enumerate(segments):
-        rows.append(F.struct(seg.bitwiseOR(F.lit((s * 64 + 32) << 32)).alias("key"), F.lit(2).cast("byte").alias("side")))
+        at = F.lit(32 * (1 - s)).alias("at")
+        rows.append(F.struct(seg.bitwiseOR(F.lit((s * 64 + 32) << 32)).alias("key"), F.lit(2).cast("byte").alias("side"), at))
         for i in range(32):
             key = seg.bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << i))).bitwiseOR(F.lit((s * 64 + i) << 32))
-            rows.append(F.struct(key.alias("key"), F.shiftright(seg, i).bitwiseAND(F.lit(1)).cast("byte").alias("side")))
+            rows.append(F.struct(key.alias("key"), F.shiftright(seg, i).bitwiseAND(F.lit(1)).cast("byte").alias("side"), at))
+    return F.array(*rows)
+
+
+def _finer(width: int) -> Column:
+    """The index rows, under a key, of the width bits from at, cut into two segments."""
+    half = width // 2
+    rows = []
+    for s in (0, 1):
+        seg = F.call_function("shiftrightunsigned", F.col("fp"), F.col("at") + s * half).bitwiseAND(F.lit((1 << half) - 1))
+        at = (F.col("at") + half * (1 - s)).alias("at")
+        rows.append(F.struct(F.xxhash64("key", F.lit(s), F.lit(half), seg).alias("key"), F.lit(2).cast("byte").alias("side"), at))
+        for i in range(half):
+            key = F.xxhash64("key", F.lit(s), F.lit(i), seg.bitwiseAND(F.lit(~(1 << i))))
+            rows.append(F.struct(key.alias("key"), F.shiftright(seg, i).bitwiseAND(F.lit(1)).cast("byte").alias("side"), at))
     return F.array(*rows)
 
 
 BLOCK = 256
+#: Members of a key up to which pairs of blocks are compared: fewer rows than a finer index makes.
+HOT = 32 * BLOCK
+#: The bits that a key leaves open, level by level.
+WIDTHS = (32, 16, 8)
 
 
 def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
@@ -108,10 +134,27 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
         raise ValueError("two segments with one wildcard each reach 3 differing bits at most")
     n = partition_count(nodes.sparkSession)
     # a fingerprint makes 66 rows: few tasks would hold large tables of keys
-    index = nodes.repartition(n, "fp").select("fp", F.explode(_index(F.col("fp"))).alias("x")).select("fp", "x.key", "x.side")
-    seen = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
-    shared = seen.where("n > 1 and (lo = 2 or lo <> hi)").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    member = index.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    index = nodes.repartition(n, "fp").select("fp", F.explode(_index(F.col("fp"))).alias("x")).select("fp", "x.*")
+    out = None
+    for width in WIDTHS:
+        seen = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+        shared = cut(seen.where("n > 1 and (lo = 2 or lo <> hi)").select("key", "n"))
+        last = width == WIDTHS[-1]  # no key of this level can have more than some thousand members
+        links = _verified(index, shared if last else shared.where(F.col("n") <= HOT), distance)
+        out = links if out is None else out.union(links)
+        hot = shared.where(F.col("n") > HOT)
+        if last or hot.isEmpty():
+            break
+        members = index.join(hot.select("key"), "key").select("key", "at", "fp")
+        index = members.select("fp", F.explode(_finer(width)).alias("x")).select("fp", "x.*")
+    return out.distinct()
+
+
+def _verified(index: DataFrame, shared: DataFrame, distance: int) -> DataFrame:
+    """index (key, side, fp) and the keys (key, n) to work on -> a spanning forest of the links of each pair of blocks."""
+    n = partition_count(index.sparkSession)
+    member = index.join(shared.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "key")
+    member = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     # the pairs of blocks that a block takes part in; one pair where a key has one block
     pair = F.transform(
         F.sequence(F.lit(0), F.col("k") - 1),
@@ -126,7 +169,7 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
             kept = np.array(spanning_forest(zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
 
-    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long").distinct()
+    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -216,7 +259,7 @@ def first_of_each(docs: DataFrame, fps: DataFrame, named: DataFrame, id_col: str
     first = fps.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
     first = cut(first.select(F.col("first.id").alias(id_), F.col("first.sum64").alias(sum_)))
     on = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(sum_))
-    kept = docs.join(first.hint("shuffle_hash"), on, "left_semi")
+    kept = docs.join(first, on, "left_semi")
     again = fps.groupBy("id", "sum64").count().where("count > 1")
     if again.join(first, F.col("id").eqNullSafe(F.col(id_)) & (F.col("sum64") == F.col(sum_)), "left_semi").isEmpty():
         return kept

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -64,9 +65,10 @@ def test_fingerprints_and_components(spark):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("block", [2, 8, 256])
-def test_dense_groups_lose_no_link(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(2, 1 << 20), (8, 1 << 20), (256, 1 << 20), (2, 4), (4, 30)])
+def test_dense_groups_lose_no_link(spark, monkeypatch, block, hot):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(block)
     centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
     near = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in np.repeat(centre, 60)}
@@ -78,6 +80,28 @@ def test_dense_groups_lose_no_link(spark, monkeypatch, block):
     assert classes(got) == classes(want)
 
 
+def test_a_hot_key_makes_rows_in_proportion(spark):
+    """Fingerprints that all agree in one segment: pairs of blocks would make (n / BLOCK) ** 2 / 2 groups of rows."""
+    n = 100_000
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 2**32, n, dtype=np.uint64)) | np.uint64(0x5A5A5A5A << 32)
+    near = fps[:200] ^ np.uint64(0b1011)
+    table = spark.createDataFrame(pd.DataFrame({"fp": np.union1d(fps, near).view(np.int64)}))
+    made = []
+    verified = simhash._verified
+
+    def counted(index, shared, distance):
+        made.append(shared.select(F.sum(F.col("n") * F.ceil(F.col("n") / simhash.BLOCK))).first()[0] or 0)
+        return verified(index, shared, distance)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "_verified", counted)
+        links = {frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.near_links(table).collect()}
+    assert sum(made) < 40 * n
+    found = classes([tuple(x) for x in links])
+    assert all(any({int(a), int(b)} <= c for c in found) for a, b in zip(fps[:200], near, strict=True))
+
+
 def classes(pairs):
     out = {}
     for a, b in pairs:
