@@ -51,6 +51,17 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def allow_hash_joins(spark: SparkSession, most: str = "64m") -> None:
+    """Lets adaptive execution join by a hash table where every partition of one side is small.
+
+    The sizes are those of the partitions as shuffled; beyond ``most`` bytes, or by its default,
+    Spark sorts both sides, and can spill.  A setting of the session's own stays.
+    """
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(name, "0").rstrip("bB") == "0":
+        spark.conf.set(name, most)
+
+
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import fresh_names
+from loomwork.llm.common import allow_hash_joins, fresh_names
 
 BLANKS = " \t\r"
 
@@ -85,9 +85,9 @@ def dedup_lines(
         .groupBy(F.col("id").alias(cut_id), F.col("sum64").alias(cut_sum))
         .agg(F.array_distinct(F.flatten(F.collect_set(span))).alias(cut_at))
     )
-    # the build side holds line numbers only, and saves sorting whole texts
+    allow_hash_joins(docs.sparkSession)  # one side holds line numbers only; saves sorting whole texts
     on = F.col(id_col).eqNullSafe(F.col(cut_id)) & (F.xxhash64(F.col(text_col)) == F.col(cut_sum))
-    joined = docs.join(gone.hint("shuffle_hash"), on, "left")
+    joined = docs.join(gone, on, "left")
     lines, cut = _lines(F.col(text_col)), F.col(cut_at)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)
     text = F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
