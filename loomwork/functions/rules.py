@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,43 +271,176 @@ def breaks(value: Column, kind: T.DataType, keyword: str, parameter: Any) -> Col
     return verdict(value, keyword, parameter)["broke"] if keyword in CUSTOM else F.lit(False)
 
 
-FAILURE = "struct<path:string,rule:string,parameter:string>"
+FAILURE = "struct<path:string,rule:string,parameter:string,expected:string,value:string,broke:boolean>"
+_ENTRY = pa.struct([*((n, pa.string()) for n in ("path", "rule", "parameter", "expected", "value")), ("broke", pa.bool_())])
+SHOWN = 256
 
 
-def first_failure(path: str, value: Column, kind: T.DataType, rules: Sequence[tuple[str, Any]], nullable: bool) -> Column:
-    """(path, rule, parameter) of the first rule in order that the value fails, or null."""
+def shown_value(value: Column, kind: T.DataType) -> Column:
+    """The value as text, at most ``SHOWN`` characters and how many more there are; null for null."""
+    text = F.to_json(value) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else value.cast("string")
+    more = F.concat(F.substring(text, 1, SHOWN), F.lit("…(+"), (F.length(text) - SHOWN).cast("string"), F.lit(" chars)"))
+    return F.when(F.length(text) > SHOWN, more).otherwise(text)
+
+
+def first_failure(path: Column, value: Column, t: Type, rules: Sequence[tuple[str, Any]]) -> Column:
+    """The first rule in order that the value fails, as ``FAILURE``, or null.
+
+    broke: the rule itself failed on the value, which is no verdict on it.
+    """
+    kind = t.bare.to_spark()
+    expected, shown = F.lit(t.text()).alias("expected"), shown_value(value, kind).alias("value")
+
+    def entry(keyword: str, parameter: Any, broke: Column) -> Column:
+        said = json.dumps(parameter, sort_keys=True, ensure_ascii=False)
+        return F.struct(path.alias("path"), F.lit(keyword).alias("rule"), F.lit(said).alias("parameter"), expected, shown, broke.alias("broke"))
+
     found = F.lit(None).cast(FAILURE)
     for keyword, parameter in reversed(list(rules)):
-        shown = json.dumps(parameter, sort_keys=True, ensure_ascii=False)
-        entry = F.struct(F.lit(path).alias("path"), F.lit(keyword).alias("rule"), F.lit(shown).alias("parameter"))
-        found = F.when(~passes(value, kind, keyword, parameter), entry).otherwise(found)
-    if not nullable:
-        entry = F.struct(F.lit(path).alias("path"), F.lit("nullable").alias("rule"), F.lit("false").alias("parameter"))
-        found = F.when(value.isNull(), entry).otherwise(found)
+        if keyword in CUSTOM:  # called once a value: its verdict says both
+            said = verdict(value, keyword, parameter)
+            bad, broke = ~F.coalesce(said["ok"], F.lit(False)), F.coalesce(said["broke"], F.lit(False))
+        else:
+            broke = breaks(value, kind, keyword, parameter)
+            bad = ~passes(value, kind, keyword, parameter) | broke
+        found = F.when(bad, entry(keyword, parameter, broke)).otherwise(found)
+    if t.kind != "optional":
+        found = F.when(value.isNull(), entry("nullable", False, F.lit(False))).otherwise(found)
     return found
 
 
-def _deep(path: str, value: Column, t: Type, rules: Sequence[tuple[str, Any]]) -> list[Column]:
-    """Failures of a value and, where it holds objects, of their fields."""
-    nullable, bare = t.kind == "optional", t.bare
-    kind = bare.to_spark()
-    if bare.kind == "literal":
-        rules = [("enum", list(bare.values)), *rules]
-    out = [first_failure(path, value, kind, rules, nullable)]
-    if bare.kind in ("list", "dict") and bare.parts[0].kind != "optional":
-        items = value if bare.kind == "list" else F.map_values(value)
-        entry = F.struct(F.lit(path).alias("path"), F.lit("nullable").alias("rule"), F.lit("false").alias("parameter"))
-        out[0] = F.coalesce(F.when(F.exists(items, lambda x: x.isNull()), entry), out[0])
-    if bare.kind == "nested":
-        for name, f in bare.fields:
-            inner = _deep(f"{path}.{name}", value[name], f.type, f.rules)
-            out += [F.when(value.isNotNull(), x) for x in inner]
+def _in_python(t: Type, rules: Sequence[tuple[str, Any]]) -> bool:
+    """Whether a rule of the type or of anything in it needs Python, which can't run inside a lambda."""
+    own = any(k in CUSTOM or (k == "pattern" and not portable(v)) for k, v in rules)
+    return own or any(_in_python(p, ()) for p in t.parts) or any(_in_python(f.type, f.rules) for _, f in t.fields)
+
+
+def _own_rules(t: Type, rules: Sequence[tuple[str, Any]]) -> list[tuple[str, Any]]:
+    return [("enum", list(t.bare.values)), *rules] if t.bare.kind == "literal" else list(rules)
+
+
+def _deep(path: Column, value: Column, t: Type, rules: Sequence[tuple[str, Any]]) -> list[Column]:
+    """Arrays of failures: of a value, then of what it holds, in declaration and item order."""
+    bare = t.bare
+    out = [F.array(first_failure(path, value, t, _own_rules(t, rules)))]
+    if bare.kind in ("list", "dict") and _in_python(bare.parts[0], ()):
+        return [*out, _items_in_python(path, value, bare)]
+
+    def inside(at: Column, x: Column, part: Type) -> Column:
+        return F.filter(F.concat(*_deep(at, x, part, ())), lambda f: f.isNotNull())
+
+    none = F.array().cast(f"array<{FAILURE}>")
+    if bare.kind == "list":
+        each = F.transform(value, lambda x, i: inside(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, bare.parts[0]))
+        out.append(F.coalesce(F.flatten(each), none))
+    elif bare.kind == "dict":
+        entries = F.array_sort(F.map_keys(value))
+        each = F.transform(entries, lambda k: inside(F.concat(path, F.lit("."), k), F.element_at(value, k), bare.parts[0]))
+        out.append(F.coalesce(F.flatten(each), none))
+    elif bare.kind == "tuple":
+        parts = [x for i, p in enumerate(bare.parts) for x in _deep(F.concat(path, F.lit(f"[{i}]")), value[f"_{i}"], p, ())]
+        out.append(F.when(value.isNotNull(), F.concat(*parts)).otherwise(none))
+    elif bare.kind == "nested":
+        parts = [x for name, f in bare.fields for x in _deep(F.concat(path, F.lit(f".{name}")), value[name], f.type, f.rules)]
+        out.append(F.when(value.isNotNull(), F.concat(*parts)).otherwise(none))
     return out
 
 
+def _items_in_python(path: Column, value: Column, t: Type) -> Column:
+    """The failures of a list's or dict's items by Arrow batches, for rules that need Python."""
+    custom = dict(CUSTOM)  # goes along: a worker has imported no more than this module
+
+    # Arrow's own values keep integers beside nulls, which pandas would turn into floats
+    @F.arrow_udf(f"array<{FAILURE}>")
+    def run(paths: pa.Array, values: pa.Array) -> pa.Array:
+        rows = zip(paths.to_pylist(), values.to_pylist(), strict=True)
+        names = [f.name for f in _ENTRY]
+        found = [[] if v is None else [dict(zip(names, x, strict=True)) for x in _walk(p, plain(v, t), t, custom)] for p, v in rows]
+        return pa.array(found, pa.list_(_ENTRY))
+
+    return run(path, value)
+
+
+def plain(v: Any, t: Type) -> Any:
+    """What Arrow gives for a value of the type, as Python lists and dicts."""
+    if v is None:
+        return None
+    t = t.bare
+    if t.kind == "list":
+        return [plain(x, t.parts[0]) for x in v]
+    if t.kind == "dict":
+        return {k: plain(x, t.parts[0]) for k, x in (v.items() if isinstance(v, dict) else v)}
+    if t.kind == "tuple":
+        return {f"_{i}": plain(v[f"_{i}"], p) for i, p in enumerate(t.parts)}
+    if t.kind == "nested":
+        return {n: plain(v[n], f.type) for n, f in t.fields}
+    return v.item() if hasattr(v, "item") else v
+
+
+def _walk(path: str, v: Any, t: Type, custom: dict[str, Callable]) -> Any:
+    """The failures of what a value holds, as tuples of ``FAILURE``'s fields."""
+    if t.kind == "list":
+        inner = [(f"{path}[{i}]", x, t.parts[0], ()) for i, x in enumerate(v)]
+    elif t.kind == "dict":
+        inner = [(f"{path}.{k}", v[k], t.parts[0], ()) for k in sorted(v)]
+    elif t.kind == "tuple":
+        inner = [(f"{path}[{i}]", v[f"_{i}"], p, ()) for i, p in enumerate(t.parts)]
+    else:
+        inner = [(f"{path}.{n}", v[n], f.type, f.rules) for n, f in t.fields]
+    for at, x, part, rules in inner:
+        if x is None:
+            if part.kind != "optional":
+                yield (at, "nullable", "false", part.text(), None, False)
+            continue
+        for keyword, parameter in _own_rules(part, rules):
+            ok, broke = judged(x, keyword, parameter, custom)
+            if not ok:
+                text = x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, default=str)
+                text = text if len(text) <= SHOWN else f"{text[:SHOWN]}…(+{len(text) - SHOWN} chars)"
+                yield (at, keyword, json.dumps(parameter, sort_keys=True, ensure_ascii=False), part.text(), text, broke)
+                break
+        if part.bare.kind in ("list", "dict", "tuple", "nested"):
+            yield from _walk(at, x, part.bare, custom)
+
+
+def judged(v: Any, keyword: str, p: Any, custom: dict[str, Callable] = CUSTOM) -> tuple[bool, bool]:
+    """Whether a Python value passes a rule, and whether the rule itself broke on it."""
+    if v is None:
+        return True, False
+    if keyword in custom:
+        try:
+            said = custom[keyword](v, **(p if isinstance(p, dict) else {}))
+        except Exception:  # the rule's own failure is a result
+            return False, True
+        return said is None, said is not None and not isinstance(said, str)
+    match keyword:
+        case "minimum":
+            return not v < p, False
+        case "maximum":
+            return not v > p, False
+        case "exclusiveMinimum":
+            return not v <= p, False
+        case "exclusiveMaximum":
+            return not v >= p, False
+        case "multipleOf":
+            q = v / p
+            if not math.isfinite(q):
+                return False, True
+            return math.isclose(q, round(q), rel_tol=1e-9, abs_tol=0), False
+        case "minLength" | "minItems" | "minProperties":
+            return len(v) >= p, False
+        case "maxLength" | "maxItems" | "maxProperties":
+            return len(v) <= p, False
+        case "pattern":
+            return re.search(p, v) is not None, False
+        case "uniqueItems":
+            return not p or not any(same(a, b) for i, a in enumerate(v) for b in v[i + 1 :]), False
+    return any(same(v, m) for m in p), False
+
+
 def failures(fields: dict[str, tuple[Column, Type, Sequence[tuple[str, Any]]]]) -> Column:
-    """One entry a failed field, in declaration order, as an array of (path, rule, parameter)."""
-    entries = [x for name, (value, t, rules) in fields.items() for x in _deep(name, value, t, rules)]
+    """One entry a failed field, in declaration order, items of lists and dicts included, as an array of ``FAILURE``."""
+    entries = [x for name, (value, t, rules) in fields.items() for x in _deep(F.lit(name), value, t, rules)]
     if not entries:
         return F.array().cast(f"array<{FAILURE}>")
-    return F.filter(F.array(*entries), lambda x: x.isNotNull())
+    return F.filter(F.concat(*entries), lambda x: x.isNotNull())

@@ -120,14 +120,11 @@ class _Runner:
         )
 
     def validated(self, rows: DataFrame, values: Mapping[str, tuple[Column, Field]], c: Call, what: str) -> DataFrame:
-        broke = F.lit(False)
-        for v, f in values.values():
-            for keyword, parameter in f.rules:
-                broke = broke | value_rules.breaks(v, f.type.bare.to_spark(), keyword, parameter)
-        rows = self.halted(rows, broke, self.entry(FAILURE, "engine", F.lit("rule"), F.lit(f"a rule of {what} failed itself"), c))
         found = value_rules.failures({k: (v, f.type, f.rules) for k, (v, f) in values.items()})
         name = f"__f{self.prefix}{c.position}{what[0]}"
         rows = rows.withColumn(name, found)
+        broke = F.coalesce(F.exists(name, lambda x: x.broke), F.lit(False))
+        rows = self.halted(rows, broke, self.entry(FAILURE, "engine", F.lit("rule"), F.lit(f"a rule of {what} failed itself"), c))
         said = F.concat_ws(", ", F.transform(F.col(name), lambda x: F.concat_ws(" ", x.path, x.rule)))
         return self.halted(rows, F.coalesce(F.size(name) > 0, F.lit(False)), self.entry(VALUE, None, None, said, c, F.col(name))).drop(name)
 

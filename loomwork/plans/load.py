@@ -37,7 +37,9 @@ def _body(data: Mapping[str, Any], needed: str, where: str) -> None:
 
 
 def parse_field(data: Any, where: str, description: bool = False, default: bool = False, ports: bool = True) -> Field:
-    """A field table: one of type, fields, item and value, then nullable and rules."""
+    """A field: a type token, or a table with one of type, fields, item and value, then nullable and rules."""
+    if isinstance(data, str):
+        data = {"type": data}
     if not isinstance(data, Mapping):
         raise PlanError("bad-value", "a field is a table", where)
     shape = [k for k in _SHAPE if k in data]
@@ -51,6 +53,7 @@ def parse_field(data: Any, where: str, description: bool = False, default: bool
                 t = nested({k: parse_field(v, f"{where}.{k}", description, False, ports) for k, v in data["fields"].items()})
             case "item" | "value":
                 inner = data[shape[0]]
+                _closed(inner, "fields item value", f"{where}.{shape[0]}")  # an element has its shape only
                 t = (list_of if shape[0] == "item" else dict_of)(parse_field(inner, f"{where}.{shape[0]}", description, False, ports).type)
     except (TypeTokenError, AttributeError) as e:
         raise PlanError("bad-type", str(e), where) from e

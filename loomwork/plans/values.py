@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import inspect
-import math
-import re
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
-from loomwork.functions.rules import CUSTOM, same
+from loomwork.functions.rules import judged
 from loomwork.functions.types import Field, Type
 
 
@@ -18,7 +16,7 @@ def misfits(value: Any, f: Field, path: str = "") -> Iterator[str]:
     if value is None:
         return
     for keyword, parameter in f.rules:
-        if not _passes(value, keyword, parameter):
+        if not judged(value, keyword, parameter)[0]:
             yield f"{path or 'value'} fails {keyword}"
             return
 
@@ -75,31 +73,6 @@ def _shape(value: Any, t: Type, path: str) -> Iterator[str]:
                 yield from misfits(value[k], f, f"{path}.{k}".lstrip("."))
 
 
-def _passes(v: Any, keyword: str, p: Any) -> bool:
-    match keyword:
-        case "minimum":
-            return not v < p
-        case "maximum":
-            return not v > p
-        case "exclusiveMinimum":
-            return not v <= p
-        case "exclusiveMaximum":
-            return not v >= p
-        case "multipleOf":
-            return math.isclose(v / p, round(v / p), rel_tol=1e-9, abs_tol=0)
-        case "minLength" | "minItems" | "minProperties":
-            return len(v) >= p
-        case "maxLength" | "maxItems" | "maxProperties":
-            return len(v) <= p
-        case "pattern":
-            return re.search(p, v) is not None
-        case "uniqueItems":
-            return not p or not any(same(a, b) for i, a in enumerate(v) for b in v[i + 1 :])
-        case "enum":
-            return any(same(v, m) for m in p)
-    return CUSTOM[keyword](v, **(p if isinstance(p, dict) else {})) is None
-
-
 def signature_misfit(call: Callable, given: list[str]) -> str | None:
     """Why a body can't be called with these names; None if it can."""
     try:

@@ -6,9 +6,11 @@ import re
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions import rules
-from loomwork.functions.types import parse_type
+from loomwork.functions.types import loose, parse_type
+from loomwork.plans import load
 
 NAN, INF = float("nan"), float("inf")
 PYTHON = {
@@ -44,7 +46,83 @@ def test_first_failing_rule_of_each_field(spark):
     df = spark.createDataFrame([(1, "ab", [1, None]), (2, "abcdef", [1]), (3, None, None)], "k int, t string, l array<long>")
     fields = {"t": (F.col("t"), parse_type("str"), [("minLength", 3), ("maxLength", 4)]), "l": (F.col("l"), parse_type("list[int] | None"), [("minItems", 1)])}
     out = {r.k: [(x.path, x.rule) for x in r.f] for r in df.select("k", rules.failures(fields).alias("f")).collect()}
-    assert out == {1: [("t", "minLength"), ("l", "nullable")], 2: [("t", "maxLength")], 3: [("t", "nullable")]}
+    assert out == {1: [("t", "minLength"), ("l[1]", "nullable")], 2: [("t", "maxLength")], 3: [("t", "nullable")]}
+
+
+def brute_failures(path, v, t, own=()):
+    """Field by field and item by item, in Python."""
+    if v is None:
+        return [] if t.kind == "optional" else [(path, "nullable")]
+    out = []
+    for keyword, parameter in ([("enum", list(t.bare.values))] if t.bare.kind == "literal" else []) + list(own):
+        if not (PYTHON[keyword](v, parameter) if keyword in PYTHON else rules.CUSTOM[keyword](v) is None):
+            out.append((path, keyword))
+            break
+    t = t.bare
+    if t.kind == "list":
+        return out + [x for i, y in enumerate(v) for x in brute_failures(f"{path}[{i}]", y, t.parts[0])]
+    if t.kind == "dict":
+        return out + [x for k in sorted(v) for x in brute_failures(f"{path}.{k}", v[k], t.parts[0])]
+    if t.kind == "tuple":
+        return out + [x for i, p in enumerate(t.parts) for x in brute_failures(f"{path}[{i}]", v[i], p)]
+    if t.kind == "nested":
+        return out + [x for n, f in t.fields for x in brute_failures(f"{path}.{n}", v[n], f.type, f.rules)]
+    return out
+
+
+@pytest.mark.parametrize("word_rules", [{"maxLength": 2}, {"tests.short": {}}, {"pattern": r"\A\S{0,2}\Z"}, {"pattern": r"(?P<a>^\S{0,2}$)"}], ids=str)
+def test_rules_inside_lists_and_dicts(spark, word_rules):
+    @rules.custom_rule("tests.short")
+    def short(value, **_):
+        return None if len(value) < 3 else "long"
+
+    inner = {"n": {"type": "int", "minimum": 3}, "w": {"type": "str", **word_rules}, "o": {"type": "int | None", "maximum": 5}}
+    found = load.parse_fields(
+        {
+            "xs": {"item": {"fields": inner}, "minItems": 1}, "d": {"value": {"item": {"fields": inner}}},
+            "pair": {"type": "tuple[int, list[Literal['a', 'b']]]"}, "plain": "dict[str, int]", "deep": {"fields": {"inner": {"item": {"fields": inner}}}},
+        },
+        "t",
+    )
+    good, bad, odd = {"n": 3, "w": "ab", "o": None}, {"n": 1, "w": "abcd", "o": 9}, {"n": None, "w": "abc", "o": 6}
+    rows = [
+        {"xs": [good], "d": {"k": [good]}, "pair": (1, ["a"]), "plain": {"a": 1}, "deep": {"inner": [good]}},
+        {"xs": [good, bad, odd], "d": {"k": [], "j": [bad, good]}, "pair": (None, ["a", "c"]), "plain": {"a": None}, "deep": {"inner": [odd]}},
+        {"xs": [], "d": {}, "pair": (1, []), "plain": {}, "deep": {"inner": []}},
+        {"xs": [None], "d": {"k": None}, "pair": None, "plain": None, "deep": None},
+    ]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), *(T.StructField(n, loose(f.type.to_spark())) for n, f in found.items())])
+    df = spark.createDataFrame([(k, *(r[n] for n in found)) for k, r in enumerate(rows)], schema)
+    got = df.select("k", rules.failures({n: (F.col(n), f.type, f.rules) for n, f in found.items()}).alias("f")).collect()
+    for r in got:
+        want = [x for n, f in found.items() for x in brute_failures(n, rows[r.k][n], f.type, f.rules)]
+        assert [(x.path, x.rule) for x in r.f] == want
+    said = {x.path: x for x in got[1].f}
+    assert (said["xs[1].n"].value, said["xs[1].n"].expected, said["xs[1].n"].parameter, said["xs[1].n"].broke) == ("1", "int", "3", False)
+    assert said["xs[2].n"].value is None and said["xs[1].w"].value == "abcd"
+
+
+def test_long_values_are_cut_in_reports(spark):
+    df = spark.createDataFrame([("x" * 300,)], "t string")
+    x = df.select(rules.failures({"t": (F.col("t"), parse_type("str"), [("maxLength", 2)])}).alias("f")).first().f[0]
+    assert x.value == "x" * 256 + "…(+44 chars)"
+
+
+def test_a_broken_rule_is_told(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @rules.custom_rule("tests.breaks")
+    def breaks(value, **_):
+        calls.add(1)
+        if value == 2:
+            raise KeyError("x")
+        return None if value < 5 else "large"
+
+    df = spark.createDataFrame([(1,), (2,), (7,)], "v long").coalesce(1)
+    f = {"v": (F.col("v"), parse_type("int"), [("tests.breaks", {})])}
+    got = [[(x.rule, x.broke) for x in r.f] for r in df.select(rules.failures(f).alias("f")).collect()]
+    assert got == [[], [("tests.breaks", True)], [("tests.breaks", False)]]
+    assert calls.value == 3  # once a value
 
 
 def test_rules_that_cannot_apply():
