@@ -51,6 +51,20 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_ours = {"67108864b", "64m"}  # Spark's default, and what operators set
+
+
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds the Arrow batches between the JVM and Python by bytes, not by rows alone, as texts are long.
+
+    The last operator's wish holds in a session; a setting of the session's own stays.
+    """
+    if spark.conf.get(_BATCH_BYTES, "64m") in _ours:
+        _ours.add(most)
+        spark.conf.set(_BATCH_BYTES, most)
+
+
 def allow_hash_joins(spark: SparkSession, most: str = "64m") -> None:
     """Lets adaptive execution join by a hash table where every partition of one side is small.
 

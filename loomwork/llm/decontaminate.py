@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import bounded_batches
 from loomwork.llm.tokens import slices, trimmed
 
 RATE = 0.2
@@ -358,6 +359,7 @@ def find_items(
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, item_id long, first_word long, end_word long, edits int, similarity double"
+    bounded_batches(docs.sparkSession)
     out = None
     for matcher in matchers(benchmark, item_col, item_text_col, rate, recall):
         kept = docs.sparkSession.sparkContext.broadcast(matcher)
@@ -389,6 +391,7 @@ def drop_contaminated(
     item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, recall: float = RECALL,
 ) -> DataFrame:
     """The rows of docs, all columns, that hold no item; a pass without a shuffle for each block of items."""
+    bounded_batches(docs.sparkSession)
     for matcher in matchers(benchmark, item_col, item_text_col, rate, recall):
         kept = docs.sparkSession.sparkContext.broadcast(matcher)
         place = docs.columns.index(text_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import fresh_names
+from loomwork.llm.common import bounded_batches, fresh_names
 from loomwork.llm.tokens import trimmed
 
 WINDOW = 3
@@ -322,6 +322,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ch
             cols = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*kept, text_col, chars_col])
 
+    bounded_batches(pages.sparkSession)
     whole = pages.select(*(F.col(f"`{c}`") for c in kept))
     source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html_col).alias(fresh_names(whole, "page_html")[0]))
     schema = whole.schema.add(text_col, "string").add(chars_col, "long")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import bounded_batches, cut
 from loomwork.llm.tokens import slices, trimmed
 
 DIMS = 1 << 12
@@ -235,6 +235,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample:
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used])], names=["place", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = cut(drawn(docs, lang_col, text_col, sample).mapInArrow(trimmed(count), _ROWS))
     df = np.zeros(DIMS + 1, np.int64)
     parts = rows.where("whole").select("place").mapInArrow(trimmed(frequency), "place int, n long")
@@ -284,6 +285,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 names=[id_col, "lang_pred", "score", "accepted"],
             )
 
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
@@ -292,6 +294,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     """The rows of docs, all columns, whose language the model accepts; one pass without a shuffle."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

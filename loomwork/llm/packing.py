@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import bounded_batches
 from loomwork.llm.tokens import slices, token_ids, trimmed
 
 SIZE = 1024
@@ -135,7 +136,7 @@ class _Stretch:
 
 def pack(
     docs: DataFrame, tokenizer: str, spaces: str = "leading", end_id: int = 0, size: int = SIZE,
-    id_col: str = "doc_id", text_col: str = "text", remembered: int = 1_000_000,
+    id_col: str = "doc_id", text_col: str = "text", remembered: int = 1_000_000, slice_bytes: int = 12 << 20, stretch: int = STRETCH,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -143,7 +144,8 @@ def pack(
     token is in exactly one piece, and a piece's offset is where the sequence's earlier pieces end.
     Ids may be null or repeat: every row of docs is a document of its own.  An empty table gives no
     rows.  Other columns are not read.  remembered bounds the pieces of text whose ids a worker
-    keeps; it changes time and memory only.
+    keeps, and slice_bytes the text that is encoded at once; they change time and memory only.  A
+    stretch of about so many tokens is packed at once, to its own end.
     """
     if size < GRID or size & (size - 1):
         raise ValueError(f"size must be a power of two, {GRID} or more")
@@ -151,29 +153,30 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_ids(tokenizer, spaces, "<u4", remembered)
         sequence = TaskContext.get().partitionId() << 40
-        stretch = _Stretch()
+        held = _Stretch()
 
         def flush() -> pa.RecordBatch:
-            nonlocal sequence, stretch
-            piece, names, sequence = stretch.pack(size, sequence)
-            stretch = _Stretch()
+            nonlocal sequence, held
+            piece, names, sequence = held.pack(size, sequence)
+            held = _Stretch()
             return pa.RecordBatch.from_arrays([names, *map(pa.array, piece.values())], names=["doc_id", *piece])
 
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 12 << 20 if remembered > 500_000 else 6 << 20):
+            for a, b in slices(texts, slice_bytes):
                 got = encoder.encode(texts.slice(a, b - a))
                 first, last = np.searchsorted(got.ends, got.lo, side="right"), np.searchsorted(got.ends, got.hi)
                 lo, hi = got.lo.tolist(), got.hi.tolist()
                 ids = [np.append(got.ids[i:j], end) for i, j in zip(lo, hi, strict=True)]
                 ends = [got.ends[p:q] - i for i, p, q in zip(lo, first.tolist(), last.tolist(), strict=True)]
-                stretch.add(batch.column(0).slice(a, b - a), ids, ends)
-                if stretch.total >= STRETCH:
+                held.add(batch.column(0).slice(a, b - a), ids, ends)
+                if held.total >= stretch:
                     yield flush()
-        if stretch.total:
+        if held.total:
             yield flush()
 
+    bounded_batches(docs.sparkSession, "16m" if slice_bytes > 8 << 20 else "8m")
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), schema).withColumnRenamed("doc_id", id_col)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import allow_hash_joins, cut, fresh_names, partition_count
+from loomwork.llm.common import allow_hash_joins, bounded_batches, cut, fresh_names, partition_count
 from loomwork.llm.components import connected_components, spanning_forest
 from loomwork.llm.tokens import trimmed
 
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(trimmed(run), f"id {kind}, fp long")
 
@@ -246,6 +247,7 @@ def keep_one(
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["id", "sum64", "fp"])
 
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     marked = marked.withColumn("text", F.col("text").cast("binary"))
     fps = cut(marked.mapInArrow(trimmed(run), f"id {kind}, sum64 long, fp long"))

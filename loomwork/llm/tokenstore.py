@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import drop_stored, partition_count, shared_path, stored
+from loomwork.llm.common import bounded_batches, drop_stored, partition_count, shared_path, stored
 from loomwork.llm.huffman import Codec, code_lengths
 from loomwork.llm.tokens import slices, token_ids, trimmed
 
@@ -41,6 +41,7 @@ def tokenize(
     tells how often each id is in the stretch, so that a count of all ids need not read them again.
     Null texts count as empty.  Ids over 65,535 are an error.
     """
+    bounded_batches(docs.sparkSession, "16m")
     tail = b"" if end_id is None else np.uint16(end_id).astype("<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

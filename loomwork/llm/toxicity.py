@@ -4,7 +4,10 @@ Tokens' scores
     Log-odds of a token in toxic against other training texts, each text counting a token once,
     with an informative Dirichlet prior: the prior counts follow the token's share in both classes
     together.  Tokens whose log-odds are ``Z_LEAST`` standard errors from zero enter the lexicon;
-    every token costs ``DRIFT``, so that scores have a negative mean in other texts.
+    every token costs ``DRIFT``, so that scores have a negative mean in other texts.  What isn't
+    that far from zero is noise of the sample, most of it from tokens of one or two texts, and
+    tokens that the sample lacks have no log-odds at all: they all count as zero and cost the drift.
+    So the lexicon has the size of the evidence, not of the vocabulary.
 
 Segments
     All maximal scoring segments of a text are found in one linear scan (Ruzzo and Tompa), over the
@@ -34,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import bounded_batches, cut
 from loomwork.llm.decontaminate import words
 from loomwork.llm.langid import remainder
 from loomwork.llm.tokens import slices, trimmed
@@ -100,6 +103,8 @@ def maximal_segments(place: list[int], score: list[float], drift: float) -> list
 
 def lexicon(tokens: list[str], toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> Lexicon:
     """From the number of toxic and of other texts with each token, and the sums over all tokens."""
+    seen = np.flatnonzero(toxic + other > 0)  # a fold's tokens may all be in the texts left out
+    tokens, toxic, other = [tokens[k] for k in seen], toxic[seen], other[seen]
     prior, mass = PRIOR * (toxic + other), PRIOR * (n_toxic + n_other)
     a, b = toxic + prior, other + prior
     odds = np.log(a / np.maximum(n_toxic + mass - a, 1e-9)) - np.log(b / np.maximum(n_other + mass - b, 1e-9))
@@ -177,9 +182,12 @@ def fit(
     """Fits on the texts of docs that labels, at most ``sample`` of them; equal texts count once.
 
     Rows of labels with a null id or label are left out; a label that differs for one id counts as
-    toxic.  Without labelled texts of both kinds nothing is toxic.
+    toxic.  Without labelled texts of both kinds, or with an empty table, nothing is toxic.  Rows of
+    docs with one id all count, if their texts differ.  The driver gets the counts of tokens that are
+    in two toxic texts or in 50, and the segments of the sampled texts: as much as ``sample`` bounds.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
     one = one.agg(F.max(F.col(label_col)).alias("__toxic"))
     few = one.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # the bound of what is broadcast
@@ -252,8 +260,10 @@ def fit(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, passages) a row a document; passages: first and last word, score and p of each.
 
-    Null and empty texts have no passages and the least score.  Ids may be null or repeat.
+    Null and empty texts have no passages and the least score.  Ids may be null or repeat; each row
+    is scored alone, in time linear in its text.  An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(Model(model.lexicons[:1], model.slope, model.base))
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
 
