@@ -7,11 +7,12 @@ import hashlib
 import json
 import math
 import secrets
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions.types import Field, Type
 
@@ -74,6 +75,82 @@ def canon_schema(fields: Mapping[str, Field], ordered: bool = False) -> Any:
     return {n: canon_field(f) for n, f in fields.items()}
 
 
+def canonical_text(value: Column, kind: T.DataType) -> Column:
+    """A column's value as canonical JSON text: keys sorted, no blanks, numbers as Python writes them.
+
+    Equal values give equal text, whatever the order of a map's entries.  Structs whose fields are
+    ``_0, _1, ...`` are tuples and become lists; bytes are base64.  NaN and the infinities, which
+    JSON hasn't, are text.
+    """
+    if isinstance(kind, T.StringType):
+        quoted = F.to_json(F.array(value))  # the JVM's own escapes
+        text = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    elif isinstance(kind, T.BinaryType):
+        text = F.concat(F.lit('"'), F.base64(value), F.lit('"'))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.concat(F.lit('"'), value.cast("string"), F.lit('"')))
+        text = text.otherwise(float_text(value))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: canonical_text(x, kind.elementType))
+        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(value))
+        items = F.transform(keys, lambda k: _member(canonical_text(k, kind.keyType), canonical_text(F.element_at(value, k), kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        if [f.name for f in kind.fields] == [f"_{i}" for i in range(len(kind.fields))]:
+            text = F.concat(F.lit("["), F.concat_ws(",", *(canonical_text(value[f.name], f.dataType) for f in kind.fields)), F.lit("]"))
+        else:
+            text = canonical_object({f.name: (value[f.name], f.dataType) for f in kind.fields})
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        text = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), F.lit("null")).otherwise(text)
+
+
+def canonical_object(members: Mapping[str, tuple[Column, T.DataType]]) -> Column:
+    """Columns as one canonical JSON object."""
+    said = [_member(F.lit(json.dumps(n, ensure_ascii=False)), canonical_text(c, k)) for n, (c, k) in sorted(members.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *said), F.lit("}"))
+
+
+def _member(key: Column, value: Column) -> Column:
+    return F.concat(key, F.lit(":"), value)
+
+
+def float_text(value: Column) -> Column:
+    """A finite double as Python's ``repr`` lays it out, with the digits that the JVM gives."""
+
+    def bind(x: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(x), body), F.lit(0))
+
+    def laid_out(x: Column) -> Column:
+        n = F.length(x.digits)
+        plain = (
+            F.when(x.point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -x.point), x.digits))
+            .when(x.point >= n, F.concat(F.rpad(x.digits, x.point, F.lit("0")), F.lit(".0")))
+            .otherwise(F.concat(F.substring(x.digits, F.lit(1), x.point), F.lit("."), F.substring(x.digits, x.point + 1, n)))
+        )
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substring(x.digits, F.lit(2), n))).otherwise(F.lit(""))
+        power = F.abs(x.point - 1).cast("string")
+        mark = F.when(x.point > 0, F.lit("e+")).otherwise(F.lit("e-"))
+        large = F.concat(F.substring(x.digits, F.lit(1), F.lit(1)), rest, mark, F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0")))
+        return F.when(x.digits == "", F.lit("0.0")).when((x.point > -4) & (x.point <= 16), plain).otherwise(large)
+
+    def parts(text: Column) -> Column:
+        mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2))
+        whole, behind = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+        digits = F.concat(whole, behind)
+        bare = F.ltrim(digits, F.lit("0"))
+        point = F.length(whole) - (F.length(digits) - F.length(bare)) + F.coalesce(F.try_to_number(power, F.lit("S999")).cast("int"), F.lit(0))
+        return F.struct(F.rtrim(bare, F.lit("0")).alias("digits"), point.alias("point"))
+
+    text = value.cast("double").cast("string")
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, bind(parts(F.ltrim(text, F.lit("-"))), laid_out))
+
+
 def new_run_id() -> str:
     """run_<UTC time>_<12 hex digits>."""
     return f"run_{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%SZ}_{secrets.token_hex(6)}"

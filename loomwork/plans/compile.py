@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from loomwork.functions.canonical import embed_name
+from loomwork.functions.rendering import RESERVED, RenderError, grammar, object_schema
 from loomwork.functions.types import Field
 from loomwork.operators.folds import accepts
 from loomwork.plans.errors import Findings, PlanError
@@ -39,6 +41,8 @@ class Call:
     inner: Plan | None = None
     composition: str | None = None
     streamable: bool = False
+    #: What compiled constants were made from.
+    sources: Mapping[str, Any] = field(default_factory=dict)
 
     @property
     def read_fields(self) -> Mapping[str, Field]:
@@ -98,8 +102,10 @@ def _wired(node: Node, step: Step, found: Findings, where: str) -> tuple[dict[st
     return reads, writes
 
 
-def _bound(node: Node, step: Step, found: Findings, where: str) -> dict[str, Any]:
-    out = {}
+def _bound(node: Node, step: Step, found: Findings, where: str) -> tuple[dict[str, Any], dict[str, Any]]:
+    """The step's constants as its body gets them, and what compilers made them from."""
+    out: dict[str, Any] = {}
+    sources: dict[str, Any] = {}
     for name in node.bindings:
         if name not in step.bindings:
             found.add("binding-unknown", f"no binding {name}", where)
@@ -122,12 +128,15 @@ def _bound(node: Node, step: Step, found: Findings, where: str) -> dict[str, Any
                     if isinstance(wanted, Mapping) and k in wanted:
                         for said in misfits(wanted[k], f, f"{name}.{k}".rstrip(".")):
                             found.add("binding-value", said, where)
-            out[name] = _compiled(decl.compiler, value, found, where)
         elif decl.has_default:
-            out[name] = _compiled(decl.compiler, decl.default, found, where)
+            value = decl.default
         else:
             found.add("binding-missing", f"no value for {name}", where)
-    return out
+            continue
+        out[name] = _compiled(decl.compiler, value, found, where)
+        if decl.compiler:
+            sources[name] = value
+    return out, sources
 
 
 def _compiled(name: str | None, value: Any, found: Findings, where: str) -> Any:
@@ -190,7 +199,7 @@ def compile_flow(flow: Flow, registry: Registry, deployment: Deployment | None =
     embedded: set[str] = set()
     extra_merge: dict[str, str] = {}
     for node in substitute(flow.nodes, registry):
-        where = f"{flow.name}[{len(calls)}] {node.name}"
+        where = f"{embed_name(flow.name, len(calls))} {node.name}"
         if node.kind == "handler":
             _add_step(calls, node, flow.supplies, registry, found, where)
             continue
@@ -226,7 +235,8 @@ def _add_step(calls: list[Call], node: Node, supplies: Mapping, registry: Regist
         misfit = signature_misfit(body.call, [*step.reads, *step.bindings, *step.services, *step.transport])
         if misfit:
             found.add("step-signature", f"its body {misfit}", where)
-    calls.append(Call(len(calls), step.name, step.kind, step, reads, writes, _bound(node, step, found, where), binding, identity, config))
+    bound, sources = _bound(node, step, found, where)
+    calls.append(Call(len(calls), step.name, step.kind, step, reads, writes, bound, binding, identity, config, sources=sources))
 
 
 def _add_trainable(calls: list[Call], t: Trainable, registry: Registry, found: Findings, where: str, scoped: set[str], merge: dict[str, str]) -> None:
@@ -247,11 +257,37 @@ def _add_trainable(calls: list[Call], t: Trainable, registry: Registry, found: F
         calls[k] = replace(c, reads={p: name(w) for p, w in c.reads.items()}, writes={p: name(w) for p, w in c.writes.items()}, composition=t.name)
     binding, identity, config = _service(t.services, t.supplies, t.config, registry, found, where)
     step = Step(t.name, "trainable", t.reads, t.emits, services=t.services)
+    backend = registry.backends.get(next(iter(t.services.values()), ""))
+    if backend is not None:
+        _certified(backend, t, found, where)
     reads, writes = {p: name(p) for p in t.reads}, {p: name(p) for p in t.emits}
     calls.append(Call(len(calls), t.name, "trainable", step, reads, writes, {}, binding, identity, config, composition=t.name, streamable=t.streamable))
     merge.update({name(w): s for w, s in t.merge.items()})
 
 
+def _certified(backend: Any, t: Trainable, found: Findings, where: str) -> None:
+    """What a backend must be able to do for a trainable, told before anything runs."""
+    if t.streamable and not callable(getattr(backend, "fragments", None)) and not hasattr(backend, "open"):
+        found.add("backend-capability", f"{t.name} streams, but its backend has no fragments", where)
+    form = getattr(backend, "form", "json_schema")
+    try:
+        grammar(object_schema(t.emits, "gbnf")) if form == "gbnf" else object_schema(t.emits, form)
+    except RenderError as e:
+        found.add("backend-capability", f"{t.name}: {e}", where)
+    extras = t.config.get("extras") if isinstance(t.config, Mapping) else None
+    taken = RESERVED & set(extras) if isinstance(extras, Mapping) else set()
+    if taken:
+        found.add("config-unknown", f"extras may not set {', '.join(sorted(taken))}", where)
+    if not hasattr(backend, "open") and callable(backend):
+        misfit = signature_misfit(backend if not hasattr(backend, "__call__") else backend.__call__, ["payload", "schema", "identity", "config", "transport"])
+        if misfit and not _optional_budget(misfit):
+            found.add("backend-capability", f"the backend of {t.name} {misfit}", where)
+
+
+def _optional_budget(misfit: str) -> bool:
+    return misfit == "needs remaining_budget_ms"
+
+
 def _topology(flow: Flow, calls: list[Call], merge: Mapping[str, str], scoped: frozenset[str]) -> Plan:
     found = Findings()
     wires: dict[str, Field] = {}
@@ -319,6 +355,10 @@ def cover(plan: Plan, registry: Registry, deployment: Deployment) -> Plan:
             for k in c.step.transport:
                 if k not in given and c.step.transport[k].type.kind != "optional":
                     found.add("hook-transport-missing", f"no {k}", where)
+                for said in misfits(given[k], c.step.transport[k], k) if k in given else ():
+                    found.add("transport-value", said, where)
+            for k in set(deployment.hook_transport.get(c.name, {})) - set(c.step.transport):
+                found.add("transport-unknown", f"{c.name} has no transport {k}", where)
         calls.append(replace(c, transport=dict(given)))
     found.done()
     return replace(plan, calls=tuple(calls))
@@ -330,5 +370,8 @@ def _transport(schema: Mapping[str, Field], given: Mapping[str, Any], found: Fin
             found.add("transport-missing", f"{binding} has no {k}", where)
         elif f.type.bare.kind == "secret_ref" and given.get(k) is not None and not _SECRET.fullmatch(str(given[k])):
             found.add("secret-form", f"{binding}.{k} is no [scheme]name", where)
+        elif k in given:
+            for said in misfits(given[k], f, f"{binding}.{k}"):
+                found.add("transport-value", said, where)
     for k in set(given) - set(schema):
         found.add("transport-unknown", f"{binding} has no transport {k}", where)

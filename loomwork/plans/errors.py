@@ -11,6 +11,7 @@ CODES = (
     "two-writers", "read-write-overlap", "unwired-merge", "merge-type", "dead-boundary", "duplicate-name", "binding-missing", "binding-unknown",
     "binding-value", "identity-missing", "identity-unknown", "config-missing", "config-unknown", "transport-missing", "transport-unknown",
     "hook-transport-missing", "secret-form", "service-count", "stream-placement", "step-signature", "backend-capability", "drift",
+    "transport-value", "artifact-unknown", "artifact-ambiguous", "manifest-missing", "manifest-form",
 )
 
 

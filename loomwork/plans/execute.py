@@ -3,8 +3,11 @@
 Wires are columns.  A failing row halts alone: its ``halt`` says what failed where, and no later
 step does anything for it.  Bodies of columns stay inside the JVM; Python bodies, services and
 model calls are Arrow batches and get told which rows are alive.  What talks to the outside is marked
-nondeterministic and passes through ``barrier`` (by default ``DataFrame.persist``), so that later
-reads of the result don't call it again; a lost executor or a retried task may.
+nondeterministic and passes through ``barrier``, by default a checkpoint in the shared folder, so that
+neither later reads of the result nor a lost executor call it again; only a retried task does.
+
+Elapsed times are whole milliseconds of bodies, services and models.  A body of columns has no time
+of its own, as Catalyst computes it with all others: it counts as zero.
 """
 
 from __future__ import annotations
@@ -12,16 +15,18 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwork.functions import rules as value_rules
-from loomwork.functions.canonical import correlation_id
+from loomwork.functions.canonical import canonical_object, correlation_id, remaining_ms
 from loomwork.functions.rendering import object_schema, payload_text
 from loomwork.functions.types import Field, loose
 from loomwork.operators.eventlog import EVENT_COLUMNS
@@ -29,9 +34,17 @@ from loomwork.operators.folds import fold_wide
 from loomwork.plans.compile import SEED, Call, Plan
 from loomwork.plans.identity import pipeline_hash
 from loomwork.plans.model import Registry
+from loomwork.plans.values import from_arrow, from_json, shape_misfits, takes, to_arrow
+from loomwork.sources.shared import cut
 
 HALT = f"struct<error_class:string,category:string,cause:string,message:string,position:int,name:string,fields:array<{value_rules.FAILURE}>>"
 CONTRACT, VALUE, FAILURE = "ContractViolation", "SchemaValidationError", "PipelineFailure"
+#: Calls to the outside that a task has under way at once.
+CONCURRENT = 8
+
+
+class ContractViolation(RuntimeError):
+    """What a hook or a body does against its contract; never absorbed."""
 
 
 @dataclass
@@ -68,23 +81,41 @@ class Result:
         one = self.rows.select(F.explode(self.events_array).alias("e")).where(F.col("e.event_type").isNotNull())
         return one.select(*(F.col(f"e.{c}") for c in EVENT_COLUMNS))
 
+    hooks: list[tuple] = field(default_factory=list)
+    barrier: Callable[[DataFrame], DataFrame] = cut
+
     def observe(self, registry: Registry) -> None:
-        """Runs the hooks' bodies for the rows that reached them; their failures are ignored."""
-        for name, wanted, body, given in getattr(self, "hooks", []):
+        """Runs the hooks' bodies for the rows that reached them, on rows that are computed once.
+
+        A hook's own failure is ignored.  What breaks its contract is not: a result other than None,
+        and a ``ContractViolation`` that it raises, stop the job.
+        """
+        if self.hooks:
+            self.rows = self.barrier(self.rows)
+        for name, wanted, body, given in self.hooks:
             seen = self.rows.where(wanted).select(F.struct(*(c.alias(p) for p, c in given["reads"].items())).alias("r"))
 
-            def emit(rows, body=body, extra=given["extra"]):
+            def emit(rows, name=name, body=body, extra=given["extra"]):
                 for row in rows:
                     try:
-                        body(**row.r.asDict(True), **extra)
+                        said = body(**row.r.asDict(True), **extra)
+                    except ContractViolation:
+                        raise
                     except Exception:  # a hook's failure never reaches the run
                         continue
+                    if said is not None:
+                        raise ContractViolation(f"the hook {name} gave {type(said).__name__}, not None")
 
             seen.foreachPartition(emit)
 
 
 class _Runner:
-    def __init__(self, plan: Plan, registry: Registry, run: Column, prefix: str, barrier: Callable, parent: Column | None, deadline: float | None):
+    def __init__(
+        self, plan: Plan, registry: Registry, run: Column, prefix: str, barrier: Callable, parent: Column | None, deadline: float | None,
+        sink: Callable | None = None,
+    ):
+        self.sink = sink
+        self.elapsed: list[Column] = []
         self.plan, self.registry, self.run, self.prefix, self.barrier, self.parent, self.deadline = plan, registry, run, prefix, barrier, parent, deadline
         self.made: dict[tuple[str, int, str | None], Column] = {}
         self.checked: set[str] = set()
@@ -104,10 +135,12 @@ class _Runner:
             return parts[0]
         return fold_wide(self.plan.merge[wire], parts, loose(self.plan.wires[wire].type.to_spark()))
 
-    def snapshot(self, values: Mapping[str, Column]) -> Column:
-        if not values:
-            return F.lit("{}")
-        return F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values))), {"ignoreNullFields": "false"})
+    def snapshot(self, values: Mapping[str, Column], fields: Mapping[str, Field]) -> Column:
+        return canonical_object({k: (v, loose(fields[k].type.to_spark())) for k, v in values.items()})
+
+    def total(self) -> Column:
+        """Milliseconds of all calls so far."""
+        return sum((F.coalesce(x, F.lit(0)) for x in self.elapsed), F.lit(0)).cast("long")
 
     def halted(self, rows: DataFrame, failing: Column, entry: Column) -> DataFrame:
         return rows.withColumn("__halt", F.coalesce("__halt", F.when(failing, entry.cast(HALT))))  # the first failure stays
@@ -133,14 +166,15 @@ class _Runner:
             self.made[w, SEED, None] = seeds[w]
         begun = F.lit(True) if self.parent is None else self.alive_at
         up = {} if self.parent is None else {"parent_run_id": self.parent.cast("string")}
-        self.event(begun, "pipeline_start", pipeline_hash=F.lit(self.hash), inputs_snapshot=self.snapshot(dict(seeds)), **up)
+        self.event(begun, "pipeline_start", pipeline_hash=F.lit(self.hash), inputs_snapshot=self.snapshot(dict(seeds), self.plan.inputs), **up)
         for c in self.plan.calls:
             rows = self.call(rows, c)
         ok = F.col("__halt").isNull() & begun
-        self.event(ok, "pipeline_complete", pipeline_hash=F.lit(self.hash), outputs_snapshot=self.snapshot({w: self.value(w, len(self.plan.calls)) for w in self.plan.outputs}))
+        self.event(ok, "pipeline_complete", pipeline_hash=F.lit(self.hash), elapsed_ms=self.total(),
+            outputs_snapshot=self.snapshot({w: self.value(w, len(self.plan.calls)) for w in self.plan.outputs}, self.plan.outputs))
         h = F.col("__halt")
         self.event(
-            h.isNotNull() & begun, "pipeline_error", pipeline_hash=F.lit(self.hash), error_class=h.error_class, failed_name=h.getField("name"), failed_position=h.position,
+            h.isNotNull() & begun, "pipeline_error", pipeline_hash=F.lit(self.hash), elapsed_ms=self.total(), error_class=h.error_class, failed_name=h.getField("name"), failed_position=h.position,
             error_message=h.message, cause_class=h.cause, failure_category=h.category,
         )
         return rows
@@ -148,7 +182,8 @@ class _Runner:
     def call(self, rows: DataFrame, c: Call) -> DataFrame:
         tag = f"{self.prefix}{c.position}"
         if self.deadline is not None:
-            late = F.lit(time.time() >= self.deadline)
+            # looked at when the row gets here, not when the plan is built
+            late = F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long") >= int(self.deadline * 1000)
             rows = self.halted(rows, late, self.entry(FAILURE, "engine", F.lit("Timeout"), F.lit("the time is over"), c))
         rows = self.first_use(rows, c)
         alive = f"__a{tag}"
@@ -157,14 +192,15 @@ class _Runner:
         if c.inner is not None:
             return self.embed(rows, c, reads, F.col(alive))
         known = {"handler_position": F.lit(c.position), "handler_name": F.lit(c.name), "node_kind": F.lit(c.kind)}
-        self.event(F.col(alive), "handler_enter", reads_snapshot=self.snapshot(reads), **known)
+        self.event(F.col(alive), "handler_enter", reads_snapshot=self.snapshot(reads, c.read_fields), **known)
         if c.kind == "hook":
             body = self.registry.bodies.get(c.name)
             if body is not None:
                 self.hooks.append((c.name, F.col(alive), body.call, {"reads": reads, "extra": {**c.bindings, **c.transport}}))
-            self.event(F.col(alive), "handler_exit", **known)
+            self.event(F.col(alive), "handler_exit", elapsed_ms=F.lit(0), **known)
             return rows
         body = self.registry.bodies.get(c.name)
+        took = F.lit(0)
         if c.kind == "transform" and body is not None and body.style == "columns":
             out = body.call(**reads, **c.bindings)
             if set(out) != set(c.step.outputs):
@@ -173,15 +209,19 @@ class _Runner:
             rows = rows.withColumns({f"__o{tag}_{k}": v for k, v in enumerate(made.values())})
         else:
             rows = self.python(rows, c, reads, alive, tag, body.call if body else None)
+            took = F.col(f"__r{tag}")["ms"]
+            self.elapsed.append(took)
         cols = {p: F.col(f"__o{tag}_{k}") for k, p in enumerate(c.step.outputs)}
         rows = self.validated(rows, {p: (cols[p], f) for p, f in c.step.outputs.items()}, c, "outputs")
         done = f"__d{tag}"
         rows = rows.withColumn(done, F.col("__halt").isNull())
         link = {"correlation_id": correlation_id(self.run, c.position)} if c.kind == "service" else {}
         if c.kind == "service":
-            payload = {"input_payload": self.snapshot(reads), "output_payload": self.snapshot(cols), "pipeline_hash": F.lit(self.hash)}
-            self.event(F.col(done), "service_invocation", **known, **payload, **link)
-        self.event(F.col(done), "handler_exit", writes_snapshot=self.snapshot(cols), **known, **link)
+            said = F.col(f"__r{tag}")
+            payload = {"input_payload": said["asked"], "output_payload": said["answered"], "pipeline_hash": F.lit(self.hash), "elapsed_ms": said["call_ms"]}
+            # a call that was answered is told even if its step fails afterwards
+            self.event(F.col(alive) & said["call_ms"].isNotNull(), "service_invocation", **known, **payload, **link)
+        self.event(F.col(done), "handler_exit", writes_snapshot=self.snapshot(cols, c.step.outputs), elapsed_ms=took, **known, **link)
         for p, w in c.writes.items():
             self.made[w, c.position, p] = cols[p]
         return rows
@@ -197,9 +237,10 @@ class _Runner:
     def embed(self, rows: DataFrame, c: Call, reads: Mapping[str, Column], alive: Column) -> DataFrame:
         """A nested flow, in the same rows: a run of its own with its own events, none in this stream."""
         run = F.concat(self.run.cast("string"), F.lit(f"/{c.position}"))
-        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline)
+        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink)
         inner.alive_at = alive
         rows = inner.go(rows, dict(reads))
+        self.elapsed += inner.elapsed
         self.events += inner.events
         self.hooks += inner.hooks
         for p, w in c.writes.items():
@@ -207,100 +248,214 @@ class _Runner:
         return rows
 
     def python(self, rows: DataFrame, c: Call, reads: Mapping[str, Column], alive: str, tag: str, call: Callable | None) -> DataFrame:
-        outputs, bindings = c.step.outputs, dict(c.bindings)
         backend = self.registry.backends.get(next(iter(c.step.services.values()), ""))
         if call is None and (c.kind != "trainable" or backend is None):
             raise ValueError(f"{c.name} has no body" if c.kind != "trainable" else f"{c.name} has no backend")
+        outputs = c.step.outputs
         fields = [T.StructField(f"v{k}", loose(f.type.to_spark())) for k, f in enumerate(outputs.values())]
-        error = T.StructField("error", T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "category", "cause", "message")]))
-        names, kind, deadline = list(outputs), c.kind, self.deadline
-        extra = {"identity": dict(c.supply), "config": dict(c.config), "transport": dict(c.transport)}
-        schema = object_schema(outputs) if c.kind == "trainable" else None
-        service = next(iter(c.step.services), None)
-
-        def one(given: dict) -> tuple:
-            if deadline is not None and time.time() >= deadline:
-                return _failed(names, FAILURE, "engine", "Timeout", "the time is over")
-            try:
-                if kind == "trainable":
-                    out = json.loads(backend(payload_text(given), schema, **extra))
-                elif service is not None:
-                    out = call(**given, **bindings, **{service: _Service(backend, extra)})
-                else:
-                    out = call(**given, **bindings)
-            except Exception as e:  # the row fails, not the batch
-                where = "service" if kind in ("service", "trainable") else "handler"
-                return _failed(names, FAILURE, where, type(e).__name__, str(e))
-            if not isinstance(out, dict) or set(out) != set(names):
-                keys = sorted(out) if isinstance(out, dict) else type(out).__name__
-                return _failed(names, CONTRACT, None, None, f"gave {keys}, not {sorted(names)}")
-            return (*(out[n] for n in names), None)
-
-        def run(given: pd.DataFrame, live: pd.Series) -> pd.DataFrame:
-            rows = given.to_dict("records")
-            found = [one({k: _plain(v) for k, v in r.items()}) if ok else (*[None] * len(names), None) for r, ok in zip(rows, live, strict=True)]
-            columns = [f"v{k}" for k in range(len(names))] + ["error"]
-            out = pd.DataFrame({n: pd.Series([r[k] for r in found], dtype=object) for k, n in enumerate(columns)})
-            out["error"] = [dict(zip(("kind", "category", "cause", "message"), r[-1], strict=True)) if r[-1] else dict.fromkeys(("kind", "category", "cause", "message")) for r in found]
-            return out
-
-        run.__annotations__ = {"given": pd.DataFrame, "live": pd.Series, "return": pd.DataFrame}
-        udf = F.pandas_udf(run, T.StructType([*fields, error]))
         outside = c.kind in ("service", "trainable")
+        sink = self.sink if c.streamable else None
+        task = _Task(c, call, backend, self.deadline, object_schema(outputs) if c.kind == "trainable" else None, sink)
+        schema = T.StructType([*fields, *T.StructType.fromDDL(_SAID).fields])
+        task.made = to_arrow_type(schema)
+
+        def run(given: pa.Array, live: pa.Array, run_id: pa.Array) -> pa.Array:
+            return task.batch(given, live, run_id)
+
+        run.__annotations__ = {"given": pa.Array, "live": pa.Array, "run_id": pa.Array, "return": pa.Array}
+        udf = F.arrow_udf(run, schema)
         udf = udf.asNondeterministic() if outside else udf
         given = F.struct(*(v.alias(p) for p, v in reads.items())) if reads else F.struct(F.lit(0).alias("__none"))
-        rows = rows.withColumn(f"__r{tag}", udf(given, F.col(alive)))
+        rows = rows.withColumn(f"__r{tag}", udf(given, F.col(alive), self.run.cast("string")))
         if outside:
             rows = self.barrier(rows)
         r = F.col(f"__r{tag}")
-        rows = rows.withColumns({f"__o{tag}_{k}": r[f"v{k}"] for k in range(len(names))})
+        rows = rows.withColumns({f"__o{tag}_{k}": r[f"v{k}"] for k in range(len(outputs))})
         e = r["error"]
-        entry = F.struct(e.kind, e.category, e.cause, e.message, F.lit(c.position), F.lit(c.name), F.array().cast(f"array<{value_rules.FAILURE}>"))
+        entry = F.struct(e.kind, e.category, e.cause, e.message, F.lit(c.position), F.lit(c.name), F.coalesce(e.fields, F.array().cast(f"array<{value_rules.FAILURE}>")))
         return self.halted(rows, e.kind.isNotNull(), entry)
 
 
-class _Service:
-    """What a service step's body calls."""
+_SAID = (
+    f"error struct<kind:string,category:string,cause:string,message:string,fields:array<{value_rules.FAILURE}>>, "
+    "ms long, call_ms long, asked string, answered string"
+)
 
-    def __init__(self, backend: Callable, extra: dict):
-        self.backend, self.extra = backend, extra
 
-    def invoke(self, **payload: Any) -> Any:
-        return self.backend(payload, None, **self.extra)
+class _Error(Exception):
+    """A row's failure, with what its ``halt`` says."""
+
+    def __init__(self, kind: str, category: str | None, cause: str | None, message: str, fields: tuple = ()):
+        self.entry = {"kind": kind, "category": category, "cause": cause, "message": message, "fields": list(fields)}
+
 
+class _Task:
+    """A step's Python side: bodies, services and model calls, row by row on the executors.
 
-def _failed(names: list[str], kind: str, category: str | None, cause: str | None, message: str) -> tuple:
-    return (*[None] * len(names), (kind, category, cause, message))
+    A backend with ``open`` is opened once a task; one that declares ``remaining_budget_ms`` gets what
+    is left of the run's time when it is called.  Calls to the outside wait for each other no more
+    than ``CONCURRENT`` at once.
+    """
+
+    def __init__(self, c: Call, call: Callable | None, backend: Any, deadline: float | None, schema: Any, sink: Callable | None):
+        self.kind, self.outputs, self.reads = c.kind, dict(c.step.outputs), dict(c.step.reads)
+        self.bindings, self.service = dict(c.bindings), next(iter(c.step.services), None)
+        self.extra = {"identity": dict(c.supply), "config": dict(c.config), "transport": dict(c.transport)}
+        self.call, self.backend, self.deadline, self.schema, self.sink = call, backend, deadline, schema, sink
+        self.ready: Any = None
+        self.made: pa.DataType | None = None  # of the results
+
+    def opened(self) -> Any:
+        if self.ready is None:
+            self.ready = self.backend.open() if hasattr(self.backend, "open") else self.backend
+        return self.ready
+
+    def budget(self, call: Callable) -> dict[str, Any]:
+        if not takes(call, "remaining_budget_ms"):
+            return {}
+        return {"remaining_budget_ms": None if self.deadline is None else remaining_ms(self.deadline * 1000, time.time() * 1000)}
+
+    def batch(self, given: pa.Array, live: pa.Array, run_id: pa.Array) -> pa.Array:
+        rows = [{k: from_arrow(r[k], f.type) for k, f in self.reads.items()} for r in given.to_pylist()]
+        runs, alive = run_id.to_pylist(), live.to_pylist()
+
+        def one(k: int) -> dict[str, Any] | None:
+            return self.row(rows[k], runs[k]) if alive[k] else None
+
+        if self.kind in ("service", "trainable") and len(rows) > 1:
+            self.opened()
+            with ThreadPoolExecutor(CONCURRENT) as pool:
+                found = list(pool.map(one, range(len(rows))))
+        else:
+            found = [one(k) for k in range(len(rows))]
+        return pa.array(found, self.made)
+
+    def row(self, given: dict, run: str) -> dict[str, Any]:
+        out: dict[str, Any] = {"error": None, "ms": 0, "call_ms": None, "asked": None, "answered": None}
+        began = time.monotonic()
+        try:
+            values = self.values(given, run, out)
+            out |= {f"v{k}": to_arrow(values[n], f.type) for k, (n, f) in enumerate(self.outputs.items())}
+        except _Error as e:
+            out["error"] = e.entry
+        out["ms"] = int((time.monotonic() - began) * 1000)
+        return out
+
+    def values(self, given: dict, run: str, out: dict) -> dict[str, Any]:
+        if self.deadline is not None and time.time() >= self.deadline:
+            raise _Error(FAILURE, "engine", "Timeout", "the time is over")
+        try:
+            if self.kind == "trainable":
+                answer = json.loads(self.answer(payload_text(given), run))
+                made = {k: from_json(v, self.outputs[k].type) if k in self.outputs else v for k, v in answer.items()} if isinstance(answer, dict) else answer
+            elif self.service is not None:
+                made = self.call(**given, **self.bindings, **{self.service: _Service(self, out)})
+            else:
+                made = self.call(**given, **self.bindings)
+        except _Error:
+            raise
+        except ContractViolation as e:
+            raise _Error(CONTRACT, None, None, str(e)) from e
+        except _Outside as e:
+            raise _Error(FAILURE, "service", type(e.cause).__name__, str(e.cause)) from e
+        except Exception as e:  # the row fails, not the batch
+            where = "service" if self.kind == "trainable" else "handler"
+            raise _Error(FAILURE, where, type(e).__name__, str(e)) from e
+        if not isinstance(made, dict) or set(made) != set(self.outputs):
+            keys = sorted(map(str, made)) if isinstance(made, dict) else type(made).__name__
+            raise _Error(CONTRACT, None, None, f"gave {keys}, not {sorted(self.outputs)}")
+        wrong = [x for n, f in self.outputs.items() for x in shape_misfits(made[n], f.type, n, deep_rules=False)]
+        wrong = [x for x in wrong if x.rule != "nullable"]  # nulls are told by the rules over columns
+        if wrong:
+            names = [f.split(":")[0] for f in value_rules.FAILURE[len("struct<") : -1].split(",")]
+            entries = [dict(zip(names, x.entry(), strict=True)) for x in wrong]
+            raise _Error(VALUE, None, None, ", ".join(f"{x.path} {x.rule}" for x in wrong), tuple(entries))
+        return made
+
+    def answer(self, payload: str, run: str) -> str:
+        """The model's whole text; its pieces go to the sink while it streams.
+
+        A sink that fails is left behind: the pieces are no value, and the run goes on without it.
+        """
+        backend = self.opened()
+        if self.sink is None or not hasattr(backend, "fragments"):
+            return backend(payload, self.schema, **self.extra, **self.budget(backend))
+        pieces, sink = [], self.sink
+        for seq, piece in enumerate(backend.fragments(payload, self.schema, **self.extra, **self.budget(backend.fragments))):
+            pieces.append(piece)
+            sink = _told(sink, run, seq, piece, False)
+        _told(sink, run, len(pieces), None, True)
+        return "".join(pieces)
+
+
+def _told(sink: Callable | None, *piece: Any) -> Callable | None:
+    if sink is None:
+        return None
+    try:
+        sink(*piece)
+    except Exception:  # the observer's failure is not the run's
+        return None
+    return sink
+
+
+class _Outside(Exception):
+    """A failure of the backend, apart from one of the body that called it."""
+
+    def __init__(self, cause: Exception):
+        super().__init__(str(cause))
+        self.cause = cause
 
 
-def _plain(v: Any) -> Any:
-    """Arrow's arrays as lists, its numbers as Python's."""
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    if isinstance(v, list):
-        return [_plain(x) for x in v]
-    if isinstance(v, dict):
-        return {k: _plain(x) for k, x in v.items()}
-    return None if isinstance(v, type(pd.NaT)) or v is pd.NA else v
+class _Service:
+    """What a service step's body calls, once a row; keeps what was asked and answered."""
+
+    def __init__(self, task: _Task, out: dict):
+        self.task, self.out = task, out
+
+    def invoke(self, **payload: Any) -> Any:
+        backend = self.task.opened()
+        began = time.monotonic()
+        try:
+            answer = backend(payload, None, **self.task.extra, **self.task.budget(backend))
+        except ContractViolation:
+            raise
+        except Exception as e:
+            raise _Outside(e) from e
+        # captured before the body can change either
+        self.out["call_ms"] = int((time.monotonic() - began) * 1000)
+        self.out["asked"], self.out["answered"] = _json(payload), _json(answer)
+        return answer
+
+
+def _json(value: Any) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
 
 
 def transform(
-    plan: Plan, runs: DataFrame, registry: Registry, run_col: str = "run_id", barrier: Callable[[DataFrame], DataFrame] = DataFrame.persist,
-    timeout_ms: int | None = None,
+    plan: Plan, runs: DataFrame, registry: Registry, run_col: str = "run_id", barrier: Callable[[DataFrame], DataFrame] = cut,
+    timeout_ms: int | None = None, sink: Callable[[str, int, str | None, bool], None] | None = None,
 ) -> Result:
     """The plan over a DataFrame of runs, with a column for the run and one for each input.
 
-    Other columns are dropped; a missing one is an error before anything runs.
+    Other columns are dropped; a missing one is an error before anything runs.  sink gets the pieces
+    of a streaming model call, on the executors, as (run, place, piece, done); a plan whose last
+    call doesn't stream takes none.
     """
+    if sink is not None and not streams(plan):
+        raise ValueError(f"{CONTRACT}: no call of {plan.name} streams, so the sink would get nothing")
     missing = [c for c in (run_col, *plan.inputs) if c not in runs.columns]
     if missing:
         raise ValueError(f"{CONTRACT}: no column {', '.join(missing)}")
     named = {w: f"__i{k}" for k, w in enumerate(plan.inputs)}
     rows = runs.select(F.col(run_col), *(F.col(f"`{w}`").cast(loose(f.type.to_spark())).alias(named[w]) for w, f in plan.inputs.items()), F.lit(None).cast(HALT).alias("__halt"))
     deadline = None if timeout_ms is None else time.time() + timeout_ms / 1000
-    runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline)
+    runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline, sink)
     rows = runner.go(rows, {w: F.col(n) for w, n in named.items()})
     end = len(plan.calls)
-    result = Result(rows, plan, run_col, F.array(*runner.events), {w: runner.value(w, end) for w in plan.contributors})
-    result.hooks = runner.hooks
-    return result
+    return Result(rows, plan, run_col, F.array(*runner.events), {w: runner.value(w, end) for w in plan.contributors}, runner.hooks, barrier)
+
+
+def streams(plan: Plan) -> bool:
+    """Whether the last call but hooks streams, in the plan or in the flow that it embeds."""
+    last = next((c for c in reversed(plan.calls) if c.kind != "hook"), None)
+    return last is not None and (last.streamable or (last.inner is not None and streams(last.inner)))

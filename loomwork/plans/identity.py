@@ -8,22 +8,34 @@ too), services' identity and effective configuration.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import Any
 
 from loomwork.functions.canonical import canon_schema, canon_value, canonical_json, sha256_of
 from loomwork.plans.compile import Call, Plan
-from loomwork.plans.model import Registry
+from loomwork.plans.model import FileText, Registry
 
 
 def _constants(c: Call) -> Any:
     out = {}
     for k, v in c.bindings.items():
         decl = c.step.bindings.get(k)
-        raw = v if decl is None or decl.compiler is None else repr(v)
-        out[k] = {"value": canon_value(raw), "delivery": decl.delivery if decl else "copy", "compiler": decl.compiler if decl else None}
+        compiled = decl is not None and decl.compiler is not None
+        # a compiled constant is told by its compiler and what that was given, never by the object
+        value = _compiled_from(c.sources[k]) if compiled else canon_value(v)
+        out[k] = {"value": value, "delivery": decl.delivery if decl else "copy", "compiler": decl.compiler if decl else None}
     return out
 
 
+def _compiled_from(value: Any) -> Any:
+    """A compiler's parameters; text that came from a file is told apart from the same text written out."""
+    if isinstance(value, FileText):
+        return {"$file": str(value)}
+    if isinstance(value, Mapping):
+        return {k: _compiled_from(v) for k, v in value.items()}
+    return canon_value(value)
+
+
 def _call(c: Call, name: str | None) -> dict[str, Any]:
     return {
         "name": name, "kind": c.kind, "reads": dict(c.reads), "writes": dict(c.writes), "read_fields": canon_schema(c.read_fields),

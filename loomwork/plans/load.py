@@ -11,7 +11,7 @@ from loomwork.functions import rules as value_rules
 from loomwork.functions.types import Field, Type, TypeTokenError, column_safe, dict_of, list_of, nested, optional, parse_type
 from loomwork.operators.folds import STRATEGIES
 from loomwork.plans.errors import PlanError
-from loomwork.plans.model import BindingDecl, Bundle, Deployment, Flow, Node, ServiceType, Step, Supply, Trainable
+from loomwork.plans.model import BindingDecl, Bundle, Deployment, FileText, Flow, Node, ServiceType, Step, Supply, Trainable
 
 _SHAPE = ("type", "fields", "item", "value")
 
@@ -253,7 +253,9 @@ def from_file(value: Any, folder: str | Path) -> Any:
             import json
 
             return json.loads(text)
-        return text
+        return FileText(text)
+    if isinstance(value, Mapping) and any(isinstance(v, Mapping) and set(v) == {"file"} for v in value.values()):
+        return {k: from_file(v, folder) for k, v in value.items()}  # a compiler's parameters may each be a file
     return value
 
 

@@ -11,6 +11,10 @@ from loomwork.functions.types import Field
 STEP_KINDS = ("transform", "service", "hook", "trainable")
 
 
+class FileText(str):
+    """Text that a binding's file holds."""
+
+
 @dataclass(frozen=True)
 class BindingDecl:
     """A constant that a step gets: its fields (one unnamed field for a bare value), default and delivery."""

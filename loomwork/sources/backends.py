@@ -12,9 +12,10 @@ import os
 import re
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
+from itertools import chain
 from typing import Any
 
-from loomwork.functions.rendering import RenderError, grammar
+from loomwork.functions.rendering import RESERVED, RenderError, grammar
 
 
 def _answer(schema: Mapping[str, Any], seed: str, config: Mapping[str, Any]) -> Any:
@@ -56,9 +57,12 @@ class Fake:
             raise RenderError("a strict JSON schema has no open keys")
         return json.dumps(_answer(schema, f"{sorted(identity.items())}{sorted(config.items())}{payload}", config), ensure_ascii=False)
 
+    def fragments(self, payload: Any, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping, size: int = 7) -> Iterator[str]:
+        """The same answer in pieces."""
+        text = self(payload, schema, identity, config, transport)
+        yield from (text[k : k + size] for k in range(0, len(text), size))
+
 
-#: Keys of a request that the engine sets; a configuration's extras may not name them.
-RESERVED = frozenset(("model", "messages", "response_format", "stream", "prompt", "grammar"))
 
 
 def secret(reference: str | None) -> str | None:
@@ -82,9 +86,9 @@ def _post(url: str, body: Mapping[str, Any], key: str | None, timeout_ms: int |
 
 
 def sse_data(lines: Iterator[bytes]) -> Iterator[str]:
-    """The data of server-sent events, up to ``[DONE]``; comments and other fields are left out."""
+    """The data of server-sent events as they come, up to ``[DONE]``; comments and other fields are left out."""
     held: list[str] = []
-    for line in (*lines, b"\n"):
+    for line in chain(lines, [b"\n"]):
         text = line.decode().rstrip("\r\n")
         if text.startswith("data:"):
             held.append(text[5:].removeprefix(" "))
@@ -103,9 +107,19 @@ def _extras(config: Mapping[str, Any]) -> dict[str, Any]:
     return extras | {k: v for k, v in config.items() if k != "extras"}
 
 
+def _limit(transport: Mapping, remaining_budget_ms: int | None) -> int | None:
+    """The shorter of a call's own time limit and of what is left of the run's."""
+    known = [x for x in (transport.get("timeout_ms"), remaining_budget_ms) if x is not None]
+    if known and min(known) <= 0:
+        raise TimeoutError("no time is left for the call")
+    return min(known, default=None)
+
+
 class ChatCompletions:
     """``POST <endpoint>/chat/completions`` with a strict JSON schema, whole or as fragments."""
 
+    form = "json_schema"
+
     def __init__(self, post: Callable[..., Iterator[bytes]] = _post):
         self.post = post
 
@@ -113,32 +127,59 @@ class ChatCompletions:
         form = {"type": "json_schema", "json_schema": {"name": "output", "strict": True, "schema": schema}}
         return {**_extras(config), "model": identity["model"], "messages": [{"role": "user", "content": payload}], "response_format": form}
 
-    def __call__(self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping) -> str:
-        sent = self.post(f"{transport['endpoint']}/chat/completions", self.body(payload, schema, identity, config), secret(transport.get("api_key_ref")), transport.get("timeout_ms"))
+    def __call__(
+        self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping, remaining_budget_ms: int | None = None,
+    ) -> str:
+        limit = _limit(transport, remaining_budget_ms)
+        sent = self.post(f"{transport['endpoint']}/chat/completions", self.body(payload, schema, identity, config), secret(transport.get("api_key_ref")), limit)
         choice = json.loads(b"".join(sent))["choices"][0]
         if choice.get("finish_reason") not in (None, "stop"):
             raise ValueError(f"the answer ended by {choice['finish_reason']}")
         return choice["message"]["content"]
 
-    def fragments(self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping) -> Iterator[str]:
+    def fragments(
+        self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping, remaining_budget_ms: int | None = None,
+    ) -> Iterator[str]:
         body = self.body(payload, schema, identity, config) | {"stream": True}
-        sent = self.post(f"{transport['endpoint']}/chat/completions", body, secret(transport.get("api_key_ref")), transport.get("timeout_ms"))
+        sent = self.post(f"{transport['endpoint']}/chat/completions", body, secret(transport.get("api_key_ref")), _limit(transport, remaining_budget_ms))
         for data in sse_data(sent):
-            piece = json.loads(data)["choices"][0].get("delta", {}).get("content")
+            choice = json.loads(data)["choices"][0]
+            piece = choice.get("delta", {}).get("content")
             if piece:
                 yield piece
+            if choice.get("finish_reason") not in (None, "stop"):
+                raise ValueError(f"the answer ended by {choice['finish_reason']}")
 
 
 class GrammarCompletion:
-    """``POST <endpoint>/completion`` with a GBNF grammar."""
+    """``POST <endpoint>/completion`` with a GBNF grammar, whole or as fragments."""
+
+    form = "gbnf"
 
     def __init__(self, post: Callable[..., Iterator[bytes]] = _post):
         self.post = post
 
-    def __call__(self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping) -> str:
+    def __call__(
+        self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping, remaining_budget_ms: int | None = None,
+    ) -> str:
         body = {**_extras(config), "prompt": payload, "grammar": grammar(schema)}
-        sent = self.post(f"{transport['endpoint']}/completion", body, secret(transport.get("api_key_ref")), transport.get("timeout_ms"))
+        sent = self.post(f"{transport['endpoint']}/completion", body, secret(transport.get("api_key_ref")), _limit(transport, remaining_budget_ms))
         answer = json.loads(b"".join(sent))
-        if answer.get("truncated") or answer.get("stopped_limit"):
-            raise ValueError("the answer was cut short")
+        _whole(answer)
         return answer["content"]
+
+    def fragments(
+        self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping, remaining_budget_ms: int | None = None,
+    ) -> Iterator[str]:
+        body = {**_extras(config), "prompt": payload, "grammar": grammar(schema), "stream": True}
+        sent = self.post(f"{transport['endpoint']}/completion", body, secret(transport.get("api_key_ref")), _limit(transport, remaining_budget_ms))
+        for data in sse_data(sent):
+            piece = json.loads(data)
+            if piece.get("content"):
+                yield piece["content"]
+            _whole(piece)
+
+
+def _whole(answer: Mapping[str, Any]) -> None:
+    if answer.get("truncated") or answer.get("stopped_limit"):
+        raise ValueError("the answer was cut short")

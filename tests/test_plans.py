@@ -170,7 +170,7 @@ def test_services_and_fixtures(spark, tmp_path):
     path = str(tmp_path / "fixtures")
     tables.write_fixtures(out.events(), path)
     same = tables.read_fixtures(spark, path, identity.pipeline_hash(plan)).collect()
-    assert len(same) == 1 and json.loads(same[0].output_payload) == {"b": "x!?"} and tables.read_fixtures(spark, path, "sha256:0").count() == 0
+    assert len(same) == 1 and json.loads(same[0].output_payload) == "x!?" and json.loads(same[0].input_payload) == {"q": "x"} and tables.read_fixtures(spark, path, "sha256:0").count() == 0
     log = str(tmp_path / "log")
     tables.append_events(out.events(), log)
     assert tables.read_events(spark, log).count() == out.events().count() == 5
