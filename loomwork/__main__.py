@@ -13,12 +13,11 @@ from pathlib import Path
 
 from loomwork.functions.canonical import canonical_json
 from loomwork.plans import identity, load
+from loomwork.plans.artifacts import SUFFIX, side_file
 from loomwork.plans.compile import Plan, compile_flow
 from loomwork.plans.errors import PlanError
 from loomwork.plans.model import Registry
 
-SUFFIX = ".loomwork.toml"
-
 
 def read_registry(folder: Path) -> Registry:
     registry = Registry()
@@ -36,11 +35,6 @@ def read_plan(flow: Path, declarations: Path) -> Plan:
     return compile_flow(found, read_registry(declarations))
 
 
-def side_file(artifact: str, plan: Plan) -> str:
-    bundles = "".join(f'"{k}" = "{v}"\n' for k, v in sorted(identity.bundle_hashes(plan).items()))
-    return f'artifact = "{Path(artifact).name}"\npipeline_hash_set = ["{identity.pipeline_hash(plan)}"]\n[training_bundle_hashes]\n{bundles}'
-
-
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("loomwork")
     commands = parser.add_subparsers(dest="command", required=True)

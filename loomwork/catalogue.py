@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions import rules
+from loomwork.functions.canonical import correlation_id
 from loomwork.functions.types import STR, parse_type
 from loomwork.operators import drift, eventlog, folds
 from loomwork.plans import load
@@ -181,11 +182,9 @@ from conversations window w as (partition by conv_id order by turn rows between
 def state_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wires' values after each position: a last-present fold and an appending one."""
     turns = table(spark, sf_dir, "conversations").withColumn("port", F.lit(0))
-    said = turns.select("conv_id", "turn", "port", F.when(F.col("role") != "user", F.col("role")).otherwise("").alias("speaker"))
-    path = turns.select("conv_id", "turn", "port", F.array("role").alias("path"))
-    a = folds.fold_running(said, ["conv_id"], "turn", "port", "speaker", "last_present_wins", "speaker")
-    b = folds.fold_running(path, ["conv_id"], "turn", "port", "path", "append_list", "path")
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", "speaker", F.array_join("path", ">").alias("path"))
+    writes = turns.select("conv_id", "turn", "port", F.when(F.col("role") != "user", F.col("role")).otherwise("").alias("said"), F.array("role").alias("step"))
+    out = folds.folds_running(writes, ["conv_id"], "turn", "port", {"speaker": ("said", "last_present_wins"), "path": ("step", "append_list")})
+    return out.select("conv_id", "turn", "speaker", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -215,11 +214,13 @@ def fold_wide_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # rules: the rows that fail ---------------------------------------------------------------------
 
-_WORDS, _PROPS = "split(text, ' ')", "from_json(props, 'map<string,bigint>')"
+_WORDS = "split(text, ' ')"
+#: a text's different words, each with its length
+_LENGTHS, _DIFFERENT = f"map_from_arrays(array_distinct({_WORDS}), transform(array_distinct({_WORDS}), x -> length(x)))", "len(list_distinct(string_split(text, ' ')))"
 #: keyword -> table, its key, the value, the rule's parameter, and what fails in SQL
 _RULES: dict[str, tuple[str, str, str, object, str]] = {
     "minimum": ("part", "p_partkey", "p_size", 20, "p_size < 20"),
-    "maximum": ("part", "p_partkey", "p_retailprice", 1500.0, "p_retailprice > 1500"),
+    "maximum": ("part", "p_partkey", "p_retailprice", 950.0, "p_retailprice > 950"),
     "exclusiveMinimum": ("part", "p_partkey", "p_size", 20, "p_size <= 20"),
     "exclusiveMaximum": ("orders", "o_orderkey", "o_totalprice", 250000.0, "o_totalprice >= 250000"),
     "multipleOf": ("part", "p_partkey", "p_size", 3, "p_size % 3 <> 0"),
@@ -229,8 +230,8 @@ _RULES: dict[str, tuple[str, str, str, object, str]] = {
     "minItems": ("documents", "doc_id", _WORDS, 50, "len(string_split(text, ' ')) < 50"),
     "maxItems": ("documents", "doc_id", _WORDS, 2000, "len(string_split(text, ' ')) > 2000"),
     "uniqueItems": ("documents", "doc_id", _WORDS, True, "len(list_distinct(string_split(text, ' '))) <> len(string_split(text, ' '))"),
-    "minProperties": ("events", "event_id", _PROPS, 2, "len(json_keys(props)) < 2"),
-    "maxProperties": ("events", "event_id", _PROPS, 0, "len(json_keys(props)) > 0"),
+    "minProperties": ("documents", "doc_id", _LENGTHS, 50, f"{_DIFFERENT} < 50"),
+    "maxProperties": ("documents", "doc_id", _LENGTHS, 150, f"{_DIFFERENT} > 150"),
     "enum": ("orders", "o_orderkey", "o_orderstatus", ["O", "F"], "o_orderstatus not in ('O', 'F')"),
 }
 
@@ -282,7 +283,7 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("role") == "assistant", "trainable").when(F.col("role") == "user", "transform").otherwise("service")
     step = {
         "pipeline_run_id": F.col("run"), "handler_position": F.col("turn").cast("int"), "handler_name": F.col("role"), "node_kind": kind,
-        "correlation_id": F.concat_ws(":", "run", "turn"), "reads_snapshot": F.col("role"), "writes_snapshot": F.sha2("text", 256),
+        "correlation_id": correlation_id(F.col("run"), F.col("turn")), "reads_snapshot": F.col("role"), "writes_snapshot": F.sha2("text", 256),
         "input_payload": F.col("role"), "output_payload": F.when(size % 5 == 0, F.col("role")).otherwise(F.sha2("text", 256)),
         "timestamp": F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn") * F.col("turn") * 7),
     }
@@ -356,7 +357,7 @@ def log_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 tree as (
   select id, id as root, 0 as depth from run where up is null or up not in (select id from run)
   union all select run.id, tree.root, tree.depth + 1 from run join tree on run.up = tree.id)
-select cast(id as varchar) as run, cast(root as varchar) as root, cast(depth as integer) as depth from tree""",
+select cast(id as varchar) as run, cast(root as varchar) as root, cast(depth as bigint) as depth from tree""",
 )
 def log_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.lineage(conversation_log(spark, sf_dir))
@@ -601,7 +602,15 @@ def trainable_flow(form: str = "json_schema") -> tuple[Plan, Registry]:
     return compile_flow(load.flow(flow), registry), registry
 
 
-@query("pipeline_trainable")
+_PROMPT = "to_json('Q: ' || text)"
+_MOOD = """case when instr('02468ace', right(sha256('[(''model'', ''m'')][(''temperature'', 1.0)]Q: ' || text || '/mood'), 1)) > 0 then 'calm' else 'loud' end"""
+
+
+@query(
+    "pipeline_trainable",
+    f"""select conv_id || ':' || turn as pipeline_run_id, cast(1 as integer) as handler_position, '{{"full":' || {_PROMPT} || '}}' as reads_snapshot,
+  '{{"mood":"' || {_MOOD} || '"}}' as writes_snapshot from conversations where role = 'user'""",
+)
 def pipeline_trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training pairs from the log of a flow with a model call."""
     plan, registry = trainable_flow()

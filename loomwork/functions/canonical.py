@@ -156,8 +156,13 @@ def new_run_id() -> str:
     return f"run_{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%SZ}_{secrets.token_hex(6)}"
 
 
-def correlation_id(run: Column, position: int) -> Column:
-    return F.concat_ws(":", run.cast("string"), F.lit(str(position)))
+def sha256_text(text: Column) -> Column:
+    """``sha256_of`` over columns of canonical text."""
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+
+
+def correlation_id(run: Column, position: int | Column) -> Column:
+    return F.concat_ws(":", run.cast("string"), position.cast("string") if isinstance(position, Column) else F.lit(str(position)))
 
 
 def remaining_ms(deadline_ms: float, now_ms: float) -> int:

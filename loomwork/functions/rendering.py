@@ -61,7 +61,11 @@ def payload_text(reads: Mapping[str, Any]) -> str:
 
 _RULES = {
     "space": "[ \\t\\n]{0,20}",
-    "char": '[^"\\\\\\x00-\\x1f] | "\\\\" (["\\\\/bfnrt] | "u" [0-9a-fA-F]{4})',
+    # an escaped pair of surrogates is one character
+    "char": (
+        '[^"\\\\\\x00-\\x1f] | "\\\\" (["\\\\/bfnrt] | "u" ([0-9a-cA-Ce-fE-F] [0-9a-fA-F]{3} | [dD] [0-7] [0-9a-fA-F]{2}'
+        ' | [dD] [89abAB] [0-9a-fA-F]{2} "\\\\u" [dD] [c-fC-F] [0-9a-fA-F]{2}))'
+    ),
     "string": '"\\"" char* "\\""',
     "integer": '"-"? ("0" | [1-9] [0-9]*)',
     "number": 'integer ("." [0-9]+)? ([eE] [+-]? [0-9]+)?',

@@ -243,23 +243,26 @@ def passes(value: Column, kind: T.DataType, keyword: str, parameter: Any) -> Col
     return value.isNull() | F.coalesce(ok, F.lit(False))
 
 
+_VERDICT = pa.struct([("ok", pa.bool_()), ("message", pa.string()), ("broke", pa.bool_())])
+
+
 def verdict(value: Column, name: str, parameter: Any) -> Column:
     """(ok, message, broke) of a custom rule; broke: it raised, or answered neither None nor text."""
     f = CUSTOM[name]
     given = parameter if isinstance(parameter, dict) else {}
 
-    @F.pandas_udf("ok boolean, message string, broke boolean")
-    def run(values: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("ok boolean, message string, broke boolean")
+    def run(values: pa.Array) -> pa.Array:
         out = []
-        for v in values:
+        for v in values.to_pylist():
             try:
                 said = None if v is None else f(v, **given)
             except Exception as e:  # the rule's own failure is a result
-                out.append((False, f"{type(e).__name__}: {e}", True))
+                out.append({"ok": False, "message": f"{type(e).__name__}: {e}", "broke": True})
                 continue
             bad = said is not None and not isinstance(said, str)
-            out.append((said is None, None if said is None else str(said), bad))
-        return pd.DataFrame(out, columns=["ok", "message", "broke"])
+            out.append({"ok": said is None, "message": None if said is None else str(said), "broke": bad})
+        return pa.array(out, _VERDICT)
 
     return run(value)
 

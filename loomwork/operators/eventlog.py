@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.shared import cut
+
 #: The kinds of events (fixed values of the log's format).
 KINDS = (
     "pipeline_start", "handler_enter", "handler_exit", "service_invocation", "pipeline_complete", "pipeline_error",
@@ -73,26 +75,28 @@ def divergence(events: DataFrame) -> DataFrame:
     return call.join(leave, "correlation_id").where(~F.col("output_payload").eqNullSafe(F.col("writes_snapshot")))
 
 
-def lineage(events: DataFrame, most_rounds: int = 40) -> DataFrame:
+def lineage(events: DataFrame) -> DataFrame:
     """(run, root, depth) of every started run: the outermost run that it is nested in.
 
     By pointer jumping: the rounds double the distance, so their number is the logarithm of the
-    deepest nesting.  A parent that never started ends the chain.
+    number of runs at most; each is kept in the shared folder, so no plan grows.  A parent that never
+    started ends the chain.  Runs that are nested in themselves are an error.
     """
-    starts = _of(events, "pipeline_start").select("pipeline_run_id", "parent_run_id").distinct()
-    known = starts.select(F.col("pipeline_run_id").alias("parent_run_id"), F.lit(1).alias("known"))
-    now = starts.join(known, "parent_run_id", "left").select(
-        F.col("pipeline_run_id").alias("run"),
-        F.when(F.col("known").isNotNull(), F.col("parent_run_id")).otherwise(F.col("pipeline_run_id")).alias("root"),
-        F.when(F.col("known").isNotNull(), 1).otherwise(0).alias("depth"),
+    starts = cut(_of(events, "pipeline_start").select("pipeline_run_id", "parent_run_id").distinct())
+    known = starts.select(F.col("pipeline_run_id").alias("parent_run_id"), F.lit(True).alias("known")).distinct()
+    up = F.when(F.col("known"), F.col("parent_run_id"))
+    now = cut(
+        starts.join(known, "parent_run_id", "left").select(
+            F.col("pipeline_run_id").alias("run"), F.coalesce(up, "pipeline_run_id").alias("root"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth")
+        )
     )
-    for _ in range(most_rounds):
-        up = now.select(F.col("run").alias("root"), F.col("root").alias("upper"), F.col("depth").alias("more"))
-        ahead = now.join(up, "root").select("run", F.col("upper").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        ahead = ahead.persist()
-        moved = not ahead.where("moved").isEmpty()
+    rounds = starts.count().bit_length() + 1  # a chain has fewer links than there are runs
+    for _ in range(rounds):
+        upper = now.select(F.col("run").alias("root"), F.col("root").alias("upper"), F.col("depth").alias("more"))
+        ahead = now.join(upper, "root").select("run", F.col("upper").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        ahead = cut(ahead)
         now = ahead.select("run", "root", "depth")
-        if not moved:
+        if ahead.where("moved").isEmpty():
             return now
     raise ValueError("a run is nested in itself")
 

@@ -12,7 +12,7 @@ whatever is done; the other folds are partial aggregations.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -192,28 +192,124 @@ def _over(strategy: str, value: str, kind: T.DataType, window) -> Column:
     return _of_list(strategy, F.collect_list(v).over(window), kind)
 
 
+def _sortable(kind: T.DataType) -> bool:
+    """Whether equal values group together as they compare: no maps, whose entries have no order, and no floats."""
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.DoubleType, T.FloatType))
+
+
+def _flat_map(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) and not isinstance(kind.valueType, (T.MapType, T.StructType))
+
+
+def _new_items(writes: DataFrame, run: Sequence[str], position: str, port: str, value: str, out: str) -> DataFrame:
+    """(run, position, list): the items that a run's list has for the first time at each position, in order.
+
+    Every position with writes has a row.  Joined over positions these lists are the union so far,
+    so that a reader needs no list of all contributions.
+    """
+    each = writes.select(*run, position, port, F.posexplode(F.col(value)).alias("__i", "__x"))
+    first = each.groupBy(*run, "__x").agg(F.min(F.struct(position, port, "__i")).alias("__at"))
+    items = first.groupBy(*run, F.col(f"__at.{position}").alias(position)).agg(F.array_sort(F.collect_list(F.struct("__at", "__x"))).alias("__l"))
+    items = items.select(*run, position, F.transform("__l", lambda x: x["__x"]).alias(out))
+    empty = writes.select(*run, position).distinct().withColumn(out, F.array().cast(writes.schema[value].dataType))
+    return items.union(empty)
+
+
+def _merged_so_far(
+    writes: DataFrame, at: DataFrame, run: Sequence[str], position: str, port: str, value: str, out: str, start: int,
+) -> DataFrame:
+    """(run, position, map) for the different places ``at`` that have writes in their frame: flat maps merged key by key.
+
+    A row a place and key, of which the last value stands in the frame, instead of a fold of all maps
+    for every place: the work is in proportion to the results' entries.
+    """
+    kind = writes.schema[value].dataType
+    each = writes.select(*run, position, port, F.explode(value).alias("__k", "__v"))
+    each = each.groupBy(*run, "__k", position).agg(F.max_by(F.struct(F.col("__v").alias("v")), port).alias("__v"))
+    keys = each.select(*run, "__k").distinct()
+    asked = at.join(keys, list(run)).select(*run, "__k", position, F.lit(None).cast(each.schema["__v"].dataType).alias("__v"), F.lit(True).alias("__reads"))
+    rows = each.select(*run, "__k", position, "__v", F.lit(False).alias("__reads")).union(asked)
+    window = Window.partitionBy(*run, "__k").orderBy(position).rangeBetween(Window.unboundedPreceding, start)
+    found = rows.withColumn("__seen", F.last("__v", ignorenulls=True).over(window)).where("__reads").where(F.col("__seen").isNotNull())
+    maps = found.groupBy(*run, position).agg(F.map_from_entries(F.collect_list(F.struct(F.col("__k"), F.col("__seen.v")))).alias(out))
+    # places that only empty maps reach
+    first = writes.groupBy(*run).agg(F.min(position).alias("__first"))
+    reached = at.join(first, list(run)).where(F.col("__first") <= F.col(position) + start).select(*run, position)
+    return reached.join(maps, [*run, position], "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
+
+
 def fold_so_far(
     writes: DataFrame, readers: DataFrame, run: Sequence[str], position: str, port: str, value: str, strategy: str, out: str = "value",
 ) -> DataFrame:
     """readers with the fold of the writes at positions strictly before each reader's; null if there are none.
 
     A position's own writes are folded first, in port order, so that a reader never sees a part of
-    one position.  Readers join the writes by a union, so one exchange on the run serves both.
+    one position.  Readers join the writes by a union, so one exchange on the run serves both; flat
+    maps are merged key by key instead, which spreads a run over tasks.
     """
     kind = writes.schema[value].dataType
-    per_position = fold_long(writes, [*run, position], [port], value, strategy, out)
-    extra = [c for c in readers.columns if c not in (*run, position)]
     at = [*run, position]
+    extra = [c for c in readers.columns if c not in at]
+    if strategy == "deep_merge_dict" and _flat_map(kind):
+        merged = _merged_so_far(writes, readers.select(*at).distinct(), run, position, port, value, out, -1)
+        return readers.join(merged, at, "left").select(*at, *extra, out)
+    new_only = strategy == "union_set" and _sortable(kind)
+    if new_only:
+        per_position = _new_items(writes, run, position, port, value, out)
+    else:
+        per_position = fold_long(writes, [*run, position], [port], value, strategy, out)
     a = per_position.select(*at, F.col(out), *(F.lit(None).cast(readers.schema[c].dataType).alias(c) for c in extra), F.lit(False).alias("__reads"))
     b = readers.select(*at, F.lit(None).cast(kind).alias(out), *extra, F.lit(True).alias("__reads"))
     window = Window.partitionBy(*run).orderBy(position).rangeBetween(Window.unboundedPreceding, -1)
-    seen = a.union(b).withColumn("__seen", _over(strategy, out, kind, window))
+    seen = a.union(b).withColumn("__seen", _over("append_list" if new_only else strategy, out, kind, window))
     return seen.where("__reads").select(*at, *extra, F.col("__seen").alias(out))
 
 
+def folds_running(
+    writes: DataFrame, run: Sequence[str], position: str, port: str, folds: Mapping[str, tuple[str, str]],
+) -> DataFrame:
+    """The states after each position's writes: (run, position, a column a fold).
+
+    folds: the result's name -> (value column, strategy); all share one grouping and one window.
+    Null values are no contributions.
+    """
+    kinds = {out: writes.schema[v].dataType for out, (v, _) in folds.items()}
+    lists = {out: F.array_sort(F.collect_list(F.when(F.col(v).isNotNull(), F.struct(F.col(port).alias("at"), F.col(v).alias("v"))))) for out, (v, _) in folds.items()}
+    if any(has_map(k) for k in kinds.values()):
+        raise ValueError("maps don't sort: fold them by fold_running")
+    got = writes.groupBy(*run, position).agg(*(x.alias(out) for out, x in lists.items()))
+    got = got.select(*run, position, *(_of_any(s, F.transform(out, lambda x: x.v), kinds[out]).alias(out) for out, (_, s) in folds.items()))
+    window = Window.partitionBy(*run).orderBy(position).rangeBetween(Window.unboundedPreceding, 0)
+    return got.select(*run, position, *(_over(s, out, kinds[out], window).alias(out) for out, (_, s) in folds.items()))
+
+
+def _of_any(strategy: str, values: Column, kind: T.DataType) -> Column:
+    """The fold of an array of contributions by any strategy; null if there are none."""
+    last = F.try_element_at(values, F.lit(-1))
+    match strategy:
+        case "last_wins":
+            return last
+        case "first_wins":
+            return F.get(values, F.lit(0))
+        case "last_present_wins":
+            return F.coalesce(F.try_element_at(F.filter(values, lambda x: present(x, kind)), F.lit(-1)), last)
+    return _of_list(strategy, values, kind)
+
+
 def fold_running(writes: DataFrame, run: Sequence[str], position: str, port: str, value: str, strategy: str, out: str = "value") -> DataFrame:
     """The state after each position's writes: (run, position, fold of all up to it)."""
     kind = writes.schema[value].dataType
-    per_position = fold_long(writes, [*run, position], [port], value, strategy, out)
+    if strategy == "deep_merge_dict" and _flat_map(kind):
+        return _merged_so_far(writes, writes.select(*run, position).distinct(), run, position, port, value, out, 0)
+    new_only = strategy == "union_set" and _sortable(kind)
+    if new_only:
+        new = _new_items(writes, run, position, port, value, out)
+        per_position = new.groupBy(*run, position).agg(F.flatten(F.collect_list(out)).alias(out))  # one of the two lists is empty
+    else:
+        per_position = fold_long(writes, [*run, position], [port], value, strategy, out)
     window = Window.partitionBy(*run).orderBy(position).rangeBetween(Window.unboundedPreceding, 0)
-    return per_position.select(*run, position, _over(strategy, out, kind, window).alias(out))
+    return per_position.select(*run, position, _over("append_list" if new_only else strategy, out, kind, window).alias(out))

@@ -16,7 +16,7 @@ from loomwork.functions.rendering import RESERVED, RenderError, grammar, object_
 from loomwork.functions.types import Field
 from loomwork.operators.folds import accepts
 from loomwork.plans.errors import Findings, PlanError
-from loomwork.plans.model import Bundle, Deployment, Flow, Node, Registry, Step, Trainable
+from loomwork.plans.model import Bundle, Deployment, FileText, Flow, Node, Registry, Step, Trainable
 from loomwork.plans.values import misfits, signature_misfit
 
 SEED = -1
@@ -112,7 +112,7 @@ def _bound(node: Node, step: Step, found: Findings, where: str) -> tuple[dict[st
     for name, decl in step.bindings.items():
         if name in node.bindings:
             value = node.bindings[name]
-            value = None if value == {"null": True} else value
+            value = None if value == {"null": True} else value if decl.compiler else _inline(value)
             if decl.single or not isinstance(value, Mapping):
                 if not decl.single and len(decl.fields) == 1:
                     value = {next(iter(decl.fields)): value}  # a lone field takes a bare value
@@ -139,6 +139,13 @@ def _bound(node: Node, step: Step, found: Findings, where: str) -> tuple[dict[st
     return out, sources
 
 
+def _inline(value: Any) -> Any:
+    """Text from a file as the same text written out."""
+    if isinstance(value, FileText):
+        return str(value)
+    return {k: _inline(v) for k, v in value.items()} if isinstance(value, Mapping) else value
+
+
 def _compiled(name: str | None, value: Any, found: Findings, where: str) -> Any:
     if name is None:
         return value

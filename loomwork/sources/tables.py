@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tomllib
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
@@ -12,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.canonical import canonical_json
-from loomwork.operators.eventlog import KINDS, event_schema, harvest, with_hash
+from loomwork.operators.eventlog import EVENT_COLUMNS, KINDS, event_schema, harvest, with_hash
+from loomwork.plans.artifacts import manifest as manifest
 from loomwork.plans.compile import Plan
 from loomwork.plans.identity import derived
 
@@ -57,10 +57,12 @@ def write_derived(plan: Plan, path: str | Path) -> None:
     Path(path).write_text(canonical_json(derived(plan)) + "\n", encoding="utf-8")
 
 
-def manifest(text: str) -> dict[str, Any]:
-    """An artifact's side file: its name, bundle hashes by trainable, and known pipeline hashes."""
-    data = tomllib.loads(text)
-    return {"artifact": data["artifact"], "bundles": dict(data.get("training_bundle_hashes", {})), "pipelines": list(data.get("pipeline_hash_set", []))}
+def event_rows(spark: SparkSession, rows: list[Mapping[str, Any]]) -> DataFrame:
+    """Events that the driver made, such as those of drift, as rows of the log."""
+    lacking = [r["event_type"] for r in rows if r["event_type"] not in KINDS]
+    if lacking:
+        raise ValueError(f"unknown kind of event: {lacking[0]}")
+    return spark.createDataFrame([tuple(r.get(c) for c in EVENT_COLUMNS) for r in rows], event_schema())
 
 
 def manifests(spark: SparkSession, found: list[dict[str, Any]]) -> DataFrame:

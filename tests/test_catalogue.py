@@ -27,6 +27,9 @@ def duck(small):
     return con
 
 
+from loomwork import showcase  # noqa: E402, F401  (registers its queries)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_equals_sql(spark, small, duck, name):
     ours = catalogue.QUERIES[name](spark, small).toPandas()
