@@ -2,17 +2,24 @@
 
 Alternating large-star and small-star rounds: every round is two partial aggregations and two
 equality joins, so no neighbourhood is collected, and the number of rounds is logarithmic.  Each
-round is checkpointed in the shared folder.
+round is checkpointed in the shared folder.  As soon as no more than ``ONE_TASK`` edges are left,
+by their count, one task on an executor finishes them: its arrays are bounded by that number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import cut
+from loomwork.llm.tokens import trimmed
+
+#: Edges of 64-bit nodes that one task takes; some 60 bytes each while it works.
+ONE_TASK = 1 << 20
 
 
 def spanning_forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -33,6 +40,32 @@ def spanning_forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different nodes of the edges (a, b) in rising order, and the smallest node in reach of each."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    parent = np.arange(len(nodes))
+    while len(a):
+        roots = parent[a], parent[b]
+        low, high = np.minimum(*roots), np.maximum(*roots)
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, high[apart], low[apart])  # the larger root hangs under the smaller
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return nodes, nodes[parent]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if held:
+            node, root = least_reachable(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(trimmed(run), "node long, root long")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of one orderable type -> (node, root): root is the smallest node in reach.
 
@@ -42,8 +75,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    long = dict(now.dtypes)["u"] == "bigint"
     before = _digest(now)
     for _ in range(most_rounds):
+        if long and before[0] <= ONE_TASK:
+            return _in_one_task(now)
         if before[0] == 0:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

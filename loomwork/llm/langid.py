@@ -39,6 +39,8 @@ REJECT_SHARE = 0.5
 OFTEN = 50
 _HAS_LETTER = r"\p{L}"
 _PART = 1 << 20
+#: Tasks that turn the drawn texts into counts.
+_TASKS = 32
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -236,7 +238,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used])], names=["place", "n"])
 
     bounded_batches(docs.sparkSession)
-    rows = cut(drawn(docs, lang_col, text_col, sample).mapInArrow(trimmed(count), _ROWS))
+    # a few texts of each language: as many tasks as a large table has would write mostly empty files
+    rows = cut(drawn(docs, lang_col, text_col, sample).coalesce(_TASKS).mapInArrow(trimmed(count), _ROWS))
     df = np.zeros(DIMS + 1, np.int64)
     parts = rows.where("whole").select("place").mapInArrow(trimmed(frequency), "place int, n long")
     for r in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows at most

@@ -211,9 +211,9 @@ def _close_pairs(frame: pd.DataFrame, distance: int) -> tuple[np.ndarray, np.nda
 
 def _rooted(fps: DataFrame, distance: int) -> DataFrame:
     """fps with fp and id -> one row (fp, least, root) a fingerprint: its least id and the component's name."""
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_links(nodes, distance)).withColumnRenamed("node", "fp")
-    return cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = connected_components(near_links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(

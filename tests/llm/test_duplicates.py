@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomwork.llm import components as simhash_components
 from loomwork.llm import jaccard, linededup, simhash
 from loomwork.llm.components import connected_components, spanning_forest
 
@@ -111,6 +112,20 @@ def classes(pairs):
     return {frozenset(x) for x in out.values()}
 
 
+def test_least_reachable_by_rounds_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 300):
+        pairs = rng.integers(-50, 50 + 10 * n, (n, 2))
+        root = {int(x): int(x) for x in pairs.ravel()}
+        for _ in range(len(root)):
+            for a, b in pairs.tolist():
+                root[a] = root[b] = min(root[a], root[b])
+        nodes, least = simhash_components.least_reachable(pairs[:, 0], pairs[:, 1])
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == root
+    monkeypatch.setattr(simhash_components, "ONE_TASK", 3)
+    test_components(spark)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 200)] + [(500, 501), (501, 500), (7, 7), (900, 905), (905, 903)]
     edges = spark.createDataFrame(chain, "a long, b long")
