@@ -8,11 +8,15 @@ Quantisation
     centres are fitted on at most ``SAMPLE`` vectors; every vector is coded.
 
 Search
-    Vectors and queries are dealt into blocks, and each pair of blocks is one task of bounded size:
-    lookup tables of a query's products with all centres, joined by pairs to 256 entries, are
-    summed over the codes; the best ``1 / SHARE`` of the block, but ``LEAST`` at least, are scored
-    exactly, and the best of those go on.  What is kept grows with the block, so recall doesn't fall
-    as the table grows.  A window with a limit merges the blocks.
+    Every vector is coded once, and what goes to the queries is its codes, its length and the length
+    of what the codes leave out: a tenth of the vector.  Codes and queries are packed into blocks;
+    each pair of blocks is one task of bounded memory: lookup tables of a query's products with all
+    centres, joined by pairs to 256 entries, are summed over the codes.  A sum is off by the product
+    of the query with the residual, of which ``SPREAD`` standard deviations (in random directions)
+    make a lower and an upper bound.  A vector is a candidate of a query if its upper bound reaches
+    the k-th largest lower bound, of its block and then of all blocks.  So how many are kept follows
+    from the data, and thousands of near copies are all kept.
+    Original vectors are fetched for the candidates only, and scored exactly.
 
 Equal vectors
     They share a code and a score.  The search is over different vectors; each carries its smallest
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import cut, partition_count
+from loomwork.llm.tokens import trimmed
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 THRESHOLD = 0.2
-SHARE = 16
-LEAST = 256
-BLOCK = 4096
+#: Standard deviations of a quantised score that its bounds are away from it.
+SPREAD = 1.25
+#: Vectors of a block, at least and at most; a table that makes few blocks has smaller ones.
+BLOCK, LARGEST_BLOCK = 4096, 1 << 18
 QUERY_BLOCK = 2048
 _LANES = 64
 
@@ -108,6 +114,13 @@ class Quantizer:
         codes = self._codes(self._split(x))
         return codes[:, ::2] * 16 + codes[:, 1::2]
 
+    def left_out(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The lengths of the vectors' residuals."""
+        both = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(x), self.parts)
+        near = self.centres[np.arange(self.parts), both]
+        norms = np.linalg.norm(x, axis=1)
+        return np.sqrt(((self._split(x) - near) ** 2).sum(axis=(1, 2))) * norms
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, parts / 2, 256) products of queries with every pair of centres."""
         padded = np.zeros((len(q), self.parts * 2), np.float32)
@@ -116,28 +129,30 @@ class Quantizer:
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), self.parts // 2, 256)
 
 
-def search_block(quantizer: Quantizer, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of each query's k best by exact score, ties to the smaller id."""
-    codes, norms = quantizer.encode(x).T.copy(), np.linalg.norm(x, axis=1).astype(np.float32)
-    keep = min(len(x), max(LEAST, -(-len(x) // SHARE), 2 * k))
-    wide = x.astype(np.float64)
-    out: tuple[list, list, list] = ([], [], [])
+def candidates(
+    quantizer: Quantizer, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, q: np.ndarray, k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, vector row, upper bound, the query's floor) of all that can be among each query's k best.
+
+    codes: a column a vector; rest: the residuals' lengths.  Queries come a few at a time.
+    """
+    lengths = np.linalg.norm(q, axis=1).astype(np.float32)
+    doubt = rest.astype(np.float32) * np.float32(SPREAD / np.sqrt(max(1, quantizer.dims)))
     for at in range(0, len(q), _LANES):
         part = q[at : at + _LANES]
         tables = quantizer.tables(part)
-        scores = np.zeros((len(part), len(x)), np.float32)
-        for m in range(len(codes)):
-            scores += tables[:, m].take(codes[m], axis=1)
+        scores = np.zeros((len(part), codes.shape[1]), np.float32)
+        for lo in range(0, codes.shape[1], BLOCK):  # in parts that stay in the cache
+            for m in range(len(codes)):
+                scores[:, lo : lo + BLOCK] += tables[:, m].take(codes[m, lo : lo + BLOCK], axis=1)
         scores *= norms
-        best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
         for row in range(len(part)):
-            near = best[row]
-            exact = (wide[near] * part[row].astype(np.float64)).sum(axis=1)
-            by = np.lexsort((ids[near], -exact))[:k]
-            out[0].append(np.full(len(by), at + row))
-            out[1].append(near[by])
-            out[2].append(exact[by])
-    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+            off = doubt * lengths[at + row]
+            low = scores[row] - off
+            floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
+            top = scores[row] + off
+            near = np.flatnonzero(top >= floor)
+            yield np.full(len(near), at + row), near, top[near], np.full(len(near), floor, np.float32)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -164,57 +179,97 @@ def different(rows: DataFrame, most_ids: int) -> DataFrame:
     return few.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64("vec"), F.lit(n)).cast("int")), n
+_PACKED = "ids binary, codes binary, norms binary, rest binary"
+_PAIRS = "query long, key long, top float, floor float"
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors with the largest inner product, but the query's own id.
 
     is_query: a condition on the id, as column ``id``.  Scores are sums of double products of the
-    original components.  Ties go to the smaller id; fewer candidates give fewer rows.
+    original components.  Ties go to the smaller id; fewer candidates give fewer rows.  Rows that
+    repeat an id and a vector count once; an id with several vectors asks once for each and is no
+    neighbour of its own.  An empty table, and one of unusable rows, gives no rows.  Other columns,
+    whatever their names, are not read.
     """
     rows = cut(usable(vectors, id_col, vec_col).distinct())
     first = rows.select(F.size("vec").alias("n")).first()
     if first is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     dims = first.n
-    apart = cut(different(rows, k + 1))  # copies would draw the centres to themselves
+    spark = rows.sparkSession
+    apart = different(rows, k + 1).withColumn("key", F.xxhash64("vec"))  # copies would draw the centres to themselves
+    apart = cut(apart.withColumn("key", F.col("key").bitwiseXOR(F.shiftleft(F.col("ids")[0], 1))))
     drawn = apart.select("vec").orderBy(F.xxhash64("vec"), F.col("ids")[0]).limit(sample).toArrow().column(0).combine_chunks()
     quantizer = Quantizer(dims).fit(drawn.values.to_numpy(zero_copy_only=False).reshape(-1, dims))
-    kept = rows.sparkSession.sparkContext.broadcast(quantizer)
-
-    have, n_have = _dealt(apart, BLOCK, "block")
-    asked, n_asked = _dealt(rows.where(is_query).groupBy("vec").agg(F.min("id").alias("query")), QUERY_BLOCK, "part")
-    left = have.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("part"), "vec", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_have - 1))).alias("block"), "part", "vec", "query")
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        column = t.column("vec").combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _FOUND.empty_table()
-        ids = a.column("ids").combine_chunks()
-        smallest = np.array([x[0] for x in ids.to_pylist()], np.int64)
-        q, x, score = search_block(kept.value, matrix(a), smallest, matrix(b), k + 1)
-        return pa.table([b.column("query").combine_chunks().take(pa.array(q)), pa.array(score), ids.take(pa.array(x))], schema=_FOUND)
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query long, score double, ids array<long>")
-    each = found.select("query", "score", F.explode("ids").alias("vec_id"))
+    kept = spark.sparkContext.broadcast(quantizer)
+
+    n = apart.count()
+    asked = rows.where(is_query).groupBy("vec").agg(F.min("id").alias("query"))
+    size = min(LARGEST_BLOCK, max(BLOCK, -(-n // partition_count(spark))))
+    n_have, n_asked = -(-n // size), max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), dims)
+            codes = kept.value.encode(x)
+            columns = [codes, np.linalg.norm(x, axis=1).astype("<f4"), kept.value.left_out(x, codes).astype("<f4")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, columns[1:])], names=["key", "code", "norm", "rest"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        numbers = [table.column(c).to_numpy() for c in ("key", "norm", "rest")]
+        blobs = [numbers[0].astype("<i8"), np.ascontiguousarray(codes.T), numbers[1].astype("<f4"), numbers[2].astype("<f4")]
+        return pa.table([table.column("block")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["block", "ids", "codes", "norms", "rest"])
+
+    def pack_queries(table: pa.Table) -> pa.Table:
+        blobs = [table.column("query").to_numpy().astype("<i8"), _matrix(table.column("vec"), dims).astype("<f8")]
+        return pa.table([table.column("part")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["part", "queries", "vectors"])
+
+    coded = apart.select("key", "vec").mapInArrow(trimmed(code), "key long, code binary, norm float, rest float")
+    coded = coded.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_have)).cast("int"))
+    blocks = coded.groupBy("block").applyInArrow(pack, f"block int, {_PACKED}")
+    parts = asked.withColumn("part", F.pmod(F.xxhash64("vec"), F.lit(n_asked)).cast("int"))
+    parts = parts.groupBy("part").applyInArrow(pack_queries, "part int, queries binary, vectors binary")
+    # each pair of a packed block and packed queries meets once, by equality
+    left = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    right = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_have - 1))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, codes, norms, rest, queries, q = (batch.column(c)[r].as_buffer() for c in range(6))
+                ids, queries = np.frombuffer(ids, "<i8"), np.frombuffer(queries, "<i8")
+                codes = np.frombuffer(codes, np.uint8).reshape(-1, len(ids))
+                q = np.frombuffer(q, "<f8").reshape(len(queries), dims)
+                for of, near, top, floor in candidates(kept.value, codes, np.frombuffer(norms, "<f4"), np.frombuffer(rest, "<f4"), q, k + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[of]), pa.array(ids[near]), pa.array(top, pa.float32()), pa.array(floor, pa.float32())], names=["query", "key", "top", "floor"])
+
+    met = left.join(right, ["block", "part"]).select("ids", "codes", "norms", "rest", "queries", "vectors")
+    found = met.mapInArrow(trimmed(scan), _PAIRS)
+    best = found.withColumn("floor", F.max("floor").over(Window.partitionBy("query"))).where("top >= floor").select("query", "key")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, q = (_matrix(batch.column(c), dims).astype(np.float64) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x * q).sum(axis=1)), batch.column(3)], names=["query", "score", "ids"])
+
+    pairs = best.join(asked.select("query", F.col("vec").alias("q")), "query").join(apart.select("key", "vec", "ids"), "key")
+    scored = pairs.select("query", "vec", "q", "ids").mapInArrow(trimmed(score), "query long, score double, ids array<long>")
+    each = scored.select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    best = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+    top = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
     # every id that asks with this vector, without itself
     askers = rows.where(is_query).select(F.col("id").alias("query_id"), "vec").join(asked.select("vec", "query"), "vec").join(lists, "query")
     own = F.filter("near", lambda x: x.vec_id != F.col("query_id"))
-    rest = F.transform(F.slice(own, 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x.vec_id.alias("vec_id"), x.score.alias("score")))
-    return askers.select("query_id", F.explode(rest).alias("x")).select("query_id", "x.rank", "x.vec_id", "x.score")
-
-
-_FOUND = pa.schema([("query", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
+    rest_of = F.transform(F.slice(own, 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x.vec_id.alias("vec_id"), x.score.alias("score")))
+    return askers.select("query_id", F.explode(rest_of).alias("x")).select("query_id", "x.rank", "x.vec_id", "x.score")
 
 
 def op4_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -197,6 +197,25 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     assert innerproduct.nearest(table.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_codes_are_smaller_than_vectors_and_bounds_hold(spark):
+    """What goes to every query block is a small part of the vectors, and few vectors are scored exactly."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64))
+    x = (centres[rng.integers(0, 40, 50_000)] + 0.6 * rng.normal(size=(50_000, 64))).astype(np.float32)
+    q = x[::500]
+    quantizer = innerproduct.Quantizer(64).fit(x[:4000])
+    codes, norms = quantizer.encode(x), np.linalg.norm(x, axis=1).astype(np.float32)
+    rest = quantizer.left_out(x, codes)
+    assert codes.nbytes + norms.nbytes + rest.astype(np.float32).nbytes <= x.nbytes // 10
+    exact = x.astype(float) @ q.astype(float).T
+    hits = kept = 0
+    for of, near, _, _ in innerproduct.candidates(quantizer, codes.T.copy(), norms, rest, q.astype(float), 21):
+        true = set(np.argsort(-exact[:, of[0]])[:20].tolist())
+        hits += len(true & set(near.tolist()))
+        kept += len(near)
+    assert hits / (20 * len(q)) >= 0.9 and kept / len(q) < 50_000 / 16
+
+
 def test_planted_items_are_found_and_clean_documents_left(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
