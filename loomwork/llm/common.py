@@ -48,6 +48,8 @@ def drop_stored(df: DataFrame) -> None:
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if not path.getName().startswith("loomwork-"):
+            raise ValueError(f"{path} is no table that was stored here")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -80,6 +82,12 @@ def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def no_clash(id_col: str, *results: str) -> None:
+    """An error where the id column has the name of a result, which would make two columns of it."""
+    if id_col.lower() in {r.lower() for r in results}:
+        raise ValueError(f"the id column may not be called {id_col!r}, which is a result's name")
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with a suffix where df has a column of that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_batches
+from loomwork.llm.common import bounded_batches, no_clash
 from loomwork.llm.tokens import slices, trimmed
 
 RATE = 0.2
@@ -355,8 +355,10 @@ def find_items(
     """One row a document and item that it holds: id_col, item_id, first_word, end_word, edits, similarity.
 
     Null or empty texts and items hold and match nothing.  Rows of docs with one id are reported
-    one by one; so are items with one id.  An empty table on either side gives no rows.
+    one by one; so are items with one id.  Among runs equally near the first is told.  An empty table
+    on either side gives no rows.  An id column of a result's name is an error; other columns are not read.
     """
+    no_clash(id_col, "item_id", "first_word", "end_word", "edits", "similarity")
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, item_id long, first_word long, end_word long, edits int, similarity double"
     bounded_batches(docs.sparkSession)

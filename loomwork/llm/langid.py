@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_batches, cut
+from loomwork.llm.common import bounded_batches, cut, no_clash
 from loomwork.llm.tokens import slices, trimmed
 
 DIMS = 1 << 12
@@ -276,8 +276,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id_col, lang_pred, score, accepted), a row a document.
 
     A null text, and one without a letter, is ``und`` with score 0, not accepted.  So is every text
-    where the model knows no language.  Ids may be null or repeat.  An empty table gives no rows.
+    where the model knows no language.  Ids may be null or repeat, and each row is judged alone;
+    among centroids equally near the first language by name wins.  An empty table gives no rows.  An
+    id column of a result's name is an error; other columns are not read.
     """
+    no_clash(id_col, "lang_pred", "score", "accepted")
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,9 @@ a window keep all their lines.
 
 Built-in functions only.  First occurrences are a partial aggregation, so a passage that a third
 of all documents hold is one row a task in the shuffle.  The join that hands them back is a plain
-equality join with an exchange on both sides, which Spark splits where a key is hot.
+equality join with an exchange on both sides, which Spark's rule for skewed joins splits where a
+key is hot: by default a partition of over 256 MB that is five times the median, or some ten million
+windows.  A passage of a third of 10^9 documents is split into dozens of tasks that way.
 """
 
 from __future__ import annotations

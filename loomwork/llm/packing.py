@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_batches
+from loomwork.llm.common import bounded_batches, no_clash
 from loomwork.llm.tokens import slices, token_ids, trimmed
 
 SIZE = 1024
@@ -142,11 +142,13 @@ def pack(
 
     Every document is its text's ids and the end id, so null and empty texts have one token.  Each
     token is in exactly one piece, and a piece's offset is where the sequence's earlier pieces end.
-    Ids may be null or repeat: every row of docs is a document of its own.  An empty table gives no
+    Ids may be null or repeat: every row of docs is a document of its own, ties included.  An id
+    column of a result's name is an error.  An empty table gives no
     rows.  Other columns are not read.  remembered bounds the pieces of text whose ids a worker
     keeps, and slice_bytes the text that is encoded at once; they change time and memory only.  A
     stretch of about so many tokens is packed at once, to its own end.
     """
+    no_clash(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     if size < GRID or size & (size - 1):
         raise ValueError(f"size must be a power of two, {GRID} or more")
 

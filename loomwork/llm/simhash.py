@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import allow_hash_joins, bounded_batches, cut, fresh_names, partition_count
+from loomwork.llm.common import allow_hash_joins, bounded_batches, cut, fresh_names, no_clash, partition_count
 from loomwork.llm.components import connected_components, spanning_forest
 from loomwork.llm.tokens import trimmed
 
@@ -223,8 +223,10 @@ def near_duplicates(
 
     A null text counts as empty; texts without words link with each other.  An id that occurs on
     several rows gives as many rows.  Rows with a null id are fingerprinted, link nothing under a
-    name and get the smallest non-null id in reach.  An empty table gives no rows.
+    name and get the smallest non-null id in reach.  An empty table gives no rows.  An id column of a
+    result's name is an error; other columns, whatever their names, are not read.
     """
+    no_clash(id_col, "fp", "component_id")
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     named = _rooted(fps, distance)
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))

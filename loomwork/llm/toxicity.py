@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_batches, cut
+from loomwork.llm.common import bounded_batches, cut, no_clash
 from loomwork.llm.decontaminate import words
 from loomwork.llm.langid import remainder
 from loomwork.llm.tokens import slices, trimmed
@@ -261,8 +261,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id_col, score, passages) a row a document; passages: first and last word, score and p of each.
 
     Null and empty texts have no passages and the least score.  Ids may be null or repeat; each row
-    is scored alone, in time linear in its text.  An empty table gives no rows.
+    is scored alone, in time linear in its text.  An empty table gives no rows.  An id column of a
+    result's name is an error; other columns are not read.
     """
+    no_clash(id_col, "score", "passages")
     bounded_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(Model(model.lexicons[:1], model.slope, model.base))
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
