@@ -582,7 +582,7 @@ def pipeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform(plan, runs, registry).state()
 
 
-def trainable_flow(form: str = "json_schema") -> tuple[Plan, Registry]:
+def trainable_flow(form: str = "json_schema", streamable: bool = False) -> tuple[Plan, Registry]:
     """A composition with a preparing step and a model call, answered offline."""
     registry = Registry()
     registry.add(
@@ -595,7 +595,7 @@ def trainable_flow(form: str = "json_schema") -> tuple[Plan, Registry]:
         "meta": {"kind": "trainable", "name": "answer"}, "inputs": {"said": {"type": "str"}}, "outputs": {"mood": {"type": "str", "enum": ["calm", "loud"]}},
         "preprocessors": [{"kind": "handler", "name": "chat.prompt", "id": "make", "writes_map": {"prompt": "full"}, "bindings": {"config": {"head": "Q: "}}}],
         "service_bindings": {"llm": {"type": "fake.chat", "model": "m"}},
-        "trainable": {"config": {}, "service_bindings": {"llm": {"type": "fake.chat"}}, "reads": {"full": {"type": "str"}}, "output_schema": {"mood": {"type": "str", "enum": ["calm", "loud"]}}},
+        "trainable": {"streamable": streamable, "config": {}, "service_bindings": {"llm": {"type": "fake.chat"}}, "reads": {"full": {"type": "str"}}, "output_schema": {"mood": {"type": "str", "enum": ["calm", "loud"]}}},
     }
     flow = {"meta": {"name": "chat"}, "nodes": [{"kind": "composition", "name": "answer"}], "inputs": {"said": {"type": "str"}}, "outputs": {"mood": {"type": "str", "enum": ["calm", "loud"]}}}
     registry.add(load.composition(composition))

@@ -85,6 +85,32 @@ def test_long_running_and_so_far(spark, strategy, kind):
         assert r.value == of(r.run, lambda p, at=r.p: p <= at), r
 
 
+def test_many_folds_share_one_window(spark):
+    rng = random.Random(9)
+    rows = [(run, p, port, made(TEXT, rng), made(LIST, rng), None if rng.random() < 0.3 else "v") for run in range(8) for p in range(6) for port in range(rng.randrange(1, 3))]
+    df = spark.createDataFrame(rows, "run long, p long, port long, t string, l array<string>, o string")
+    asked = {"a": ("t", "last_present_wins"), "b": ("l", "append_list"), "c": ("l", "union_set"), "d": ("t", "concat_str"), "e": ("t", "first_wins"), "f": ("t", "last_wins")}
+    together = {(r.run, r.p): r for r in folds.folds_running(df, ["run"], "p", "port", {**asked, "g": ("o", "concat_str")}).collect()}
+    for out, (value, strategy) in asked.items():
+        for r in folds.fold_running(df, ["run"], "p", "port", value, strategy, out).collect():
+            assert together[r.run, r.p][out] == r[out]
+    for (run, p), r in together.items():
+        assert (r.g or "") == "".join(x[5] or "" for x in sorted(rows, key=lambda x: x[:3]) if x[0] == run and x[1] <= p)
+
+
+def test_sets_and_maps_so_far_are_not_folded_anew_for_each_reader(spark):
+    import time
+
+    n = 10_000
+    rows = spark.range(n).selectExpr("1 as run", "id as p", "0 as port", "array(cast(id % 50 as string)) as l", "map(cast(id % 50 as string), id) as m").coalesce(1)
+    began = time.time()
+    for value, strategy in (("l", "union_set"), ("m", "deep_merge_dict")):
+        got = folds.fold_so_far(rows, rows.select("run", "p"), ["run"], "p", "port", value, strategy)
+        sizes = got.select("p", F.size("value").alias("n"), F.when(F.lit(value == "m"), F.lit(1)).alias("x")).where("p > 0").agg(F.max("n"), F.min("n"), F.count("*")).first()
+        assert tuple(sizes) == (50, 1, n - 1)
+    assert time.time() - began < 120
+
+
 @pytest.mark.parametrize("strategy,kind", CASES, ids=lambda x: x if isinstance(x, str) else x.simpleString())
 def test_wide(spark, strategy, kind):
     rng = random.Random(7)

@@ -215,6 +215,82 @@ def test_trainable_hash_laws():
         assert changed[0] != base[0] and changed[1] != base[1]
 
 
+def test_fragments_go_to_a_sink_and_the_value_after_validation(spark, tmp_path):
+    from loomwork.catalogue import trainable_flow
+    from loomwork.streaming.live import assembled
+
+    folder = str(tmp_path)
+
+    def sink(run, seq, piece, done):
+        if run == "broken" and seq == 1:
+            raise OSError("the observer is gone")
+        with open(f"{folder}/{run}.{seq}", "w") as f:
+            json.dump({"run": run, "seq": seq, "piece": piece, "done": done}, f)
+
+    plan, registry = trainable_flow(streamable=True)
+    runs = spark.createDataFrame([("a", "hello"), ("broken", "hi")], "run_id string, said string")
+    out = transform(plan, runs, registry, sink=sink)
+    state = {r.run_id: r.mood for r in out.state().collect()}
+    assert set(state) == {"a", "broken"} and set(state.values()) <= {"calm", "loud"}
+    pieces = spark.read.schema("run string, seq long, piece string, done boolean").json(folder)
+    whole = {r.run: json.loads(r.text) for r in assembled(pieces).collect()}
+    assert whole == {"a": {"mood": state["a"]}} and pieces.where("run = 'a'").count() > 2
+    quiet, registry = trainable_flow()
+    with pytest.raises(ValueError, match="streams"):
+        transform(quiet, runs, registry, sink=sink)
+
+
+def test_a_hook_that_breaks_its_contract_stops_the_job(spark, registry):
+    deployment = load.deployment({"training_contract": {}, "hook_transport": {"see": {"path": "p"}}})
+    plan = compile_flow(flow(node("up"), node("see"), **IN), registry, deployment)
+    runs = spark.createDataFrame([("1", "x")], "run_id string, a string")
+    registry.rows("see")(lambda b, path: b)
+    with pytest.raises(Exception, match="gave str, not None"):
+        transform(plan, runs, registry).observe(registry)
+    registry.rows("see")(lambda b, path: None)
+    transform(plan, runs, registry).observe(registry)
+
+
+def test_backends_are_opened_once_a_task_and_fail_apart_from_bodies(spark):
+    registry = Registry().add(load.service_type({"name": "echo", "identity_schema": {"model": S}, "transport_schema": {"endpoint": S}, "config_schema": {}}))
+    registry.add(step("ask", {"a": "str"}, {"b": "str", "n": "int"}, "service", service_bindings={"api": {"type": "echo"}}))
+    opened = spark.sparkContext.accumulator(0)
+
+    class Backend:
+        def open(self):
+            opened.add(1)
+            return lambda payload, schema, identity, config, transport, remaining_budget_ms=None: (payload["q"], remaining_budget_ms)
+
+    def ask(a, api):
+        said, left = api.invoke(q=a)
+        if a == "body":
+            raise KeyError("mine")
+        return {"b": said, "n": -1 if left is None else left}
+
+    registry.backends["echo"] = Backend()
+    registry.rows("ask")(ask)
+    made = flow(node("ask"), service_bindings={"api": {"type": "echo", "model": "!"}}, **IN)
+    plan = compile_flow(made, registry, load.deployment({"training_contract": {}, "transport": {"api": {"endpoint": "?"}}}))
+    runs = spark.createDataFrame([(str(k), "body" if k == 3 else "x") for k in range(20)], "run_id string, a string").coalesce(1)
+    out = transform(plan, runs, registry, timeout_ms=600_000)
+    assert all(0 < r.n <= 600_000 for r in out.state().collect()) and opened.value == 1
+    assert [(r.run_id, r.category, r.cause) for r in out.errors().collect()] == [("3", "handler", "KeyError")]
+    events = out.events().where("pipeline_run_id = '3'").collect()
+    assert [e.event_type for e in events] == ["pipeline_start", "handler_enter", "service_invocation", "pipeline_error"]
+    assert {r.n for r in transform(plan, runs, registry).state().collect()} == {-1}
+
+
+def test_optional_integers_reach_bodies_as_integers(spark):
+    registry = Registry().add(step("take", {"k": "int | None", "xs": "list[int | None]"}, {"said": "str", "pair": "tuple[int, float]"}))
+    registry.rows("take")(lambda k, xs: {"said": repr((k, xs)), "pair": (1, 2)})
+    plan = compile_flow(load.flow({"meta": {"name": "f"}, "nodes": [node("take")], "inputs": {"k": "int | None", "xs": "list[int | None]"}}), registry)
+    runs = spark.createDataFrame([("1", 3, [1, None]), ("2", None, [])], "run_id string, k long, xs array<long>").coalesce(1)
+    out = transform(plan, runs, registry)
+    assert {r.run_id: (r.said, tuple(r.pair)) for r in out.state().collect()} == {"1": ("(3, [1, None])", (1, 2.0)), "2": ("(None, [])", (1, 2.0))}
+    exits = {e.pipeline_run_id: e.writes_snapshot for e in out.events().where("event_type = 'handler_exit'").collect()}
+    assert exits["2"] == '{"pair":[1,2.0],"said":"(None, [])"}'
+
+
 def test_toml_and_files(tmp_path):
     (tmp_path / "k.toml").write_text('x = "v"\n')
     made = load.loads('[meta]\nname = "f"\n[[nodes]]\nkind = "handler"\nname = "s"\nbindings = { k = { file = "k.toml" } }\n', "pipeline")
