@@ -1,7 +1,10 @@
 """python -m loomwork derive FLOW.toml [--declarations DIR] | tag ARTIFACT FLOW.toml [...] | move FROM TO
+    | check FLOW.toml DEPLOYMENT.toml [...]
 
 derive prints the derived bundle of a flow.  tag writes ARTIFACT.loomwork.toml beside an artifact,
 with the hashes of the flow that it was trained for.  move renames both.
+check covers the flow by the deployment, looks at the side files of its artifacts, and prints the drift
+events; what must not be loaded is an error.
 Declarations are found as DIR/handlers/<name>.toml, DIR/service_types/*.toml and DIR/compositions/<name>.
 """
 
@@ -13,8 +16,8 @@ from pathlib import Path
 
 from loomwork.functions.canonical import canonical_json
 from loomwork.plans import identity, load
-from loomwork.plans.artifacts import SUFFIX, side_file
-from loomwork.plans.compile import Plan, compile_flow
+from loomwork.plans.artifacts import SUFFIX, check_artifacts, side_file
+from loomwork.plans.compile import Plan, compile_flow, cover
 from loomwork.plans.errors import PlanError
 from loomwork.plans.model import Registry
 
@@ -38,11 +41,13 @@ def read_plan(flow: Path, declarations: Path) -> Plan:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("loomwork")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("derive", "tag"):
+    for name in ("derive", "tag", "check"):
         one = commands.add_parser(name)
         if name == "tag":
             one.add_argument("artifact")
         one.add_argument("flow", type=Path)
+        if name == "check":
+            one.add_argument("deployment", type=Path)
         one.add_argument("--declarations", type=Path, default=Path())
     move = commands.add_parser("move")
     move.add_argument("source", type=Path)
@@ -51,6 +56,12 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "derive":
             print(canonical_json(identity.derived(read_plan(args.flow, args.declarations))))
+        elif args.command == "check":
+            deployment = load.loads(args.deployment.read_text(encoding="utf-8"), "deployment")
+            plan, registry = read_plan(args.flow, args.declarations), read_registry(args.declarations)
+            cover(plan, registry, deployment)
+            for event in check_artifacts(plan, registry, deployment, args.deployment.parent):
+                print(canonical_json({k: str(v) if k == "timestamp" else v for k, v in event.items()}))
         elif args.command == "tag":
             Path(args.artifact + SUFFIX).write_text(side_file(args.artifact, read_plan(args.flow, args.declarations)), encoding="utf-8")
         else:

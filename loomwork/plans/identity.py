@@ -102,13 +102,22 @@ def pipeline_hash(plan: Plan, registry: Registry | None = None) -> str:
 
 def derived(plan: Plan) -> dict[str, Any]:
     """What derives from a plan, as JSON data: hashes, nodes, constants, wires and compositions."""
+    compositions = {}
+    for name in sorted({c.composition for c in plan.calls if c.composition}):
+        own = [c for c in plan.calls if c.composition == name]
+        compositions[name] = {
+            "positions": [c.position for c in own], "streamable": any(c.streamable for c in own),
+            "training_bundle_hash": bundle_hash(plan, name), "wires": sorted(w for w in plan.scoped if w.startswith(f"{name}.")),
+        }
     return {
         "pipeline_hash": pipeline_hash(plan),
         "training_bundle_hashes": bundle_hashes(plan),
         "nodes": [_call(c, c.name) | {"position": c.position} for c in plan.calls],
         "wires": {w: f.type.text() for w, f in plan.wires.items()},
         "merge": dict(plan.merge),
-        "compositions": sorted({c.composition for c in plan.calls if c.composition}),
+        "compositions": compositions,
+        "bindings": {f"{c.position}.{k}": v for c in plan.calls if c.step for k, v in _constants(c).items()},
+        "embedded": {str(c.position): derived(c.inner) for c in plan.calls if c.inner is not None},
     }
 
 

@@ -8,6 +8,8 @@ from typing import Any
 
 from loomwork.functions.types import Field
 
+#: Groups of entry points, and what their entries are.
+ENTRY_POINTS = {"loomwork.bodies": "body", "loomwork.backends": "backend"}
 STEP_KINDS = ("transform", "service", "hook", "trainable")
 
 
@@ -160,6 +162,22 @@ class Registry:
         """Registers a Python function of values as a step's body; it runs in Arrow batches."""
         return self._keep(name, "rows")
 
+    def installed(self, found: Any = None) -> Registry:
+        """Adds what installed packages offer under the groups of ``ENTRY_POINTS``.
+
+        Bodies are functions with an attribute ``style`` (columns by default), backends are made by
+        calling what the entry names.  A name that is taken already is an error.
+        """
+        from importlib.metadata import entry_points
+
+        for group, kind in ENTRY_POINTS.items():
+            for entry in (found if found is not None else entry_points()).select(group=group):
+                made, known = entry.load(), self.bodies if kind == "body" else self.backends
+                if entry.name in known:
+                    raise ValueError(f"{entry.name} is offered twice")
+                known[entry.name] = Body(made, getattr(made, "style", "columns")) if kind == "body" else made()
+        return self
+
     def _keep(self, name: str, style: str) -> Callable:
         def keep(f: Callable) -> Callable:
             self.bodies[name] = Body(f, style)

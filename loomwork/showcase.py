@@ -429,8 +429,8 @@ def hash_laws() -> dict[str, str]:
 @cases(
     "derived_bundle",
     {
-        "members": "compositions,merge,nodes,pipeline_hash,training_bundle_hashes,wires", "nodes": "up>a>b,two>b>c+d", "wires": "a:str,b:str,c:str,d:int", "twice": "same bytes",
-        "trainables": "t", "hash of a part": "sha256:",
+        "members": "bindings,compositions,embedded,merge,nodes,pipeline_hash,training_bundle_hashes,wires", "nodes": "up>a>b,two>b>c+d", "wires": "a:str,b:str,c:str,d:int", "twice": "same bytes",
+        "trainables": "t", "hash of a part": "sha256:", "bindings": "0.mark=+", "composition": "0 streams",
     },
 )
 def derived_bundle() -> dict[str, str]:
@@ -438,10 +438,14 @@ def derived_bundle() -> dict[str, str]:
     plan = compile_flow(_flow("up", "two"), _steps())
     data = json.loads(identity.serialized(plan)[0])
     model = identity.derived(_with_trainable(_steps()))
+    bound = identity.derived(compile_flow(_flow(_node("bound", bindings={"mark": "+"})), _steps()))
+    streaming = identity.derived(_with_trainable(_steps(), streamable=True))
     return {
         "members": ",".join(sorted(data)), "nodes": ",".join(f"{n['name']}>{'+'.join(n['reads'].values())}>{'+'.join(sorted(n['writes'].values()))}" for n in data["nodes"]),
         "wires": ",".join(f"{k}:{v}" for k, v in sorted(data["wires"].items())), "twice": "same bytes" if identity.serialized(plan) == identity.serialized(plan) else "other bytes",
         "trainables": ",".join(model["training_bundle_hashes"]), "hash of a part": model["training_bundle_hashes"]["t"][:7],
+        "bindings": ",".join(f"{k}={v['value']['sep']}" for k, v in bound["bindings"].items()),
+        "composition": ",".join(f"{v['positions'][0]} {'streams' if v['streamable'] else 'whole'}" for v in streaming["compositions"].values()),
     }
 
 

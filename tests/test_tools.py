@@ -60,3 +60,23 @@ def test_command_line(tmp_path, capsys):
     assert main(["move", str(artifact), str(tmp_path / "new.bin")]) == 0
     assert tables.manifest((tmp_path / "new.bin.loomwork.toml").read_text())["pipelines"] == [data["pipeline_hash"]]
     assert main(["derive", str(tmp_path / "none.toml")]) == 1
+    (tmp_path / "d.toml").write_text("[training_contract]\nintegrity_enforcement = true\n")
+    assert main(["check", str(flow), str(tmp_path / "d.toml"), "--declarations", str(tmp_path)]) == 0
+    (tmp_path / "d.toml").write_text('[training_contract]\n[artifacts]\nt = "new.bin"\n')
+    assert main(["check", str(flow), str(tmp_path / "d.toml"), "--declarations", str(tmp_path)]) == 1 and "artifact-unknown" in capsys.readouterr().err
+
+
+def test_installed_bodies_and_backends():
+    class Entry:
+        def __init__(self, name, made):
+            self.name, self.load = name, lambda: made
+
+    class Found:
+        def select(self, group):
+            return {"loomwork.bodies": [Entry("up", len)], "loomwork.backends": [Entry("m", dict)]}[group]
+
+    r = Registry().installed(Found())
+    assert r.bodies["up"].call is len and r.bodies["up"].style == "columns" and r.backends["m"] == {}
+    with pytest.raises(ValueError, match="twice"):
+        r.installed(Found())
+    assert Registry().installed().bodies == {}
