@@ -88,7 +88,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> None:
-    """Writes the rows of ``tokenize`` as a token file; equal doc_ids stay together."""
+    """Writes the rows of ``tokenize`` as a token file; equal doc_ids follow each other."""
     spark = tokens.sparkSession
     lengths = code_lengths(id_counts(tokens))
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -126,8 +126,10 @@ def write_token_file(tokens: DataFrame, path: str, end_id: int | None = 2) -> No
             yield flush()
 
     n = partition_count(spark)
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    blocks = ordered.mapInArrow(trimmed(run), _BLOCKS_SQL)
+    # with a row's place as a second key, rows of one id, or of none, are dealt out over tasks too
+    placed = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange(n, "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    blocks = ordered.select("doc_id", "ids").mapInArrow(trimmed(run), _BLOCKS_SQL)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
