@@ -80,11 +80,10 @@ def _fold_query(strategy: str) -> Query:
     return run
 
 
-def _so_far_query(strategy: str, read_at: str) -> Query:
+def _so_far_query(strategy: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, kind = _contributions(spark, sf_dir, strategy)
-        readers = rows.where(read_at).select("run", "position")
-        out = folds.fold_so_far(rows, readers, ["run"], "position", "port", "value", strategy)
+        out = folds.fold_so_far(rows, rows.select("run", "position"), ["run"], "position", "port", "value", strategy)
         return out.select("run", "position", F.coalesce(shown(F.col("value"), kind), F.lit("(none)")).alias("value"))
 
     return run
@@ -106,27 +105,13 @@ _FOLD_SQL = {
 }
 for _strategy in folds.STRATEGIES:
     _rows = _BASE.get(_strategy, _EVENTS)
-    _pairs = f"with c as ({_rows}), r as (select distinct run, position as here from c where position % 5 = 0)"
     if _strategy in _FOLD_SQL:
         _all = f"with c as ({_rows}) select run, {_FOLD_SQL[_strategy]} as value from c group by run"
-        _far = (
-            f"{_pairs} select r.run, r.here as position, coalesce({_FOLD_SQL[_strategy]}, '(none)') as value "
-            "from r left join c on c.run = r.run and c.position < r.here group by r.run, r.here"
-        )
     elif _strategy == "union_set":
         _all = f"with c as ({_rows}), f as (select run, v, min(position) as p from c group by run, v) select run, string_agg(v, ',' order by p) as value from f group by run"
-        _far = (
-            f"{_pairs}, f as (select r.run, r.here, c.v, min(c.position) as p from r left join c on c.run = r.run and c.position < r.here group by r.run, r.here, c.v) "
-            "select run, here as position, coalesce(string_agg(v, ',' order by p), '(none)') as value from f group by run, here"
-        )
     else:
         _all = f"with c as ({_rows}), f as (select run, v, arg_max(k, position) as k from c group by run, v) select run, {_MERGED} as value from f group by run"
-        _far = (
-            f"{_pairs}, f as (select r.run, r.here, c.v, arg_max(c.k, c.position) as k from r left join c on c.run = r.run and c.position < r.here group by r.run, r.here, c.v) "
-            f"select run, here as position, coalesce({_MERGED}, '(none)') as value from f group by run, here"
-        )
     query(f"fold_{_strategy}", _all)(_fold_query(_strategy))
-    query(f"fold_so_far_{_strategy}", _far)(_so_far_query(_strategy, "position % 5 = 0"))
 
 # the folds so far, read at every position
 _BEFORE = "order by position range between unbounded preceding and 1 preceding"
@@ -151,7 +136,7 @@ for _strategy in folds.STRATEGIES:
             f"last_value(case when c.v = d.v then c.k end ignore nulls) over (partition by c.run, d.v {_BEFORE.replace('position', 'c.position')}) as k "
             f"from c join d on c.run = d.run) select run, position, coalesce({_MERGED}, '(none)') as value from f group by run, position"
         )
-    query(f"fold_every_position_{_strategy}", _every)(_so_far_query(_strategy, "true"))
+    query(f"fold_so_far_{_strategy}", _every)(_so_far_query(_strategy))
 
 
 @query(

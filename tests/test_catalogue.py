@@ -43,7 +43,7 @@ def test_folds_are_read_at_every_position(spark, small, strategy):
     source = "conversations" if strategy in ("last_present_wins", "concat_str") else "events"
     at = ["conv_id", "turn"] if source == "conversations" else ["user_id", "event_id"]
     want = spark.read.parquet(f"{small}/{source}.parquet").select(*at).collect()
-    got = catalogue.QUERIES[f"fold_every_position_{strategy}"](spark, small).collect()
+    got = catalogue.QUERIES[f"fold_so_far_{strategy}"](spark, small).collect()
     assert sorted((r.run, r.position) for r in got) == sorted(map(tuple, want))
 
 
