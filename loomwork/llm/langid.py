@@ -6,8 +6,8 @@ several centroids, as one language's texts fall into several kinds.  A text gets
 whose centroid has the largest cosine.
 
 Rejection is by distance: short texts have small cosines with any centroid, so the least cosine
-that is accepted depends on the number of n-grams.  It is a share of what texts of that size or
-more, whole fitted texts and their heads, reach with their own language.
+that is accepted depends on the number of n-grams.  It is a share of what all but the worst of the
+texts of that size or more, whole fitted texts and their heads, reach with their own language.
 
 The classifier (idf, centroids, least cosines) is fitted on at most ``sample`` different labelled
 texts of each language, those with the least hashes; copies count once, whatever their number, and
@@ -33,8 +33,9 @@ from loomwork.llm.tokens import slices, trimmed
 DIMS = 1 << 12
 SAMPLE = 400
 CENTROIDS = 4
-#: Accepted cosines go down to this share of the least cosine seen in fitting.
-REJECT_SHARE = 0.5
+#: Accepted cosines go down to this share of a low quantile of the cosines seen in fitting.  The
+#: lowest are of junk that has a label, such as a head that is a hash only.
+REJECT_SHARE, REJECT_QUANTILE = 0.7, 0.02
 #: So many fitted texts of a size tell what it takes.
 OFTEN = 50
 _HAS_LETTER = r"\p{L}"
@@ -139,27 +140,25 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit_language(rows: list[Row], idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One language's centroids, and for each size class the least cosine of its rows and their number."""
+    """One language's centroids, and the size class and the cosine of each of its rows."""
     found = _clusters(np.stack([vector(r.dense(), idf) for r in rows if r.whole]), k).astype(np.float32)
-    seen, often = np.ones(32), np.zeros(32, np.int64)
-    for r in rows:
-        at = size_class(int(r.count.sum()))
-        seen[at] = min(seen[at], float((found @ vector(r.dense(), idf)).max()))
-        often[at] += 1
-    return found, seen, often
+    sizes = np.array([size_class(int(r.count.sum())) for r in rows], np.uint8)
+    return found, sizes, np.array([(found @ vector(r.dense(), idf)).max() for r in rows], np.float32)
 
 
-def accepted_least(seen: np.ndarray, often: np.ndarray) -> np.ndarray:
+def accepted_least(sizes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
     """The least accepted cosine of each size class, from what all languages' rows have.
 
     A longer text must be as near as a shorter one; a size seen rarely tells nothing of its own.
     """
-    known = np.flatnonzero(often >= OFTEN)
-    least = np.full(32, seen.min())
+    if not len(sizes):
+        return np.ones(32)
+    low = {c: np.quantile(cosines[sizes == c], REJECT_QUANTILE) for c in range(32) if (sizes == c).sum() >= OFTEN}
+    least = np.full(32, min(low.values(), default=np.quantile(cosines, REJECT_QUANTILE)))
     for c in range(32):
-        below = known[known <= c]
-        if len(below):
-            least[c] = seen[known[known >= below[-1]]].min()
+        below = [k for k in low if k <= c]
+        if below:
+            least[c] = min(low[k] for k in low if k >= below[-1])
     return least * REJECT_SHARE
 
 
@@ -176,10 +175,10 @@ def fit_rows(rows: list[Row], k: int = CENTROIDS) -> Model:
 
 def _model(langs: list[str], idf: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
     owner = [j for j, (c, *_) in enumerate(found) for _ in range(len(c))]
-    seen = np.min([s for _, s, _ in found], axis=0) if found else np.ones(32)
-    often = np.sum([o for *_, o in found], axis=0) if found else np.zeros(32, np.int64)
+    sizes = np.concatenate([np.zeros(0, np.uint8), *(x for _, x, _ in found)])
+    cosines = np.concatenate([np.zeros(0, np.float32), *(x for *_, x in found)])
     centroids = np.vstack([np.zeros((0, DIMS), np.float32), *(c for c, *_ in found)]).astype(np.float32)
-    return Model(langs, idf, centroids, np.array(owner, np.int64), accepted_least(seen, often))
+    return Model(langs, idf, centroids, np.array(owner, np.int64), accepted_least(sizes, cosines))
 
 
 def drawn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -247,17 +246,17 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample:
     idf = idf_of(df[:DIMS], int(df[DIMS]))
 
     def language(table: pa.Table) -> pa.Table:
-        found, seen, often = fit_language(_rows(*(table.column(c).to_pylist() for c in ("lang", "whole", "place", "count"))), idf, k)
-        row = {"lang": table.column("lang")[0].as_py(), "centroids": found.astype("<f4").tobytes(), "seen": seen.tolist(), "often": often.tolist()}
+        found, sizes, cosines = fit_language(_rows(*(table.column(c).to_pylist() for c in ("lang", "whole", "place", "count"))), idf, k)
+        row = {"lang": table.column("lang")[0].as_py(), "centroids": found.astype("<f4").tobytes(), "sizes": sizes.tobytes(), "cosines": cosines.astype("<f4").tobytes()}
         return pa.Table.from_pylist([row], schema=_FITTED)
 
-    got = rows.groupBy("lang").applyInArrow(language, "lang string, centroids binary, seen array<double>, often array<long>")
+    got = rows.groupBy("lang").applyInArrow(language, "lang string, centroids binary, sizes binary, cosines binary")
     got = sorted(got.toArrow().to_pylist(), key=lambda r: r["lang"])
-    fitted = [(np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMS), np.array(r["seen"]), np.array(r["often"])) for r in got]
+    fitted = [(np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMS), np.frombuffer(r["sizes"], np.uint8), np.frombuffer(r["cosines"], "<f4")) for r in got]
     return _model([r["lang"] for r in got], idf, fitted)
 
 
-_FITTED = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("seen", pa.list_(pa.float64())), ("often", pa.list_(pa.int64()))])
+_FITTED = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("sizes", pa.binary()), ("cosines", pa.binary())])
 
 
 def _judge(m: Model, texts: pa.Array) -> list[tuple[str, float, bool]]:

@@ -48,6 +48,23 @@ def test_a_language_of_copies_is_learnt(spark):
     assert got.where("lang <> lang_pred").count() == 0
 
 
+def test_gibberish_and_foreign_texts_are_rejected_and_clean_short_ones_kept(spark):
+    import base64
+    import string
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rng = np.random.default_rng(2)
+    letters = [" ".join("".join(rng.choice(list(string.ascii_lowercase), rng.integers(2, 10))) for _ in range(n)) for n in (100, 200, 300)]
+    noise = [base64.b64encode(rng.bytes(n)).decode() for n in (300, 600, 1500)]
+    finnish = ["Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset ja jolla on virallisen kielen asema."]
+    clean = [r.text for r in docs.where("lang is not null and length(text) between 40 and 200 and text rlike '[a-z]'").orderBy("doc_id").collect()]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate([*letters, *noise, *finnish, *clean])], "doc_id long, text string")
+    kept = {r.doc_id for r in langid.predict(table, model).where("accepted").collect()}
+    odd = len(letters) + len(noise) + len(finnish)
+    assert not kept & set(range(odd)) and len(clean) >= 10 and kept >= set(range(odd, odd + len(clean)))
+
+
 def test_every_labelled_language_is_learnt(spark):
     rows = [(f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k + j)} " * 5, f"l{k:03}") for k in range(330) for j in range(3)]
     docs = spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
