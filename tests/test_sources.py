@@ -44,6 +44,28 @@ def test_schema_and_grammar():
     assert rendering.COMPILERS["regex"]("a", "i").search("A")
 
 
+def test_an_escaped_pair_of_surrogates_is_one_character():
+    text = rendering.grammar(rendering.object_schema(fields(a={"type": "str", "minLength": 2, "maxLength": 2}), "gbnf"))
+    rule = dict(line.split(" ::= ", 1) for line in text.splitlines())["char"]
+    # the rule as a regular expression: literals unquoted, blanks between terms dropped
+    parts = re.findall(r'"(?:[^"\\]|\\.)*"|\[(?:[^\]\\]|\\.)*\]|\{\d+\}|[()|]', rule)
+    char = "".join(re.escape(json.loads(x)) if x[0] == '"' else x for x in parts)
+    assert re.fullmatch(f"(?:{char}){{2}}", r"a\ud83d\ude00") and re.fullmatch(f"(?:{char}){{2}}", "\\u00e9\\n")
+    assert not re.fullmatch(f"(?:{char}){{2}}", r"\ud83d\ude00") and not re.fullmatch(f"(?:{char}){{2}}", r"a\ud83d")
+
+
+def test_fragments_come_before_the_stream_ends():
+    def lines():
+        yield b'data: {"choices":[{"delta":{"content":"a"}}]}\n'
+        yield b"\n"
+        raise AssertionError("read too far")
+
+    stream = backends.ChatCompletions(lambda *a: lines()).fragments("hi", {}, {"model": "m"}, {}, {"endpoint": "e"})
+    assert next(stream) == "a"
+    with pytest.raises(TimeoutError):
+        backends.ChatCompletions(lambda *a: lines())("hi", {}, {"model": "m"}, {}, {"endpoint": "e"}, remaining_budget_ms=0)
+
+
 def test_backends(monkeypatch):
     schema = rendering.object_schema({"mood": Field(parse_type("str"), (("enum", ["a", "b"]),))})
     chat = backends.ChatCompletions(lambda url, body, key, ms: iter([json.dumps({"choices": [{"message": {"content": json.dumps([url, key, body["model"]])}}]}).encode()]))
