@@ -612,7 +612,7 @@ def pipeline_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _echo(payload: Any, schema: Any, identity: Any, config: Any, transport: Any, remaining_budget_ms: int | None = None) -> Any:
-    if payload["name"].startswith("A"):
+    if payload["name"].endswith("2"):
         raise OSError("no route")
     left = remaining_budget_ms is not None and 0 < remaining_budget_ms <= 3_600_000
     return f"{payload['name']}{config['t']}{transport['endpoint']}{left}"
@@ -632,7 +632,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("run_id"), F.col("n_name").alias("name"))
 
 
-@query("service_rows", "select cast(n_nationkey as varchar) as run_id, lower(n_name) || '4@true' as said from nation where n_name not like 'A%'")
+@query("service_rows", "select cast(n_nationkey as varchar) as run_id, lower(n_name) || '4@true' as said from nation where n_name not like '%2'")
 def service_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A service step under a time limit: its configuration, transport, and what is left of the time."""
     plan, registry = service_flow()
@@ -642,7 +642,7 @@ def service_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "service_events",
     """select n_nationkey || ':0' as correlation_id, '{"name":"' || n_name || '"}' as input_payload, '"' || n_name || '4@False"' as output_payload,
-  '{"said":"' || lower(n_name) || '4@false"}' as writes_snapshot from nation where n_name not like 'A%'""",
+  '{"said":"' || lower(n_name) || '4@false"}' as writes_snapshot from nation where n_name not like '%2'""",
 )
 def service_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What services were asked and answered, beside what their steps wrote: all differ by the body's lower-casing."""
@@ -652,7 +652,7 @@ def service_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call.join(eventlog.divergence(events).select("correlation_id", "writes_snapshot"), "correlation_id")
 
 
-@query("service_errors", "select cast(n_nationkey as varchar) as run_id, 'PipelineFailure' as error_class, 'service' as category, 'OSError' as cause from nation where n_name like 'A%'")
+@query("service_errors", "select cast(n_nationkey as varchar) as run_id, 'PipelineFailure' as error_class, 'service' as category, 'OSError' as cause from nation where n_name like '%2'")
 def service_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose backend failed; the others went on."""
     plan, registry = service_flow()
