@@ -134,8 +134,9 @@ def near_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard each reach 3 differing bits at most")
     n = partition_count(nodes.sparkSession)
-    # a fingerprint makes 66 rows: few tasks would hold large tables of keys
-    index = nodes.repartition(n, "fp").select("fp", F.explode(_index(F.col("fp"))).alias("x")).select("fp", "x.*")
+    # a fingerprint makes 66 rows: few tasks would hold large tables of keys, and an exchange on fp
+    # itself would be taken for the one that the nodes come from, which joins small partitions
+    index = nodes.repartition(n, F.xxhash64("fp")).select("fp", F.explode(_index(F.col("fp"))).alias("x")).select("fp", "x.*")
     out = None
     for width in WIDTHS:
         seen = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
