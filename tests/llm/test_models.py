@@ -171,6 +171,53 @@ def test_toxicity_on_held_out_documents(spark):
     assert found.score.between(0, 1).all() and (found.predicted == (found.score >= 0.7)).all()
 
 
+def test_lexicon_against_its_formulas():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        n = int(rng.integers(5, 60))
+        tokens = [f"t{k}" for k in range(n)]
+        toxic, other = rng.integers(0, 40, n) * (rng.random(n) < 0.4), rng.integers(0, 200, n)
+        lex = toxicity.lexicon(tokens, toxic.astype(float), other.astype(float), float(toxic.sum()), float(other.sum()))
+        want = {}
+        for t, a, b in zip(tokens, toxic, other, strict=True):
+            if a + b == 0:
+                continue
+            prior, mass = toxicity.PRIOR * (a + b), toxicity.PRIOR * (toxic.sum() + other.sum())
+            odds = math.log((a + prior) / (toxic.sum() + mass - a - prior)) - math.log((b + prior) / (other.sum() + mass - b - prior))
+            z = odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
+            if (z >= toxicity.Z_LEAST and odds >= toxicity.ODDS_LEAST and a >= toxicity.TEXTS_LEAST) or z <= -2 * toxicity.Z_LEAST:
+                want[t] = (odds, (b + prior) / (other.sum() + mass))
+        assert dict(zip(lex.tokens, lex.odds, strict=True)) == pytest.approx({t: x for t, (x, _) in want.items()})
+        if any(x > toxicity.DRIFT for x, _ in want.values()) and sum(p * (x - toxicity.DRIFT) for x, p in want.values()) < toxicity.DRIFT * (1 - sum(p for _, p in want.values())):
+            known = sum(p * math.exp(lex.rate * (x - toxicity.DRIFT)) for x, p in want.values())
+            assert known + (1 - sum(p for _, p in want.values())) * math.exp(-lex.rate * toxicity.DRIFT) == pytest.approx(1, abs=1e-3)
+        assert lex.chance(3.0, 50) == pytest.approx(1 - math.exp(-lex.k * 50 * math.exp(-lex.rate * 3.0)), abs=1e-9)
+
+
+def test_scores_against_brute_force(spark):
+    lex = toxicity.Lexicon(["vile", "filth", "calm"], np.array([4.0, 2.5, -3.0]), 0.8, 0.05)
+    model = toxicity.Model([lex], 1.7, -2.0)
+    rng = np.random.default_rng(8)
+    pool = ["vile", "filth", "calm", "plain", "word", "other"]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 14)), p=[0.15, 0.1, 0.1, 0.25, 0.2, 0.2])) for _ in range(120)]
+    texts += ["plain " * 200_000 + "vile filth vile", "Vile, FILTH!", None, ""]
+    docs = spark.createDataFrame([(k // 2, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, score string")  # ids repeat
+    got = sorted((r.doc_id, round(r.score, 9), [(p.first, p.last) for p in r.passages]) for r in toxicity.score(docs, model).collect())
+    odds = dict(zip(lex.tokens, lex.odds, strict=True))
+    want = []
+    for k, t in enumerate(texts):
+        w = re.findall(r"\w+", (t or "").lower())
+        values = [odds.get(x, 0.0) - toxicity.DRIFT for x in w]
+        start = max(0, len(values) - 12) if len(values) > 1000 else 0  # what lies before has no positive score
+        found = [(a + start, b + start, sum(values[start + a : start + b + 1])) for a, b in brute_segments(values[start:])]
+        sizes = len(decontaminate.words(pa.array([t or ""]))[0])
+        p = [(a, b, 1 - math.exp(-lex.k * sizes * math.exp(-lex.rate * s))) for a, b, s in found]
+        p = [x for x in p if x[2] <= toxicity.P_MOST]
+        evidence = -sum(math.log(x[2]) for x in p)
+        want.append((k // 2, round(1 / (1 + math.exp(-(model.base + model.slope * math.log1p(evidence)))), 9), [(a, b) for a, b, _ in p]))
+    assert got == sorted(want) and any(x[2] for x in want)
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(k, ("vile filth " if k % 4 == 0 else "") + f"plain words number {k} here", k) for k in range(400)] + [(1000, None, 0), (1001, "", 0), (None, "plain", 0)], "doc_id long, text string, score long")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(None, 1), (3, None), (1000, 0)], "doc_id long, toxic int")
