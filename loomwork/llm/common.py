@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """As ``cut``, for the few bytes a row that an exchange leaves: in an eighth of its partitions.
+
+    A task takes them one after the other, so its memory is that of one; tables of documents make
+    so many partitions that as many small files would cost more than their rows.
+    """
+    return cut(df.coalesce(max(1, partition_count(df.sparkSession) // 8)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As ``cut``, as a compressed columnar table: for large rows that are read more than once."""
     path = shared_path(df.sparkSession, name)
@@ -78,6 +88,17 @@ def allow_hash_joins(spark: SparkSession, most: str = "64m") -> None:
         spark.conf.set(name, most)
 
 
+def release_memory(spark: SparkSession) -> None:
+    """Asks the executors' JVMs to collect their garbage, and so to give memory back to the system.
+
+    A heap that a shuffle has filled stays committed else, beside the Python workers of what comes
+    next.  One short task a core; where a JVM ignores the request nothing happens.
+    """
+    n = spark.sparkContext.defaultParallelism
+    collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collect.alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import cut_narrow
 from loomwork.llm.tokens import trimmed
 
 #: Edges of 64-bit nodes that one task takes; some 60 bytes each while it works.
@@ -72,7 +72,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Nodes without an edge to another node don't appear.  Nulls, loops and repeated edges are
     ignored; no edges give no rows.
     """
-    now = cut(
+    now = cut_narrow(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     long = dict(now.dtypes)["u"] == "bigint"
@@ -87,7 +87,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        now = cut(linked.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        now = cut_narrow(linked.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         after = _digest(now)
         if after == before:
             break

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import allow_hash_joins, bounded_batches, cut, fresh_names, no_clash, partition_count
+from loomwork.llm.common import allow_hash_joins, bounded_batches, cut, cut_narrow, fresh_names, no_clash, partition_count
 from loomwork.llm.components import connected_components, spanning_forest
 from loomwork.llm.tokens import trimmed
 
@@ -262,7 +262,7 @@ def first_of_each(docs: DataFrame, fps: DataFrame, named: DataFrame, id_col: str
     id_, sum_ = fresh_names(docs, "kept_id", "kept_sum")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "sum64")
     first = fps.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
-    first = cut(first.select(F.col("first.id").alias(id_), F.col("first.sum64").alias(sum_)))
+    first = cut_narrow(first.select(F.col("first.id").alias(id_), F.col("first.sum64").alias(sum_)))
     on = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(sum_))
     allow_hash_joins(docs.sparkSession)  # saves sorting whole texts
     kept = docs.join(first, on, "left_semi")
