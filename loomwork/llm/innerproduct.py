@@ -40,7 +40,9 @@ THRESHOLD = 0.2
 #: Standard deviations of a quantised score that its bounds are away from it.
 SPREAD = 1.25
 #: Vectors of a block, at least and at most; a table that makes few blocks has smaller ones.
-BLOCK, LARGEST_BLOCK = 4096, 1 << 18
+BLOCK, LARGEST_BLOCK = 1024, 1 << 18
+#: Codes that are summed at once, which stay in the cache.
+_CACHED = 4096
 QUERY_BLOCK = 2048
 _LANES = 64
 
@@ -132,9 +134,9 @@ class Quantizer:
 def candidates(
     quantizer: Quantizer, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, q: np.ndarray, k: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, vector row, upper bound, the query's floor) of all that can be among each query's k best.
+    """(query row, vector row, upper bound, lower bound) of all that can be among each query's k best.
 
-    codes: a column a vector; rest: the residuals' lengths.  Queries come a few at a time.
+    codes: a column a vector; rest: the residuals' lengths.  Queries come one at a time.
     """
     lengths = np.linalg.norm(q, axis=1).astype(np.float32)
     doubt = rest.astype(np.float32) * np.float32(SPREAD / np.sqrt(max(1, quantizer.dims)))
@@ -142,9 +144,9 @@ def candidates(
         part = q[at : at + _LANES]
         tables = quantizer.tables(part)
         scores = np.zeros((len(part), codes.shape[1]), np.float32)
-        for lo in range(0, codes.shape[1], BLOCK):  # in parts that stay in the cache
+        for lo in range(0, codes.shape[1], _CACHED):
             for m in range(len(codes)):
-                scores[:, lo : lo + BLOCK] += tables[:, m].take(codes[m, lo : lo + BLOCK], axis=1)
+                scores[:, lo : lo + _CACHED] += tables[:, m].take(codes[m, lo : lo + _CACHED], axis=1)
         scores *= norms
         for row in range(len(part)):
             off = doubt * lengths[at + row]
@@ -152,7 +154,7 @@ def candidates(
             floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
             top = scores[row] + off
             near = np.flatnonzero(top >= floor)
-            yield np.full(len(near), at + row), near, top[near], np.full(len(near), floor, np.float32)
+            yield np.full(len(near), at + row), near, top[near], low[near]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -180,7 +182,7 @@ def different(rows: DataFrame, most_ids: int) -> DataFrame:
 
 
 _PACKED = "ids binary, codes binary, norms binary, rest binary"
-_PAIRS = "query long, key long, top float, floor float"
+_PAIRS = "query long, key long, top float, low float"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -247,12 +249,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 ids, queries = np.frombuffer(ids, "<i8"), np.frombuffer(queries, "<i8")
                 codes = np.frombuffer(codes, np.uint8).reshape(-1, len(ids))
                 q = np.frombuffer(q, "<f8").reshape(len(queries), dims)
-                for of, near, top, floor in candidates(kept.value, codes, np.frombuffer(norms, "<f4"), np.frombuffer(rest, "<f4"), q, k + 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[of]), pa.array(ids[near]), pa.array(top, pa.float32()), pa.array(floor, pa.float32())], names=["query", "key", "top", "floor"])
+                for of, near, top, low in candidates(kept.value, codes, np.frombuffer(norms, "<f4"), np.frombuffer(rest, "<f4"), q, k + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[of]), pa.array(ids[near]), pa.array(top, pa.float32()), pa.array(low, pa.float32())], names=["query", "key", "top", "low"])
 
     met = left.join(right, ["block", "part"]).select("ids", "codes", "norms", "rest", "queries", "vectors")
     found = met.mapInArrow(trimmed(scan), _PAIRS)
-    best = found.withColumn("floor", F.max("floor").over(Window.partitionBy("query"))).where("top >= floor").select("query", "key")
+    # the floor over all blocks; with fewer vectors than are asked for there is none
+    of_query = Window.partitionBy("query")
+    ranked = found.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("low"), "key")))
+    floor = F.min(F.when(F.col("place") == k + 1, F.col("low"))).over(of_query)
+    best = ranked.withColumn("floor", floor).where("floor is null or top >= floor").select("query", "key")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
