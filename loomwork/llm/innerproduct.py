@@ -157,14 +157,14 @@ def candidates(
             yield np.full(len(near), at + row), near, top[near], low[near]
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", zeros: bool = False) -> DataFrame:
     """(id, vec): rows that take part, each once.  Vectors keep their 32-bit or 64-bit components.
 
-    Null ids, and vectors that are null, empty, zero or hold a null or non-finite component, take
-    no part; neither do vectors of another than the most frequent length.
+    Null ids, and vectors that are null, empty, zero (unless ``zeros``) or hold a null or non-finite
+    component, take no part; neither do vectors of another than the most frequent length.
     """
     v = F.col("vec")
-    fine = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
+    fine = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & (F.size(v) > 0 if zeros else F.exists(v, lambda c: c != 0))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & v.isNotNull()).where(fine)
     top = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("vec") == (top.n if top else 0))
