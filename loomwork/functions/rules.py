@@ -12,6 +12,7 @@ import json
 import math
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -441,7 +442,31 @@ def judged(v: Any, keyword: str, p: Any, custom: dict[str, Callable] = CUSTOM) -
     return any(same(v, m) for m in p), False
 
 
-def failures(fields: dict[str, tuple[Column, Type, Sequence[tuple[str, Any]]]]) -> Column:
+Fields = dict[str, tuple[Column, Type, Sequence[tuple[str, Any]]]]
+
+
+def in_python(fields: Fields) -> bool:
+    """Whether a rule of the fields or of anything in them needs Python."""
+    return any(_in_python(t, rules) for _, t, rules in fields.values())
+
+
+def failed(fields: Fields) -> Column | None:
+    """Whether ``failures`` has an entry, without making those of the fields' own values; None where none can fail."""
+    found = []
+    for name, (value, t, rules) in fields.items():
+        kind = t.bare.to_spark()
+        if t.kind != "optional":
+            found.append(value.isNull())
+        for keyword, parameter in _own_rules(t, rules):
+            found.append(~passes(value, kind, keyword, parameter))
+            if keyword == "multipleOf":
+                found.append(breaks(value, kind, keyword, parameter))
+        if t.bare.parts or t.bare.fields:
+            found += [F.exists(x, lambda f: f.isNotNull()) for x in _deep(F.lit(name), value, t, rules)[1:]]
+    return reduce(Column.__or__, found) if found else None
+
+
+def failures(fields: Fields) -> Column:
     """One entry a failed field, in declaration order, items of lists and dicts included, as an array of ``FAILURE``."""
     entries = [x for name, (value, t, rules) in fields.items() for x in _deep(F.lit(name), value, t, rules)]
     if not entries:

@@ -1,7 +1,9 @@
 """A plan over a DataFrame of runs: one row a run, one lazy plan.
 
-Wires are columns.  A failing row halts alone: its ``halt`` says what failed where, and no later
-step does anything for it.  Bodies of columns stay inside the JVM; Python bodies, services and
+Wires are columns.  A failing row halts alone: flags say which steps failed, the first of them
+counts, and no later step does anything for it.  Flags stand side by side and wires that are merged
+have a column after each contribution, so a plan's expressions don't nest from step to step: its
+size and its time are linear in the steps.  Bodies of columns stay inside the JVM; Python bodies, services and
 model calls are Arrow batches and get told which rows are alive.  What talks to the outside is marked
 nondeterministic and passes through ``barrier``, by default a checkpoint in the shared folder, so that
 neither later reads of the result nor a lost executor call it again; only a retried task does.
@@ -17,6 +19,7 @@ import time
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -30,8 +33,8 @@ from loomwork.functions.canonical import canonical_object, correlation_id, remai
 from loomwork.functions.rendering import object_schema, payload_text
 from loomwork.functions.types import Field, loose
 from loomwork.operators.eventlog import EVENT_COLUMNS
-from loomwork.operators.folds import fold_wide
-from loomwork.plans.compile import SEED, Call, Plan
+from loomwork.operators.folds import start, step
+from loomwork.plans.compile import Call, Plan
 from loomwork.plans.identity import pipeline_hash
 from loomwork.plans.model import Registry
 from loomwork.plans.values import from_arrow, from_json, shape_misfits, takes, to_arrow
@@ -47,39 +50,108 @@ class ContractViolation(RuntimeError):
     """What a hook or a body does against its contract; never absorbed."""
 
 
+@dataclass
+class Failing:
+    """One way in which a run can fail: where, and with what; the steps' order is the list's."""
+
+    when: str  # a boolean column
+    entry: Callable[[Column], Column]  # from its fields' failures
+    found: Callable[[], Column] | None = None  # the fields' failures, where it has any
+
+
+@dataclass
+class Logged:
+    """An event that runs emit whose first failure has an index from ``least`` up and below ``below``."""
+
+    kind: str
+    least: int
+    below: int | None
+    known: dict[str, Callable[[], Column] | Column]
+    also: Column | None = None
+
+
 @dataclass
 class Result:
-    """The rows of all runs; state, errors and events are views of one plan."""
+    """The rows of all runs; state, errors and events are views of one plan, each with what it needs.
+
+    A step adds narrow columns only: its outputs, and a flag for each way to fail.  What a failure
+    says and what an event holds is computed by the view that asks, for the rows that have it.
+    """
 
     rows: DataFrame
     plan: Plan
     run_col: str
-    events_array: Column
+    failing: list[Failing]
+    log: list[Logged]
     wires: dict[str, Column]
 
-    def _where(self, failed: bool) -> DataFrame:
-        # a condition that isn't deterministic stays above the steps: pushed down, it would hold a
-        # copy of all their expressions
-        halted = F.col("__halt").isNotNull()
-        return self.rows.where((halted if failed else ~halted) & (F.rand(0) >= 0))
+    def _placed(self) -> DataFrame:
+        """The rows with ``__at``, the index of a run's first failure, else their number.
+
+        The number comes out of a generator: a stage boundary, beneath which no condition on it moves
+        and above which no step's expressions do, while conditions on a run's id still reach the scan.
+        """
+        flags = [F.when(F.col(f.when), k) for k, f in enumerate(self.failing)]
+        return self.rows.withColumn("__at", F.explode(F.array(F.coalesce(*flags, F.lit(len(flags))))))
+
+    def _fine(self) -> DataFrame:
+        return self._placed().where(F.col("__at") == len(self.failing))
+
+    def _told(self, rows: DataFrame) -> DataFrame:
+        """The rows with what their first failure says, as ``__halt``."""
+        rows = rows.withColumn("__found", self._case([None if f.found is None else f.found() for f in self.failing], _no_fields()))
+        said = [f.entry(F.col("__found")).cast(HALT) for f in self.failing]
+        return rows.withColumn("__halt", self._case(said, F.lit(None).cast(HALT)))
+
+    def _case(self, values: list[Column | None], other: Column) -> Column:
+        picked = F.when(F.lit(False), other)
+        for k, v in enumerate(values):
+            picked = picked if v is None else picked.when(F.col("__at") == k, v)
+        return picked.otherwise(other)
 
     def state(self) -> DataFrame:
         """(run, public wires by name) of the runs that didn't fail."""
-        done = self._where(False)
-        return done.select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.public))
+        return self._fine().select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.public))
 
     def outputs(self) -> DataFrame:
         """(run, declared outputs) of the runs that didn't fail."""
-        return self._where(False).select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.outputs))
+        return self._fine().select(self.run_col, *(self.wires[w].alias(w) for w in self.plan.outputs))
 
     def errors(self) -> DataFrame:
         """(run, error_class, category, cause, message, position, name, fields) of the runs that failed."""
-        return self._where(True).select(self.run_col, "__halt.*")
+        failed = self._placed().where(F.col("__at") < len(self.failing))
+        return self._told(failed).select(self.run_col, "__halt.*")
 
     def events(self) -> DataFrame:
-        """The event log of all runs, nested ones included."""
-        one = self.rows.select(F.explode(self.events_array).alias("e")).where(F.col("e.event_type").isNotNull())
-        return one.select(*(F.col(f"e.{c}") for c in EVENT_COLUMNS))
+        """The event log of all runs, nested ones included.
+
+        A row is repeated for each event that a run can emit, and picks its event's values by number;
+        columns that nothing reads are not computed.
+        """
+        at, k = F.col("__at"), F.col("__event")
+        end = len(self.failing) + 1
+        rows = self._placed().withColumn("__event", F.explode(F.lit(list(range(len(self.log))))))
+        bounds = [[e.least for e in self.log], [end if e.below is None else e.below for e in self.log]]
+        kept = (at >= F.get(F.lit(bounds[0]), k)) & (at < F.get(F.lit(bounds[1]), k))
+        for i, e in enumerate(self.log):
+            if e.also is not None:
+                kept &= (k != i) | e.also
+        rows = rows.where(kept)
+        if any(_HALTED in e.known for e in self.log):
+            rows = self._told(rows)
+        return rows.select(*(self._picked(c, kind).alias(c) for c, kind in EVENT_COLUMNS.items()))
+
+    def _picked(self, column: str, kind: str) -> Column:
+        if column == "event_type":
+            return F.get(F.lit([e.kind for e in self.log]), F.col("__event"))
+        if column == "timestamp":
+            return F.current_timestamp()
+        out = F.when(F.lit(False), F.lit(None).cast(kind))
+        for i, e in enumerate(self.log):
+            known = F.col("__halt")[_OF_HALT[column]] if _HALTED in e.known and column in _OF_HALT else e.known.get(column)
+            if known is not None:
+                out = out.when(F.col("__event") == i, (known() if callable(known) else known).cast(kind))
+        return out
 
     hooks: list[tuple] = field(default_factory=list)
     barrier: Callable[[DataFrame], DataFrame] = cut
@@ -92,8 +164,9 @@ class Result:
         """
         if self.hooks:
             self.rows = self.barrier(self.rows)
-        for name, wanted, body, given in self.hooks:
-            seen = self.rows.where(wanted).select(F.struct(*(c.alias(p) for p, c in given["reads"].items())).alias("r"))
+        for name, least, body, given in self.hooks:
+            reads = F.struct(*(c.alias(p) for p, c in given["reads"].items()))
+            seen = self._placed().where(F.col("__at") >= least).select(reads.alias("r"))
 
             def emit(rows, name=name, body=body, extra=given["extra"]):
                 for row in rows:
@@ -109,74 +182,101 @@ class Result:
             seen.foreachPartition(emit)
 
 
+def _no_fields() -> Column:
+    return F.array().cast(f"array<{value_rules.FAILURE}>")
+
+
+#: Marks an event that tells the run's failure, and the failure's fields by event column.
+_HALTED = "__halted"
+_OF_HALT = {
+    "error_class": "error_class", "failed_name": "name", "failed_position": "position", "error_message": "message", "cause_class": "cause",
+    "failure_category": "category",
+}
+
+
 class _Runner:
     def __init__(
         self, plan: Plan, registry: Registry, run: Column, prefix: str, barrier: Callable, parent: Column | None, deadline: float | None,
-        sink: Callable | None = None,
+        sink: Callable | None = None, failing: list[Failing] | None = None,
     ):
         self.sink = sink
         self.elapsed: list[Column] = []
         self.plan, self.registry, self.run, self.prefix, self.barrier, self.parent, self.deadline = plan, registry, run, prefix, barrier, parent, deadline
-        self.made: dict[tuple[str, int, str | None], Column] = {}
+        self.now: dict[str, Column] = {}  # each wire's value so far
         self.checked: set[str] = set()
-        self.events: list[Column] = []
+        self.failing: list[Failing] = [] if failing is None else failing
+        self.log: list[Logged] = []
         self.hooks: list[tuple] = []
         self.hash = pipeline_hash(plan, registry)
 
-    def event(self, when: Column, kind: str, **known: Column) -> None:
-        known = {"event_type": F.lit(kind), "pipeline_run_id": self.run.cast("string"), "timestamp": F.current_timestamp(), **known}
-        row = F.struct(*(known.get(c, F.lit(None)).cast(k).alias(c) for c, k in EVENT_COLUMNS.items()))
-        self.events.append(F.when(when, row))
+    def event(self, least: int, kind: str, below: int | None = None, also: Column | None = None, **known: Column) -> None:
+        self.log.append(Logged(kind, least, below, {"pipeline_run_id": self.run.cast("string"), **known}, also))
 
-    def value(self, wire: str, before: int) -> Column:
-        """The wire's value for a reader at the position: the fold of what stands before."""
-        parts = [self.made[wire, p, port] for p, port in self.plan.contributors[wire] if p < before]
-        if wire not in self.plan.merge:
-            return parts[0]
-        return fold_wide(self.plan.merge[wire], parts, loose(self.plan.wires[wire].type.to_spark()))
+    def contribute(self, rows: DataFrame, wire: str, value: Column, place: str) -> DataFrame:
+        """The wire's value with one more contribution, as a column of its own where it is merged."""
+        strategy = self.plan.merge.get(wire)
+        if strategy is None:
+            self.now[wire] = value
+            return rows
+        kind = loose(self.plan.wires[wire].type.to_spark())
+        so_far = self.now.get(wire)
+        name = f"__w{place}"
+        self.now[wire] = F.col(name)
+        return rows.withColumn(name, start(strategy, value, kind) if so_far is None else step(strategy, so_far, value, kind))
 
-    def snapshot(self, values: Mapping[str, Column], fields: Mapping[str, Field]) -> Column:
-        return canonical_object({k: (v, loose(fields[k].type.to_spark())) for k, v in values.items()})
+    def snapshot(self, values: Mapping[str, Column], fields: Mapping[str, Field]) -> Callable[[], Column]:
+        """Canonical text of the values, for the view that reads it."""
+        return lambda: canonical_object({k: (v, loose(fields[k].type.to_spark())) for k, v in values.items()})
 
     def total(self) -> Column:
         """Milliseconds of all calls so far."""
         return sum((F.coalesce(x, F.lit(0)) for x in self.elapsed), F.lit(0)).cast("long")
 
-    def halted(self, rows: DataFrame, failing: Column, entry: Column) -> DataFrame:
-        return rows.withColumn("__halt", F.coalesce("__halt", F.when(failing, entry.cast(HALT))))  # the first failure stays
+    def fails(self, rows: DataFrame, failing: Column, entry: Callable[[Column], Column], found: Callable[[], Column] | None = None) -> DataFrame:
+        name = f"__c{len(self.failing)}"
+        self.failing.append(Failing(name, entry, found))
+        return rows.withColumn(name, F.coalesce(failing, F.lit(False)))
+
+    def alive(self) -> Column:
+        """Whether a row has not failed yet."""
+        return ~reduce(Column.__or__, (F.col(f.when) for f in self.failing), F.lit(False))
 
     def entry(self, kind: str, category: str | None, cause: Column | None, message: Column, c: Call, fields: Column | None = None) -> Column:
         none = F.lit(None)
         return F.struct(
             F.lit(kind), F.lit(category), none if cause is None else cause, message, F.lit(c.position), F.lit(c.name),
-            F.array().cast(f"array<{value_rules.FAILURE}>") if fields is None else fields,
+            _no_fields() if fields is None else fields,
         )
 
     def validated(self, rows: DataFrame, values: Mapping[str, tuple[Column, Field]], c: Call, what: str) -> DataFrame:
-        found = value_rules.failures({k: (v, f.type, f.rules) for k, (v, f) in values.items()})
-        name = f"__f{self.prefix}{c.position}{what[0]}"
-        rows = rows.withColumn(name, found)
-        broke = F.coalesce(F.exists(name, lambda x: x.broke), F.lit(False))
-        rows = self.halted(rows, broke, self.entry(FAILURE, "engine", F.lit("rule"), F.lit(f"a rule of {what} failed itself"), c))
-        said = F.concat_ws(", ", F.transform(F.col(name), lambda x: F.concat_ws(" ", x.path, x.rule)))
-        return self.halted(rows, F.coalesce(F.size(name) > 0, F.lit(False)), self.entry(VALUE, None, None, said, c, F.col(name))).drop(name)
+        fields = {k: (v, f.type, f.rules) for k, (v, f) in values.items()}
+        if value_rules.in_python(fields):  # called once, so its findings are kept
+            name = f"__f{self.prefix}{c.position}{what[0]}"
+            rows = rows.withColumn(name, value_rules.failures(fields))
+            failed, found = F.size(name) > 0, lambda: F.col(name)
+        else:
+            failed, found = value_rules.failed(fields), lambda: value_rules.failures(fields)
+
+        def entry(found: Column) -> Column:
+            said = F.array_join(F.transform(found, lambda x: F.concat_ws(" ", x.path, x.rule)), ", ")
+            broke = self.entry(FAILURE, "engine", F.lit("rule"), F.lit(f"a rule of {what} failed itself"), c).cast(HALT)
+            return F.when(F.exists(found, lambda x: x.broke), broke).otherwise(self.entry(VALUE, None, None, said, c, found).cast(HALT))
+
+        return rows if failed is None else self.fails(rows, failed, entry, found)
 
     def go(self, rows: DataFrame, seeds: Mapping[str, Column]) -> DataFrame:
-        for w in self.plan.inputs:
-            self.made[w, SEED, None] = seeds[w]
-        begun = F.lit(True) if self.parent is None else self.alive_at
+        for k, w in enumerate(self.plan.inputs):
+            rows = self.contribute(rows, w, seeds[w], f"{self.prefix}i{k}")
+        begun = len(self.failing)
+        self.seeds = dict(seeds)
         up = {} if self.parent is None else {"parent_run_id": self.parent.cast("string")}
         self.event(begun, "pipeline_start", pipeline_hash=F.lit(self.hash), inputs_snapshot=self.snapshot(dict(seeds), self.plan.inputs), **up)
         for c in self.plan.calls:
             rows = self.call(rows, c)
-        ok = F.col("__halt").isNull() & begun
-        self.event(ok, "pipeline_complete", pipeline_hash=F.lit(self.hash), elapsed_ms=self.total(),
-            outputs_snapshot=self.snapshot({w: self.value(w, len(self.plan.calls)) for w in self.plan.outputs}, self.plan.outputs))
-        h = F.col("__halt")
-        self.event(
-            h.isNotNull() & begun, "pipeline_error", pipeline_hash=F.lit(self.hash), elapsed_ms=self.total(), error_class=h.error_class, failed_name=h.getField("name"), failed_position=h.position,
-            error_message=h.message, cause_class=h.cause, failure_category=h.category,
-        )
+        end, told = len(self.failing), {"pipeline_hash": F.lit(self.hash), "elapsed_ms": self.total()}
+        self.event(end, "pipeline_complete", outputs_snapshot=self.snapshot({w: self.now[w] for w in self.plan.outputs}, self.plan.outputs), **told)
+        if end > begun:
+            self.event(begun, "pipeline_error", below=end, **told, **{_HALTED: F.lit(True)})
         return rows
 
     def call(self, rows: DataFrame, c: Call) -> DataFrame:
@@ -184,22 +284,20 @@ class _Runner:
         if self.deadline is not None:
             # looked at when the row gets here, not when the plan is built
             late = F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long") >= int(self.deadline * 1000)
-            rows = self.halted(rows, late, self.entry(FAILURE, "engine", F.lit("Timeout"), F.lit("the time is over"), c))
+            rows = self.fails(rows, late, lambda _: self.entry(FAILURE, "engine", F.lit("Timeout"), F.lit("the time is over"), c))
         rows = self.first_use(rows, c)
-        alive = f"__a{tag}"
-        rows = rows.withColumn(alive, F.col("__halt").isNull())
-        reads = {p: self.value(w, c.position) for p, w in c.reads.items()}
+        alive = len(self.failing)
+        reads = {p: self.now[w] for p, w in c.reads.items()}
         if c.inner is not None:
-            return self.embed(rows, c, reads, F.col(alive))
+            return self.embed(rows, c, reads)
         known = {"handler_position": F.lit(c.position), "handler_name": F.lit(c.name), "node_kind": F.lit(c.kind)}
-        self.event(F.col(alive), "handler_enter", reads_snapshot=self.snapshot(reads, c.read_fields), **known)
+        self.event(alive, "handler_enter", reads_snapshot=self.snapshot(reads, c.read_fields), **known)
+        body = self.registry.bodies.get(c.name)
         if c.kind == "hook":
-            body = self.registry.bodies.get(c.name)
             if body is not None:
-                self.hooks.append((c.name, F.col(alive), body.call, {"reads": reads, "extra": {**c.bindings, **c.transport}}))
-            self.event(F.col(alive), "handler_exit", elapsed_ms=F.lit(0), **known)
+                self.hooks.append((c.name, alive, body.call, {"reads": reads, "extra": {**c.bindings, **c.transport}}))
+            self.event(alive, "handler_exit", elapsed_ms=F.lit(0), **known)
             return rows
-        body = self.registry.bodies.get(c.name)
         took = F.lit(0)
         if c.kind == "transform" and body is not None and body.style == "columns":
             out = body.call(**reads, **c.bindings)
@@ -208,22 +306,20 @@ class _Runner:
             made = {p: out[p].cast(loose(f.type.to_spark())) for p, f in c.step.outputs.items()}
             rows = rows.withColumns({f"__o{tag}_{k}": v for k, v in enumerate(made.values())})
         else:
-            rows = self.python(rows, c, reads, alive, tag, body.call if body else None)
+            rows = self.python(rows, c, reads, tag, body.call if body else None)
             took = F.col(f"__r{tag}")["ms"]
             self.elapsed.append(took)
         cols = {p: F.col(f"__o{tag}_{k}") for k, p in enumerate(c.step.outputs)}
         rows = self.validated(rows, {p: (cols[p], f) for p, f in c.step.outputs.items()}, c, "outputs")
-        done = f"__d{tag}"
-        rows = rows.withColumn(done, F.col("__halt").isNull())
         link = {"correlation_id": correlation_id(self.run, c.position)} if c.kind == "service" else {}
         if c.kind == "service":
             said = F.col(f"__r{tag}")
             payload = {"input_payload": said["asked"], "output_payload": said["answered"], "pipeline_hash": F.lit(self.hash), "elapsed_ms": said["call_ms"]}
             # a call that was answered is told even if its step fails afterwards
-            self.event(F.col(alive) & said["call_ms"].isNotNull(), "service_invocation", **known, **payload, **link)
-        self.event(F.col(done), "handler_exit", writes_snapshot=self.snapshot(cols, c.step.outputs), elapsed_ms=took, **known, **link)
-        for p, w in c.writes.items():
-            self.made[w, c.position, p] = cols[p]
+            self.event(alive, "service_invocation", also=said["call_ms"].isNotNull(), **known, **payload, **link)
+        self.event(len(self.failing), "handler_exit", writes_snapshot=self.snapshot(cols, c.step.outputs), elapsed_ms=took, **known, **link)
+        for k, (p, w) in enumerate(c.writes.items()):
+            rows = self.contribute(rows, w, cols[p], f"{tag}_{k}")
         return rows
 
     def first_use(self, rows: DataFrame, c: Call) -> DataFrame:
@@ -232,22 +328,21 @@ class _Runner:
         self.checked.update(now)
         if not now:
             return rows
-        return self.validated(rows, {w: (self.made[w, SEED, None], self.plan.inputs[w]) for w in dict.fromkeys(now)}, c, "seeds")
+        return self.validated(rows, {w: (self.seeds[w], self.plan.inputs[w]) for w in dict.fromkeys(now)}, c, "seeds")
 
-    def embed(self, rows: DataFrame, c: Call, reads: Mapping[str, Column], alive: Column) -> DataFrame:
+    def embed(self, rows: DataFrame, c: Call, reads: Mapping[str, Column]) -> DataFrame:
         """A nested flow, in the same rows: a run of its own with its own events, none in this stream."""
         run = F.concat(self.run.cast("string"), F.lit(f"/{c.position}"))
-        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink)
-        inner.alive_at = alive
+        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink, self.failing)
         rows = inner.go(rows, dict(reads))
         self.elapsed += inner.elapsed
-        self.events += inner.events
+        self.log += inner.log
         self.hooks += inner.hooks
-        for p, w in c.writes.items():
-            self.made[w, c.position, p] = inner.value(p, len(c.inner.calls))
+        for k, (p, w) in enumerate(c.writes.items()):
+            rows = self.contribute(rows, w, inner.now[p], f"{self.prefix}{c.position}_e{k}")
         return rows
 
-    def python(self, rows: DataFrame, c: Call, reads: Mapping[str, Column], alive: str, tag: str, call: Callable | None) -> DataFrame:
+    def python(self, rows: DataFrame, c: Call, reads: Mapping[str, Column], tag: str, call: Callable | None) -> DataFrame:
         backend = self.registry.backends.get(next(iter(c.step.services.values()), ""))
         if call is None and (c.kind != "trainable" or backend is None):
             raise ValueError(f"{c.name} has no body" if c.kind != "trainable" else f"{c.name} has no backend")
@@ -266,14 +361,16 @@ class _Runner:
         udf = F.arrow_udf(run, schema)
         udf = udf.asNondeterministic() if outside else udf
         given = F.struct(*(v.alias(p) for p, v in reads.items())) if reads else F.struct(F.lit(0).alias("__none"))
-        rows = rows.withColumn(f"__r{tag}", udf(given, F.col(alive), self.run.cast("string")))
+        rows = rows.withColumn(f"__r{tag}", udf(given, self.alive(), self.run.cast("string")))
         if outside:
             rows = self.barrier(rows)
         r = F.col(f"__r{tag}")
         rows = rows.withColumns({f"__o{tag}_{k}": r[f"v{k}"] for k in range(len(outputs))})
         e = r["error"]
-        entry = F.struct(e.kind, e.category, e.cause, e.message, F.lit(c.position), F.lit(c.name), F.coalesce(e.fields, F.array().cast(f"array<{value_rules.FAILURE}>")))
-        return self.halted(rows, e.kind.isNotNull(), entry)
+        return self.fails(
+            rows, e.kind.isNotNull(), lambda found: F.struct(e.kind, e.category, e.cause, e.message, F.lit(c.position), F.lit(c.name), found),
+            lambda: F.coalesce(e.fields, _no_fields()),
+        )
 
 
 _SAID = (
@@ -447,12 +544,11 @@ def transform(
     if missing:
         raise ValueError(f"{CONTRACT}: no column {', '.join(missing)}")
     named = {w: f"__i{k}" for k, w in enumerate(plan.inputs)}
-    rows = runs.select(F.col(run_col), *(F.col(f"`{w}`").cast(loose(f.type.to_spark())).alias(named[w]) for w, f in plan.inputs.items()), F.lit(None).cast(HALT).alias("__halt"))
+    rows = runs.select(F.col(run_col), *(F.col(f"`{w}`").cast(loose(f.type.to_spark())).alias(named[w]) for w, f in plan.inputs.items()))
     deadline = None if timeout_ms is None else time.time() + timeout_ms / 1000
     runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline, sink)
     rows = runner.go(rows, {w: F.col(n) for w, n in named.items()})
-    end = len(plan.calls)
-    return Result(rows, plan, run_col, F.array(*runner.events), {w: runner.value(w, end) for w in plan.contributors}, runner.hooks, barrier)
+    return Result(rows, plan, run_col, runner.failing, runner.log, {w: runner.now[w] for w in plan.contributors}, runner.hooks, barrier)
 
 
 def streams(plan: Plan) -> bool:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +297,53 @@ def test_toml_and_files(tmp_path):
     made = load.loads('[meta]\nname = "f"\n[[nodes]]\nkind = "handler"\nname = "s"\nbindings = { k = { file = "k.toml" } }\n', "pipeline")
     assert load.resolve_files(made, tmp_path).nodes[0].bindings == {"k": {"x": "v"}}
     assert codes(lambda: load.loads("= 1", "pipeline")) == {"bad-value"} and parse_type("str").text() == "str"
+
+
+def _chain(n, merged=None):
+    """n steps one after the other; each also writes to one merged wire where there is a strategy."""
+    r, nodes = Registry(), []
+    for k in range(n):
+        out = {f"w{k + 1}": {"type": "str", "maxLength": 40}, **({"t": "str"} if merged else {})}
+        r.add(step(f"s{k}", {f"w{k}": "str"}, out))
+        r.columns(f"s{k}")(lambda k=k, **given: {f"w{k + 1}": F.concat(given[f"w{k}"], F.lit(str(k % 10))), **({"t": F.when(F.length(given[f"w{k}"]) % 3 == 0, "").otherwise(given[f"w{k}"])} if merged else {})})
+        nodes.append(node(f"s{k}"))
+    return compile_flow(flow(*nodes, inputs={"w0": S}, **({"merge": {"t": merged}} if merged else {})), r), r
+
+
+def test_thirty_steps_and_a_million_rows(spark):
+    """Time and plan are linear in the steps: nothing nests from one to the next."""
+    runs = spark.range(1_000_000).select(F.col("id").alias("run_id"), F.when(F.col("id") % 4 == 3, F.repeat(F.lit("x"), 20)).otherwise(F.lit("y")).alias("w0"))
+    began = time.monotonic()
+    result = transform(*_chain(30)[:1], runs, _chain(30)[1])
+    got = result.state().agg(F.count("*").alias("n"), F.max(F.length("w30")).alias("longest")).first()
+    assert (got.n, got.longest) == (750_000, 31)
+    failed = result.errors().groupBy("name", "position", "message").count().collect()
+    assert [tuple(r) for r in failed] == [("s20", 20, "w21 maxLength", 250_000)]
+    kinds = {r.event_type: r["count"] for r in result.events().groupBy("event_type").count().collect()}
+    assert kinds == {"pipeline_start": 1_000_000, "handler_enter": 750_000 * 30 + 250_000 * 21, "handler_exit": 750_000 * 30 + 250_000 * 20, "pipeline_complete": 750_000, "pipeline_error": 250_000}
+    assert time.monotonic() - began < 120  # minutes for eleven steps, if halts nest
+    sizes = [len(transform(p, runs, r).state()._jdf.queryExecution().optimizedPlan().toString()) for p, r in (_chain(10), _chain(20))]
+    assert sizes[1] < 2.5 * sizes[0]
+
+
+@pytest.mark.parametrize("strategy,want", [("last_present_wins", lambda t: next((x for x in reversed(t) if x), t[-1])), ("concat_str", "".join), ("first_wins", lambda t: t[0])])
+def test_a_wire_with_twenty_writers(spark, strategy, want):
+    plan, r = _chain(20, strategy)
+    got = transform(plan, spark.createDataFrame([(1, "ab")], "run_id int, w0 string"), r).state().first()
+    texts = ["ab" + "".join(str(j % 10) for j in range(k)) for k in range(20)]
+    assert got.t == want(["" if len(t) % 3 == 0 else t for t in texts])
+
+
+def test_a_condition_on_the_run_reaches_the_scan(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("run_id"), F.lit("a").alias("w0")).write.parquet(f"{tmp_path}/runs")
+    plan, r = _chain(3)
+    state = transform(plan, spark.read.parquet(f"{tmp_path}/runs"), r).state().where("run_id = 7")
+    assert state.count() == 1 and "EqualTo(run_id,7)" in state._jdf.queryExecution().toString()
+
+
+def test_an_inner_run_that_ended_before_its_outer_run_failed(spark, registry):
+    registry.add(step("late", {"b": "str"}, {"e": {"type": "str", "maxLength": 1}}), load.composition({"meta": {"kind": "pipeline", "name": "in"}, "nodes": [node("up")], "inputs": {"a": S}, "outputs": {"b": S}}))
+    registry.columns("late")(lambda b: {"e": b})
+    plan = compile_flow(flow({"kind": "composition", "name": "in"}, node("late"), **IN), registry)
+    events = transform(plan, spark.createDataFrame([(1, "xyz")], "run_id int, a string"), registry).events().collect()
+    assert sorted((e.pipeline_run_id, e.event_type) for e in events if e.event_type.startswith("pipeline")) == [("1", "pipeline_error"), ("1", "pipeline_start"), ("1/0", "pipeline_complete"), ("1/0", "pipeline_start")]
