@@ -397,6 +397,19 @@ def log_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.harvest(conversation_log(spark, sf_dir)).select("pipeline_run_id", "handler_position", "reads_snapshot", "writes_snapshot", "output_payload")
 
 
+def drift_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Artifacts, their side files, what is deployed, and what drift is acknowledged."""
+    p = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("art"), F.col("p_partkey").cast("string")).alias("artifact"), F.concat(F.lit("t"), (F.col("p_partkey") % 10).cast("string")).alias("trainable"), "p_size", "p_partkey"
+    )
+    manifests = p.where("p_size % 5 <> 0").select(
+        "artifact", "trainable", F.when(F.col("p_size") % 2 == 0, "now").otherwise("old").alias("bundle_hash"),
+        F.array(F.when(F.col("p_partkey") % 3 == 0, "current").otherwise("former")).alias("pipeline_hashes"),
+    )
+    current = p.select("trainable", F.lit("now").alias("bundle_hash"), F.lit("current").alias("pipeline_hash")).distinct()
+    return p.select("artifact", "trainable"), manifests, current, p.where("p_partkey % 7 = 0").select("artifact", "trainable")
+
+
 @query(
     "drift_ladder",
     """with a as (select p_partkey as k, p_size as s from part)
@@ -407,16 +420,8 @@ select 'art' || k as artifact, 't' || (k % 10) as trainable, case
   else 'warn' end as outcome from a""",
 )
 def drift_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rung of the ladder under enforcement, over made-up artifacts."""
-    p = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("art"), F.col("p_partkey").cast("string")).alias("artifact"), F.concat(F.lit("t"), (F.col("p_partkey") % 10).cast("string")).alias("trainable"), "p_size", "p_partkey"
-    )
-    manifests = p.where("p_size % 5 <> 0").select(
-        "artifact", "trainable", F.when(F.col("p_size") % 2 == 0, "now").otherwise("old").alias("bundle_hash"),
-        F.array(F.when(F.col("p_partkey") % 3 == 0, "current").otherwise("former")).alias("pipeline_hashes"),
-    )
-    current = p.select("trainable", F.lit("now").alias("bundle_hash"), F.lit("current").alias("pipeline_hash")).distinct()
-    return drift.ladder(p.select("artifact", "trainable"), manifests, current, p.where("p_partkey % 7 = 0").select("artifact", "trainable"), True)
+    """Every rung of the ladder under enforcement; each part is an artifact."""
+    return drift.ladder(*drift_tables(spark, sf_dir), True)
 
 
 # flows -----------------------------------------------------------------------------------------

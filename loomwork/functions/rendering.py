@@ -6,7 +6,10 @@ import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from loomwork.functions.canonical import canonical_json
+from pyspark.sql import Column
+from pyspark.sql import types as T
+
+from loomwork.functions.canonical import canonical_json, canonical_object
 from loomwork.functions.types import Field, Type
 
 
@@ -52,6 +55,12 @@ def object_schema(fields: Mapping[str, Field], backend: str = "json_schema") ->
     return {"type": "object", "properties": members, "required": list(fields), "additionalProperties": False}
 
 
+def payload(reads: Mapping[str, tuple[Column, T.DataType]]) -> Column:
+    """``payload_text`` over columns, within the JVM; a null text alone is null."""
+    value, kind = next(iter(reads.values())) if len(reads) == 1 else (None, None)
+    return value if isinstance(kind, T.StringType) else canonical_object(reads)
+
+
 def payload_text(reads: Mapping[str, Any]) -> str:
     """A single text as it is, anything else as canonical JSON."""
     if len(reads) == 1 and isinstance(only := next(iter(reads.values())), str):

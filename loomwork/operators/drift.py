@@ -41,3 +41,25 @@ def ladder(artifacts: DataFrame, manifests: DataFrame, current: DataFrame, ackno
         F.lit(True),
     )
     return rows.select("artifact", "trainable", said.alias("outcome"))
+
+
+def events(artifacts: DataFrame, manifests: DataFrame, current: DataFrame) -> DataFrame:
+    """(event_type, artifact, trainable_name, old_hash, new_hash, pipeline_hash): what drift tells, before any verdict.
+
+    A row for each artifact and trainable whose bundle is another than when it was trained, and one for
+    each whose side file hasn't seen the pipeline's hash: the newest that it has seen counts as the old
+    one.  Artifacts without a side file tell nothing.
+    """
+    now = current.select("trainable", F.col("bundle_hash").alias("now_bundle"), F.col("pipeline_hash").alias("now_pipeline"))
+    known = artifacts.select("artifact", "trainable").join(manifests, ["artifact", "trainable"]).join(now, "trainable")
+    none = F.lit(None).cast("string")
+    bundle = F.when(
+        ~F.col("bundle_hash").eqNullSafe(F.col("now_bundle")),
+        F.struct(F.lit("training_bundle_hash_changed").alias("event_type"), F.col("trainable").alias("trainable_name"), F.col("bundle_hash").alias("old_hash"), F.col("now_bundle").alias("new_hash"), F.col("now_pipeline").alias("pipeline_hash")),
+    )
+    pipeline = F.when(
+        ~F.coalesce(F.array_contains("pipeline_hashes", F.col("now_pipeline")), F.lit(False)),
+        F.struct(F.lit("pipeline_hash_changed").alias("event_type"), none.alias("trainable_name"), F.try_element_at("pipeline_hashes", F.lit(-1)).alias("old_hash"), F.col("now_pipeline").alias("new_hash"), none.alias("pipeline_hash")),
+    )
+    told = known.select("artifact", F.explode(F.array(bundle, pipeline)).alias("e")).where("e is not null")
+    return told.select("e.event_type", "artifact", "e.trainable_name", "e.old_hash", "e.new_hash", "e.pipeline_hash")

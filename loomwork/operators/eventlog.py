@@ -82,6 +82,20 @@ def lineage(events: DataFrame) -> DataFrame:
     number of runs at most; each is kept in the shared folder, so no plan grows.  A parent that never
     started ends the chain.  Runs that are nested in themselves are an error.
     """
+    now, endless = _jumped(events)
+    if endless is not None:
+        raise ValueError("a run is nested in itself")
+    return now
+
+
+def entangled(events: DataFrame) -> DataFrame:
+    """(run) of every started run whose chain of parents never ends: it is nested in itself, or in one that is."""
+    now, endless = _jumped(events)
+    return now.select("run").limit(0) if endless is None else endless.select("run")
+
+
+def _jumped(events: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(run, root, depth) after the last round, and those that still moved in it, if any."""
     starts = cut(_of(events, "pipeline_start").select("pipeline_run_id", "parent_run_id").distinct())
     known = starts.select(F.col("pipeline_run_id").alias("parent_run_id"), F.lit(True).alias("known")).distinct()
     up = F.when(F.col("known"), F.col("parent_run_id"))
@@ -90,15 +104,15 @@ def lineage(events: DataFrame) -> DataFrame:
             F.col("pipeline_run_id").alias("run"), F.coalesce(up, "pipeline_run_id").alias("root"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth")
         )
     )
-    rounds = starts.count().bit_length() + 1  # a chain has fewer links than there are runs
+    ahead, rounds = now, starts.count().bit_length() + 1  # a chain has fewer links than there are runs
     for _ in range(rounds):
         upper = now.select(F.col("run").alias("root"), F.col("root").alias("upper"), F.col("depth").alias("more"))
         ahead = now.join(upper, "root").select("run", F.col("upper").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
         ahead = cut(ahead)
         now = ahead.select("run", "root", "depth")
         if ahead.where("moved").isEmpty():
-            return now
-    raise ValueError("a run is nested in itself")
+            return now, None
+    return now, ahead.where("moved")
 
 
 def with_hash(events: DataFrame) -> DataFrame:

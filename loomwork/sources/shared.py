@@ -34,3 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``shared_path`` named, once nothing will read it again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getName().startswith("loomwork-"):
+        raise ValueError(f"{path} is no folder that was made here")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

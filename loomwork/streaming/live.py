@@ -27,6 +27,11 @@ def live_pairs(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return enter.join(leave, on).drop("run", "at")
 
 
+def closing(events: DataFrame) -> DataFrame:
+    """The events, batch or stream, each with whether it closes its run."""
+    return events.withColumn("closes", F.col("event_type").isin("pipeline_complete", "pipeline_error"))
+
+
 def fan_out(events: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands every batch of new events to ``deliver``; its failures stop this query only, never a run."""
     return events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

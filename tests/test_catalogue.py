@@ -27,7 +27,7 @@ def duck(small):
     return con
 
 
-from loomwork import showcase  # noqa: E402, F401  (registers its queries)
+from loomwork import showcase, streams  # noqa: E402, F401  (register their queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
