@@ -8,7 +8,7 @@ text.  That decides on every page.  Declarations only shape the lines:
 
 * What an element's name, or a whole token of its class, id or role, declares to be no article
   (menus, page headers and footers, asides, forms, adverts, notices, comments, what is hidden) is
-  blanked.  Between lines of one section the blanked element leaves no gap, so an advert doesn't
+  blanked; a part of a token counts where the element weighs less than the threshold.  Between lines of one section the blanked element leaves no gap, so an advert doesn't
   end the text around it; elsewhere it leaves a window of empty lines.  An element that holds more
   than half of the page's text is no such thing: it is kept if it has an article element or a main
   heading in it, or if nothing would surge without it.  Menus, footers and headers by
@@ -16,7 +16,10 @@ text.  That decides on every page.  Declarations only shape the lines:
 * An article element begins and ends at such a gap too.  Runs in article elements are preferred:
   others stay out, unless they weigh ``TEASER`` times as much and more than ``TEASER`` thresholds.
 
-Scripts, styles and markup never become lines.
+At the end of a run outside article elements short lines that are no sentences are left out.
+
+Scripts, styles and markup never become lines; what is no text only where it is closed (vector
+graphics, buttons, lists of options, a page's head) never takes the rest of a page along.
 """
 
 from __future__ import annotations
@@ -40,11 +43,14 @@ TEASER = 4
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
-    r"""|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|option|button|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""|<(?P<raw>script|style|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>"""
     r"""|<[!?/a-z][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
+#: Elements whose content is no text, if they end at all; unclosed ones are read on after their tag.
+_OPAQUE = {n: re.compile(rf"</{n}\s*>", re.I) for n in "noscript template svg math iframe object select option button head".split()}
+_BODY = re.compile(r"<body\b", re.I)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Parts of a class, id or role token that say that an element is no article.
@@ -61,6 +67,11 @@ _NOISE_TOKENS = frozenset(
 )
 _OF_PAGE = frozenset("site page global top main left right".split())
 #: First parts that deny what follows, and last parts that tell of a state or a layout.
+#: What may stand beside such parts in a token that as a whole says so.
+_BESIDE = frozenset(
+    "list section area box block container item items inner bar panel link links button buttons slot unit row group zone wrap thread count icon icons "
+    "form message overlay top bottom left right main sticky fixed mobile desktop primary secondary article post posts page site user reader entry blog".split()
+)
 _DENYING = frozenset("no not non without has have with is hide show".split())
 _STATES = frozenset("open closed enabled disabled on off active layout single wrapper page".split())
 _TOKEN_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
@@ -78,29 +89,33 @@ _SELF_ENDING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th"))
 _SECTIONS = frozenset("article body center dialog div footer form header main section td".split())
 
 
-def noise_token(token: str) -> bool:
-    """Whether one token of a class, id or role value says that an element is no article."""
+def noise_token(token: str) -> int:
+    """Whether one token of a class, id or role value says that an element is no article: 2 as a whole, 1 in a part, else 0."""
     parts = [p.lower() for p in _TOKEN_PART.findall(token)]
     if not parts or parts[-1] in _STATES or any(p in _DENYING for p in parts[:-1]):
-        return False
+        return 0
     whole = parts[1:] if len(parts) > 1 and parts[0] in _OF_PAGE else parts
-    return any(p in _NOISE_PARTS for p in parts) or (len(whole) == 1 and whole[0] in _NOISE_TOKENS)
+    if len(whole) == 1 and whole[0] in _NOISE_TOKENS:
+        return 2
+    if not any(p in _NOISE_PARTS for p in parts):
+        return 0
+    return 2 if all(p in _NOISE_PARTS or p in _NOISE_TOKENS or p in _BESIDE or p.isdigit() for p in parts) else 1
 
 
-def _declared(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is declared to be no article, and whether that is so whatever it holds."""
+def _declared(name: str, rest: str, in_article: bool) -> int:
+    """How an element is declared to be no article: 3 whatever it holds, 2 as a whole, 1 in a part of a token, else 0."""
     if name in _NEVER or (name == "header" and not in_article):
-        return True, True
-    noise = name in _DROPPED
+        return 3
+    noise = 2 if name in _DROPPED else 0
     if name in ("html", "body") or ("=" not in rest and "hidden" not in rest):
-        return noise, False
+        return noise
     for key, *values in _ATTRIBUTE.findall(rest):
         value, key = "".join(values), key.lower()
         if key in ("class", "id", "role"):
-            noise = noise or any(map(noise_token, value.split()))
+            noise = max([noise, *map(noise_token, value.split())])
         elif _HIDDEN.search(value) if key == "style" else key == "hidden" or value.lower() == "true":
-            return True, True
-    return noise, False
+            return 3
+    return noise
 
 
 @dataclass
@@ -110,6 +125,7 @@ class Line:
     article: int  # the outermost article element around, 0 for none
     section: int  # the nearest section element around
     noise: int  # the nearest element around that is declared to be no article, 0 for none
+    item: bool  # of a list or a table
 
 
 @dataclass
@@ -117,7 +133,7 @@ class Noise:
     """An element that is declared to be no article; outer is the one around it."""
 
     outer: int
-    never: bool = False  # what it holds is no article, however much it is
+    declared: int = 2  # as in ``_declared``
     weight: int = 0
     main: bool = False  # an article element or a main heading in it
 
@@ -136,6 +152,8 @@ def parse(page: str) -> Page:
     article, articles, sections = 0, 0, 0  # the open article element, how deep, and how many sections there were
     open_sections: list[tuple[str, int]] = [("", 0)]
     open_noise: list[list] = []  # name, how many of its name are open, its number
+    item = False
+    ends: dict[str, re.Match | None] = {}  # the next end of each opaque element's name
 
     def end_line() -> None:
         nonlocal linked
@@ -145,7 +163,7 @@ def parse(page: str) -> Page:
                 free = max(0, len(text) - linked)
                 weight = len(text) if heading else free if 2 * free >= len(text) else 0
                 noise = open_noise[-1][2] if open_noise else 0
-                out.lines.append(Line(text, weight, article, open_sections[-1][1], noise))
+                out.lines.append(Line(text, weight, article, open_sections[-1][1], noise, item))
                 while noise:
                     out.noise[noise].weight += weight
                     noise = out.noise[noise].outer
@@ -176,8 +194,17 @@ def parse(page: str) -> Page:
         elif open_noise and open_noise[-1][0] == name and not empty:
             open_noise[-1][1] += 1
 
+    def end_of(name: str) -> int:
+        """Where an opaque element that begins here is over; -1 if it never ends.  Each name is looked for once in all."""
+        if name not in ends or (ends[name] and ends[name].start() < at):
+            ends[name] = _OPAQUE[name].search(page, at)
+        found = ends[name]
+        if not found or name == "head" and _BODY.search(page, at, found.start()):
+            return -1
+        return found.end()
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text_to(m.start())
         at = m.end()
         name = (m["name"] or "").lower()
@@ -185,12 +212,16 @@ def parse(page: str) -> Page:
             continue
         closing = bool(m["close"])
         empty = name in _VOID or m["rest"].endswith("/")
+        if name in _OPAQUE and not closing and not empty and (end := end_of(name)) >= 0:
+            at = end
+            continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
             links = max(0, links - 1) if closing else 1
         if name in _BLOCKS:
             end_line()
+            item = not closing and name in ("li", "td", "dd")
         if open_noise:
             close_noise(name, closing, empty)
         if name == "h1":
@@ -204,10 +235,10 @@ def parse(page: str) -> Page:
                     if open_sections[k][0] == name:
                         del open_sections[k:]
                         break
-        noise, never = (False, False) if closing or empty else _declared(name, m["rest"], articles > 0)
+        noise = 0 if closing or empty else _declared(name, m["rest"], articles > 0)
         if noise:
             end_line()
-            out.noise.append(Noise(open_noise[-1][2] if open_noise else 0, never))
+            out.noise.append(Noise(open_noise[-1][2] if open_noise else 0, noise))
             open_noise.append([name, 1, len(out.noise) - 1])
         elif name in _ARTICLES:
             articles = max(0, articles + (-1 if closing else 1))
@@ -268,8 +299,9 @@ def _blanked(page: Page) -> set[int]:
     bare = not surges(rest)
     gone: set[int] = set()
     for k, e in enumerate(page.noise[1:], 1):  # outer elements come first
-        wrapper = 2 * e.weight > everything and (e.main or bare) and not e.never
-        if e.outer in gone or not wrapper:
+        wrapper = 2 * e.weight > everything and (e.main or bare) and e.declared < 3
+        told = e.declared > 1 or e.weight < THRESHOLD  # a part of a name counts where there is little text
+        if e.outer in gone or (told and not wrapper):
             gone.add(k)
     return gone
 
@@ -304,10 +336,27 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
         runs, inside, mass = runs + alone, inside + [True] * len(alone), mass + [0] * len(alone)
     beside = sum(m for m, i in zip(mass, inside, strict=True) if not i)
     alone = any(inside) and not (beside > TEASER * own and beside > TEASER * threshold)
-    chosen = sorted(r for r, i in zip(runs, inside, strict=True) if i or not alone)
+    chosen = sorted((a, b if i else _dive(kept, a, b, threshold)) for (a, b), i in zip(runs, inside, strict=True) if i or not alone)
     return "\n".join(x.text for a, b in chosen for x in kept[a:b] if x)
 
 
+_SENTENCE_END = re.compile(r"""[.!?\u2026\u3002\uff01\uff1f:;]["'\u201d\u2019\u00bb)\]]*$""")
+
+
+def _dive(lines: list[Line | None], first: int, last: int, threshold: int) -> int:
+    """Where a run outside article elements is over: before its last lines, if they are short and no sentences.
+
+    "About us" and "Copyright 2020" stand close to a page's last paragraph.  Each is below
+    the threshold by itself, doesn't end as a sentence and is no item of a list.
+    """
+    while last - first > 1:
+        x = lines[last - 1]
+        if x is not None and x.weight and (x.weight >= threshold or x.item or _SENTENCE_END.search(x.text)):
+            break
+        last -= 1
+    return last
+
+
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """All other columns of pages, and the main text of each page with its number of code points.
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -204,3 +205,26 @@ def test_secret_query_equals_its_sql(spark, small, tmp_path):
         columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
         theirs = sorted(map(tuple, con.execute(secretscan.SQL).fetchdf()[columns].itertuples(index=False)))
         assert sorted(map(tuple, secretscan.op6_secret_scan(spark, folder).select(*columns).collect())) == theirs
+
+
+_P = "<p>" + "Long words in a paragraph that goes on and on. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("page,times", [
+    (f"<html><head><title>t</title><body><article>{_P}</article>", 1), (f"<head><title>t</title><noscript><p>{'no ' * 99}</p></noscript></head>{_P}", 1), (f"<head><meta x>{_P}", 1),
+    (f'<article>{_P}<svg width="1"/>{_P}</article>', 2), (f"<article>{_P}<svg>{_P}<math/>{_P}</article>", 3), (f"<article>{_P}<button>{_P}<select>{_P}</article>", 3),
+    (f"<article>{_P}<noscript>{_P}</article>", 2), (f"<article>{_P}<svg><title>{_P}</title></svg><object>{_P}</object></article>", 1),
+    (f'<article><div class="story-promo-text">{_P}</div><div class="banner-image">{_P}</div><div class="related-work">{_P}</div></article>', 3),
+    (f'<div class="article-comments">{_P}</div><div id="cookie-banner">{_P}</div><article>{_P}</article>', 1),
+    (f"<div>{_P}{_P}</div><p>About us</p><p>Contact us</p><p>Copyright 2020</p>", 2), (f"<div>{_P}<p>The end.</p></div>", 1), (f"<div>{_P}<ul><li>Milk</li><li>Eggs</li></ul></div>", 1),
+])
+def test_what_is_unclosed_named_in_part_or_short(page, times):
+    got = htmltext.main_text(page)
+    assert got.count("goes on") == 4 * times and "About" not in got and "no no" not in got and not got.startswith("t\n")
+    assert ("The end." in got) == ("The end." in page) and got.endswith("Eggs") == ("Eggs" in page)
+
+
+def test_many_unclosed_elements_are_linear():
+    began = time.monotonic()
+    assert htmltext.main_text("<option>a<button>b<svg>" * 60_000 + _P).endswith("on and on.")
+    assert time.monotonic() - began < 20
