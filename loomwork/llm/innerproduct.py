@@ -205,14 +205,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     dims = first.n
     spark = rows.sparkSession
-    apart = different(rows, k + 1).withColumn("key", F.xxhash64("vec"))  # copies would draw the centres to themselves
-    apart = cut(apart.withColumn("key", F.col("key").bitwiseXOR(F.shiftleft(F.col("ids")[0], 1))))
+    # copies would draw the centres to themselves; the checkpoint fixes the numbers
+    apart = cut(different(rows, k + 1).withColumn("key", F.monotonically_increasing_id()))
     drawn = apart.select("vec").orderBy(F.xxhash64("vec"), F.col("ids")[0]).limit(sample).toArrow().column(0).combine_chunks()
     quantizer = Quantizer(dims).fit(drawn.values.to_numpy(zero_copy_only=False).reshape(-1, dims))
     kept = spark.sparkContext.broadcast(quantizer)
 
     n = apart.count()
-    asked = rows.where(is_query).groupBy("vec").agg(F.min("id").alias("query"))
+    asked = cut(rows.where(is_query).select("vec").distinct().withColumn("query", F.monotonically_increasing_id()))
     size = min(LARGEST_BLOCK, max(BLOCK, -(-n // partition_count(spark))))
     n_have, n_asked = -(-n // size), max(1, -(-asked.count() // QUERY_BLOCK))
 
