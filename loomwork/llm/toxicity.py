@@ -42,6 +42,8 @@ from loomwork.llm.decontaminate import words
 from loomwork.llm.langid import remainder
 from loomwork.llm.tokens import slices, trimmed
 
+#: Tokens that a model is made of, at most.
+TOKENS = 300_000
 SAMPLE = 20_000
 FOLDS = 4
 #: The prior counts' sum, as a share of all counts.
@@ -183,8 +185,8 @@ def fit(
 
     Rows of labels with a null id or label are left out; a label that differs for one id counts as
     toxic.  Without labelled texts of both kinds, or with an empty table, nothing is toxic.  Rows of
-    docs with one id all count, if their texts differ.  The driver gets the counts of tokens that are
-    in two toxic texts or in 50, and the segments of the sampled texts: as much as ``sample`` bounds.
+    docs with one id all count, if their texts differ.  The driver gets the counts of the ``TOKENS``
+    tokens of most toxic texts, then of most texts, and two numbers a sampled text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -218,7 +220,8 @@ def fit(
     # only tokens of toxic texts can have positive scores, and frequent ones negative; the rest never enter
     toxic_n = sum((F.col(f"c{FOLDS + c}") for c in range(FOLDS)), F.lit(0))
     all_n = sum((F.col(f"c{c}") for c in range(2 * FOLDS)), F.lit(0))
-    got = wide.where((toxic_n >= TEXTS_LEAST) | (all_n >= 50)).toPandas().sort_values("token")
+    told = wide.where((toxic_n >= TEXTS_LEAST) | (all_n >= 50)).orderBy(F.desc(toxic_n), F.desc(all_n), "token").limit(TOKENS)
+    got = told.toPandas().sort_values("token")
     tokens, cell = got["token"].tolist(), got[[f"c{c}" for c in range(2 * FOLDS)]].to_numpy(np.float64)
 
     def without(fold: int | None) -> Lexicon:
@@ -244,16 +247,27 @@ def fit(
                         names=["scores", "n", "toxic", "fold"],
                     )
 
-    seen = rows.mapInArrow(trimmed(weigh), "scores array<double>, n long, toxic int, fold int").collect()
+    seen = cut(rows.mapInArrow(trimmed(weigh), "scores array<double>, n long, toxic int, fold int"))
     # how many segments the other texts have tells K, for each lexicon on texts that it wasn't made from
+    others = seen.where("toxic <= 0").groupBy("fold").agg(F.sum("n").alias("n"), F.sum(F.size("scores")).alias("found")).collect()
+    told = {r.fold: (r.n, r.found) for r in others}
     for f, lex in enumerate(model.lexicons[1:]):
-        other = [r for r in seen if r.fold == f and r.toxic <= 0]
-        expected = sum(r.n for r in other) * math.exp(-lex.rate * lex.least())
-        lex.k = min(1.0, (sum(len(r.scores) for r in other) + 0.5) / max(expected, 1e-9))
+        n, count_found = told.get(f, (0, 0))
+        lex.k = min(1.0, (count_found + 0.5) / max(n * math.exp(-lex.rate * lex.least()), 1e-9))
     model.lexicons[0].k = float(np.exp(np.mean([math.log(x.k) for x in model.lexicons[1:]])))
-    if len({r.toxic > 0 for r in seen}) == 2:
-        x = [_sum([p for s in r.scores if (p := model.lexicons[1 + r.fold].chance(s, r.n)) <= P_MOST]) for r in seen]
-        model.slope, model.base = _logistic(np.log1p(np.array(x)), np.array([float(r.toxic > 0) for r in seen]))
+    chances = [(x.k, x.rate) for x in model.lexicons[1:]]
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [Lexicon([], np.zeros(0), rate, k) for k, rate in chances]
+        for batch in batches:
+            scores, n, toxic, fold = (c.to_pylist() for c in batch.columns)
+            x = [_sum([p for s in row if (p := own[f].chance(s, size)) <= P_MOST]) for row, size, f in zip(scores, n, fold, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array([t > 0 for t in toxic], pa.bool_())], names=["x", "toxic"])
+
+    # two numbers a sampled text
+    weighed = seen.mapInArrow(trimmed(evidence), "x double, toxic boolean").orderBy("x", "toxic").toPandas()
+    if weighed["toxic"].nunique() == 2:
+        model.slope, model.base = _logistic(np.log1p(weighed["x"].to_numpy(np.float64)), weighed["toxic"].to_numpy(np.float64))
     return model
 
 
