@@ -88,17 +88,6 @@ def allow_hash_joins(spark: SparkSession, most: str = "64m") -> None:
         spark.conf.set(name, most)
 
 
-def release_memory(spark: SparkSession) -> None:
-    """Asks the executors' JVMs to collect their garbage, and so to give memory back to the system.
-
-    A heap that a shuffle has filled stays committed else, beside the Python workers of what comes
-    next.  One short task a core; where a JVM ignores the request nothing happens.
-    """
-    n = spark.sparkContext.defaultParallelism
-    collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
-    spark.range(0, n, 1, n).select(collect.alias("x")).write.format("noop").mode("overwrite").save()
-
-
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -245,3 +245,25 @@ def test_near_dedup_recall_against_brute_force(spark):
         root = [least if x == most else x for x in root]
     got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert near and sorted(got) == [rows[k][0] for k in range(len(rows)) if root[k] == k]
+
+
+def test_many_different_texts_under_one_key(spark):
+    """A hot key is indexed anew: thousands of texts with one passage in common, few of them near copies."""
+    rng = random.Random(4)
+    passage = [f"c{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(8000)]
+    near = [t + " more words" for t in texts[:40]]
+    rows = [(k, k * 7 + 1, jaccard.xxhash.xxh64_intdigest(t.encode(), 1) >> 1, t.encode()) for k, t in enumerate(texts + near)]
+    table = spark.createDataFrame(rows, "id long, sum64 long, fp long, text binary").repartition(4)
+    nodes = table.select("id", "sum64", "fp", F.lit(117).cast("long").alias("size"), F.array(F.lit(1).cast("long")).alias("keys"))
+    links = jaccard._links(nodes, table.select("id", "sum64", "text"), 5, 0.8)
+    fp = {r[0]: r[2] for r in rows}
+    assert {frozenset(map(int, r)) for r in links.collect()} == {frozenset((fp[k], fp[8000 + k])) for k in range(40)}
+
+
+def test_blocks_are_bounded_by_their_hashes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_HASHES", 100)
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[:50] + [f"x{k}"] + words[50:])) for k in range(20)] + [(99, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [0, 99]
