@@ -7,7 +7,8 @@
 
 Contributions are ordered by (position, port); a seed has position -1.  Values aren't null.  The
 result of a list or text fold holds all of a run's contributions, so a run's rows meet in one task
-whatever is done; the other folds are partial aggregations.
+whatever is done; the other folds are partial aggregations.  Sets keep each item where it first
+stands; maps of maps are merged by the paths of their keys, and what meets in one row is a result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.functions.canonical import canonical_text
+
 STRATEGIES = ("last_wins", "first_wins", "last_present_wins", "append_list", "union_set", "deep_merge_dict", "concat_str")
 
 
@@ -142,14 +145,11 @@ def fold_long(rows: DataFrame, run: Sequence[str], order: Sequence[str], value:
     elif strategy == "last_present_wins":
         # a key that is null for what isn't present makes max_by pass over it
         folded = F.coalesce(F.max_by(v, F.when(present(v, kind), at)), F.max_by(v, at))
-    elif strategy == "deep_merge_dict" and isinstance(kind, T.MapType) and not isinstance(kind.valueType, (T.MapType, T.StructType)):
-        # flat maps merge key by key: two partial aggregations instead of one task's list
-        each = rows.select(*run, *order, F.explode(v).alias("k", "v"))
-        best = each.groupBy(*run, "k").agg(F.max_by("v", at).alias("v"))
-        folds = best.groupBy(*run).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(out))
-        # runs of which all maps are empty
-        empty = rows.select(*run).distinct().join(folds, list(run), "left")
-        return empty.withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
+    elif strategy == "union_set":
+        return _in_order(_first_items(rows, run, order, value, True), run, out)
+    elif strategy == "deep_merge_dict" and _by_paths(kind):
+        found = _paths(rows, run, order, value).groupBy(*run, *_keys(kind)).agg(*_latest())
+        return _nested(found, rows.select(*run).distinct(), run, kind, out)
     else:
         if has_map(kind):  # such structs don't sort: entries instead, in the order they come
             listed = F.collect_list(F.struct(at.alias("at"), _entries(v, kind).alias("v")))
@@ -201,8 +201,26 @@ def _sortable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.DoubleType, T.FloatType))
 
 
-def _flat_map(kind: T.DataType) -> bool:
-    return isinstance(kind, T.MapType) and not isinstance(kind.valueType, (T.MapType, T.StructType))
+def _first_items(rows: DataFrame, run: Sequence[str], order: Sequence[str], value: str, empty: bool = False) -> DataFrame:
+    """(run, __at, __x): each different item of a run's lists where it first stands, by partial aggregation.
+
+    Items that don't group as they compare are told apart by their canonical text.  empty: empty lists
+    have a row too, without a place in the list.
+    """
+    item = rows.schema[value].dataType.elementType
+    each = rows.select(*run, *order, (F.posexplode_outer if empty else F.posexplode)(F.col(value)).alias("__i", "__x"))
+    key = F.col("__x") if _sortable(item) else canonical_text(F.col("__x"), item)
+    at = F.struct(*order, "__i")
+    return each.withColumn("__key", key).groupBy(*run, "__key", F.col("__i").isNull().alias("__none")).agg(F.min(at).alias("__at"), F.min_by("__x", at).alias("__x"))
+
+
+def _in_order(first: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    """(by, list): the items in order; those with maps, which don't sort in an array, as entries on the way."""
+    kind = first.schema["__x"].dataType
+    maps = has_map(kind)
+    item = F.struct("__at", (_entries(F.col("__x"), kind) if maps else F.col("__x")).alias("x"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("__at.__i").isNotNull(), item)))
+    return first.groupBy(*by).agg(listed.alias("__l")).select(*by, F.transform("__l", lambda i: _from_entries(i.x, kind) if maps else i.x).alias(out))
 
 
 def _new_items(writes: DataFrame, run: Sequence[str], position: str, port: str, value: str, out: str) -> DataFrame:
@@ -211,35 +229,123 @@ def _new_items(writes: DataFrame, run: Sequence[str], position: str, port: str,
     Every position with writes has a row.  Joined over positions these lists are the union so far,
     so that a reader needs no list of all contributions.
     """
-    each = writes.select(*run, position, port, F.posexplode(F.col(value)).alias("__i", "__x"))
-    first = each.groupBy(*run, "__x").agg(F.min(F.struct(position, port, "__i")).alias("__at"))
-    items = first.groupBy(*run, F.col(f"__at.{position}").alias(position)).agg(F.array_sort(F.collect_list(F.struct("__at", "__x"))).alias("__l"))
-    items = items.select(*run, position, F.transform("__l", lambda x: x["__x"]).alias(out))
-    empty = writes.select(*run, position).distinct().withColumn(out, F.array().cast(writes.schema[value].dataType))
+    kind = writes.schema[value].dataType
+    first = _first_items(writes, run, [position, port], value).withColumn(position, F.col(f"__at.{position}"))
+    items = _in_order(first, [*run, position], out)
+    empty = writes.select(*run, position).distinct().withColumn(out, F.array().cast(kind))
     return items.union(empty)
 
 
+# maps of maps, by the paths of their keys ------------------------------------------------------
+
+
+def _depth(kind: T.DataType) -> int:
+    return 1 + _depth(kind.valueType) if isinstance(kind, T.MapType) else 0
+
+
+def _leaf(kind: T.DataType) -> T.DataType:
+    return _leaf(kind.valueType) if isinstance(kind, T.MapType) else kind
+
+
+def _by_paths(kind: T.DataType) -> bool:
+    """Whether maps of the type merge path by path: structs that hold maps merge within a value."""
+    leaf = _leaf(kind)
+    return isinstance(kind, T.MapType) and not (isinstance(leaf, T.StructType) and has_map(leaf))
+
+
+def _keys(kind: T.DataType) -> list[str]:
+    return [f"__k{d}" for d in range(_depth(kind))]
+
+
+def _paths(rows: DataFrame, run: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """(run, order, __at, keys of a path, __v, __gone): a row for each entry at each level of each map.
+
+    Keys below the entry's level are null.  __v holds a leaf's value.  __gone: an object was replaced
+    by null, so that nothing written under it before counts any more.
+    """
+    kind, keys = rows.schema[value].dataType, _keys(rows.schema[value].dataType)
+
+    def entries(m: Column, t: T.MapType, above: list[Column]) -> Column:
+        inner = isinstance(t.valueType, T.MapType)
+
+        def entry(e: Column) -> Column:
+            path = [*above, e.key, *(F.lit(None) for _ in keys[len(above) + 1 :])]
+            leaf = F.lit(None) if inner else F.struct(e.value.alias("v"))
+            return F.struct(*(p.cast(kinds[k]).alias(k) for k, p in zip(keys, path, strict=True)), leaf.cast(held).alias("__v"), (e.value.isNull() if inner else F.lit(False)).alias("__gone"))
+
+        own = F.transform(F.map_entries(m), entry)
+        if not inner:
+            return own
+        none = F.array().cast(own_kind)
+        deep = F.transform(F.map_entries(m), lambda e: F.coalesce(entries(e.value, t.valueType, [*above, e.key]), none))
+        return F.concat(own, F.flatten(deep))
+
+    kinds, t = {}, kind
+    for k in keys:
+        kinds[k], t = t.keyType, t.valueType
+    held = T.StructType([T.StructField("v", _leaf(kind))])
+    own_kind = T.ArrayType(T.StructType([*(T.StructField(k, x) for k, x in kinds.items()), T.StructField("__v", held), T.StructField("__gone", T.BooleanType())]))
+    each = rows.select(*run, *order, F.struct(*order).alias("__at"), F.explode(entries(F.col(value), kind, [])).alias("__e"))
+    return each.select(*run, *order, "__at", "__e.*")
+
+
+def _latest() -> tuple[Column, ...]:
+    """Of a path: when it was last written, when an object there was last replaced by null, and its last value."""
+    return F.max("__at").alias("__last"), F.max(F.when(F.col("__gone"), F.col("__at"))).alias("__cut"), F.max_by("__v", "__at").alias("__v")
+
+
+def _nested(found: DataFrame, runs: DataFrame, run: Sequence[str], kind: T.MapType, out: str) -> DataFrame:
+    """(run, map) from the latest of each path, level by level from below; runs without a path have an empty map.
+
+    Lists that are collected on the way hold a result's entries, not its contributions.
+    """
+    keys = _keys(kind)
+    level = found.where(F.col(keys[-1]).isNotNull()).select(*run, *keys, F.struct(F.col(keys[-1]).alias("key"), "__last", F.col("__v.v").alias("v")).alias("__e"))
+    for d in range(len(keys) - 2, -1, -1):
+        kids = level.groupBy(*run, *keys[: d + 1]).agg(F.collect_list("__e").alias("__kids"))
+        nodes = found.where(F.col(keys[d]).isNotNull() & F.col(keys[d + 1]).isNull()).select(*run, *keys[: d + 1], "__last", "__cut")
+        at = [*run, *keys[: d + 1]]
+        level = nodes.join(kids, at, "left").select(*at, F.struct(F.col(keys[d]).alias("key"), "__last", "__cut", "__kids").alias("__e"))
+    top = level.groupBy(*run).agg(F.collect_list("__e").alias("__kids"))
+
+    def value(entries: Column, t: T.MapType, cut: Column | None) -> Column:
+        """The map of what was written after the last cut above it."""
+        alive = entries if cut is None else F.filter(entries, lambda e: cut.isNull() | (e["__last"] > cut))
+        if not isinstance(t.valueType, T.MapType):
+            return F.map_from_entries(F.transform(alive, lambda e: F.struct(e.key, e.v)))
+
+        def of(e: Column) -> Column:
+            own = e["__cut"] if cut is None else F.greatest(e["__cut"], cut)
+            inner = F.coalesce(value(e["__kids"], t.valueType, own), F.create_map().cast(t.valueType))
+            return F.struct(e.key, F.when(e["__cut"].isNotNull() & (e["__cut"] == e["__last"]), F.lit(None)).otherwise(inner))
+
+        return F.map_from_entries(F.transform(alive, of))
+
+    made = top.select(*run, value(F.col("__kids"), kind, None).alias(out))
+    return runs.join(made, list(run), "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
+
+
 def _merged_so_far(
     writes: DataFrame, at: DataFrame, run: Sequence[str], position: str, port: str, value: str, out: str, start: int,
 ) -> DataFrame:
-    """(run, position, map) for the different places ``at`` that have writes in their frame: flat maps merged key by key.
+    """(run, position, map) for the different places ``at`` that have writes in their frame: maps merged path by path.
 
-    A row a place and key, of which the last value stands in the frame, instead of a fold of all maps
-    for every place: the work is in proportion to the results' entries.
+    A row a place and path, of which the latest stands in the frame, instead of a fold of all maps for
+    every place: the work is in proportion to the results' entries.
     """
     kind = writes.schema[value].dataType
-    each = writes.select(*run, position, port, F.explode(value).alias("__k", "__v"))
-    each = each.groupBy(*run, "__k", position).agg(F.max_by(F.struct(F.col("__v").alias("v")), port).alias("__v"))
-    keys = each.select(*run, "__k").distinct()
-    asked = at.join(keys, list(run)).select(*run, "__k", position, F.lit(None).cast(each.schema["__v"].dataType).alias("__v"), F.lit(True).alias("__reads"))
-    rows = each.select(*run, "__k", position, "__v", F.lit(False).alias("__reads")).union(asked)
-    window = Window.partitionBy(*run, "__k").orderBy(position).rangeBetween(Window.unboundedPreceding, start)
-    found = rows.withColumn("__seen", F.last("__v", ignorenulls=True).over(window)).where("__reads").where(F.col("__seen").isNotNull())
-    maps = found.groupBy(*run, position).agg(F.map_from_entries(F.collect_list(F.struct(F.col("__k"), F.col("__seen.v")))).alias(out))
+    by = [*run, *_keys(kind)]
+    each = _paths(writes, run, [position, port], value).groupBy(*by, position).agg(*_latest())
+    latest = ["__last", "__cut", "__v"]
+    asked = at.join(each.select(*by).distinct(), list(run)).select(*by, position, *(F.lit(None).cast(each.schema[c].dataType).alias(c) for c in latest), F.lit(True).alias("__reads"))
+    rows = each.select(*by, position, *latest, F.lit(False).alias("__reads")).union(asked)
+    window = Window.partitionBy(*by).orderBy(position).rangeBetween(Window.unboundedPreceding, start)
+    seen = rows.select(*by, position, "__reads", *(F.last(c, ignorenulls=True).over(window).alias(c) for c in latest))
+    found = seen.where(F.col("__reads") & F.col("__last").isNotNull())
     # places that only empty maps reach
     first = writes.groupBy(*run).agg(F.min(position).alias("__first"))
     reached = at.join(first, list(run)).where(F.col("__first") <= F.col(position) + start).select(*run, position)
-    return reached.join(maps, [*run, position], "left").withColumn(out, F.coalesce(out, F.create_map().cast(kind)))
+    return _nested(found, reached, [*run, position], kind, out)
 
 
 def fold_so_far(
@@ -248,16 +354,16 @@ def fold_so_far(
     """readers with the fold of the writes at positions strictly before each reader's; null if there are none.
 
     A position's own writes are folded first, in port order, so that a reader never sees a part of
-    one position.  Readers join the writes by a union, so one exchange on the run serves both; flat
-    maps are merged key by key instead, which spreads a run over tasks.
+    one position.  Readers join the writes by a union, so one exchange on the run serves both; maps
+    are merged path by path instead, which spreads a run over tasks.
     """
     kind = writes.schema[value].dataType
     at = [*run, position]
     extra = [c for c in readers.columns if c not in at]
-    if strategy == "deep_merge_dict" and _flat_map(kind):
+    if strategy == "deep_merge_dict" and _by_paths(kind):
         merged = _merged_so_far(writes, readers.select(*at).distinct(), run, position, port, value, out, -1)
         return readers.join(merged, at, "left").select(*at, *extra, out)
-    new_only = strategy == "union_set" and _sortable(kind)
+    new_only = strategy == "union_set"
     if new_only:
         per_position = _new_items(writes, run, position, port, value, out)
     else:
@@ -303,9 +409,9 @@ def _of_any(strategy: str, values: Column, kind: T.DataType) -> Column:
 def fold_running(writes: DataFrame, run: Sequence[str], position: str, port: str, value: str, strategy: str, out: str = "value") -> DataFrame:
     """The state after each position's writes: (run, position, fold of all up to it)."""
     kind = writes.schema[value].dataType
-    if strategy == "deep_merge_dict" and _flat_map(kind):
+    if strategy == "deep_merge_dict" and _by_paths(kind):
         return _merged_so_far(writes, writes.select(*run, position).distinct(), run, position, port, value, out, 0)
-    new_only = strategy == "union_set" and _sortable(kind)
+    new_only = strategy == "union_set"
     if new_only:
         new = _new_items(writes, run, position, port, value, out)
         per_position = new.groupBy(*run, position).agg(F.flatten(F.collect_list(out)).alias(out))  # one of the two lists is empty

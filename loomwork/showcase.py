@@ -282,14 +282,16 @@ def log_replay_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fold_nested_merge",
-    """with c as (select user_id as run, event_id as position, event_type as a, 'k' || (event_id % 3) as b, value from events),
-f as (select run, a, b, arg_max(value, position) as v from c group by run, a, b), g as (select run, a, string_agg(b || '=' || cast(v as varchar), ';' order by b) as x from f group by run, a)
-select run, string_agg(a || ':' || x, ',' order by a) as value from g group by run""",
+    """with c as (select user_id as run, event_id as position, event_type as a, 'k' || (event_id % 3) as b, 'v' || (event_id % 2) as d, value from events),
+f as (select run, a, b, d, arg_max(value, position) as v from c group by run, a, b, d), g as (select run, a, b, string_agg(d || '=' || cast(v as varchar), ';' order by d) as x from f group by run, a, b),
+h as (select run, a, string_agg(b || '>' || x, '|' order by b) as y from g group by run, a)
+select run, string_agg(a || ':' || y, ',' order by a) as value from h group by run""",
 )
 def fold_nested_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of maps merged at both levels, in order of position."""
+    """Maps of maps of maps merged at all levels, in order of position."""
     e = table(spark, sf_dir, "events")
-    inner = F.create_map(F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")), F.col("value").cast("string"))
+    name = lambda mark, n: F.concat(F.lit(mark), (F.col("event_id") % n).cast("string"))
+    inner = F.create_map(name("k", 3), F.create_map(name("v", 2), F.col("value").cast("string")))
     rows = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("position"), F.lit(0).alias("port"), F.create_map("event_type", inner).alias("value"))
     out = folds.fold_long(rows, ["run"], ["position", "port"], "value", "deep_merge_dict")
 
@@ -297,7 +299,7 @@ def fold_nested_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys = F.array_sort(F.map_keys(m))
         return F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit(mark), value(F.element_at(m, k)))), between)
 
-    return out.select("run", shown(F.col("value"), lambda x: shown(x, lambda y: y, "=", ";"), ":", ",").alias("value"))
+    return out.select("run", shown(F.col("value"), lambda x: shown(x, lambda y: shown(y, lambda z: z, "=", ";"), ">", "|"), ":", ",").alias("value"))
 
 
 @query("flow_bundle", "select cast(n_nationkey as varchar) as run_id, upper(n_name) as b, upper(n_name) || upper(n_name) as c from nation")

@@ -47,10 +47,12 @@ def fold(strategy, values):
 TEXT, LIST = T.StringType(), T.ArrayType(T.StringType())
 FLAT = T.MapType(T.StringType(), T.LongType())
 DEEP = T.MapType(T.StringType(), FLAT)
+DEEPER = T.MapType(T.StringType(), DEEP)
 MAPS = T.ArrayType(FLAT)
+FLOATS = T.ArrayType(T.DoubleType())
 CASES = [
     ("last_wins", TEXT), ("first_wins", LIST), ("last_present_wins", TEXT), ("last_present_wins", LIST), ("append_list", LIST),
-    ("union_set", LIST), ("union_set", MAPS), ("deep_merge_dict", FLAT), ("deep_merge_dict", DEEP), ("concat_str", TEXT),
+    ("union_set", LIST), ("union_set", MAPS), ("deep_merge_dict", FLAT), ("deep_merge_dict", DEEP), ("deep_merge_dict", DEEPER), ("union_set", FLOATS), ("concat_str", TEXT),
 ]
 
 
@@ -60,7 +62,11 @@ def made(kind, rng):
     if kind == FLAT:
         return {k: rng.randrange(5) for k in rng.sample("xyz", rng.randrange(4))}
     if kind == DEEP:
-        return {k: made(FLAT, rng) for k in rng.sample("pq", rng.randrange(3))}
+        return {k: None if rng.random() < 0.2 else made(FLAT, rng) for k in rng.sample("pq", rng.randrange(3))}
+    if kind == DEEPER:
+        return {k: None if rng.random() < 0.2 else made(DEEP, rng) for k in rng.sample("mn", rng.randrange(3))}
+    if kind == T.DoubleType():
+        return rng.choice([0.5, 1.0, 2.0, 1e300])
     item = kind.elementType
     return [made(item, rng) for _ in range(rng.randrange(4))]
 
@@ -129,3 +135,21 @@ def test_deep_merge_keeps_a_present_null(spark):
 def test_every_strategy_says_what_it_accepts():
     for s in folds.STRATEGIES:
         assert folds.accepts(s, TEXT) == (s not in ("append_list", "union_set", "deep_merge_dict"))
+
+
+def test_nested_maps_floats_and_maps_of_one_large_run(spark):
+    """10,000 contributions to one run: the work follows the results, not the contributions' square."""
+    import time
+
+    n = 10_000
+    rows = spark.range(n).selectExpr(
+        "1 as run", "id as p", "0 as port", "array(id % 50 + 0.5D) as f", "array(map('k', id % 50)) as l", "map(cast(id % 5 as string), map(cast(id % 3 as string), map('x', id))) as m"
+    ).coalesce(1)
+    began = time.time()
+    for value, strategy, most in (("f", "union_set", 50), ("l", "union_set", 50), ("m", "deep_merge_dict", 5)):
+        got = folds.fold_so_far(rows, rows.select("run", "p"), ["run"], "p", "port", value, strategy)
+        assert tuple(got.select("p", F.size("value").alias("n")).where("p > 0").agg(F.max("n"), F.min("n"), F.count("*")).first()) == (most, 1, n - 1)
+    long = folds.fold_long(rows, ["run"], ["p", "port"], "m", "deep_merge_dict")
+    assert long.first().value == {str(a): {str(b): {"x": max(k for k in range(n) if k % 5 == a and k % 3 == b)} for b in range(3)} for a in range(5)}
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(at" not in plan and time.time() - began < 120
