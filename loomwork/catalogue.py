@@ -336,18 +336,28 @@ def log_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.divergence(conversation_log(spark, sf_dir))
 
 
-@query(
-    "log_lineage",
-    """with recursive run as (select distinct conv_id as id, case when conv_id >= 2 then conv_id // 2 end as up from conversations),
+_LINEAGE = """with recursive run as (select distinct conv_id as id, case when conv_id >= 2 then conv_id // 2 end as up from conversations),
 tree as (
   select id, id as root, 0 as depth from run where up is null or up not in (select id from run)
   union all select run.id, tree.root, tree.depth + 1 from run join tree on run.up = tree.id)
-select cast(id as varchar) as run, cast(root as varchar) as root, cast(depth as bigint) as depth from tree""",
-)
+select cast(id as varchar) as run, cast(root as varchar) as root, cast(depth as bigint) as depth from tree"""
+
+
+@query("log_lineage", _LINEAGE)
 def log_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.lineage(conversation_log(spark, sf_dir))
 
 
+@query("log_lineage_appended", _LINEAGE)
+def log_lineage_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two appends: the second has parents and children of what the first has."""
+    log = conversation_log(spark, sf_dir).where("event_type = 'pipeline_start'")
+    second = F.col("pipeline_hash").isin("h1", "h2")
+    none = spark.createDataFrame([], eventlog.STORED)
+    stored = eventlog.lineage_appended(eventlog.lineage_appended(none, log.where(~second)), log.where(second))
+    return stored.select("run", "root", "depth")
+
+
 @query(
     "log_bucket",
     f"""with s as (select conv_id from conversations
