@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from loomwork.functions import rules
 from loomwork.functions.canonical import correlation_id
 from loomwork.functions.types import STR, parse_type
-from loomwork.operators import drift, eventlog, folds
+from loomwork.operators import drift, eventlog, folds, reduce
 from loomwork.plans import load
 from loomwork.plans.compile import Plan, compile_flow
 from loomwork.plans.execute import transform
@@ -434,6 +434,28 @@ def drift_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.ladder(*drift_tables(spark, sf_dir), True)
 
 
+# reductions of one's own -----------------------------------------------------------------------
+
+
+@query("reduce_spread", "select user_id as run, count(value) as n, round(avg(value), 9) as mean, round(var_pop(value), 7) as variance from events group by user_id")
+def reduce_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reduction with states that are merged in any order."""
+    got = reduce.reduce_runs(table(spark, sf_dir, "events"), ["user_id"], ["value"], reduce.spread("value"))
+    return got.select(F.col("user_id").alias("run"), "value.n", F.round("value.mean", 9).alias("mean"), F.round("value.variance", 7).alias("variance"))
+
+
+@query(
+    "reduce_longest_rise",
+    """with a as (select user_id, event_id, value, case when value > lag(value) over (partition by user_id order by event_id) then 0 else 1 end as breaks from events),
+b as (select user_id, sum(breaks) over (partition by user_id order by event_id rows unbounded preceding) as stretch from a),
+c as (select user_id, stretch, count(*) as n from b group by user_id, stretch) select user_id as run, max(n) as longest from c group by user_id""",
+)
+def reduce_longest_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reduction in order: states of stretches, merged one after the other."""
+    got = reduce.reduce_runs(table(spark, sf_dir, "events"), ["user_id"], ["value"], reduce.longest_rise("value"), ["event_id"], "longest")
+    return got.select(F.col("user_id").alias("run"), "longest")
+
+
 # flows -----------------------------------------------------------------------------------------
 
 

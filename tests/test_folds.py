@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.operators import folds
+from loomwork.operators import folds, reduce
 
 
 def present(v):
@@ -153,3 +153,37 @@ def test_nested_maps_floats_and_maps_of_one_large_run(spark):
     assert long.first().value == {str(a): {str(b): {"x": max(k for k in range(n) if k % 5 == a and k % 3 == b)} for b in range(3)} for a in range(5)}
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(at" not in plan and time.time() - began < 120
+
+
+@pytest.mark.parametrize("values", [[], [None], [1.0], [1.0, 2.0, 2.0, 3.0, 4.0, None, 1.0], [5.0, 4.0, 3.0]])
+def test_reductions_merge_at_any_place(values):
+    rise = reduce.longest_rise("v")
+
+    def of(part):
+        s = rise.start()
+        for v in part:
+            s = rise.step(s, {"v": v})
+        return s
+
+    whole = of(values)
+    best = max((b - a for a in range(len(values)) for b in range(a + 1, len(values) + 1) if None not in values[a:b] and all(x < y for x, y in zip(values[a:b], values[a + 1 : b]))), default=0)
+    assert rise.finish(whole) == best
+    assert all(rise.merge(of(values[:k]), of(values[k:])) == whole for k in range(len(values) + 1))
+
+
+def test_reductions_of_a_hot_run(spark):
+    rng = random.Random(3)
+    rows = [("hot" if k % 3 else None if k % 5 else "b", k, rng.choice([None, rng.random(), rng.randrange(3) * 1.0])) for k in range(6000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "run string, p long, v double").repartition(7)
+    rise = reduce.longest_rise("v")
+    want = {}
+    for run, _, v in sorted(rows, key=lambda r: r[1]):
+        want[run] = rise.step(want.get(run, rise.start()), {"v": v})
+    got = {r.run: r.value for r in reduce.reduce_runs(df, ["run"], ["v"], rise, ["p"]).collect()}
+    assert got == {k: rise.finish(s) for k, s in want.items()}
+    for r in reduce.reduce_runs(df, ["run"], ["v"], reduce.spread("v")).collect():
+        mine = [v for run, _, v in rows if run == r.run and v is not None]
+        mean = sum(mine) / len(mine)
+        assert r.value.n == len(mine) and r.value.mean == pytest.approx(mean) and r.value.variance == pytest.approx(sum((v - mean) ** 2 for v in mine) / len(mine))
+    assert reduce.reduce_runs(df.limit(0), ["run"], ["v"], rise, ["p"]).count() == 0
