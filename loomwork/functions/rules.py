@@ -120,6 +120,17 @@ def same(a: Any, b: Any) -> bool:
     return a == b
 
 
+def _key(v: Any) -> Any:
+    """A key that two values share if they are ``same``; one of its own for each NaN."""
+    if isinstance(v, bool):
+        return bool, v
+    if isinstance(v, (list, tuple)):
+        return list, tuple(map(_key, v))
+    if isinstance(v, dict):
+        return dict, frozenset((k, _key(x)) for k, x in v.items())
+    return (object(),) if v != v else (None, v)
+
+
 _NOT_PORTABLE = re.compile(r"\(\?(?:P[<=>]|[aLu]|\(|#)|\\[ZNbBgAG]|\\[1-9]|\(\?<[=!]|&&|\[\^?\]|\[[^\]]*\[|\\x(?![0-9a-fA-F]{2})|\\u|\\U|[*+?}]\+|\\p|\\h|\\R|\\X|\\Q|\\E|\(\?>")
 
 
@@ -438,7 +449,7 @@ def judged(v: Any, keyword: str, p: Any, custom: dict[str, Callable] = CUSTOM) -
         case "pattern":
             return re.search(p, v) is not None, False
         case "uniqueItems":
-            return not p or not any(same(a, b) for i, a in enumerate(v) for b in v[i + 1 :]), False
+            return not p or len(set(map(_key, v))) == len(v), False
     return any(same(v, m) for m in p), False
 
 

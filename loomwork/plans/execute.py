@@ -6,7 +6,7 @@ have a column after each contribution, so a plan's expressions don't nest from s
 size and its time are linear in the steps.  Bodies of columns stay inside the JVM; Python bodies, services and
 model calls are Arrow batches and get told which rows are alive.  What talks to the outside is marked
 nondeterministic and passes through ``barrier``, by default a checkpoint in the shared folder, so that
-neither later reads of the result nor a lost executor call it again; only a retried task does.
+neither later reads of the result nor a lost executor call it again; a retried task does, unless calls are logged.
 
 Elapsed times are whole milliseconds of bodies, services and models.  A body of columns has no time
 of its own, as Catalyst computes it with all others: it counts as zero.
@@ -38,6 +38,7 @@ from loomwork.plans.compile import Call, Plan
 from loomwork.plans.identity import pipeline_hash
 from loomwork.plans.model import Registry
 from loomwork.plans.values import from_arrow, from_json, shape_misfits, takes, to_arrow
+from loomwork.sources.calls import CallLog
 from loomwork.sources.shared import cut
 
 HALT = f"struct<error_class:string,category:string,cause:string,message:string,position:int,name:string,fields:array<{value_rules.FAILURE}>>"
@@ -197,9 +198,9 @@ _OF_HALT = {
 class _Runner:
     def __init__(
         self, plan: Plan, registry: Registry, run: Column, prefix: str, barrier: Callable, parent: Column | None, deadline: float | None,
-        sink: Callable | None = None, failing: list[Failing] | None = None,
+        sink: Callable | None = None, failing: list[Failing] | None = None, calls: CallLog | None = None,
     ):
-        self.sink = sink
+        self.sink, self.calls = sink, calls
         self.elapsed: list[Column] = []
         self.plan, self.registry, self.run, self.prefix, self.barrier, self.parent, self.deadline = plan, registry, run, prefix, barrier, parent, deadline
         self.now: dict[str, Column] = {}  # each wire's value so far
@@ -333,7 +334,7 @@ class _Runner:
     def embed(self, rows: DataFrame, c: Call, reads: Mapping[str, Column]) -> DataFrame:
         """A nested flow, in the same rows: a run of its own with its own events, none in this stream."""
         run = F.concat(self.run.cast("string"), F.lit(f"/{c.position}"))
-        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink, self.failing)
+        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink, self.failing, self.calls)
         rows = inner.go(rows, dict(reads))
         self.elapsed += inner.elapsed
         self.log += inner.log
@@ -351,6 +352,8 @@ class _Runner:
         outside = c.kind in ("service", "trainable")
         sink = self.sink if c.streamable else None
         task = _Task(c, call, backend, self.deadline, object_schema(outputs) if c.kind == "trainable" else None, sink)
+        if self.calls is not None:
+            task.log, task.name = self.calls, f"{self.hash.removeprefix('sha256:')[:16]}-{tag}"
         schema = T.StructType([*fields, *T.StructType.fromDDL(_SAID).fields])
         task.made = to_arrow_type(schema)
 
@@ -401,12 +404,26 @@ class _Task:
         self.call, self.backend, self.deadline, self.schema, self.sink = call, backend, deadline, schema, sink
         self.ready: Any = None
         self.made: pa.DataType | None = None  # of the results
+        self.position, self.log, self.name = c.position, None, ""
+        self.logged: Any = None
+        self.pool: ThreadPoolExecutor | None = None
 
     def opened(self) -> Any:
         if self.ready is None:
             self.ready = self.backend.open() if hasattr(self.backend, "open") else self.backend
         return self.ready
 
+    def calls(self) -> Any:
+        """The task's log of calls, if there is one."""
+        if self.logged is None and self.log is not None:
+            self.logged = self.log.of_task(self.name)
+        return self.logged
+
+    def once(self, run: str, number: int, make: Callable[[], Any]) -> Any:
+        """A call to the outside, or its answer from the log of an earlier attempt."""
+        calls = self.calls()
+        return make() if calls is None else calls.once(f"{run}:{self.position}" + (f"#{number}" if number else ""), make)
+
     def budget(self, call: Callable) -> dict[str, Any]:
         if not takes(call, "remaining_budget_ms"):
             return {}
@@ -421,8 +438,9 @@ class _Task:
 
         if self.kind in ("service", "trainable") and len(rows) > 1:
             self.opened()
-            with ThreadPoolExecutor(CONCURRENT) as pool:
-                found = list(pool.map(one, range(len(rows))))
+            self.calls()
+            self.pool = self.pool or ThreadPoolExecutor(CONCURRENT)  # one for all of the task's batches
+            found = list(self.pool.map(one, range(len(rows))))
         else:
             found = [one(k) for k in range(len(rows))]
         return pa.array(found, self.made)
@@ -446,7 +464,7 @@ class _Task:
                 answer = json.loads(self.answer(payload_text(given), run))
                 made = {k: from_json(v, self.outputs[k].type) if k in self.outputs else v for k, v in answer.items()} if isinstance(answer, dict) else answer
             elif self.service is not None:
-                made = self.call(**given, **self.bindings, **{self.service: _Service(self, out)})
+                made = self.call(**given, **self.bindings, **{self.service: _Service(self, out, run)})
             else:
                 made = self.call(**given, **self.bindings)
         except _Error:
@@ -476,7 +494,7 @@ class _Task:
         """
         backend = self.opened()
         if self.sink is None or not hasattr(backend, "fragments"):
-            return backend(payload, self.schema, **self.extra, **self.budget(backend))
+            return self.once(run, 0, lambda: backend(payload, self.schema, **self.extra, **self.budget(backend)))
         pieces, sink = [], self.sink
         for seq, piece in enumerate(backend.fragments(payload, self.schema, **self.extra, **self.budget(backend.fragments))):
             pieces.append(piece)
@@ -506,14 +524,15 @@ class _Outside(Exception):
 class _Service:
     """What a service step's body calls, once a row; keeps what was asked and answered."""
 
-    def __init__(self, task: _Task, out: dict):
-        self.task, self.out = task, out
+    def __init__(self, task: _Task, out: dict, run: str):
+        self.task, self.out, self.run, self.number = task, out, run, 0
 
     def invoke(self, **payload: Any) -> Any:
         backend = self.task.opened()
         began = time.monotonic()
         try:
-            answer = backend(payload, None, **self.task.extra, **self.task.budget(backend))
+            number, self.number = self.number, self.number + 1
+            answer = self.task.once(self.run, number, lambda: backend(payload, None, **self.task.extra, **self.task.budget(backend)))
         except ContractViolation:
             raise
         except Exception as e:
@@ -530,13 +549,14 @@ def _json(value: Any) -> str:
 
 def transform(
     plan: Plan, runs: DataFrame, registry: Registry, run_col: str = "run_id", barrier: Callable[[DataFrame], DataFrame] = cut,
-    timeout_ms: int | None = None, sink: Callable[[str, int, str | None, bool], None] | None = None,
+    timeout_ms: int | None = None, sink: Callable[[str, int, str | None, bool], None] | None = None, calls: CallLog | None = None,
 ) -> Result:
     """The plan over a DataFrame of runs, with a column for the run and one for each input.
 
     Other columns are dropped; a missing one is an error before anything runs.  sink gets the pieces
     of a streaming model call, on the executors, as (run, place, piece, done); a plan whose last
-    call doesn't stream takes none.
+    call doesn't stream takes none.  calls: a log of services' and models' whole answers, which are JSON
+    data, by which a retried task takes them instead of calling again.
     """
     if sink is not None and not streams(plan):
         raise ValueError(f"{CONTRACT}: no call of {plan.name} streams, so the sink would get nothing")
@@ -546,7 +566,7 @@ def transform(
     named = {w: f"__i{k}" for k, w in enumerate(plan.inputs)}
     rows = runs.select(F.col(run_col), *(F.col(f"`{w}`").cast(loose(f.type.to_spark())).alias(named[w]) for w, f in plan.inputs.items()))
     deadline = None if timeout_ms is None else time.time() + timeout_ms / 1000
-    runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline, sink)
+    runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline, sink, calls=calls)
     rows = runner.go(rows, {w: F.col(n) for w, n in named.items()})
     return Result(rows, plan, run_col, runner.failing, runner.log, {w: runner.now[w] for w in plan.contributors}, runner.hooks, barrier)
 

@@ -133,22 +133,38 @@ class ChatCompletions:
         limit = _limit(transport, remaining_budget_ms)
         sent = self.post(f"{transport['endpoint']}/chat/completions", self.body(payload, schema, identity, config), secret(transport.get("api_key_ref")), limit)
         choice = json.loads(b"".join(sent))["choices"][0]
-        if choice.get("finish_reason") not in (None, "stop"):
-            raise ValueError(f"the answer ended by {choice['finish_reason']}")
-        return choice["message"]["content"]
+        _accepted(choice.get("message") or {})
+        _ended(choice.get("finish_reason"))
+        text = choice["message"].get("content")
+        if not isinstance(text, str):
+            raise ValueError("the answer has no text")
+        return text
 
     def fragments(
         self, payload: str, schema: Mapping[str, Any], identity: Mapping, config: Mapping, transport: Mapping, remaining_budget_ms: int | None = None,
     ) -> Iterator[str]:
         body = self.body(payload, schema, identity, config) | {"stream": True}
         sent = self.post(f"{transport['endpoint']}/chat/completions", body, secret(transport.get("api_key_ref")), _limit(transport, remaining_budget_ms))
+        ended = None
         for data in sse_data(sent):
-            choice = json.loads(data)["choices"][0]
-            piece = choice.get("delta", {}).get("content")
-            if piece:
-                yield piece
-            if choice.get("finish_reason") not in (None, "stop"):
-                raise ValueError(f"the answer ended by {choice['finish_reason']}")
+            for choice in (json.loads(data).get("choices") or [])[:1]:  # a chunk without any tells of usage
+                delta = choice.get("delta") or {}
+                _accepted(delta)
+                ended = choice.get("finish_reason") or ended
+                if delta.get("content"):
+                    yield delta["content"]
+        _ended(ended)
+
+
+def _accepted(message: Mapping[str, Any]) -> None:
+    if message.get("refusal"):
+        raise ValueError(f"the model refused: {message['refusal']}")
+
+
+def _ended(reason: str | None) -> None:
+    """Only an answer that the backend itself calls complete is whole; a stream may just stop."""
+    if reason != "stop":
+        raise ValueError(f"the answer ended by {reason}" if reason else "the answer has no end")
 
 
 class GrammarCompletion:

@@ -148,3 +148,12 @@ def test_custom_rule(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": [2, 3, 5]}))
     got = [tuple(r) for r in df.select(rules.verdict(F.col("v"), "tests.even", {}).alias("x")).select("x.*").collect()]
     assert got == [(True, None, False), (False, "odd", False), (False, "1", True)]
+
+
+def test_unique_items_of_long_lists_and_odd_values():
+    nan = float("nan")
+    odd = [(1, True, "1", [1], (1, 2), {"a": [1]}, None), (1, 1.0), ([1, 2], (1.0, 2)), ({"a": 1, "b": True}, {"b": True, "a": 1.0}), (nan, nan), ([nan], [nan]), (True, False, 0, 1.5)]
+    for items in odd:
+        want = not any(rules.same(a, b) for i, a in enumerate(items) for b in items[i + 1 :])
+        assert rules.judged(list(items), "uniqueItems", True)[0] == want, items
+    assert rules.judged(list(range(300_000)), "uniqueItems", True)[0] and not rules.judged([*range(300_000), 5.0], "uniqueItems", True)[0]

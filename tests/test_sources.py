@@ -68,13 +68,13 @@ def test_fragments_come_before_the_stream_ends():
 
 def test_backends(monkeypatch):
     schema = rendering.object_schema({"mood": Field(parse_type("str"), (("enum", ["a", "b"]),))})
-    chat = backends.ChatCompletions(lambda url, body, key, ms: iter([json.dumps({"choices": [{"message": {"content": json.dumps([url, key, body["model"]])}}]}).encode()]))
+    chat = backends.ChatCompletions(lambda url, body, key, ms: iter([json.dumps({"choices": [{"message": {"content": json.dumps([url, key, body["model"]])}, "finish_reason": "stop"}]}).encode()]))
     monkeypatch.setenv("KEY", "k")
     said = chat("hi", schema, {"model": "m"}, {"extras": {"seed": 1}}, {"endpoint": "http://h/v1", "api_key_ref": "[env]KEY"})
     assert json.loads(said) == ["http://h/v1/chat/completions", "k", "m"]
     with pytest.raises(ValueError, match="extras"):
         chat("hi", schema, {"model": "m"}, {"extras": {"model": 1}}, {"endpoint": "e"})
-    lines = [b": note\n", b'data: {"choices":[{"delta":{"content":"a"}}]}\n', b"\n", b'data: {"choices":[{"delta":{"content":"b"}}]}\n', b"\n", b"data: [DONE]\n", b"\n", b"data: no\n"]
+    lines = [b": note\n", b'data: {"choices":[{"delta":{"content":"a"}}]}\n', b"\n", b'data: {"choices":[{"delta":{"content":"b"},"finish_reason":"stop"}]}\n', b"\n", b"data: [DONE]\n", b"\n", b"data: no\n"]
     stream = backends.ChatCompletions(lambda *a: iter(lines))
     assert list(stream.fragments("hi", schema, {"model": "m"}, {}, {"endpoint": "e"})) == ["a", "b"]
     full = backends.GrammarCompletion(lambda url, body, key, ms: iter([json.dumps({"content": body["grammar"][:4]}).encode()]))
