@@ -199,13 +199,16 @@ class _Runner:
     def __init__(
         self, plan: Plan, registry: Registry, run: Column, prefix: str, barrier: Callable, parent: Column | None, deadline: float | None,
         sink: Callable | None = None, failing: list[Failing] | None = None, calls: CallLog | None = None,
+        later: dict[str, Column] | None = None,
     ):
         self.sink, self.calls = sink, calls
         self.elapsed: list[Column] = []
         self.plan, self.registry, self.run, self.prefix, self.barrier, self.parent, self.deadline = plan, registry, run, prefix, barrier, parent, deadline
         self.now: dict[str, Column] = {}  # each wire's value so far
+        self.made: dict[str, str] = {}  # and its column's name, if it has one of its own
         self.checked: set[str] = set()
         self.failing: list[Failing] = [] if failing is None else failing
+        self.later: dict[str, Column] = {} if later is None else later  # columns to be added together
         self.log: list[Logged] = []
         self.hooks: list[tuple] = []
         self.hash = pipeline_hash(plan, registry)
@@ -222,8 +225,18 @@ class _Runner:
         kind = loose(self.plan.wires[wire].type.to_spark())
         so_far = self.now.get(wire)
         name = f"__w{place}"
-        self.now[wire] = F.col(name)
-        return rows.withColumn(name, start(strategy, value, kind) if so_far is None else step(strategy, so_far, value, kind))
+        if self.made.get(wire) in self.later:  # one step's second contribution
+            rows = self.flushed(rows)
+        self.now[wire], self.made[wire] = F.col(name), name
+        self.later[name] = start(strategy, value, kind) if so_far is None else step(strategy, so_far, value, kind)
+        return rows
+
+    def flushed(self, rows: DataFrame) -> DataFrame:
+        """The rows with the columns that were put off; analysing a plan costs more than a column."""
+        if self.later:
+            rows = rows.withColumns(dict(self.later))
+            self.later.clear()
+        return rows
 
     def snapshot(self, values: Mapping[str, Column], fields: Mapping[str, Field]) -> Callable[[], Column]:
         """Canonical text of the values, for the view that reads it."""
@@ -236,7 +249,8 @@ class _Runner:
     def fails(self, rows: DataFrame, failing: Column, entry: Callable[[Column], Column], found: Callable[[], Column] | None = None) -> DataFrame:
         name = f"__c{len(self.failing)}"
         self.failing.append(Failing(name, entry, found))
-        return rows.withColumn(name, F.coalesce(failing, F.lit(False)))
+        self.later[name] = F.coalesce(failing, F.lit(False))
+        return rows
 
     def alive(self) -> Column:
         """Whether a row has not failed yet."""
@@ -253,7 +267,7 @@ class _Runner:
         fields = {k: (v, f.type, f.rules) for k, (v, f) in values.items()}
         if value_rules.in_python(fields):  # called once, so its findings are kept
             name = f"__f{self.prefix}{c.position}{what[0]}"
-            rows = rows.withColumn(name, value_rules.failures(fields))
+            rows = self.flushed(rows).withColumn(name, value_rules.failures(fields))
             failed, found = F.size(name) > 0, lambda: F.col(name)
         else:
             failed, found = value_rules.failed(fields), lambda: value_rules.failures(fields)
@@ -305,7 +319,7 @@ class _Runner:
             if set(out) != set(c.step.outputs):
                 raise ValueError(f"{c.name} gives {sorted(out)}, not {sorted(c.step.outputs)}")
             made = {p: out[p].cast(loose(f.type.to_spark())) for p, f in c.step.outputs.items()}
-            rows = rows.withColumns({f"__o{tag}_{k}": v for k, v in enumerate(made.values())})
+            rows = self.flushed(rows).withColumns({f"__o{tag}_{k}": v for k, v in enumerate(made.values())})
         else:
             rows = self.python(rows, c, reads, tag, body.call if body else None)
             took = F.col(f"__r{tag}")["ms"]
@@ -334,7 +348,7 @@ class _Runner:
     def embed(self, rows: DataFrame, c: Call, reads: Mapping[str, Column]) -> DataFrame:
         """A nested flow, in the same rows: a run of its own with its own events, none in this stream."""
         run = F.concat(self.run.cast("string"), F.lit(f"/{c.position}"))
-        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink, self.failing, self.calls)
+        inner = _Runner(c.inner, self.registry, run, f"{self.prefix}{c.position}_", self.barrier, self.run, self.deadline, self.sink, self.failing, self.calls, self.later)
         rows = inner.go(rows, dict(reads))
         self.elapsed += inner.elapsed
         self.log += inner.log
@@ -364,7 +378,7 @@ class _Runner:
         udf = F.arrow_udf(run, schema)
         udf = udf.asNondeterministic() if outside else udf
         given = F.struct(*(v.alias(p) for p, v in reads.items())) if reads else F.struct(F.lit(0).alias("__none"))
-        rows = rows.withColumn(f"__r{tag}", udf(given, self.alive(), self.run.cast("string")))
+        rows = self.flushed(rows).withColumn(f"__r{tag}", udf(given, self.alive(), self.run.cast("string")))
         if outside:
             rows = self.barrier(rows)
         r = F.col(f"__r{tag}")
@@ -567,7 +581,7 @@ def transform(
     rows = runs.select(F.col(run_col), *(F.col(f"`{w}`").cast(loose(f.type.to_spark())).alias(named[w]) for w, f in plan.inputs.items()))
     deadline = None if timeout_ms is None else time.time() + timeout_ms / 1000
     runner = _Runner(plan, registry, F.col(run_col), "", barrier, None, deadline, sink, calls=calls)
-    rows = runner.go(rows, {w: F.col(n) for w, n in named.items()})
+    rows = runner.flushed(runner.go(rows, {w: F.col(n) for w, n in named.items()}))
     return Result(rows, plan, run_col, runner.failing, runner.log, {w: runner.now[w] for w in plan.contributors}, runner.hooks, barrier)
 
 
