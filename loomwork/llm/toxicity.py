@@ -265,7 +265,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array([t > 0 for t in toxic], pa.bool_())], names=["x", "toxic"])
 
     # two numbers a sampled text
-    weighed = seen.mapInArrow(trimmed(evidence), "x double, toxic boolean").orderBy("x", "toxic").toPandas()
+    weighed = seen.mapInArrow(trimmed(evidence), "x double, toxic boolean").toPandas().sort_values(["x", "toxic"])
     if weighed["toxic"].nunique() == 2:
         model.slope, model.base = _logistic(np.log1p(weighed["x"].to_numpy(np.float64)), weighed["toxic"].to_numpy(np.float64))
     return model
