@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -43,6 +43,8 @@ from loomwork.sources.shared import cut
 
 HALT = f"struct<error_class:string,category:string,cause:string,message:string,position:int,name:string,fields:array<{value_rules.FAILURE}>>"
 CONTRACT, VALUE, FAILURE = "ContractViolation", "SchemaValidationError", "PipelineFailure"
+#: Takes the pieces of a streaming call: run, place, piece, whether it is the end.
+Sink = Callable[[str, int, "str | None", bool], None]
 #: Calls to the outside that a task has under way at once.
 CONCURRENT = 8
 
@@ -502,29 +504,30 @@ class _Task:
         return made
 
     def answer(self, payload: str, run: str) -> str:
-        """The model's whole text; its pieces go to the sink while it streams.
+        """The model's whole text; its pieces go to the sinks while it streams.
 
-        A sink that fails is left behind: the pieces are no value, and the run goes on without it.
+        A sink that fails is left behind, for this run and alone: the pieces are no value, and the run
+        goes on without it.  All others get the end mark.
         """
         backend = self.opened()
         if self.sink is None or not hasattr(backend, "fragments"):
             return self.once(run, 0, lambda: backend(payload, self.schema, **self.extra, **self.budget(backend)))
-        pieces, sink = [], self.sink
+        pieces, sinks = [], list(self.sink) if isinstance(self.sink, (list, tuple)) else [self.sink]
         for seq, piece in enumerate(backend.fragments(payload, self.schema, **self.extra, **self.budget(backend.fragments))):
             pieces.append(piece)
-            sink = _told(sink, run, seq, piece, False)
-        _told(sink, run, len(pieces), None, True)
+            sinks = [sink for sink in sinks if _told(sink, run, seq, piece, False)]
+        for sink in sinks:
+            _told(sink, run, len(pieces), None, True)
         return "".join(pieces)
 
 
-def _told(sink: Callable | None, *piece: Any) -> Callable | None:
-    if sink is None:
-        return None
+def _told(sink: Callable, *piece: Any) -> bool:
+    """Whether the sink took the piece."""
     try:
         sink(*piece)
     except Exception:  # the observer's failure is not the run's
-        return None
-    return sink
+        return False
+    return True
 
 
 class _Outside(Exception):
@@ -563,13 +566,13 @@ def _json(value: Any) -> str:
 
 def transform(
     plan: Plan, runs: DataFrame, registry: Registry, run_col: str = "run_id", barrier: Callable[[DataFrame], DataFrame] = cut,
-    timeout_ms: int | None = None, sink: Callable[[str, int, str | None, bool], None] | None = None, calls: CallLog | None = None,
+    timeout_ms: int | None = None, sink: Sink | Sequence[Sink] | None = None, calls: CallLog | None = None,
 ) -> Result:
     """The plan over a DataFrame of runs, with a column for the run and one for each input.
 
     Other columns are dropped; a missing one is an error before anything runs.  sink gets the pieces
     of a streaming model call, on the executors, as (run, place, piece, done); a plan whose last
-    call doesn't stream takes none.  calls: a log of services' and models' whole answers, which are JSON
+    call doesn't stream takes none.  Several sinks get the pieces side by side.  calls: a log of services' and models' whole answers, which are JSON
     data, by which a retried task takes them instead of calling again.
     """
     if sink is not None and not streams(plan):

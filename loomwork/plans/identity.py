@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 from loomwork.functions.canonical import canon_schema, canon_value, canonical_json, sha256_of
 from loomwork.plans.compile import Call, Plan
 from loomwork.plans.model import FileText, Registry
@@ -125,3 +127,34 @@ def serialized(plan: Plan) -> tuple[str, str]:
     """The derived bundle as canonical text, and the hash of that."""
     data = derived(plan)
     return canonical_json(data), sha256_of(data)
+
+
+_TABLES = {
+    "nodes": "flow string, position int, name string, kind string, reads map<string,string>, writes map<string,string>",
+    "wires": "flow string, wire string, type string, strategy string, scoped boolean",
+    "bindings": "flow string, position int, name string, constant string, value string, hash string",
+    "compositions": "flow string, composition string, position int, streamable boolean, training_bundle_hash string",
+}
+
+
+def snapshots(spark: SparkSession, plan: Plan) -> dict[str, DataFrame]:
+    """Nodes, wires, bindings and compositions of a plan and of those nested in it, as tables to join with the log.
+
+    flow is the pipeline hash; what a node of a nested flow is called there has that flow's hash.
+    """
+    rows: dict[str, list[tuple]] = {name: [] for name in _TABLES}
+
+    def add(p: Plan) -> None:
+        flow = pipeline_hash(p)
+        for c in p.calls:
+            rows["nodes"].append((flow, c.position, c.name, c.kind, dict(c.reads), dict(c.writes)))
+            if c.step:
+                rows["bindings"] += [(flow, c.position, c.name, k, canonical_json(v), sha256_of(v)) for k, v in _constants(c).items()]
+            if c.composition:
+                rows["compositions"].append((flow, c.composition, c.position, c.streamable, bundle_hash(p, c.composition)))
+            if c.inner is not None:
+                add(c.inner)
+        rows["wires"] += [(flow, w, f.type.text(), p.merge.get(w), w in p.scoped) for w, f in p.wires.items()]
+
+    add(plan)
+    return {name: spark.createDataFrame(rows[name], schema) for name, schema in _TABLES.items()}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from loomwork.catalogue import conversation_log, drift_tables, order_flow, query, table, trainable_flow
 from loomwork.functions import canonical, rendering, rules
 from loomwork.operators import drift, eventlog, folds
-from loomwork.plans import load
+from loomwork.plans import identity, load
 from loomwork.plans.compile import Plan, compile_flow
 from loomwork.plans.execute import transform
 from loomwork.plans.model import Registry
@@ -335,3 +335,23 @@ def log_lineage_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(F.col("conv_id") >= 3, F.col("conv_id") - 3).when(F.col("conv_id") == 0, F.col("last"))
     log = convs.crossJoin(ring).select(F.lit("pipeline_start").alias("event_type"), F.col("conv_id").cast("string").alias("pipeline_run_id"), parent.cast("string").alias("parent_run_id"))
     return eventlog.entangled(log).select("run")
+
+
+@query(
+    "node_snapshots",
+    """with f as (select case when o_orderstatus not in ('O', 'F') then 0 when o_totalprice > 400000 then 1 else 2 end as got from orders)
+select 'shop.label' as name, 'priority<urgency,status<status' as reads, 'label>label,tags>tags' as writes, count_if(got >= 1) as n from f
+union all select 'shop.price', 'label<label,price<price', 'band>band,tags>tags', count_if(got >= 2) from f""",
+)
+def node_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each node of a flow was left, with its wiring, from the log and the plan's own tables."""
+    from loomwork.catalogue import _orders
+
+    plan, registry = order_flow()
+    nodes = identity.snapshots(spark, plan)["nodes"].select(F.col("position").alias("handler_position"), "name", "reads", "writes")
+    left = transform(plan, _orders(spark, sf_dir), registry).events().where("event_type = 'handler_exit'").groupBy("handler_position").agg(F.count("*").alias("n"))
+
+    def shown(wiring: str, mark: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.map_entries(wiring)), lambda e: F.concat(e.key, F.lit(mark), e.value)), ",").alias(wiring)
+
+    return nodes.join(left, "handler_position").select("name", shown("reads", "<"), shown("writes", ">"), "n")

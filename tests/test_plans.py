@@ -241,6 +241,39 @@ def test_fragments_go_to_a_sink_and_the_value_after_validation(spark, tmp_path):
         transform(quiet, runs, registry, sink=sink)
 
 
+def test_several_sinks_get_all_pieces_but_what_fails(spark, tmp_path):
+    from loomwork.catalogue import trainable_flow
+
+    folder = str(tmp_path)
+
+    def to(name, fails_at=None):
+        def sink(run, seq, piece, done):
+            if seq == fails_at:
+                raise OSError("gone")
+            with open(f"{folder}/{name}", "a") as f:
+                f.write("." if done else piece)
+
+        return sink
+
+    plan, registry = trainable_flow(streamable=True)
+    out = transform(plan, spark.createDataFrame([("a", "hello")], "run_id string, said string"), registry, sink=[to("first"), to("second", 1), to("third")])
+    mood = out.state().first().mood
+    texts = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    assert texts["first"] == texts["third"] and json.loads(texts["first"][:-1]) == {"mood": mood} and texts["first"].endswith(".")
+    assert texts["first"].startswith(texts["second"]) and 0 < len(texts["second"]) < len(texts["first"]) - 1
+
+
+def test_snapshots_as_tables(spark, registry):
+    registry.add(step("bound", {"b": "str"}, {"e": "str"}, bindings={"mark": {"sep": S}}), load.composition({"meta": {"kind": "pipeline", "name": "in"}, "nodes": [node("up")], "inputs": {"a": S}, "outputs": {"b": S}}))
+    plan = compile_flow(flow({"kind": "composition", "name": "in"}, node("bound", bindings={"mark": "+"}), **IN), registry)
+    made = identity.snapshots(spark, plan)
+    outer, inner = identity.pipeline_hash(plan), identity.pipeline_hash(plan.calls[0].inner)
+    assert {(r.flow, r.position, r.name) for r in made["nodes"].collect()} >= {(outer, 1, "bound"), (inner, 0, "up")}
+    assert [(r.flow, r.position, r.name, r.constant, json.loads(r.value)["value"]) for r in made["bindings"].collect()] == [(outer, 1, "bound", "mark", {"sep": "+"})]
+    assert {(r.flow, r.wire, r.type) for r in made["wires"].collect()} == {(outer, "a", "str"), (outer, "b", "str"), (outer, "e", "str"), (inner, "a", "str"), (inner, "b", "str")}
+    assert made["compositions"].count() == 0
+
+
 def test_a_hook_that_breaks_its_contract_stops_the_job(spark, registry):
     deployment = load.deployment({"training_contract": {}, "hook_transport": {"see": {"path": "p"}}})
     plan = compile_flow(flow(node("up"), node("see"), **IN), registry, deployment)
