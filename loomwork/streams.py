@@ -1,11 +1,13 @@
 """Queries that replay the conversations as streams, in micro-batches and out of order.
 
 A conversation begins a minute after the one before; its turns are seconds apart.  Rows arrive up to
-ten minutes early or late, in four appends to one table, of which a stream takes one at a time.
+ten minutes early or late, in four appends to one table, which a stream takes one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,26 +20,25 @@ LATE, IDLE_MS = "30 minutes 7 milliseconds", 600_123  # no timer falls on a wate
 _BEGAN = 1_700_000_000_000_000  # microseconds; a stream takes nothing at or before the epoch
 
 
-def _replayed(rows: DataFrame, run: str, at: str, path: str) -> DataFrame:
-    """A stream of the rows, which are appended by the times at which they arrive."""
+def _replay(rows: DataFrame, run: str, name: str, closed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``closed`` gives for a stream of the rows, which are appended by the times at which they arrive.
+
+    The stream is stopped after each append and goes on from its checkpoint; the folders are removed
+    at the end.
+    """
     spark = rows.sparkSession
+    path, out, state = (shared_path(spark, f"{name}-{x}") for x in ("in", "out", "state"))
     arrives = F.col(run).cast("long") * 60 + F.pmod(F.xxhash64(*rows.columns), F.lit(1201)) - 600
-    rows = rows.withColumn("arrives", arrives)
+    known, rows = rows.schema, rows.withColumn("arrives", arrives)
     last = rows.agg(F.max("arrives")).first()[0] or 0
     place = F.least(F.greatest(F.floor(F.col("arrives") * APPENDS / (last + 1)), F.lit(0)), F.lit(APPENDS - 1))
     for k in range(APPENDS):
-        rows.where(place == k).drop("arrives").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _run_to_end(rows: DataFrame, name: str, *used: str) -> DataFrame:
-    """What the stream gives by its end; the folders it used are removed."""
-    spark = rows.sparkSession
-    out, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-state")
-    stateful.to_table(rows, out, checkpoint).awaitTermination()
-    got = cut(spark.read.schema(rows.schema).parquet(out))
-    for path in (out, checkpoint, *used):
-        drop_path(spark, path)
+        rows.where(place == k).drop("arrives").write.mode("append").parquet(path)
+        stream = closed(spark.readStream.schema(known).parquet(path))
+        stateful.to_table(stream, out, state).awaitTermination()
+    got = cut(spark.read.schema(stream.schema).parquet(out))
+    for used in (path, out, state):
+        drop_path(spark, used)
     return got
 
 
@@ -75,9 +76,7 @@ def stream_closed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event(t.where("turn = 0"), F.lit("pipeline_start"), 0).union(event(t, F.lit("handler_enter"), 0.1))
     events = events.union(event(t.where(~F.coalesce(last & (closes == "pipeline_error"), F.lit(False))), F.lit("handler_exit"), 0.5))
     events = events.union(event(t.where(last & closes.isNotNull()), closes, 0.9))
-    path = shared_path(spark, "stream-events")
-    closed = stateful.closed_runs(_replayed(events, "conv_id", "timestamp", path), LATE, IDLE_MS)
-    got = _run_to_end(closed, "stream-runs", path)
+    got = _replay(events, "conv_id", "runs", lambda stream: stateful.closed_runs(stream, LATE, IDLE_MS))
     return got.select("run", "status", "events", "entered", "left", (F.unix_millis("ended") - F.unix_millis("began")).alias("took_ms"))
 
 
@@ -99,9 +98,7 @@ def stream_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir).where("role <> 'system'")
     done = (F.col("turn") == F.col("top")) & (F.col("ends") == "assistant")
     pieces = t.select(F.col("conv_id").alias("run"), F.col("turn").alias("seq"), F.col("text").alias("piece"), done.alias("done"), _at(F.col("turn")).alias("at"))
-    path = shared_path(spark, "stream-pieces")
-    texts = stateful.assembled_stream(_replayed(pieces, "run", "at", path), LATE, IDLE_MS)
-    return _run_to_end(texts, "stream-texts", path)
+    return _replay(pieces, "run", "texts", lambda stream: stateful.assembled_stream(stream, LATE, IDLE_MS))
 
 
 @query(
