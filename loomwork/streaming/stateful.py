@@ -8,13 +8,19 @@ it when it closes, or by a timer in event time when nothing has come for ``idle`
 from __future__ import annotations
 
 import contextlib
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+# processors go along by value: the worker beside the driver, which asks them for their state's
+# schemas, doesn't get the files that a session sends to its executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
