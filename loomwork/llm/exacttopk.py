@@ -1,22 +1,21 @@
 """Exact top-k search by the three phases of the uniform threshold algorithm.
 
 A score is a sum of parts: the components are cut into ``PARTS`` ranges, and the inner product over
-one range is a part's local score.  Each part holds its own columns of all vectors, in blocks, and so a
-list of local scores for every query.
+one range is a part's local score.  A block of vectors holds each part's columns apart, and so gives a
+list of local scores of every part for every query.
 
-1. Every part hands on its list's first entries.  The candidates among them are scored exactly, and
-   the (k+1)-th best of their scores is a safe cutoff: that many vectors reach it, and one of them at
-   most is the query's own.
+1. Every part hands on its lists' first entries.  The candidates among them are scored exactly, and
+   the (k+1)-th best of all blocks' scores is a safe cutoff: that many vectors reach it, and one of
+   them at most is the query's own.
 2. The cutoff goes out to all parts with the queries.  What scores below cutoff / parts in every part
-   is below the cutoff in sum, so each part hands on its entries from there up.  Sums of what came in,
-   and bounds for what did not, give a better cutoff and drop all candidates that can't reach it.
-3. Of the candidates left, those that lack a part's score are fetched and scored exactly.
+   is below the cutoff in sum, so each part hands on its entries from there up.
+3. The scores that an entry lacks are fetched from the other parts, and what is below the cutoff in
+   sum goes.
 
 So every result is exact, ties included, whatever the data; they decide only how many entries are
-handed on.  A vector of which one part is known and reaches its share can still reach the cutoff, so
-nearly all that phase 2 hands on is resolved in phase 3: some hundreds a query, rising with the root
-of the table.  Blocks bound a task's memory.  Queries and vectors meet block by block, as the query set
-is a share of the table.
+handed on.  The parts of a block lie in one task, so entries and fetches stay there; what is exchanged
+for a query is at most k + 1 scores of each block in phase 1, and k + 1 candidates of each in phase 3.
+Queries and vectors meet block by block, as the query set is a share of the table.
 
 Vectors are integers; those of equal components are searched once, with their smallest k + 1 ids,
 which are all that can be among the k best under ties to the smaller id.
@@ -32,16 +31,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import bounded_batches, cut, no_clash, partition_count
-from loomwork.llm.innerproduct import BLOCK, LARGEST_BLOCK, QUERY_BLOCK, different, usable
+from loomwork.llm.innerproduct import BLOCK, LARGEST_BLOCK, different, usable
 from loomwork.llm.tokens import trimmed
 
 PARTS = 2
-#: Entries of a part's list that it hands on first.
+#: Entries of a part's list in a block that it hands on first.
 LISTED = 32
-#: Local scores that a task holds at once.
-_AT_ONCE = 1 << 22
+#: Queries of a block at most, 16 MB or less at 64 components.
+QUERY_BLOCK = 1 << 16
+#: Vectors of a list that are scored together, and local scores that a task holds at once, which stay in the cache.
+WIDE, _AT_ONCE = 4096, 1 << 20
+_RUN = 32
 _NOTHING = -(1 << 62)  # a cutoff that all reach
-_ENTRY = "query long, part int, key long, local long, low long"
 
 
 def _fitting(peak_q: int, peak_v: int, dims: int) -> type:
@@ -62,8 +63,16 @@ def local_scores(queries: np.ndarray, block: np.ndarray) -> Iterator[tuple[int,
 
 def first_entries(scores: np.ndarray, listed: int) -> np.ndarray:
     """The columns of each row's largest scores, as many as are asked for or there are."""
-    n = scores.shape[1]
-    return np.argpartition(scores, n - listed, axis=1)[:, n - listed :] if n > listed else np.broadcast_to(np.arange(n), scores.shape)
+    n, runs = scores.shape[1], scores.shape[1] // _RUN
+    if n <= listed:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    if n % _RUN or runs <= 2 * listed:
+        return np.argpartition(scores, n - listed, axis=1)[:, n - listed :]
+    # they lie in those runs, of every so many columns, whose largest scores are first
+    run = first_entries(scores.reshape(-1, _RUN, runs).max(axis=1), listed)
+    column = (run[:, :, None] + np.arange(0, n, runs)).reshape(len(scores), -1)
+    place = np.argpartition(np.take_along_axis(scores, column, axis=1), column.shape[1] - listed, axis=1)[:, -listed:]
+    return np.take_along_axis(column, place, axis=1)
 
 
 def _taking_part(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
@@ -78,86 +87,142 @@ def _rows(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def _reaching(parts: int):
+    """The entries of a part's list from the cutoffs' share up: (row, column, zero)."""
+
+    def entries(scores: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        least = -(-rest[0] // parts)  # the least whole local score from the cutoff's share up
+        if scores.dtype == np.float32:  # its numbers are below 2^24
+            least = np.clip(least, -(1 << 24), 1 << 24)
+        row, column = np.divmod(np.flatnonzero(scores >= least.astype(scores.dtype)[:, None]), scores.shape[1])
+        return row, column, np.zeros(len(row), np.int64)
+
+    return entries
+
+
+def _lists(queries: list[np.ndarray], have: list[np.ndarray]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first query, first vector, each part's local scores), for some queries and vectors at a time."""
+    queries = [x.astype(np.int64) for x in queries]
+    for at in range(0, len(have[0]), WIDE):
+        each = (local_scores(q, x[at : at + WIDE].astype(np.int64)) for q, x in zip(queries, have, strict=True))
+        for found in zip(*each, strict=True):
+            yield found[0][0], at, [scores for _, scores in found]
+
+
+def listed_best(queries: list[np.ndarray], have: list[np.ndarray], most: int) -> np.ndarray:
+    """(queries, most): the best whole scores among the first entries of all parts' lists; phase 1."""
+    best = np.full((len(queries[0]), most), _NOTHING)
+    listed = max(most, -(-LISTED // max(1, -(-len(have[0]) // WIDE))))
+    for of, _, scores in _lists(queries, have):
+        column = np.sort(np.concatenate([first_entries(s, listed) for s in scores], axis=1), axis=1)
+        whole = sum(np.take_along_axis(s, column, axis=1).astype(np.int64) for s in scores)
+        whole[:, 1:][column[:, 1:] == column[:, :-1]] = _NOTHING  # it is in several lists
+        both = np.concatenate([best[of : of + len(whole)], whole], axis=1)
+        best[of : of + len(whole)] = np.partition(both, both.shape[1] - most, axis=1)[:, -most:]
+    return best
+
+
+def _first(row: np.ndarray, score: np.ndarray, least: np.ndarray, most: int) -> np.ndarray:
+    """The places of each row's best scores, ties to the smaller id."""
+    order = np.lexsort((least, -score, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+
+
+def reaching_best(
+    queries: list[np.ndarray], have: list[np.ndarray], least: np.ndarray, cutoffs: np.ndarray, most: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, whole score) of what reaches its query's cutoff, the best of a query only; phases 2 and 3."""
+    entries, share = _reaching(len(have)), -(-cutoffs // len(have))
+    kept = [(np.zeros(0, np.int64),) * 3]
+    for of, at, scores in _lists(queries, have):
+        cutoff, found = cutoffs[of : of + len(scores[0])], []
+        for p, s in enumerate(scores):
+            row, column, _ = entries(s, [cutoff])
+            local = [t[row, column].astype(np.int64) for t in scores]
+            right = sum(local) >= cutoff[row]
+            for before in local[:p]:  # a part before has handed it on
+                right &= before < share[of + row]
+            found.append((of + row[right], at + column[right], sum(local)[right]))
+        row, column, score = map(np.concatenate, zip(*found, strict=True))
+        best = _first(row, score, least[column], most)
+        kept.append((row[best], column[best], score[best]))
+    row, column, score = map(np.concatenate, zip(*kept, strict=True))
+    best = _first(row, score, least[column], most)
+    return row[best], column[best], score[best]
+
+
 class _Search:
     """The packed blocks of one search, and its scans."""
 
-    def __init__(self, apart: DataFrame, asked: DataFrame, dims: int, parts: int):
-        spark = apart.sparkSession
+    def __init__(self, apart: DataFrame, asked: DataFrame, dims: int, peak: int, parts: int):
+        self.tasks = partition_count(apart.sparkSession)
         n = apart.count()
-        size = min(LARGEST_BLOCK, max(BLOCK, -(-n // partition_count(spark))))
-        self.dims, self.n_have, self.n_asked = dims, max(1, -(-n // size)), max(1, -(-asked.count() // QUERY_BLOCK))
+        size = min(LARGEST_BLOCK, max(BLOCK, -(-n // self.tasks)))
+        self.n_have, self.n_asked = max(1, -(-n // size)), max(1, -(-asked.count() // QUERY_BLOCK))
         self.edges = np.linspace(0, dims, parts + 1).astype(int).tolist()
-        self.blocks = self.packed(apart, "key", self.n_have, [])
+        self.kind = "<i2" if peak < 1 << 15 else "<i4"
+        # a block's columns; ids of its vectors for ties
+        self.blocks = cut(self.packed(apart.withColumn("least", F.col("ids")[0]), self.n_have, ["key", "least"]))
 
-    def packed(self, rows: DataFrame, name: str, n: int, more: list[str]) -> DataFrame:
-        """A row for each block and part: (block, part, names, numbers of ``more``, the part's columns)."""
-        dims, edges = self.dims, self.edges
+    def packed(self, rows: DataFrame, n: int, numbers: list[str]) -> DataFrame:
+        """A row for each block: (block, the numbers, the parts' columns one part after the other)."""
+        edges, kind = self.edges, self.kind
 
         def pack(table: pa.Table) -> pa.Table:
-            x = _rows(table.column("vec").combine_chunks(), dims).astype("<i4")
-            shared = [table.column(c).to_numpy().astype("<i8").tobytes() for c in (name, *more)]
-            parts = range(len(edges) - 1)
-            columns = [table.column("block")[:1].take(pa.array([0] * len(parts))), pa.array(parts, pa.int32()), *(pa.array([b] * len(parts), pa.binary()) for b in shared)]
-            columns.append(pa.array([np.ascontiguousarray(x[:, edges[p] : edges[p + 1]]).tobytes() for p in parts], pa.binary()))
-            return pa.table(columns, names=["block", "part", *(f"b{k}" for k in range(len(shared))), "x"])
-
-        schema = ", ".join(["block int, part int", *(f"b{k} binary" for k in range(1 + len(more))), "x binary"])
-        return rows.withColumn("block", F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pack, schema)
-
-    def scan(self, asked: DataFrame, more: list[str], entries) -> DataFrame:
-        """``entries`` of every query with every block of every part: (query, part, key, local score, a number)."""
-        edges = self.edges
-        left = self.blocks.select("part", F.col("b0").alias("keys"), F.col("x").alias("have"), "block")
+            x = _rows(table.column("vec").combine_chunks(), edges[-1]).astype(kind)
+            shared = [table.column(c).to_numpy().astype("<i8").tobytes() for c in numbers]
+            columns = b"".join(np.ascontiguousarray(x[:, a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False))
+            names = ["block", *(f"b{k}" for k in range(len(shared))), "x"]
+            return pa.table([table.column("block")[:1], *(pa.array([b], pa.binary()) for b in (*shared, columns))], names=names)
+
+        schema = ", ".join(["block int", *(f"b{k} binary" for k in range(len(numbers))), "x binary"])
+        rows = rows.select(F.pmod(F.xxhash64(numbers[0]), F.lit(n)).cast("int").alias("block"), *numbers, "vec")
+        return rows.groupBy("block").applyInArrow(pack, schema)
+
+    def scan(self, asked: DataFrame, numbers: list[str], result, schema: str) -> DataFrame:
+        """``result`` of every block of queries with every block of vectors.
+
+        It gets the queries' numbers and parts, then the vectors' keys, least ids and parts.
+        """
+        edges, kind = self.edges, self.kind
+        left = self.blocks.select("block", F.col("b0").alias("keys"), F.col("b1").alias("least"), F.col("x").alias("have"))
         left = left.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(self.n_asked - 1))))
-        right = self.packed(asked, "query", self.n_asked, more).withColumnRenamed("block", "of")
+        right = self.packed(asked, self.n_asked, numbers).withColumnRenamed("block", "of")
         right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.n_have - 1))))
-        numbers = [f"b{k}" for k in range(1 + len(more))]
-        met = left.join(right, ["block", "of", "part"]).select("part", "keys", "have", "x", *numbers)
+        # few bytes and much work: adaptive execution would join them in few tasks
+        left, right = (side.repartition(self.tasks, "block", "of") for side in (left, right))
+        met = left.join(right, ["block", "of"]).select("keys", "least", "have", "x", *(f"b{k}" for k in range(len(numbers))))
+
+        def apart(packed: pa.Buffer, n: int) -> list[np.ndarray]:
+            x = np.frombuffer(packed, kind)
+            return [x[n * a : n * b].reshape(n, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in range(batch.num_rows):
-                    part = batch.column(0)[r].as_py()
-                    keys, have, x, query, *rest = (batch.column(c)[r].as_buffer() for c in range(1, batch.num_columns))
-                    keys, query, rest = np.frombuffer(keys, "<i8"), np.frombuffer(query, "<i8"), [np.frombuffer(b, "<i8") for b in rest]
-                    width = edges[part + 1] - edges[part]
-                    x, have = np.frombuffer(x, "<i4").reshape(len(query), width), np.frombuffer(have, "<i4").reshape(len(keys), width)
-                    for at, scores in local_scores(x.astype(np.int64), have.astype(np.int64)):
-                        row, column, number = entries(scores, [b[at : at + len(scores)] for b in rest])
-                        columns = [query[at + row], np.full(len(row), part, np.int32), keys[column], scores[row, column].astype(np.int64), number]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["query", "part", "key", "local", "low"])
-
-        return met.mapInArrow(trimmed(run), _ENTRY)
+                    keys, least, have, x, *rest = (batch.column(c)[r].as_buffer() for c in range(batch.num_columns))
+                    keys, least, *rest = (np.frombuffer(b, "<i8") for b in (keys, least, *rest))
+                    yield result(rest, apart(x, len(rest[0])), keys, least, apart(have, len(keys)))
 
+        return met.mapInArrow(trimmed(run), schema)
 
-def _listed(listed: int):
-    def entries(scores: np.ndarray, _: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        column = first_entries(scores, listed)
-        row = np.repeat(np.arange(len(scores)), column.shape[1])
-        return row, column.ravel(), np.repeat(scores.min(axis=1).astype(np.int64), column.shape[1])
 
-    return entries
+def _phase_1(most: int):
+    def result(rest, queries, keys, least, have) -> pa.RecordBatch:
+        best = listed_best(queries, have, most)
+        ends = pa.array(np.arange(0, best.size + 1, most), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.ListArray.from_arrays(ends, pa.array(best.ravel()))], names=["query", "best"])
 
+    return result
 
-def _reaching(parts: int):
-    def entries(scores: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        least = -(-rest[0] // parts)  # the least whole local score from the cutoff's share up
-        row, column = np.nonzero(scores >= least.astype(np.float64 if scores.dtype == np.float32 else scores.dtype)[:, None])
-        return row, column, np.zeros(len(row), np.int64)
-
-    return entries
 
+def _phases_2_and_3(most: int):
+    def result(rest, queries, keys, least, have) -> pa.RecordBatch:
+        row, column, score = reaching_best(queries, have, least, rest[1], most)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (rest[0][row], keys[column], least[column], score))], names=["query", "key", "least", "score"])
 
-def _scored(pairs: DataFrame, asked: DataFrame, apart: DataFrame) -> DataFrame:
-    """(query, key, score) of the pairs, from the vectors as they are."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, x = (_rows(batch.column(c), len(batch.column(c)[0]) if batch.num_rows else 1).astype(np.int64) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((q * x).sum(axis=1))], names=["query", "key", "score"])
-
-    joined = pairs.select("query", "key").join(asked.select("query", F.col("vec").alias("q")), "query").join(apart.select("key", "vec"), "key")
-    return joined.select("query", "key", "q", "vec").mapInArrow(trimmed(score), "query long, key long, score long")
+    return result
 
 
 def top_k(
@@ -185,36 +250,19 @@ def top_k(
     # numbers for vectors, fixed by the checkpoint
     apart = cut(different(rows, k + 1).withColumn("key", F.monotonically_increasing_id()))
     asked = cut(rows.where(is_query).select("vec").distinct().withColumn("query", F.monotonically_increasing_id()))
-    parts = min(parts, known.dims)
-    search = _Search(apart, asked, known.dims, parts)
+    search = _Search(apart, asked, known.dims, known.peak, min(parts, known.dims))
 
     # 1: the lists' first entries, and the cutoff that they make
-    of_list = Window.partitionBy("query", "part")
-    listed = max(LISTED, k + 1)
-    seen = search.scan(asked, [], _listed(listed))
-    seen = seen.withColumn("place", F.row_number().over(of_list.orderBy(F.desc("local"), "key"))).where(F.col("place") <= listed)
-    seen = cut(seen)
-    lows = seen.groupBy("query").agg(F.min("low").alias("low"))
-    best = _scored(seen.select("query", "key").distinct(), asked, apart)
-    cutoffs = lows.join(_kth(best, "score", k + 1), "query", "left").select("query", "low", F.coalesce("at", F.lit(_NOTHING)).alias("cutoff"))
-    told = cut(asked.join(cutoffs, "query"))
-
-    # 2: all entries from the cutoff's share up, and what their sums can still reach
-    entries = search.scan(told, ["cutoff"], _reaching(parts))
-    sums = cut(entries.groupBy("query", "key").agg(F.sum("local").alias("known"), (parts - F.count("local")).cast("long").alias("lacking")))
-    sums = sums.join(told.select("query", "low", "cutoff"), "query")
-    share = F.expr(f"(cutoff - 1 - pmod(cutoff - 1, {parts})) div {parts}")  # what a part that didn't hand it on can have at most
-    sums = sums.withColumn("at_least", F.col("known") + F.col("lacking") * F.col("low")).withColumn("at_most", F.col("known") + F.col("lacking") * share)
-    better = sums.join(_kth(sums, "at_least", k + 1), "query", "left")
-    left = better.where(F.col("at_most") >= F.greatest("cutoff", F.coalesce("at", "cutoff"))).select("query", "key", "known", "lacking")
-
-    # 3: the scores that are still open
-    whole = left.where("lacking = 0").select("query", "key", F.col("known").alias("score"))
-    scored = whole.unionByName(_scored(left.where("lacking > 0"), asked, apart))
-
-    # no id of a vector behind k + 1 others can be among the best; equal scores share a rank
-    rank = F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))
-    scored = scored.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    seen = search.scan(asked, ["query"], _phase_1(k + 1), "query long, best array<long>")
+    cutoff = F.sort_array(F.flatten(F.collect_list("best")), False)[k]
+    told = cut(asked.join(seen.groupBy("query").agg(cutoff.alias("cutoff")), "query"))
+
+    # 2 and 3: all entries from the cutoff's share up, scored exactly
+    scored = search.scan(told, ["query", "cutoff"], _phases_2_and_3(k + 1), "query long, key long, least long, score long")
+
+    # no id of a vector behind k + 1 others can be among the best
+    ahead = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "key"))
+    scored = scored.withColumn("ahead", ahead).where(F.col("ahead") <= k + 1)
     each = scored.join(apart.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     lists = each.withColumn("place", place).where(F.col("place") <= k + 1)
@@ -225,13 +273,6 @@ def top_k(
     return askers.select("query_id", F.explode(ranked).alias("x")).select("query_id", "x.rank", "x.vec_id", "x.score")
 
 
-def _kth(scores: DataFrame, of: str, k: int) -> DataFrame:
-    """(query, at): each query's k-th largest number, where it has that many."""
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(of), "key"))
-    first = scores.select("query", "key", of).withColumn("place", place).where(F.col("place") <= k)
-    return first.where(F.col("place") == k).select("query", F.col(of).alias("at"))
-
-
 def op12_exact_top_k(spark, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
 

@@ -188,3 +188,29 @@ def test_intervals_hold_the_exact_distances():
         exact = [[sum(b * b for b in cc) - 2 * sum(a * b for a, b in zip(v, cc, strict=True)) for cc in c.tolist()] for v in x.tolist()]
         assert all(lo <= e <= hi for a, b, e3 in zip(low.tolist(), high.tolist(), exact, strict=True) for lo, hi, e in zip(a, b, e3, strict=True))
         assert screen.nearest(x).tolist() == [min(range(16), key=lambda k: (row[k], k)) for row in exact]
+
+
+def test_top_k_hands_on_k_and_one_a_block(monkeypatch):
+    """The parts of a block meet in one task: whatever reaches a cutoff's share, k + 1 candidates a query leave it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 8))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<i2")
+    x[2000:3000] = 0
+    q, ids = np.concatenate([x[:40], x[2000:2001]]), rng.permutation(5000)
+    parts = lambda v: [v[:, :3], v[:, 3:]]
+    scores = q.astype(int) @ x.T.astype(int)
+    want = [sorted(zip(-scores[r], ids, strict=True))[:6] for r in range(len(q))]
+    for wide in (exacttopk.WIDE, 1024, 100):
+        monkeypatch.setattr(exacttopk, "WIDE", wide)
+        cutoffs = exacttopk.listed_best(parts(q), parts(x), 6).min(axis=1)
+        assert all(c <= -w[-1][0] for c, w in zip(cutoffs, want, strict=True))
+        for cutoff in (cutoffs, np.full(len(q), exacttopk._NOTHING)):
+            row, column, score = exacttopk.reaching_best(parts(q), parts(x), ids, cutoff, 6)
+            got = [[] for _ in q]
+            for r, c, s in zip(row, column, score, strict=True):
+                got[r].append((-s, ids[c]))
+            assert [sorted(g) for g in got] == want
+    scores = scores[:, :4096]
+    for listed in (6, 32):
+        first = np.take_along_axis(scores, exacttopk.first_entries(scores, listed), axis=1)
+        assert (np.sort(first, axis=1) == np.sort(scores, axis=1)[:, -listed:]).all()
