@@ -38,6 +38,15 @@ def _of(events: DataFrame, kind: str) -> DataFrame:
     return events.where(F.col("event_type") == kind)
 
 
+def _joined(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Events with others of the same log: both grow with it, and a join of them sorts.
+
+    A log that is computed from a compressed table has so many bytes more than Spark's estimate, which
+    goes by the table's file, that it would be collected on the driver and broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def pairs(events: DataFrame, node_kind: str | None = "trainable") -> DataFrame:
     """(run, position, name, reads_snapshot, writes_snapshot): entry and exit of the same step.
 
@@ -46,13 +55,13 @@ def pairs(events: DataFrame, node_kind: str | None = "trainable") -> DataFrame:
     enter = _of(events, "handler_enter")
     enter = enter if node_kind is None else enter.where(F.col("node_kind") == node_kind)
     leave = _of(events, "handler_exit").select(*_STEP, "writes_snapshot", "elapsed_ms")
-    return enter.select(*_STEP, "handler_name", "node_kind", "reads_snapshot").join(leave, _STEP)
+    return _joined(enter.select(*_STEP, "handler_name", "node_kind", "reads_snapshot"), leave, _STEP)
 
 
 def incomplete(events: DataFrame) -> DataFrame:
     """(run, position, name) of steps that were entered and not left."""
     enter = _of(events, "handler_enter").select(*_STEP, "handler_name")
-    return enter.join(_of(events, "handler_exit").select(*_STEP), _STEP, "left_anti")
+    return _joined(enter, _of(events, "handler_exit").select(*_STEP), _STEP, "left_anti")
 
 
 #: Rows of a run beyond which its windows are spread over ``SPREAD`` buckets.
@@ -97,7 +106,7 @@ def divergence(events: DataFrame) -> DataFrame:
     """(correlation_id, output_payload, writes_snapshot) where a step wrote other than its service gave."""
     call = _of(events, "service_invocation").select("correlation_id", "output_payload")
     leave = _of(events, "handler_exit").where("correlation_id is not null").select("correlation_id", "writes_snapshot")
-    return call.join(leave, "correlation_id").where(~F.col("output_payload").eqNullSafe(F.col("writes_snapshot")))
+    return _joined(call, leave, "correlation_id").where(~F.col("output_payload").eqNullSafe(F.col("writes_snapshot")))
 
 
 def lineage(events: DataFrame) -> DataFrame:
@@ -181,7 +190,7 @@ def lineage_appended(stored: DataFrame, events: DataFrame) -> DataFrame:
 def with_hash(events: DataFrame) -> DataFrame:
     """Every step event with its run's pipeline_hash, from the run's start."""
     start = _of(events, "pipeline_start").select("pipeline_run_id", F.col("pipeline_hash").alias("run_hash"))
-    return events.where(F.col("handler_position").isNotNull()).join(start, "pipeline_run_id")
+    return _joined(events.where(F.col("handler_position").isNotNull()), start, "pipeline_run_id")
 
 
 def buckets(events: DataFrame) -> DataFrame:
@@ -243,7 +252,7 @@ def harvest(events: DataFrame) -> DataFrame:
     enter = _of(events, "handler_enter").select(*_STEP, "handler_name", "node_kind", "reads_snapshot")
     leave = _of(events, "handler_exit").select(*_STEP, "writes_snapshot")
     call = _of(events, "service_invocation").select(*_STEP, "input_payload", "output_payload")
-    return enter.join(leave, _STEP, "left").join(call, _STEP, "left")
+    return _joined(_joined(enter, leave, _STEP, "left"), call, _STEP, "left")
 
 
 def of_run(events: DataFrame, run: str) -> DataFrame:

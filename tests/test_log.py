@@ -43,6 +43,20 @@ def test_replays_are_compared_by_digests(spark):
     assert eventlog.replay_differences(first.limit(0), second).where("side = 'second'").count() == len(other)
 
 
+def test_logs_are_not_broadcast_by_the_size_of_a_table_that_they_come_from(spark, tmp_path):
+    """Events have many times the bytes of a small table's file: no side of a join of them goes through the driver."""
+    path = str(tmp_path / "small")
+    spark.range(50).coalesce(1).write.parquet(path)
+    kinds = F.explode(F.array(*(F.lit(k) for k in ("pipeline_start", "handler_enter", "service_invocation", "handler_exit"))))
+    none = {"node_kind": "string", "handler_name": "string", "elapsed_ms": "long", "pipeline_hash": "string"}
+    events = spark.read.parquet(path).select(F.col("id").cast("string").alias("pipeline_run_id"), kinds.alias("event_type"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    long = F.repeat("pipeline_run_id", 1000)
+    events = events.withColumns({"handler_position": F.lit(0), "correlation_id": F.col("pipeline_run_id"), **{c: long for c in ("reads_snapshot", "writes_snapshot", "input_payload", "output_payload")}})
+    for found, n in ((eventlog.pairs(events, None), 50), (eventlog.incomplete(events), 0), (eventlog.divergence(events), 0), (eventlog.with_hash(events), 200), (eventlog.harvest(events), 50)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == n
+
+
 def _starts(spark, pairs):
     return spark.createDataFrame(pairs, "pipeline_run_id string, parent_run_id string").withColumn("event_type", F.lit("pipeline_start"))
 
