@@ -1,12 +1,19 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash fingerprints and the Jaccard similarity of their sets of word shingles.
 
 Words are those of ``simhash``; a text with fewer words than a shingle has one, its words, and a
 text without words has none.  Texts of equal sets collapse first.
 
-Candidates
-    A set has ``BANDS`` keys, each of the ``ROWS`` least values of the set's hashes under as many
+Fingerprints
+    A set has a SimHash fingerprint, and the deletion-variant index of ``simhash`` links those at 3
+    or fewer differing bits.  The sets of a component of fingerprints are compared exactly, and those
+    that are similar are one component from then on.
+
+Candidates further apart
+    Sets of similarity 0.8 differ in up to 11 bits and more, which no index of fingerprints reaches
+    in a bounded number of rows.  So a set also has ``BANDS`` keys, each of the ``ROWS`` least values of the set's hashes under as many
     permutations.  Two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS,
-    which is 0.9996 at 0.8.  Keys with the same members are worked on once.
+    which is 0.9996 at 0.8.  A key whose members the fingerprints have made one component is done;
+    of the others those with the same members are worked on once.
 
 Links
     The sets of a key's members are compared exactly.  Members are dealt into blocks, each key in its
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import allow_hash_joins, bounded_batches, cut, cut_narrow, partition_count
 from loomwork.llm.components import connected_components, spanning_forest
-from loomwork.llm.simhash import LOWER, SEED, first_of_each, whole_groups
+from loomwork.llm.simhash import LOWER, SEED, fingerprint_of, first_of_each, near_links, whole_groups
 from loomwork.llm.tokens import trimmed
 
 BANDS = 20
@@ -113,12 +120,23 @@ def _count_common(sets: list[np.ndarray], common: np.ndarray) -> None:
         common += held_by @ held_by.T
 
 
+def near_fingerprints(marked: DataFrame) -> DataFrame:
+    """marked (fp, size, mark: a set's fingerprint) -> (fp, size, key): the sets of each component of fingerprints.
+
+    Sets that are alone in theirs have no row.
+    """
+    marks = cut_narrow(marked.groupBy("mark").agg(F.count("*").alias("n")))
+    roots = connected_components(near_links(marks.select(F.col("mark").alias("fp"))))
+    shared = marks.join(roots.withColumnRenamed("node", "mark"), "mark", "left").where("n > 1 or root is not null")
+    return marked.join(shared.select("mark", F.coalesce("root", "mark").alias("key")), "mark").select("fp", "size", "key")
+
+
 def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """nodes (fp, keys, size), texts (id, sum64, text) and nodes' (id, sum64) -> links (a, b) of similar sets.
+    """nodes (fp, keys, size, mark), texts (id, sum64, text) and nodes' (id, sum64) -> links (a, b) of similar sets.
 
-    The links connect the same sets as all links among members of a key would.
+    The links connect the same sets as all links among members of a key would; without fingerprints
+    (mark) nothing is linked beforehand.
     """
-    index = nodes.select("fp", "size", F.explode("keys").alias("key"))
     who = nodes.select("fp", F.col("id").alias("at"), F.col("sum64").alias("sum"))
     on = F.col("id").eqNullSafe(F.col("at")) & (F.col("sum64") == F.col("sum"))
     allow_hash_joins(nodes.sparkSession)
@@ -127,7 +145,14 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float)
         """(fp, text), a row for each of the sets."""
         return texts.join(who.join(fps, "fp", "left_semi"), on).select("fp", "text").dropDuplicates(["fp"])
 
-    return _Comparison(found, partition_count(nodes.sparkSession), shingle, similarity).links(index, True)
+    comparison = _Comparison(found, partition_count(nodes.sparkSession), shingle, similarity)
+    if "mark" not in nodes.columns:
+        return comparison.links(nodes.select("fp", "size", F.explode("keys").alias("key")), True)
+    near = cut_narrow(comparison.links(cut_narrow(near_fingerprints(nodes.where("size > 0").select("fp", "size", "mark"))), True))
+    # a key of sets that are one component already has nothing to link
+    rooted = nodes.join(connected_components(near).withColumnRenamed("node", "fp"), "fp", "left")
+    index = rooted.select("fp", "size", F.coalesce("root", "fp").alias("root"), F.explode("keys").alias("key"))
+    return near.union(comparison.links(index, True))
 
 
 class _Comparison:
@@ -174,9 +199,14 @@ class _Comparison:
         return given.mapInArrow(trimmed(run), "fp long, size long, keys array<long>").select("fp", "size", F.explode("keys").alias("key"))
 
     def links(self, index: DataFrame, split: bool) -> DataFrame:
-        """index (fp, size, key) -> links (a, b); split: whether hot keys are indexed anew."""
+        """index (fp, size, key) -> links (a, b); split: whether hot keys are indexed anew.
+
+        Where the index has roots, what is linked already, keys with a single one are done.
+        """
         who = F.struct(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y"), F.sum("size").alias("size"))
-        alike = index.groupBy("key").agg(who.alias("who")).where("who.n > 1")
+        root = F.col("root" if "root" in index.columns else "fp")
+        alike = index.groupBy("key").agg(who.alias("who"), F.min(root).alias("lo"), F.max(root).alias("hi")).where("who.n > 1 and lo < hi").select("key", "who")
+        index = index.select("fp", "size", "key")
         blocks = F.least(F.col("who.n"), F.greatest(F.ceil(F.col("who.n") / BLOCK), F.ceil(F.col("who.size") / BLOCK_HASHES))).cast("int")
         shared = alike.groupBy("who").agg(F.min("key").alias("key")).select("key", blocks.alias("k"))
         block = F.pmod(F.xxhash64("fp", "key"), F.col("k")).cast("int")
@@ -227,21 +257,23 @@ def keep_one(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            fps, marks = np.zeros((2, batch.num_rows), np.uint64)
+            sizes, keys = np.zeros(batch.num_rows, np.int64), []
             for k, text in enumerate(batch.column(2)):
                 hashes = shingles(text.as_py(), shingle)
                 sizes[k] = len(hashes)
-                fps[k] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                fps[k], marks[k] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), fingerprint_of(hashes)
                 keys.append(band_keys(hashes))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["id", "sum64", "fp", "size", "keys"]
+                [*batch.columns[:2], pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(marks.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "sum64", "fp", "size", "mark", "keys"],
             )
 
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    fps = cut(marked.mapInArrow(trimmed(run), f"id {kind}, sum64 long, fp long, size long, keys array<long>"))
+    fps = cut(marked.mapInArrow(trimmed(run), f"id {kind}, sum64 long, fp long, size long, mark long, keys array<long>"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "sum64")
-    nodes = cut(fps.groupBy("fp").agg(F.min(F.struct(order.alias("first"), "size", "keys")).alias("m")).select("fp", "m.first.id", "m.first.sum64", "m.size", "m.keys"))
+    nodes = cut(fps.groupBy("fp").agg(F.min(F.struct(order.alias("first"), "size", "mark", "keys")).alias("m")).select("fp", "m.first.id", "m.first.sum64", "m.size", "m.mark", "m.keys"))
     roots = connected_components(_links(nodes, marked, shingle, similarity)).withColumnRenamed("node", "fp")
     named = nodes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return first_of_each(docs, fps.select("id", "sum64", "fp"), named, id_col, text_col)

@@ -60,10 +60,19 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(part) - shingle + 1)
         ones += _bit_counts(h)
+    return _bits_of_most(ones, n)
+
+
+def _bits_of_most(ones: np.ndarray, n: int) -> int:
     bits = (2 * ones > n).astype(np.uint64)
     return int((bits << np.arange(64, dtype=np.uint64)).sum())
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of features' hashes; zero if there are none."""
+    return _bits_of_most(_bit_counts(hashes), len(hashes))
+
+
 def _bit_counts(h: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, lowest bit first."""
     bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")

@@ -267,3 +267,29 @@ def test_blocks_are_bounded_by_their_hashes(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     docs = spark.createDataFrame([(k, " ".join(words[:50] + [f"x{k}"] + words[50:])) for k in range(20)] + [(99, " ".join(words[::-1]))], "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [0, 99]
+
+
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    """Sets at most 3 bits apart are linked by SimHash, and only if they are similar; what that has joined is not compared again."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    near = [" ".join(words[:k] + ["edited"] + words[k + 1 :]) for k in range(20, 2980, 60)]
+    of = [simhash.fingerprint(t.encode(), 5) for t in near]
+    near = [t for t, f in zip(near, of, strict=True) if (f ^ of[0]).bit_count() <= 1][:3]
+    assert len(near) == 3
+    far = " ".join(words[:600] + ["edited"] * 100 + words[700:])
+    rows = [*enumerate(near), (7, far), (8, " ".join(reversed(words))), (9, None), (10, "")]
+    marks = {i: simhash.fingerprint_of(jaccard.shingles((t or "").encode())) for i, t in rows}
+    assert max((marks[a] ^ marks[b]).bit_count() for a in range(3) for b in range(3)) <= 3
+    assert marks[8] != marks[0] and marks[9] == 0 == simhash.fingerprint("".encode(), 5) and marks[0] == simhash.fingerprint(near[0].encode(), 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [0, 8, 9]
+    # without any other key the near copies are still found, and what shares a fingerprint by chance stays apart
+    monkeypatch.setattr(jaccard, "band_keys", lambda hashes: [])
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs.where("doc_id < 7")).collect()) == [0]
+    sets = [(0, 9, 5), (1, 9, 5), (2, 9, 7), (4, 9, 2**62 + 2**50 + 2**40)]
+    table = spark.createDataFrame(sets, "fp long, size long, mark long")
+    assert sorted((r.fp, r.key) for r in jaccard.near_fingerprints(table).collect()) == [(0, 5), (1, 5), (2, 5)]
+    index = spark.createDataFrame([(k, 9, root, 1) for k, root in ((1, 1), (2, 1), (3, 1))], "fp long, size long, root long, key long")
+    never = jaccard._Comparison(lambda fps: fps.select("fp", F.raise_error(F.lit("compared again")).cast("binary").alias("text")), 4, 5, 0.8)
+    assert never.links(index, True).count() == 0
